@@ -13,7 +13,8 @@ weight for each subsequence is left, and words are scored without the landmarks.
 
 Training: a text is labelled, its words are not. As in multiple-instance SVMs, a toxic
 text stands for its most toxic words under the present function, a clean one for its
-most toxic words too, over some rounds. A text's score comes from its two highest
+most toxic words too, over some rounds; in the last, toxic words stand there with a
+letter put in, too, so that such words are on the toxic side of the scale. A text's score comes from its two highest
 words and is put on the scale of a probability.
 
 The fit uses a bounded sample: at most ``SAMPLE_TEXTS`` labelled texts of each class, of at
@@ -40,6 +41,8 @@ from skyloom.llm.common import read
 
 SAMPLE_TEXTS, SAMPLE_BYTES = 2500, 20_000
 LANDMARKS, SPAN, DECAY, ROUNDS = 256, 6, 0.6, 5
+#: Weight of toxic words with a letter put in against those as they are.
+ALTERED = 0.1
 #: Longer words are cut into overlapping pieces of this many letters.
 PIECE = 24
 #: Words whose values a worker keeps; beyond it the memo starts anew.
@@ -149,12 +152,12 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reach: float = 10.0)
     return w[:-1], float(w[-1])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-6)[:, None]) + ridge * np.eye(x.shape[1]), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve(x.T @ (x * (weight * p * (1 - p) + 1e-6)[:, None]) + ridge * np.eye(x.shape[1]), x.T @ (weight * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -206,40 +209,54 @@ def fit(texts: list[str], toxic: list[int], seed: int = 0) -> Model:
     whiten = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
     project = landmarks.T @ whiten
 
-    begin = np.searchsorted(row, np.arange(len(words) + 1))
-
-    def nystrom(which: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(which), project.shape[1]))
-        for i, w in enumerate(which):
-            fs, vs = place[feature[begin[w] : begin[w + 1]]], value[begin[w] : begin[w + 1]]
-            out[i] = vs[fs >= 0] @ project[fs[fs >= 0]]
+    def nystrom(words: list[str]) -> np.ndarray:
+        r, f, v = features(words)
+        known = place[f] >= 0
+        out = np.zeros((len(words), project.shape[1]))
+        for s in range(0, len(words), 1000):
+            own = known & (r >= s) & (r < s + 1000)
+            part = np.zeros((min(1000, len(words) - s), len(used)))
+            part[r[own] - s, place[f[own]]] = v[own]
+            out[s : s + 1000] = part @ project
         return out
 
     f_of = score - np.quantile(score, 0.9)
-    weights = np.zeros(FEATURES)
-    for _ in range(ROUNDS):
-        chosen, sign = [], []
+    for step in range(ROUNDS):
+        chosen: dict[tuple[str, int], float] = {}
+        shown: list[tuple[int, list[str]]] = []
         for i, w in enumerate(words_of):
             if not len(w):
                 continue
             best = w[np.argsort(-f_of[w], kind="stable")[: 2 if y[i] else 4]]
             if y[i]:  # the highest word, and the second where it is toxic by itself
                 best = best[: 1 + int(len(best) > 1 and f_of[best[1]] > 0)]
-            chosen += best.tolist()
-            sign += [1 if y[i] else -1] * len(best)
-        chosen, sign = np.array(chosen), np.array(sign)
-        pairs, times = np.unique(np.stack([chosen, sign]), axis=1, return_counts=True)
-        weight = times.astype(float)
+                if step == ROUNDS - 1:  # the same words with a letter put in are as toxic
+                    shown.append((i, [_with_a_letter(words[j], random) for j in best]))
+                    for word in shown[-1][1]:
+                        chosen[word, 1] = chosen.get((word, 1), 0) + ALTERED
+            for j in best:
+                key = (words[j], 1 if y[i] else -1)
+                chosen[key] = chosen.get(key, 0) + 1
+        sign, weight = np.array([k[1] for k in chosen]), np.array(list(chosen.values()), float)
         for s in (1, -1):
-            weight[pairs[1] == s] /= max(1.0, weight[pairs[1] == s].sum())
-        w, bias = _svm(nystrom(pairs[0]), pairs[1].astype(float), weight * len(weight) / 2)
+            weight[sign == s] /= max(1.0, weight[sign == s].sum())
+        w, bias = _svm(nystrom([k[0] for k in chosen]), sign.astype(float), weight * len(weight) / 2)
         weights = np.zeros(FEATURES)
         weights[used] = project @ w
         f_of = np.bincount(row, value * weights[feature], len(words)) + bias
     # the offset goes into the text's scale, so that a word without known subsequences has the value 0
-    raw = np.bincount(row, value * weights[feature], len(words))
-    a, b, c = _logistic(_two_highest(raw, words_of), y.astype(float))
-    return Model(weights.astype(np.float32), (float(a), float(b), float(c)))
+    highest = _two_highest(f_of - bias, words_of)
+    model = Model(weights.astype(np.float32))
+    altered = np.zeros((len(shown), 2))
+    for k, (i, held) in enumerate(shown):
+        altered[k, : len(held)] = np.maximum(np.sort(model.values(held))[::-1], 0)
+    model.scale = tuple(float(x) for x in _logistic(np.vstack([highest, altered]), np.append(y, np.ones(len(shown))).astype(float), np.append(np.ones(len(y)), np.full(len(shown), ALTERED))))
+    return model
+
+
+def _with_a_letter(word: str, random: np.random.Generator) -> str:
+    at = int(random.integers(1, len(word)))
+    return (word[:at] + "abcdefghijklmnopqrstuvwxyz"[random.integers(26)] + word[at:])[:PIECE]
 
 
 def held_out(doc_id: Column) -> Column:
