@@ -17,7 +17,8 @@ whole fingerprint.
 
 A shard returns a spanning forest of its links, not the links: in a group of copies a
 star around one fingerprint links all within the radius at once, and only what is
-outside of the largest star is compared with the rest. Shards larger than
+outside of the largest star is compared with the rest. Where there are many blocks, a
+group found by the first ones is not linked again by the others. Shards larger than
 ``SHARD_ROWS`` (many fingerprints equal in a block) are cut into pieces, of which each
 two meet in a task of their own.
 
@@ -53,12 +54,14 @@ MAX_DEPTH = 10
 @dataclass(frozen=True)
 class Settings:
     """``shingle`` words, ``words`` x 64 bits, links at ``radius`` bits or fewer;
-    blocks are (word, mask), searched with the radius ``near``."""
+    blocks are (word, mask), searched with the radius ``near``; the ``first`` of them, if
+    given, are searched before the others, which then look for links between groups only."""
 
     shingle: int = 4
     words: int = 1
     radius: int = 4
     near: int = 1
+    first: int = 0
     blocks: tuple[tuple[int, int], ...] = field(default=((0, (1 << 22) - 1), (0, ((1 << 21) - 1) << 22), (0, ((1 << 21) - 1) << 43)))
 
 
@@ -68,7 +71,7 @@ CONTRACT = Settings()
 #: large as each other with that similarity have cosine 2 * 0.8 / 1.8 and differ in
 #: acos(...) / pi = 0.1515 of the bits. One of 16 blocks of 16 bits then has at most one
 #: differing bit with a chance above 0.99 (0.9999 at 0.85); a group has many such pairs.
-SIMILAR = Settings(shingle=5, words=8, radius=77, near=1, blocks=tuple((w, 0xFFFF << s) for w in range(8) for s in (0, 32)))
+SIMILAR = Settings(shingle=5, words=8, radius=77, near=1, first=4, blocks=tuple((w, 0xFFFF << s) for w in range(8) for s in (0, 32)))
 
 
 def fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> bytes:
@@ -173,11 +176,32 @@ def _distances(x: np.ndarray, rows: np.ndarray, others: np.ndarray) -> np.ndarra
     return out
 
 
-def _few(x: np.ndarray, block: np.ndarray, own: np.ndarray, settings: Settings) -> list[tuple[int, int]]:
-    """All links of a few rows that are near in the block."""
+class _Forest:
+    """Which rows of a shard hang together so far; ``joins`` says whether a link is news."""
+
+    def __init__(self, groups: np.ndarray):
+        _, first, at = np.unique(groups, return_index=True, return_inverse=True)
+        self.up = first[at].tolist()
+
+    def top(self, i: int) -> int:
+        up = self.up
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    def joins(self, a: int, b: int) -> bool:
+        a, b = self.top(a), self.top(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _few(x: np.ndarray, block: np.ndarray, groups: np.ndarray, own: np.ndarray, settings: Settings) -> list[tuple[int, int]]:
+    """All links, between different groups, of a few rows that are near in the block."""
     near = np.bitwise_count(block[own][:, None] ^ block[own][None, :]) <= settings.near
     a, b = np.nonzero(np.triu(near, 1))
     a, b = own[a], own[b]
+    news = groups[a] != groups[b]
+    a, b = a[news], b[news]
     d = np.zeros(len(a), np.uint16)
     for w in range(x.shape[1]):
         d += np.bitwise_count(x[a, w] ^ x[b, w])
@@ -185,9 +209,9 @@ def _few(x: np.ndarray, block: np.ndarray, own: np.ndarray, settings: Settings)
     return list(zip(a[linked].tolist(), b[linked].tolist()))
 
 
-def _many(x: np.ndarray, own: np.ndarray, settings: Settings) -> list[tuple[int, int]]:
-    """A spanning forest of the links among rows that no vantage point parts."""
-    label, edges = np.arange(len(own)), []
+def _many(x: np.ndarray, tops: list[int], own: np.ndarray, settings: Settings) -> list[tuple[int, int]]:
+    """A spanning forest of the links among rows that no vantage point parts; ``tops`` are the rows' groups so far."""
+    label, edges = np.unique(tops, return_inverse=True)[1], []
     free = np.ones(len(own), bool)
     for _ in range(8):  # stars
         start = np.flatnonzero(free)
@@ -199,7 +223,7 @@ def _many(x: np.ndarray, own: np.ndarray, settings: Settings) -> list[tuple[int,
         merged = np.isin(label, np.unique(label[linked]))
         label[merged] = label[merged].min()
         free[linked] = free[pivot] = False
-    largest = np.bincount(label, minlength=len(own)).argmax()
+    largest = np.bincount(label).argmax()
     rest = np.flatnonzero(label != largest)
     step = max(1, 4_000_000 // len(own))
     for s in range(0, len(rest), step):
@@ -216,31 +240,39 @@ def _many(x: np.ndarray, own: np.ndarray, settings: Settings) -> list[tuple[int,
     return [(int(a), int(b)) for a, b in edges]
 
 
-def shard_links(x: np.ndarray, block: int, settings: Settings, seed: int = 0) -> list[tuple[int, int]]:
-    """Links (positions) that span the groups of a shard, as far as they're near in the block."""
+def shard_links(x: np.ndarray, block: int, settings: Settings, groups: np.ndarray | None = None, seed: int = 0) -> list[tuple[int, int]]:
+    """Links (positions) that span the groups of a shard, as far as they're near in the
+    block; with ``groups``, those that hang together already, only links between them."""
     word, mask = settings.blocks[block]
     values, random = x[:, word] & np.uint64(mask), np.random.default_rng(seed)
+    groups = np.arange(len(x)) if groups is None else groups
+    forest = _Forest(groups)
     open_, out = [np.arange(len(x))], []
     while open_:
         own = open_.pop()
         if len(own) < 2:
             continue
         if len(own) <= DIRECT:
-            out += _few(x, values, own, settings)
-            continue
-        cut = _split(values[own], settings.near, random)
-        if cut:
+            found = _few(x, values, groups, own, settings)
+        elif cut := _split(values[own], settings.near, random):
             open_ += [own[cut[2]], own[cut[3]]]
+            continue
         else:
-            out += _many(x, own, settings)
+            found = _many(x, [forest.top(int(i)) for i in own], own, settings)
+        out += [(a, b) for a, b in found if forest.joins(a, b)]
     return out
 
 
 # -- in Spark -----------------------------------------------------------------
 
 
-def links(nodes: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
-    """``a, b``: links between nodes (``nid long, fp binary``, all different) that span every group."""
+def links(nodes: DataFrame, settings: Settings = CONTRACT, chosen: range | None = None) -> DataFrame:
+    """``a, b``: links between nodes (``nid long, fp binary``, all different) that span every
+    group, as far as they're near in one of the ``chosen`` blocks (all by default). Where nodes
+    have ``grp long``, links within one such group are left out."""
+    if "grp" not in nodes.columns:
+        nodes = nodes.withColumn("grp", F.col("nid"))
+    chosen = range(len(settings.blocks)) if chosen is None else chosen
     n = nodes.count()
     depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1, n) / LEAF_ROWS)))))
     sample = [bytes(r[0]) for r in nodes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()] if depth else []
@@ -251,7 +283,8 @@ def links(nodes: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
 
     def leaves_of(lot: pd.DataFrame) -> Iterator[tuple[int, int, np.ndarray]]:
         x = _unpack(lot["fp"])
-        for i, (word, mask) in enumerate(settings.blocks):
+        for i in chosen:
+            word, mask = settings.blocks[i]
             for leaf, own in route(x[:, word] & np.uint64(mask), trees[i], settings.near):
                 yield i, leaf, own
 
@@ -269,7 +302,7 @@ def links(nodes: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
             if not len(lot):
                 continue
             for i, leaf, own in leaves_of(lot):
-                rows = pd.DataFrame({"block": i, "leaf": leaf, "p": 0, "q": 0, "nid": lot["nid"].to_numpy()[own], "fp": lot["fp"].to_numpy()[own]})
+                rows = pd.DataFrame({"block": i, "leaf": leaf, "p": 0, "q": 0, "nid": lot["nid"].to_numpy()[own], "grp": lot["grp"].to_numpy()[own], "fp": lot["fp"].to_numpy()[own]})
                 pieces = cuts.get((i, leaf))
                 if not pieces:
                     yield rows
@@ -279,12 +312,12 @@ def links(nodes: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
                     yield rows.assign(p=np.minimum(mine, j), q=np.maximum(mine, j))
 
     def link(shard: pd.DataFrame) -> pd.DataFrame:
-        found = shard_links(_unpack(shard["fp"]), int(shard["block"].iloc[0]), settings)
+        found = shard_links(_unpack(shard["fp"]), int(shard["block"].iloc[0]), settings, shard["grp"].to_numpy())
         ids = shard["nid"].to_numpy()
         pairs = np.array(found, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]}).drop_duplicates()
+        return pd.DataFrame({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
 
-    shards = nodes.select("nid", "fp").mapInPandas(deal, "block int, leaf int, p long, q long, nid long, fp binary")
+    shards = nodes.select("nid", "grp", "fp").mapInPandas(deal, "block int, leaf int, p long, q long, nid long, grp long, fp binary")
     return shards.groupBy("block", "leaf", "p", "q").applyInPandas(link, "a long, b long")
 
 
@@ -292,7 +325,12 @@ def groups(docs: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
     """``doc_id, fp, component_id``: every row's fingerprint and the smallest doc_id of its group."""
     prints = materialise(fingerprints(docs, settings))
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("nid", F.monotonically_increasing_id()))
-    roots = components(links(nodes, settings))
+    edges = materialise(links(nodes, settings, range(settings.first or len(settings.blocks))))
+    roots = components(edges)
+    if settings.first:  # what hangs together by the first blocks isn't linked again by the others
+        grouped = nodes.join(roots, nodes["nid"] == roots["node"], "left").select("nid", "fp", F.coalesce("root", "nid").alias("grp"))
+        more = links(materialise(grouped), settings, range(settings.first, len(settings.blocks)))
+        roots = components(edges.unionByName(more))
     rooted = nodes.join(roots, nodes["nid"] == roots["node"], "left").select("fp", "low", "root")
     lows = rooted.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("low").alias("component"))
     named = rooted.join(lows, "root", "left").select(F.col("fp").alias("node_fp"), F.coalesce("component", "low").alias("component_id"))
