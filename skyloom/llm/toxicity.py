@@ -39,14 +39,14 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.common import read
 
-SAMPLE_TEXTS, SAMPLE_BYTES = 2500, 20_000
+SAMPLE_TEXTS, SAMPLE_BYTES = 2000, 20_000
 LANDMARKS, SPAN, DECAY, ROUNDS = 256, 6, 0.6, 5
 #: Weight of toxic words with a letter put in against those as they are.
 ALTERED = 0.1
 #: Longer words are cut into overlapping pieces of this many letters.
 PIECE = 24
 #: Words whose values a worker keeps; beyond it the memo starts anew.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 250_000
 #: What digits and signs inside a word stand for (fixed values).
 LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i"})
 
@@ -181,19 +181,23 @@ def fit(texts: list[str], toxic: list[int], seed: int = 0) -> Model:
     text_of = np.repeat(np.arange(len(words_of)), [len(w) for w in words_of])
     word_of = np.concatenate(words_of)
     parts = [(r.astype(np.int32) + s, f.astype(np.int32), v.astype(np.float32)) for s in range(0, len(words), 20_000) for r, f, v in [features(words[s : s + 20_000])]]
-    row, feature, value = (np.concatenate(x) for x in zip(*parts))
-    del parts
+
+    def by_word(weights: np.ndarray) -> np.ndarray:
+        return sum(np.bincount(r, v * weights[f], len(words)) for r, f, v in parts)
+
+    def by_feature(of_word: np.ndarray) -> np.ndarray:
+        return sum(np.bincount(f, v * of_word[r], FEATURES) for r, f, v in parts)
 
     # how telling a word is: the log odds of its texts' labels, smoothed over words with the same subsequences
     positive, n_positive = y.sum(), len(y)
     base = positive / n_positive
     seen = np.bincount(word_of, minlength=len(words))
     seen_toxic = np.bincount(word_of, y[text_of], len(words))
-    mass = np.bincount(feature, value * seen[row], FEATURES) + 1e-9
-    mass_toxic = np.bincount(feature, value * seen_toxic[row], FEATURES)
+    mass = by_feature(seen) + 1e-9
+    mass_toxic = by_feature(seen_toxic)
     odds = lambda a, n: np.log((a + 2 * base) / (n - a + 2 * (1 - base)) * (1 - base) / base)
     telling = odds(mass_toxic, mass)
-    score = np.bincount(row, value * telling[feature], len(words)) / 3 + odds(seen_toxic, seen)
+    score = by_word(telling) / 3 + odds(seen_toxic, seen)
     order = np.argsort(-score, kind="stable")
     rest = order[LANDMARKS * 3 // 4 :]
     marks = np.concatenate([order[: LANDMARKS * 3 // 4], random.choice(rest, min(LANDMARKS // 4, len(rest)), replace=False)])
@@ -243,7 +247,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 0) -> Model:
         w, bias = _svm(nystrom([k[0] for k in chosen]), sign.astype(float), weight * len(weight) / 2)
         weights = np.zeros(FEATURES)
         weights[used] = project @ w
-        f_of = np.bincount(row, value * weights[feature], len(words)) + bias
+        f_of = by_word(weights) + bias
     # the offset goes into the text's scale, so that a word without known subsequences has the value 0
     highest = _two_highest(f_of - bias, words_of)
     model = Model(weights.astype(np.float32))
