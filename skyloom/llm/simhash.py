@@ -22,6 +22,12 @@ group found by the first ones is not linked again by the others. Shards larger t
 ``SHARD_ROWS`` (many fingerprints equal in a block) are cut into pieces, of which each
 two meet in a task of their own.
 
+Where a similarity is given, the bits only propose: links are held against the exact
+Jaccard similarity of the texts' shingle sets. The first round links within ``radius``;
+the second, between the groups that the first one's check left, within ``wide``. Shards
+return minimum spanning forests, whose links are the likeliest to pass, so that no more
+links than fingerprints are checked for each block.
+
 Null texts count as empty; texts without words have the fingerprint zero and link like
 any other. Rows with one doc_id may have different texts; each is fingerprinted.
 A group whose doc_ids are all null has a null id. Extra columns are ignored.
@@ -30,7 +36,7 @@ A group whose doc_ids are all null has a null id. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -54,14 +60,17 @@ MAX_DEPTH = 10
 @dataclass(frozen=True)
 class Settings:
     """``shingle`` words, ``words`` x 64 bits, links at ``radius`` bits or fewer;
-    blocks are (word, mask), searched with the radius ``near``; the ``first`` of them, if
-    given, are searched before the others, which then look for links between groups only."""
+    blocks are (word, mask), searched with the radius ``near``. With a ``similarity``, links
+    are checked by it: those of the ``first`` blocks, and then those between the groups
+    found, within ``wide`` bits in any block."""
 
     shingle: int = 4
     words: int = 1
     radius: int = 4
     near: int = 1
     first: int = 0
+    wide: int = 0
+    similarity: float | None = None
     blocks: tuple[tuple[int, int], ...] = field(default=((0, (1 << 22) - 1), (0, ((1 << 21) - 1) << 22), (0, ((1 << 21) - 1) << 43)))
 
 
@@ -71,22 +80,28 @@ CONTRACT = Settings()
 #: large as each other with that similarity have cosine 2 * 0.8 / 1.8 and differ in
 #: acos(...) / pi = 0.1515 of the bits. One of 16 blocks of 16 bits then has at most one
 #: differing bit with a chance above 0.99 (0.9999 at 0.85); a group has many such pairs.
-SIMILAR = Settings(shingle=5, words=8, radius=77, near=1, first=4, blocks=tuple((w, 0xFFFF << s) for w in range(8) for s in (0, 32)))
+#: The estimate's standard deviation is 8 bits; 98 bits leave 1 in 200 of such pairs out.
+SIMILAR = Settings(shingle=5, words=8, radius=77, near=1, first=4, wide=98, similarity=0.8, blocks=tuple((w, 0xFFFF << s) for w in range(8) for s in (0, 32)))
 
 
-def fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> bytes:
-    """Big-endian bits of the fingerprint; further words take the shingle hashes mixed anew."""
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """The hash of each shingle, repeats included; none for a text without words."""
     parts = (text or "").encode().lower().split()
     if not parts:
-        return bytes(8 * words)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(parts) - shingle + 1)
     last = ends[min(shingle, len(parts)) - 1 :][:n]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), last.tolist())), np.uint64, n)
-    out = b""
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), last.tolist())), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> bytes:
+    """Big-endian bits of the fingerprint; further words take the shingle hashes mixed anew."""
+    hashes, out = shingles(text, shingle), b""
+    n = len(hashes)
     for _ in range(words):
         ones = np.zeros(64, np.int64)
         for s in range(0, n, 1 << 16):
@@ -99,14 +114,15 @@ def fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> bytes:
 
 
 def fingerprints(docs: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
-    """``doc_id, fp binary`` of every row."""
+    """``doc_id, text_hash long, fp binary`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = [fingerprint(t, settings.shingle, settings.words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.binary())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp, pa.binary())], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp binary")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, fp binary")
 
 
 def _unpack(column) -> np.ndarray:
@@ -205,15 +221,16 @@ def _few(x: np.ndarray, block: np.ndarray, groups: np.ndarray, own: np.ndarray,
     d = np.zeros(len(a), np.uint16)
     for w in range(x.shape[1]):
         d += np.bitwise_count(x[a, w] ^ x[b, w])
-    linked = d <= settings.radius
+    linked = np.flatnonzero(d <= settings.radius)
+    linked = linked[np.argsort(d[linked], kind="stable")]
     return list(zip(a[linked].tolist(), b[linked].tolist()))
 
 
-def _many(x: np.ndarray, tops: list[int], own: np.ndarray, settings: Settings) -> list[tuple[int, int]]:
+def _many(x: np.ndarray, tops: list[int], own: np.ndarray, settings: Settings, stars: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among rows that no vantage point parts; ``tops`` are the rows' groups so far."""
     label, edges = np.unique(tops, return_inverse=True)[1], []
     free = np.ones(len(own), bool)
-    for _ in range(8):  # stars
+    for _ in range(stars):
         start = np.flatnonzero(free)
         if not len(start):
             break
@@ -228,10 +245,11 @@ def _many(x: np.ndarray, tops: list[int], own: np.ndarray, settings: Settings) -
     step = max(1, 4_000_000 // len(own))
     for s in range(0, len(rest), step):
         rows = rest[s : s + step]
-        linked = _distances(x, own[rows], own) <= settings.radius
-        new = linked & (label[None, :] != label[rows][:, None])
+        distance = _distances(x, own[rows], own)
+        new = (distance <= settings.radius) & (label[None, :] != label[rows][:, None])
         for i in np.flatnonzero(new.any(1)):
             to = np.flatnonzero(new[i])
+            to = to[np.argsort(distance[i, to], kind="stable")]  # the nearest of each group
             names, first = np.unique(label[to], return_index=True)
             keep = names != label[rows[i]]  # an earlier row of this lot may have joined them
             edges += [(own[rows[i]], own[to[j]]) for j in first[keep]]
@@ -246,6 +264,8 @@ def shard_links(x: np.ndarray, block: int, settings: Settings, groups: np.ndarra
     word, mask = settings.blocks[block]
     values, random = x[:, word] & np.uint64(mask), np.random.default_rng(seed)
     groups = np.arange(len(x)) if groups is None else groups
+    # where groups are known, the nearest links between them count, not the quickest
+    stars = 8 if len(np.unique(groups)) == len(groups) else 0
     forest = _Forest(groups)
     open_, out = [np.arange(len(x))], []
     while open_:
@@ -258,7 +278,7 @@ def shard_links(x: np.ndarray, block: int, settings: Settings, groups: np.ndarra
             open_ += [own[cut[2]], own[cut[3]]]
             continue
         else:
-            found = _many(x, [forest.top(int(i)) for i in own], own, settings)
+            found = _many(x, [forest.top(int(i)) for i in own], own, settings, stars)
         out += [(a, b) for a, b in found if forest.joins(a, b)]
     return out
 
@@ -321,16 +341,42 @@ def links(nodes: DataFrame, settings: Settings = CONTRACT, chosen: range | None
     return shards.groupBy("block", "leaf", "p", "q").applyInPandas(link, "a long, b long")
 
 
+def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
+    """The ``pairs`` (``a, b``) whose shingle sets have the similarity; nodes name a
+    text by ``low`` (``doc_id, text_hash``). A set is made once for each node in a pair."""
+    pairs = materialise(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
+    wanted = nodes.join(ends, "nid").select("nid", F.col("low.doc_id").alias("low_id"), F.col("low.text_hash").alias("low_hash"))
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("low_id")) & (F.xxhash64("text") == F.col("low_hash"))).select("nid", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                part = batch.slice(at, 64)
+                sets = [np.unique(shingles(t, settings.shingle)).view(np.int64) for t in part.column(1).to_pylist()]
+                offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, np.concatenate(sets))], names=["nid", "own"])
+
+    # a text that stands in several rows with one doc_id has several equal sets
+    sets = materialise(texts.mapInArrow(run, "nid long, own array<long>"))
+    first, second = sets.select(F.col("nid").alias("b"), F.col("own").alias("b_own")), sets.select(F.col("nid").alias("a"), F.col("own").alias("a_own"))
+    shared = F.size(F.array_intersect("a_own", "b_own"))
+    either = F.size("a_own") + F.size("b_own") - shared
+    return pairs.join(first, "b").join(second, "a").where(shared >= settings.similarity * either).select("a", "b").distinct()
+
+
 def groups(docs: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
     """``doc_id, fp, component_id``: every row's fingerprint and the smallest doc_id of its group."""
     prints = materialise(fingerprints(docs, settings))
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("nid", F.monotonically_increasing_id()))
-    edges = materialise(links(nodes, settings, range(settings.first or len(settings.blocks))))
+    nodes = materialise(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("low"), F.min("doc_id").alias("low_id")).withColumn("nid", F.monotonically_increasing_id()))
+    edges = links(nodes, settings, range(settings.first or len(settings.blocks)))
+    edges = materialise(edges if settings.similarity is None else similar(edges, nodes, docs, settings))
     roots = components(edges)
-    if settings.first:  # what hangs together by the first blocks isn't linked again by the others
+    if settings.similarity is not None:
         grouped = nodes.join(roots, nodes["nid"] == roots["node"], "left").select("nid", "fp", F.coalesce("root", "nid").alias("grp"))
-        more = links(materialise(grouped), settings, range(settings.first, len(settings.blocks)))
-        roots = components(edges.unionByName(more))
+        more = links(materialise(grouped), replace(settings, radius=settings.wide))
+        roots = components(edges.unionByName(similar(more, nodes, docs, settings)))
+    nodes = nodes.select("nid", "fp", F.col("low_id").alias("low"))
     rooted = nodes.join(roots, nodes["nid"] == roots["node"], "left").select("fp", "low", "root")
     lows = rooted.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("low").alias("component"))
     named = rooted.join(lows, "root", "left").select(F.col("fp").alias("node_fp"), F.coalesce("component", "low").alias("component_id"))

@@ -174,6 +174,36 @@ def test_similar_texts_join_and_others_stay(spark):
     assert kept == set(range(30))
 
 
+@pytest.mark.parametrize("direct", [256, 8])
+def test_similar_groups_are_exact(spark, monkeypatch, direct):
+    monkeypatch.setattr(simhash, "DIRECT", direct)
+    r = random.Random(8)
+    texts = list(ODD) + ["a b c d e", "a b c d e " * 3]
+    for i in range(40):  # similarities on both sides of 0.8
+        w = [f"w{i}x{j}" for j in range(r.randint(60, 300))]
+        texts.append(" ".join(w))
+        for _ in range(r.choice([1, 2, 6])):
+            v = list(w)
+            for _ in range(round(len(w) * r.choice([0.004, 0.015, 0.022, 0.025, 0.035]))):
+                v[r.randrange(len(v))] = f"n{r.random()}"
+            texts.append(" ".join(v))
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    up = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                old, new = max(up[i], up[j]), min(up[i], up[j])
+                up = [new if u == old else u for u in up]
+    docs = make(spark, texts + texts[-3:], [*range(len(texts)), *range(len(texts) - 3, len(texts))])
+    got = {x.doc_id: x.component_id for x in simhash.groups(docs, simhash.SIMILAR).collect()}
+    assert got == dict(enumerate(up))
+    assert simhash.groups(make(spark, []), simhash.SIMILAR).count() == 0
+    assert simhash.groups(make(spark, [None, "a", texts[-1], texts[-1]], [None] * 4), simhash.SIMILAR).where("component_id is null").count() == 4
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 199), (199, 200)]
     got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
