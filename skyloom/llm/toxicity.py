@@ -47,6 +47,8 @@ ALTERED = 0.1
 PIECE = 24
 #: Words whose values a worker keeps; beyond it the memo starts anew.
 MEMO_WORDS = 250_000
+#: Texts and pieces of words that a worker takes at once; bounds its memory, not its results.
+LOT_TEXTS, LOT_PIECES = 100, 5_000
 #: What digits and signs inside a word stand for (fixed values).
 LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i"})
 
@@ -115,10 +117,10 @@ class Model:
                 of.append(i)
         out = np.full(len(words), 0.0)
         at = np.array(of, np.int64)
-        for s in range(0, len(pieces), 20_000):
-            row, feature, value = features(pieces[s : s + 20_000])
-            f = np.bincount(row, value * self.weights[feature], min(20_000, len(pieces) - s))
-            np.maximum.at(out, at[s : s + 20_000], f)
+        for s in range(0, len(pieces), LOT_PIECES):
+            row, feature, value = features(pieces[s : s + LOT_PIECES])
+            f = np.bincount(row, value * self.weights[feature], min(LOT_PIECES, len(pieces) - s))
+            np.maximum.at(out, at[s : s + LOT_PIECES], f)
         return out
 
     def probability(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -293,10 +295,10 @@ def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo = held.value, {}
         for batch in batches:
-            texts = batch.column(columns.index("text")).to_pylist()
+            texts = batch.column(columns.index("text"))
             top = np.zeros((len(texts), 2))
-            for s in range(0, len(texts) if model.weights is not None else 0, 1000):
-                lot = [tokens(t) for t in texts[s : s + 1000]]
+            for s in range(0, len(texts) if model.weights is not None else 0, LOT_TEXTS):
+                lot = [tokens(t) for t in texts.slice(s, LOT_TEXTS).to_pylist()]
                 new = list({w for words in lot for w in words if w not in memo})
                 if len(memo) + len(new) > MEMO_WORDS:
                     memo.clear()
