@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space as the line, word and block rules of these operators use it.
 BLANKS = " \t\n\x0b\x0c\r"
+#: Bytes of an Arrow batch, where the session doesn't say: batches of 10,000 rows hold too much of long texts.
+BATCH_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,5 +38,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ``BATCH_BYTES``, on both sides of a worker, unless it sets a size itself.
+    Results don't depend on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

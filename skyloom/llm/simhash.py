@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import materialise, read
+from skyloom.llm.common import bound_batches, materialise, read
 from skyloom.llm.components import components
 
 #: Fingerprints that the trees' upper levels are built from.
@@ -121,6 +121,7 @@ def fingerprints(docs: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
             fp = [fingerprint(t, settings.shingle, settings.words) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp, pa.binary())], names=["doc_id", "text_hash", "fp"])
 
+    bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, fp binary")
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import read
+from skyloom.llm.common import bound_batches, read
 
 SAMPLE_TEXTS, SAMPLE_BYTES = 2000, 20_000
 LANDMARKS, SPAN, DECAY, ROUNDS = 256, 6, 0.6, 5
@@ -290,6 +290,7 @@ def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
     columns = [c for c in docs.columns if c != "score"] if keep else ["doc_id", "text"]
     source = docs.select(*[f"`{c}`" for c in columns])
     names = [*columns, "score"] if keep else ["doc_id", "score"]
+    bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
