@@ -28,6 +28,9 @@ the second, between the groups that the first one's check left, within ``wide``.
 return minimum spanning forests, whose links are the likeliest to pass, so that no more
 links than fingerprints are checked for each block.
 
+Texts with one set of shingles are one node there, named by the set's hash: equal
+fingerprints alone join nothing.
+
 Null texts count as empty; texts without words have the fingerprint zero and link like
 any other. Rows with one doc_id may have different texts; each is fingerprinted.
 A group whose doc_ids are all null has a null id. Extra columns are ignored.
@@ -100,7 +103,11 @@ def shingles(text: str | None, shingle: int) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> bytes:
     """Big-endian bits of the fingerprint; further words take the shingle hashes mixed anew."""
-    hashes, out = shingles(text, shingle), b""
+    return majority(shingles(text, shingle), words)
+
+
+def majority(hashes: np.ndarray, words: int) -> bytes:
+    out = b""
     n = len(hashes)
     for _ in range(words):
         ones = np.zeros(64, np.int64)
@@ -113,17 +120,25 @@ def fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> bytes:
     return out
 
 
+def set_name(own: np.ndarray) -> int:
+    """The hash of a set of shingles (sorted, without repeats), as a signed long."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes(), 42)).astype(np.int64))
+
+
 def fingerprints(docs: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
-    """``doc_id, text_hash long, fp binary`` of every row."""
+    """``doc_id, text_hash long, fp binary, nid long`` of every row; ``nid`` names the text's set
+    of shingles where a similarity is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = [fingerprint(t, settings.shingle, settings.words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp, pa.binary())], names=["doc_id", "text_hash", "fp"])
+            own = [shingles(t, settings.shingle) for t in batch.column(1).to_pylist()]
+            fp = pa.array([majority(x, settings.words) for x in own], pa.binary())
+            nid = pa.array([None if settings.similarity is None else set_name(np.unique(x)) for x in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fp, nid], names=["doc_id", "text_hash", "fp", "nid"])
 
     bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, fp binary")
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, fp binary, nid long")
 
 
 def _unpack(column) -> np.ndarray:
@@ -288,7 +303,7 @@ def shard_links(x: np.ndarray, block: int, settings: Settings, groups: np.ndarra
 
 
 def links(nodes: DataFrame, settings: Settings = CONTRACT, chosen: range | None = None) -> DataFrame:
-    """``a, b``: links between nodes (``nid long, fp binary``, all different) that span every
+    """``a, b``: links between nodes (``nid long, fp binary``, all nid different) that span every
     group, as far as they're near in one of the ``chosen`` blocks (all by default). Where nodes
     have ``grp long``, links within one such group are left out."""
     if "grp" not in nodes.columns:
@@ -369,7 +384,11 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, settings: Setti
 def groups(docs: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
     """``doc_id, fp, component_id``: every row's fingerprint and the smallest doc_id of its group."""
     prints = materialise(fingerprints(docs, settings))
-    nodes = materialise(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("low"), F.min("doc_id").alias("low_id")).withColumn("nid", F.monotonically_increasing_id()))
+    lows = F.min(F.struct("doc_id", "text_hash")).alias("low"), F.min("doc_id").alias("low_id")
+    if settings.similarity is None:
+        key, nodes = "fp", materialise(prints.groupBy("fp").agg(*lows).withColumn("nid", F.monotonically_increasing_id()))
+    else:
+        key, nodes = "nid", materialise(prints.groupBy("nid").agg(*lows, F.min("fp").alias("fp")))
     edges = links(nodes, settings, range(settings.first or len(settings.blocks)))
     edges = materialise(edges if settings.similarity is None else similar(edges, nodes, docs, settings))
     roots = components(edges)
@@ -378,10 +397,10 @@ def groups(docs: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
         more = links(materialise(grouped), replace(settings, radius=settings.wide))
         roots = components(edges.unionByName(similar(more, nodes, docs, settings)))
     nodes = nodes.select("nid", "fp", F.col("low_id").alias("low"))
-    rooted = nodes.join(roots, nodes["nid"] == roots["node"], "left").select("fp", "low", "root")
+    rooted = nodes.join(roots, nodes["nid"] == roots["node"], "left").select(key, "low", "root")
     lows = rooted.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("low").alias("component"))
-    named = rooted.join(lows, "root", "left").select(F.col("fp").alias("node_fp"), F.coalesce("component", "low").alias("component_id"))
-    return prints.join(named, F.col("fp") == F.col("node_fp")).select("doc_id", "fp", "component_id")
+    named = rooted.join(lows, "root", "left").select(F.col(key).alias("node"), F.coalesce("component", "low").alias("component_id"))
+    return prints.join(named, F.col(key) == F.col("node")).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, settings: Settings = SIMILAR) -> DataFrame:

@@ -204,6 +204,14 @@ def test_similar_groups_are_exact(spark, monkeypatch, direct):
     assert simhash.groups(make(spark, [None, "a", texts[-1], texts[-1]], [None] * 4), simhash.SIMILAR).where("component_id is null").count() == 4
 
 
+def test_equal_fingerprints_are_checked(spark):
+    run = "x " * 70  # one shingle makes up the fingerprint
+    texts = [run + " ".join(f"{c}{j}" for j in range(n)) for c, n in (("p", 40), ("q", 45), ("p", 40))]
+    docs = make(spark, texts)
+    assert len({simhash.fingerprint(t, 5, 8) for t in texts}) == 1
+    assert {x.doc_id: x.component_id for x in simhash.groups(docs, simhash.SIMILAR).collect()} == {0: 0, 1: 1, 2: 0}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 199), (199, 200)]
     got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
