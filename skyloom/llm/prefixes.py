@@ -1,0 +1,102 @@
+"""Every pair of sets that can be as similar as asked, by the prefixes they must share.
+
+Two sets of n and m items with Jaccard similarity s or more share s * n of the first's
+items, so that in one order of all items the first n - ceil(s * n) + 1 of one and those of the
+other have an item in common, and, of the pairs that have one, only those with enough
+of them can pass. The order is by the number of sets an item is in, rarest first: items of
+one set only, most of all, take up places of a prefix but meet nobody.
+
+Items are dealt by their hash and counted where they land, then dealt by set, where the
+prefixes are cut; both go in arrays, not as a row each. Pairs are formed only for items
+whose sets are in different groups so far.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from skyloom.llm.common import bound_batches, materialise
+
+#: Items that one task counts or cuts, on average.
+PART_ITEMS = 1_000_000
+#: Keeps a product that is a whole number up to rounding from being rounded up.
+SLACK = 1e-6
+
+
+def _at_least(similarity: float, n: np.ndarray) -> np.ndarray:
+    return np.ceil(similarity * n - SLACK).astype(np.int64)
+
+
+def _dealt(part: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[dict]:
+    """Lines of arrays, one for each part."""
+    order = np.argsort(part, kind="stable")
+    names, starts = np.unique(part[order], return_index=True)
+    for name, at in zip(names.tolist(), np.split(order, starts[1:])):
+        yield {"part": name} | {c: v[at] for c, v in columns.items()}
+
+
+def prefixes(texts: DataFrame, items: Callable[[str | None], np.ndarray], name: Callable[[np.ndarray], int], similarity: float, parts: int) -> DataFrame:
+    """``nid, n, item``: the prefix of each set of ``items`` of a ``text``, named by ``name``; sets
+    that come more than once count once, and items that no other set has are left out. n is the set's size."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                lot = batch.slice(at, 256)
+                sets = {name(own): own for own in map(items, lot.column(0).to_pylist())}
+                sizes = np.array([len(x) for x in sets.values()], np.int64)
+                if not sizes.sum():
+                    continue
+                every = np.concatenate(list(sets.values()))
+                columns = {"nid": np.repeat(np.array(list(sets), np.int64), sizes), "n": np.repeat(sizes, sizes), "item": every.view(np.int64)}
+                lines = list(_dealt((every % np.uint64(parts)).astype(np.int64), columns))
+                kinds = {"part": pa.int64()} | {c: pa.list_(pa.int64()) for c in columns}
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in lines], k) for c, k in kinds.items()], names=list(kinds))
+
+    def count(lines: pd.DataFrame) -> pd.DataFrame:
+        nid, n, item = (np.concatenate(lines[c].to_list()) for c in ("nid", "n", "item"))
+        order = np.lexsort((nid, item))
+        nid, n, item = nid[order], n[order], item[order]
+        new = np.append(True, (item[1:] != item[:-1]) | (nid[1:] != nid[:-1]))
+        nid, n, item = nid[new], n[new], item[new]
+        _, at, often = np.unique(item, return_inverse=True, return_counts=True)
+        held = often[at] > 1
+        nid, n, item, often = nid[held], n[held], item[held], often[at][held]
+        columns = {"nid": nid, "n": n, "item": item, "often": often}
+        return pd.DataFrame(list(_dealt(nid % parts, columns)), columns=["part", *columns])
+
+    def cut(lines: pd.DataFrame) -> pd.DataFrame:
+        nid, n, item, often = (np.concatenate(lines[c].to_list()) for c in ("nid", "n", "item", "often"))
+        order = np.lexsort((item, often, nid))
+        nid, n, item = nid[order], n[order], item[order]
+        _, first, size = np.unique(nid, return_index=True, return_counts=True)
+        place = np.arange(len(nid)) - np.repeat(first, size) + n - np.repeat(size, size)  # the set's own items come first
+        kept = place <= n - _at_least(similarity, n)
+        return pd.DataFrame({"nid": nid[kept], "n": n[kept], "item": item[kept]})
+
+    bound_batches(texts.sparkSession)
+    arrays = "nid array<long>, n array<long>, item array<long>"
+    dealt = texts.select("text").mapInArrow(deal, f"part long, {arrays}")
+    counted = dealt.groupBy("part").applyInPandas(count, f"part long, {arrays}, often array<long>")
+    return counted.groupBy("part").applyInPandas(cut, "nid long, n long, item long")
+
+
+def pairs_between(heads: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: the pairs of sets, in different ``groups`` (``nid, grp``), that can be as similar by
+    their prefixes' items (``heads``: ``nid, n, item``)."""
+    rows = heads.join(groups.select("nid", "grp"), "nid")
+    mixed = rows.groupBy("item").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("item")
+    rows = materialise(rows.join(mixed, "item"))
+    first, second = (rows.select("item", *[F.col(c).alias(f"{c}_{side}") for c in ("nid", "n", "grp")]) for side in "ab")
+    near = (F.least("n_a", "n_b") + SLACK >= similarity * F.greatest("n_a", "n_b")) & (F.col("nid_a") < F.col("nid_b")) & (F.col("grp_a") != F.col("grp_b"))
+    shared = first.join(second, "item").where(near).groupBy("nid_a", "nid_b", "n_a", "n_b").count()
+    # beyond the prefix that ends first, what is left of that set can be shared at most
+    left = F.ceil(similarity * F.greatest("n_a", "n_b") - SLACK) - 1
+    wanted = F.ceil(similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - SLACK)
+    return shared.where(F.col("count") + left >= wanted).select(F.col("nid_a").alias("a"), F.col("nid_b").alias("b"))

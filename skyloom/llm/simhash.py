@@ -22,11 +22,11 @@ group found by the first ones is not linked again by the others. Shards larger t
 ``SHARD_ROWS`` (many fingerprints equal in a block) are cut into pieces, of which each
 two meet in a task of their own.
 
-Where a similarity is given, the bits only propose: links are held against the exact
-Jaccard similarity of the texts' shingle sets. The first round links within ``radius``;
-the second, between the groups that the first one's check left, within ``wide``. Shards
-return minimum spanning forests, whose links are the likeliest to pass, so that no more
-links than fingerprints are checked for each block.
+Where a similarity is given, the exact Jaccard similarity of the texts' shingle sets
+decides, and bits only save work: links within ``radius`` are checked first, which joins
+most of what is alike. A shard's forest spends a join on each link, whether it passes or not, so
+this finds some links only. The others come from ``prefixes``: every pair between the groups so far that
+can be similar by the rarest shingles of both is checked, whatever the texts' length.
 
 Texts with one set of shingles are one node there, named by the set's hash: equal
 fingerprints alone join nothing.
@@ -39,7 +39,7 @@ A group whose doc_ids are all null has a null id. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -50,6 +50,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.common import bound_batches, materialise, read
 from skyloom.llm.components import components
+from skyloom.llm.prefixes import PART_ITEMS, pairs_between, prefixes
 
 #: Fingerprints that the trees' upper levels are built from.
 SAMPLE = 8192
@@ -64,27 +65,24 @@ MAX_DEPTH = 10
 class Settings:
     """``shingle`` words, ``words`` x 64 bits, links at ``radius`` bits or fewer;
     blocks are (word, mask), searched with the radius ``near``. With a ``similarity``, links
-    are checked by it: those of the ``first`` blocks, and then those between the groups
-    found, within ``wide`` bits in any block."""
+    are checked by it: those of the ``first`` blocks, and then all that can pass between the
+    groups found."""
 
     shingle: int = 4
     words: int = 1
     radius: int = 4
     near: int = 1
     first: int = 0
-    wide: int = 0
     similarity: float | None = None
     blocks: tuple[tuple[int, int], ...] = field(default=((0, (1 << 22) - 1), (0, ((1 << 21) - 1) << 22), (0, ((1 << 21) - 1) << 43)))
 
 
 #: 64 bits, 4-word shingles, 4 differing bits: one of three blocks has at most one of them.
 CONTRACT = Settings()
-#: Five words and a Jaccard similarity of 0.8 or more as 512 bits estimate it: sets as
+#: Five words and a Jaccard similarity of 0.8 or more, exactly. In the bits, sets as
 #: large as each other with that similarity have cosine 2 * 0.8 / 1.8 and differ in
-#: acos(...) / pi = 0.1515 of the bits. One of 16 blocks of 16 bits then has at most one
-#: differing bit with a chance above 0.99 (0.9999 at 0.85); a group has many such pairs.
-#: The estimate's standard deviation is 8 bits; 98 bits leave 1 in 200 of such pairs out.
-SIMILAR = Settings(shingle=5, words=8, radius=77, near=1, first=4, wide=98, similarity=0.8, blocks=tuple((w, 0xFFFF << s) for w in range(8) for s in (0, 32)))
+#: acos(...) / pi = 0.1515 of 512; 16-bit blocks find the closest ones first.
+SIMILAR = Settings(shingle=5, words=8, radius=77, near=1, first=4, similarity=0.8, blocks=tuple((w, 0xFFFF << s) for w in range(8) for s in (0, 32)))
 
 
 def shingles(text: str | None, shingle: int) -> np.ndarray:
@@ -381,6 +379,12 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, settings: Setti
     return pairs.join(first, "b").join(second, "a").where(shared >= settings.similarity * either).select("a", "b").distinct()
 
 
+def heads(docs: DataFrame, settings: Settings) -> DataFrame:
+    """The prefixes of all texts' shingle sets, for the exact search."""
+    spaces = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))))).first()[0] or 0
+    return materialise(prefixes(docs, lambda t: np.unique(shingles(t, settings.shingle)), set_name, settings.similarity, 1 + spaces // PART_ITEMS))
+
+
 def groups(docs: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
     """``doc_id, fp, component_id``: every row's fingerprint and the smallest doc_id of its group."""
     prints = materialise(fingerprints(docs, settings))
@@ -393,8 +397,8 @@ def groups(docs: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
     edges = materialise(edges if settings.similarity is None else similar(edges, nodes, docs, settings))
     roots = components(edges)
     if settings.similarity is not None:
-        grouped = nodes.join(roots, nodes["nid"] == roots["node"], "left").select("nid", "fp", F.coalesce("root", "nid").alias("grp"))
-        more = links(materialise(grouped), replace(settings, radius=settings.wide))
+        grouped = nodes.join(roots, nodes["nid"] == roots["node"], "left").select("nid", F.coalesce("root", "nid").alias("grp"))
+        more = pairs_between(heads(docs, settings), materialise(grouped), settings.similarity)
         roots = components(edges.unionByName(similar(more, nodes, docs, settings)))
     nodes = nodes.select("nid", "fp", F.col("low_id").alias("low"))
     rooted = nodes.join(roots, nodes["nid"] == roots["node"], "left").select(key, "low", "root")

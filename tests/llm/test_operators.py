@@ -15,7 +15,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from skyloom.llm import bpe, decontaminate, html_text, line_dedup, neighbours, shards, simhash, token_counts, toxicity, url_filter
+from skyloom.llm import bpe, decontaminate, html_text, line_dedup, neighbours, prefixes, shards, simhash, token_counts, toxicity, url_filter
 from skyloom.llm.components import components
 
 CLASH = ["row", "shard", "slot", "rank", "key", "keys", "ids", "score", "fp", "kept", "grp", "bucket", "n_words", "component_id", "lost_id"]
@@ -212,6 +212,43 @@ def test_equal_fingerprints_are_checked(spark):
     assert {x.doc_id: x.component_id for x in simhash.groups(docs, simhash.SIMILAR).collect()} == {0: 0, 1: 1, 2: 0}
 
 
+def plain_similar(sets):
+    return {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if len(a & b) >= 0.8 * len(a | b)}
+
+
+def test_template_texts_lose_no_link(spark):
+    r, texts = random.Random(5), []
+    core = [f"c{j}" for j in range(110)]
+    for i in range(150):  # every two of them share a long passage, but only a text and its copy are similar
+        own = [f"o{i}x{j}" for j in range(30)]
+        copy = list(core) + own
+        for at in r.sample(range(len(copy)), 2):
+            copy[at] = f"n{i}x{at}"
+        texts += [" ".join(core + own), " ".join(copy)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    up = list(range(len(texts)))
+    for i, j in plain_similar(sets):
+        old, new = max(up[i], up[j]), min(up[i], up[j])
+        up = [new if u == old else u for u in up]
+    assert 100 < len(set(up)) < 250
+    assert {x.doc_id: x.component_id for x in simhash.groups(make(spark, texts), simhash.SIMILAR).collect()} == dict(enumerate(up))
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_prefixes_leave_no_pair_out(spark, parts):
+    r, texts = random.Random(6), [None, "", "a"]
+    for i in range(60):
+        words = {f"w{r.randrange(60 if i % 2 else 4000)}" for _ in range(r.choice([1, 4, 5, 10, 15, 40]))}
+        texts += [" ".join(words), " ".join(list(words)[r.choice([0, 1, 2]) :] + ["new"] * r.choice([0, 1]))]
+    sets = {simhash.set_name(np.unique(simhash.shingles(t, 1))): set((t or "").split()) for t in texts}
+    names = sorted(sets)
+    docs = make(spark, texts)
+    heads = prefixes.prefixes(docs, lambda t: np.unique(simhash.shingles(t, 1)), simhash.set_name, 0.8, parts)
+    nodes = spark.createDataFrame([(n, n) for n in names], "nid long, grp long")
+    got = {(names.index(x.a), names.index(x.b)) for x in prefixes.pairs_between(heads, nodes, 0.8).collect()}
+    assert len(plain_similar([sets[n] for n in names])) > 20 and plain_similar([sets[n] for n in names]) <= got
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 199), (199, 200)]
     got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
