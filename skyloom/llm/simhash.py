@@ -1,6 +1,7 @@
 """SimHash near-duplicates over a forest of vantage-point trees.
 
-Fingerprints: the majority, bit by bit, over the hashes of a text's word shingles.
+Fingerprints: the majority, bit by bit, over the hashes of a text's word shingles, of
+which repeats count unless a similarity is given.
 Equal fingerprints are one node. Two nodes link at ``radius`` or fewer differing bits;
 groups are the connected components.
 
@@ -130,8 +131,10 @@ def fingerprints(docs: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingles(t, settings.shingle) for t in batch.column(1).to_pylist()]
+            if settings.similarity is not None:  # a measure of sets, which the bits then estimate
+                own = [np.unique(x) for x in own]
             fp = pa.array([majority(x, settings.words) for x in own], pa.binary())
-            nid = pa.array([None if settings.similarity is None else set_name(np.unique(x)) for x in own], pa.int64())
+            nid = pa.array([None if settings.similarity is None else set_name(x) for x in own], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fp, nid], names=["doc_id", "text_hash", "fp", "nid"])
 
     bound_batches(docs.sparkSession)

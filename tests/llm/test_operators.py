@@ -212,6 +212,22 @@ def test_equal_fingerprints_are_checked(spark):
     assert {x.doc_id: x.component_id for x in simhash.groups(docs, simhash.SIMILAR).collect()} == {0: 0, 1: 1, 2: 0}
 
 
+def test_repeats_and_short_texts_are_found(spark):
+    words = [[f"w{i}x{j}" for j in range(9)] for i in range(40)]  # 4 of 5 shingles
+    texts = [" ".join(w) for w in words] + [" ".join(w[:8]) for w in words]
+    once = [f"u{j}" for j in range(44)]
+    texts += [" ".join(once), " ".join(once + once[:5] + ["v"]), " ".join(once + once[:6]), " ".join(once[:5] * 12 + once)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    up = list(range(len(texts)))
+    for i, j in sorted(plain_similar(sets), key=lambda x: (x[1], x[0])):
+        old, new = max(up[i], up[j]), min(up[i], up[j])
+        up = [new if u == old else u for u in up]
+    assert up[:80] == [*range(40)] * 2 and up[80:] == [80] * 4
+    assert {x.doc_id: x.component_id for x in simhash.groups(make(spark, texts), simhash.SIMILAR).collect()} == dict(enumerate(up))
+    prints = simhash.fingerprints(make(spark, ["a b c d e f", "a b c d e " * 3 + "f", "a b c d e " * 9 + "f"]), simhash.SIMILAR).collect()
+    assert len({x.fp for x in prints if x.doc_id}) == 1 == len({x.nid for x in prints if x.doc_id})
+
+
 def plain_similar(sets):
     return {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if len(a & b) >= 0.8 * len(a | b)}
 
