@@ -42,8 +42,9 @@ def _dealt(part: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[dict]:
 
 
 def prefixes(texts: DataFrame, items: Callable[[str | None], np.ndarray], name: Callable[[np.ndarray], int], similarity: float, parts: int) -> DataFrame:
-    """``nid, n, item``: the prefix of each set of ``items`` of a ``text``, named by ``name``; sets
-    that come more than once count once, and items that no other set has are left out. n is the set's size."""
+    """``nid, n, own, item, place``: the prefix of each set of ``items`` of a ``text``, named by ``name``; sets
+    that come more than once count once, and items that no other set has (``own`` of
+    the ``n``) come first and are left out. ``place`` is from 0."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,27 +77,32 @@ def prefixes(texts: DataFrame, items: Callable[[str | None], np.ndarray], name:
         order = np.lexsort((item, often, nid))
         nid, n, item = nid[order], n[order], item[order]
         _, first, size = np.unique(nid, return_index=True, return_counts=True)
-        place = np.arange(len(nid)) - np.repeat(first, size) + n - np.repeat(size, size)  # the set's own items come first
+        own = n - np.repeat(size, size)
+        place = np.arange(len(nid)) - np.repeat(first, size) + own
         kept = place <= n - _at_least(similarity, n)
-        return pd.DataFrame({"nid": nid[kept], "n": n[kept], "item": item[kept]})
+        return pd.DataFrame({"nid": nid[kept], "n": n[kept], "own": own[kept], "item": item[kept], "place": place[kept]})
 
     bound_batches(texts.sparkSession)
     arrays = "nid array<long>, n array<long>, item array<long>"
     dealt = texts.select("text").mapInArrow(deal, f"part long, {arrays}")
     counted = dealt.groupBy("part").applyInPandas(count, f"part long, {arrays}, often array<long>")
-    return counted.groupBy("part").applyInPandas(cut, "nid long, n long, item long")
+    return counted.groupBy("part").applyInPandas(cut, "nid long, n long, own long, item long, place long")
 
 
 def pairs_between(heads: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: the pairs of sets, in different ``groups`` (``nid, grp``), that can be as similar by
-    their prefixes' items (``heads``: ``nid, n, item``)."""
+    their prefixes' items (``heads``, as ``prefixes`` returns them)."""
     rows = heads.join(groups.select("nid", "grp"), "nid")
     mixed = rows.groupBy("item").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("item")
     rows = materialise(rows.join(mixed, "item"))
-    first, second = (rows.select("item", *[F.col(c).alias(f"{c}_{side}") for c in ("nid", "n", "grp")]) for side in "ab")
-    near = (F.least("n_a", "n_b") + SLACK >= similarity * F.greatest("n_a", "n_b")) & (F.col("nid_a") < F.col("nid_b")) & (F.col("grp_a") != F.col("grp_b"))
-    shared = first.join(second, "item").where(near).groupBy("nid_a", "nid_b", "n_a", "n_b").count()
-    # beyond the prefix that ends first, what is left of that set can be shared at most
-    left = F.ceil(similarity * F.greatest("n_a", "n_b") - SLACK) - 1
+    rows = materialise(rows.join(rows.groupBy("nid").agg(F.collect_list("item").alias("head")), "nid"))
+    first, second = (rows.select("item", *[F.col(c).alias(f"{c}_{side}") for c in ("nid", "n", "own", "place", "grp", "head")]) for side in "ab")
     wanted = F.ceil(similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - SLACK)
-    return shared.where(F.col("count") + left >= wanted).select(F.col("nid_a").alias("a"), F.col("nid_b").alias("b"))
+    # what both can share up to a common item and beyond it
+    most = F.least(F.col("place_a") - F.col("own_a"), F.col("place_b") - F.col("own_b")) + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    near = (F.col("nid_a") < F.col("nid_b")) & (F.col("grp_a") != F.col("grp_b")) & (most >= wanted)
+    # a pair counts once, at one of its common items; beyond the prefix that ends first, what is left of that set can be shared at most
+    common = F.array_intersect("head_a", "head_b")
+    left = F.ceil(similarity * F.greatest("n_a", "n_b") - SLACK) - 1
+    near &= (F.col("item") == F.array_min(common)) & (F.size(common) + left >= wanted)
+    return first.join(second, "item").where(near).select(F.col("nid_a").alias("a"), F.col("nid_b").alias("b"))
