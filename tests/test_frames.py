@@ -1,5 +1,6 @@
 """Frame queries against DuckDB, guards, and the same result whatever the partitions."""
 
+import bisect
 import glob
 import os
 
@@ -38,6 +39,21 @@ def test_nearest_ties_and_ends(spark):
     assert [got["a", k] for k in (0.0, 1.0, 2.0, 2.5, 3.0, 4.0, 9.0)] == [0, 0, 1, 2, 2, 3, 4] and got["b", 1.0] == 0
 
 
+def test_every_tick_is_looked_up(spark):
+    axes = {}
+    for r in schema.ticks(spark, SF).collect():
+        axes.setdefault(r.rec_id, {})[r.frame_idx] = r.ut
+    want = {}
+    for rec, axis in axes.items():
+        ut = [axis[i] for i in range(len(axis))]
+        for asked, t in enumerate(ut):
+            key = t + (asked % 7) * 60.5 - 100
+            at = bisect.bisect_left(ut, key)
+            want[rec, asked] = 0 if at == 0 else len(ut) - 1 if at == len(ut) else at - 1 if abs(ut[at - 1] - key) <= abs(ut[at] - key) else at
+    got = queries.QUERIES["nearest_frame_all"](spark, SF).collect()
+    assert len(got) == len(want) and {(r.rec_id, r.asked): r.idx for r in got} == want
+
+
 def test_blocks_and_partitions(spark, monkeypatch):
     frames = schema.frames(spark, SF)
     whole = sorted(tuple(r) for r in timeaxis.differences(frames).collect())
