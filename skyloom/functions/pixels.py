@@ -31,14 +31,14 @@ def gray(level: Column) -> Column:
     return F.coalesce(F.least(F.lit(255), F.greatest(F.lit(0), F.floor(level * 256).cast("int"))), F.lit(0))
 
 
-def unsigned_16(raw: Column, n: Column, header: int = 0) -> Column:
-    """``n`` little-endian 16-bit values after ``header`` bytes."""
-    byte = lambda at: F.conv(F.hex(F.substring(raw, at, F.lit(1))), 16, 10).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: byte(i * 2 + 1 + header) + byte(i * 2 + 2 + header) * 256)
+def rgb(levels: Column) -> Column:
+    """Red, green and blue of gray levels, one after the other: a level's share of 1 times 255, truncated."""
+    byte = lambda v: (v / F.lit(255.0) * 255).cast("int")
+    return F.flatten(F.transform(levels, lambda v: F.array(byte(v), byte(v), byte(v))))
 
 
 def as_unsigned_16(px: Column) -> Column:
-    """The reverse: binary of little-endian 16-bit values."""
+    """Binary of little-endian 16-bit values."""
     two = lambda v: F.lpad(F.hex(v), 2, "0")
     return F.unhex(F.array_join(F.transform(px, lambda v: F.concat(two(v % 256), two(F.floor(v / 256)))), ""))
 

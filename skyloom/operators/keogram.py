@@ -2,7 +2,7 @@
 
 Only slices are exploded, never whole frames; means are partial sums before the
 shuffle. Where recordings are written once and read often, ``with_slices`` stores the
-slices as columns, so that a keogram doesn't read the pixels at all.
+slices as columns, and ``sources.camera.frame_table`` reads them, so that a keogram doesn't read the pixels at all.
 """
 
 from __future__ import annotations
@@ -39,18 +39,33 @@ def by_hour(frames: DataFrame, axis: str, width: float = 60.0, span: float = 360
 
 
 def by_segment(frames: DataFrame, segments: DataFrame, axis: str, width: float = 60.0, span: float = 3600.0) -> DataFrame:
-    """The same for segments (``rec_id, seg, s, e, hour``; e excluded): frames outside the segment's hour are left out."""
+    """The same for segments (``rec_id, seg, s, e, us, ue, hour``; e excluded): frames outside the segment's hour are left out."""
+    held = _in_hour(frames, segments, width, span)
+    return _means(held, ["rec_id", "seg", "bin"], axis)
+
+
+def both_axes(frames: DataFrame, segments: DataFrame, width: float = 60.0, span: float = 3600.0) -> DataFrame:
+    """``rec_id, seg, bin, axis, pos, mean``: ``by_segment`` for ``ns`` and ``ew`` from one reading of the frames."""
+    held = _in_hour(frames, segments, width, span)
+    each = lambda axis: F.transform(_axis(held, axis), lambda v, i: F.struct(F.lit(axis).alias("axis"), i.alias("pos"), v.alias("v")))
+    rows = held.select("rec_id", "seg", "bin", F.inline(F.concat(each("ns"), each("ew"))))
+    return rows.groupBy("rec_id", "seg", "bin", "axis", "pos").agg((F.sum("v") / F.count("v")).alias("mean"))
+
+
+def _in_hour(frames: DataFrame, segments: DataFrame, width: float, span: float) -> DataFrame:
     held = in_segments(frames, segments, closed=False).where((F.col("ut") >= F.col("hour")) & (F.col("ut") < F.col("hour") + span))
-    return _means(held.withColumn("bin", F.floor((F.col("ut") - F.col("hour")) / width)), ["rec_id", "seg", "bin"], axis)
+    return held.withColumn("bin", F.floor((F.col("ut") - F.col("hour")) / width))
 
 
 def in_segments(frames: DataFrame, segments: DataFrame, closed: bool) -> DataFrame:
     """Frames with their segments' columns; a boundary frame is in both neighbours if ``closed``.
-    A recording's segments (one an hour) come as one array by an equi-join, not by a range join."""
+    Frames meet the few segments (``s, e`` and their times ``us, ue``) that touch their clock hour, by an equi-join on it."""
     own = [c for c in segments.columns if c != "rec_id"]
-    lists = segments.groupBy("rec_id").agg(F.collect_list(F.struct(*own)).alias("segments"))
+    hours = segments.withColumn("clock", F.explode(F.sequence(F.floor(F.col("us") / 3600), F.floor(F.col("ue") / 3600))))
+    lists = hours.groupBy("rec_id", "clock").agg(F.collect_list(F.struct(*own)).alias("segments"))
     holds = lambda x: (x.s <= F.col("frame_idx")) & ((F.col("frame_idx") <= x.e) if closed else (F.col("frame_idx") < x.e))
-    return frames.join(lists, "rec_id").withColumn("segment", F.explode(F.filter("segments", holds))).drop("segments").select("*", "segment.*").drop("segment")
+    timed = frames.withColumn("clock", F.floor(F.col("ut") / 3600))
+    return timed.join(lists, ["rec_id", "clock"]).withColumn("segment", F.explode(F.filter("segments", holds))).drop("segments", "clock").select("*", "segment.*").drop("segment")
 
 
 def gap_fill(means: DataFrame, n_bins: int, height: int) -> DataFrame:
@@ -67,14 +82,15 @@ def by_count(frames: DataFrame, axis: str, per_bin: DataFrame) -> DataFrame:
     return _means(binned, ["rec_id", "bin"], axis)
 
 
-def rough(frames: DataFrame, axis: str, sample_interval: int, frames_per_bin: int) -> DataFrame:
-    """The first ``frames_per_bin`` of each ``sample_interval`` frames; the last block is left out."""
-    if frames_per_bin >= sample_interval:
+def rough(frames: DataFrame, axis: str, sample_interval: int, per_bin: DataFrame) -> DataFrame:
+    """The first ``frames_per_bin`` of each ``sample_interval`` frames, by recording; the last block is left out."""
+    if per_bin.where(F.col("frames_per_bin") >= sample_interval).limit(1).count():
         raise ValueError("a bin must have fewer frames than the sample interval")
     n = frames.groupBy("rec_id").agg((F.ceil(F.count("*") / sample_interval) - 1).alias("blocks"))
     idx = F.col("frame_idx")
-    heads = frames.where(F.pmod(idx, F.lit(sample_interval)) < frames_per_bin).withColumn("bin", F.floor(idx / sample_interval))
-    return _means(heads.join(n, "rec_id").where("bin < blocks"), ["rec_id", "bin"], axis)
+    limits = per_bin.select("rec_id", "frames_per_bin").join(n, "rec_id")
+    heads = frames.join(limits, "rec_id").where((F.pmod(idx, F.lit(sample_interval)) < F.col("frames_per_bin")) & (F.floor(idx / sample_interval) < F.col("blocks")))
+    return _means(heads.withColumn("bin", F.floor(idx / sample_interval)), ["rec_id", "bin"], axis)
 
 
 def axis_ticks(ranges: DataFrame, step: float = 1 / 6) -> DataFrame:

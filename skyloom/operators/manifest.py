@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +17,10 @@ def with_status(sheet: DataFrame) -> DataFrame:
 
 
 def coerce(sheet: DataFrame) -> DataFrame:
-    """With ``day date``, ``start_sec int``, ``cam string`` and in ``error`` which cell is bad."""
+    """With ``day date``, ``start_sec int``, ``cam string`` and in ``error`` which cell is bad; errors of earlier runs are forgotten."""
     typed = with_status(sheet).withColumns({"day": timefmt.to_date(F.col("date")), "start_sec": timefmt.to_seconds(F.col("start_time")), "cam": timefmt.cam_ser(F.col("cam_ser"))})
     bad = F.when(F.col("day").isNull(), F.lit("bad date")).when(F.col("start_sec").isNull() & ~timefmt.is_blank(F.col("start_time")), F.lit("bad time"))
-    return typed.withColumn("error", F.coalesce(bad, F.col("error"))).drop("date", "start_time", "cam_ser")
+    return typed.withColumn("error", F.coalesce(bad, F.lit("")))
 
 
 def start_of(day, seconds) -> F.Column:
@@ -41,9 +39,9 @@ def files_by_folder(listing: DataFrame, suffix: str = ".h5") -> DataFrame:
     return found.groupBy(F.col("folder").try_cast("date").alias("day"), "cam").agg(F.count("*").alias("n_files"), F.min("path").alias("path")).withColumn("path", F.when(F.col("n_files") == 1, F.col("path")))
 
 
-def locate(lines: DataFrame, listing: DataFrame) -> DataFrame:
+def locate(lines: DataFrame, listing: DataFrame, suffix: str = ".h5") -> DataFrame:
     """Lines with their file's ``path``; no file, or several, is an error of the line."""
-    found = lines.join(files_by_folder(listing), ["day", "cam"], "left")
+    found = lines.join(files_by_folder(listing, suffix), ["day", "cam"], "left")
     missing = F.when(F.coalesce("n_files", F.lit(0)) == 0, F.lit("no file")).when(F.col("n_files") > 1, F.lit("several files"))
     return found.withColumn("error", F.when(F.col("error") != "", F.col("error")).otherwise(F.coalesce(missing, F.lit("")))).drop("n_files")
 
@@ -58,26 +56,3 @@ def undone(recordings: DataFrame, results: DataFrame, suffix: str = ".png") -> D
     """Recordings without a result of their stem."""
     done = results.where(F.col("path").endswith(suffix)).select(timefmt.stem(F.col("path")).alias("stem")).distinct()
     return recordings.withColumn("stem", timefmt.stem(F.col("path"))).join(done, "stem", "left_anti")
-
-
-def run(lines: DataFrame, job: Callable[[dict], None], status_path: str) -> DataFrame:
-    """Run ``job`` (Spark jobs of its own) for each located line not yet in the status
-    table, one line after the other; a line's outcome is appended as it ends, so that a
-    crash loses none and the next run goes on where it stopped."""
-    spark = lines.sparkSession
-    schema = "path string, processed boolean, error string"
-    try:
-        done = spark.read.schema(schema).parquet(status_path).where("processed").select("path")
-        left = lines.join(done, "path", "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        left = lines
-    for row in left.where("path is not null").toLocalIterator():
-        said = ""
-        try:
-            job(row.asDict())
-        except Exception as e:
-            said = f"{type(e).__name__}: {e}"
-        spark.createDataFrame([(row["path"], not said, said)], schema).coalesce(1).write.mode("append").parquet(status_path)
-    return spark.read.schema(schema).parquet(status_path)

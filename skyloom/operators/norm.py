@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.functions import pixels
 from skyloom.operators.timeaxis import nearest, time_range
 
 
@@ -19,8 +20,8 @@ def sample_index(ranges: DataFrame, interval: float) -> DataFrame:
 
 
 def pixel_histogram(frames: DataFrame) -> DataFrame:
-    """``rec_id, v, n`` of pixels above zero. Combined before the shuffle: at most 65,535 lines a task and recording."""
-    return frames.select("rec_id", F.explode("px").alias("v")).where("v > 0").groupBy("rec_id", "v").agg(F.count("*").alias("n"))
+    """``rec_id, v, n`` of pixels above zero; fails where they aren't unsigned 16-bit values. Combined before the shuffle: at most 65,535 lines a task and recording."""
+    return frames.select("rec_id", F.explode(pixels.checked(F.col("px"))).alias("v")).where("v > 0").groupBy("rec_id", "v").agg(F.count("*").alias("n"))
 
 
 def cumulative(histogram: DataFrame) -> DataFrame:
@@ -40,16 +41,28 @@ def limits(histogram: DataFrame, low: float = 1, high: float = 99, linear: bool
     return found.withColumn("vmin", F.col("vmin") if linear else F.greatest("vmin", F.lit(1e-6))).withColumn("kind", F.lit("linear" if linear else "log"))
 
 
-def norm(frames: DataFrame, interval: float, low: float = 1, high: float = 99, linear: bool = False, start: float | None = None, stop: float | None = None) -> DataFrame:
-    """Limits of the frames sampled each ``interval`` seconds between two times (whole
-    seconds, nearest frames), or over whole recordings."""
+def norm(frames: DataFrame, interval: float, low: float = 1, high: float = 99, linear: bool = False) -> DataFrame:
+    """Limits of the frames sampled each ``interval`` seconds over whole recordings, from the first frame to the last."""
+    ranges = time_range(frames.select("rec_id", "frame_idx", "ut")).withColumn("s", F.lit(0).cast("long")).withColumn("e", F.col("n") - 1)
+    return _of_sample(frames, ranges, interval, low, high, linear)
+
+
+def norm_between(frames: DataFrame, interval: float, bounds: DataFrame | None = None, low: float = 1, high: float = 99, linear: bool = False) -> DataFrame:
+    """Limits of the frames sampled between two times of each recording (``rec_id, start, stop`` of ``bounds``, by default
+    and where null its first and last frame's), both looked up as whole seconds, so that the frames of the last part of a second may be left out."""
     slim = frames.select("rec_id", "frame_idx", "ut")
-    ranges = time_range(slim).withColumn("s", F.lit(0).cast("long")).withColumn("e", F.col("n") - 1)
-    for name, moment, column in (("s", start, "start"), ("e", stop, "stop")):
-        if moment is not None:
-            keys = ranges.select("rec_id", F.lit(float(moment)).alias("key"))
-            found = nearest(slim, keys, whole_seconds=True).select("rec_id", F.col("idx").alias("frame_idx")).join(slim, ["rec_id", "frame_idx"])
-            ranges = ranges.drop(name, column).join(found.withColumnsRenamed({"frame_idx": name, "ut": column}), "rec_id")
+    ranges = time_range(slim)
+    if bounds is not None:
+        given = bounds.select("rec_id", F.col("start").alias("from"), F.col("stop").alias("to"))
+        ranges = ranges.join(given, "rec_id", "left").select("rec_id", F.coalesce("from", "start").alias("start"), F.coalesce("to", "stop").alias("stop"))
+    ends = ranges.select("rec_id", F.inline(F.array(*[F.struct(F.lit(c).alias("which"), F.col(c).alias("key")) for c in ("start", "stop")])))
+    found = nearest(slim, ends, whole_seconds=True, with_time=True)
+    of = lambda which, c: F.max(F.when(F.col("which") == which, F.col(c)))
+    ranges = found.groupBy("rec_id").agg(of("start", "idx").alias("s"), of("stop", "idx").alias("e"), of("start", "at").alias("start"), of("stop", "at").alias("stop"))
+    return _of_sample(frames, ranges, interval, low, high, linear)
+
+
+def _of_sample(frames: DataFrame, ranges: DataFrame, interval: float, low: float, high: float, linear: bool) -> DataFrame:
     chosen = sample_index(ranges, interval)
     return limits(pixel_histogram(frames.join(chosen, ["rec_id", "frame_idx"])), low, high, linear)
 

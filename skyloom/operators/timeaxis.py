@@ -1,8 +1,8 @@
 """Time axis: differences, nearest frames, hour segments and the parameters that follow from a frame period.
 
-Windows are over narrow rows and partitioned by recording. Differences cut a
-recording into blocks of ``BLOCK`` frames and hand each block its predecessor's last
-row, so that one long recording isn't one task.
+Windows are over narrow rows, by recording and block of ``BLOCK`` frames; a block gets
+the row it needs of its neighbour, so that one long recording isn't one task. A
+recording's times are taken to ascend with its frames.
 """
 
 from __future__ import annotations
@@ -25,28 +25,51 @@ def differences(frames: DataFrame, value: str = "ut", out: str = "diff") -> Data
 
 
 def native_dt(frames: DataFrame) -> DataFrame:
-    """``rec_id, dt``: the exact median of the differences."""
-    return differences(frames).groupBy("rec_id").agg(F.median("diff").alias("dt"))
-
-
-def nearest(frames: DataFrame, keys: DataFrame, whole_seconds: bool = False) -> DataFrame:
+    """``rec_id, dt``: the exact median of the differences. Only those near the median, by a
+    bounded sketch, are ranked; equal ones are one row."""
+    every = differences(frames)
+    each = every.groupBy("rec_id", "diff").agg(F.count("*").alias("n"))
+    sketch = every.groupBy("rec_id").agg(F.count("*").alias("total"), F.percentile_approx("diff", [0.499, 0.501], 10_000).alias("q"))
+    # the sketch's ends are held against the true ranks, and given up where they fail
+    ends = each.join(sketch, "rec_id").groupBy("rec_id", "total", "q").agg(F.coalesce(F.sum(F.when(F.col("diff") < F.col("q")[0], F.col("n"))), F.lit(0)).alias("below"), F.coalesce(F.sum(F.when(F.col("diff") <= F.col("q")[1], F.col("n"))), F.lit(0)).alias("upto"))
+    lower, upper = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    holds = (F.col("below") <= lower) & (upper < F.col("upto"))
+    ends = ends.select("rec_id", lower.alias("lower"), upper.alias("upper"), F.when(holds, F.col("q")[0]).alias("lo"), F.when(holds, F.col("q")[1]).alias("hi"), F.when(holds, F.col("below")).otherwise(0).alias("below"))
+    near = each.join(ends, "rec_id").where(F.col("lo").isNull() | F.col("diff").between(F.col("lo"), F.col("hi")))
+    upto = F.col("below") + F.sum("n").over(Window.partitionBy("rec_id").orderBy("diff").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = near.withColumn("upto", upto)
+    at = lambda rank: F.min(F.when(F.col("upto") > F.col(rank), F.col("diff")))
+    return ranked.groupBy("rec_id").agg(((at("lower") + at("upper")) / 2).alias("dt"))
+
+
+def nearest(frames: DataFrame, keys: DataFrame, whole_seconds: bool = False, with_time: bool = False) -> DataFrame:
     """``keys`` (``rec_id, key`` and others) with ``idx``: the frame nearest in time.
     Of two equally near the left; of equal times the first at the key's own time, the
-    last on its left; keys outside take the end. Recordings without frames give 0.
+    last on its left; keys outside take the end. Recordings without frames give 0. ``at`` is its time.
 
-    One sorted sweep each way over frames and keys together; no pair is formed.
+    A key goes to the last block that begins before it, which has the first frame of the next block, too. In a block,
+    one sorted sweep each way over frames and keys together; no pair is formed.
     """
     others = [c for c in keys.columns if c not in ("rec_id", "key")]
-    times = frames.select("rec_id", F.col("ut").alias("t"), F.lit(1).alias("kind"), "frame_idx", F.lit(None).cast("double").alias("key"))
-    sought = keys.select("rec_id", (F.floor("key").cast("double") if whole_seconds else F.col("key")).alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("frame_idx"), "key", *others)
+    block = F.floor(F.col("frame_idx") / BLOCK)
+    slim = frames.select("rec_id", F.col("ut").alias("t"), "frame_idx")
+    # one entry for each BLOCK frames of a recording
+    begins = slim.where(F.pmod(F.col("frame_idx"), F.lit(BLOCK)) == 0).groupBy("rec_id").agg(F.collect_list("t").alias("begins"))
+    first = F.pmod(F.col("frame_idx"), F.lit(BLOCK)) == 0
+    times = slim.withColumn("kind", F.lit(1)).withColumn("block", F.explode(F.when(first & (F.col("frame_idx") > 0), F.array(block - 1, block)).otherwise(F.array(block))))
+    sought = keys.select("rec_id", (F.floor("key").cast("double") if whole_seconds else F.col("key")).alias("t"), F.lit(0).alias("kind"), "key", *others).join(begins, "rec_id", "left")
+    before = F.size(F.filter(F.coalesce("begins", F.array().cast("array<double>")), lambda b: b < F.col("t")))
+    sought = sought.withColumn("block", F.greatest(before - 1, F.lit(0)).cast("long")).drop("begins")
     both = times.unionByName(sought, allowMissingColumns=True)
     seen = F.when(F.col("kind") == 1, F.struct("frame_idx", "t"))
-    left = F.last(seen, ignorenulls=True).over(Window.partitionBy("rec_id").orderBy("t", "kind", "frame_idx").rowsBetween(Window.unboundedPreceding, 0))
-    right = F.last(seen, ignorenulls=True).over(Window.partitionBy("rec_id").orderBy(F.desc("t"), F.desc("kind"), F.desc("frame_idx")).rowsBetween(Window.unboundedPreceding, 0))
+    sweep = lambda *order: Window.partitionBy("rec_id", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    left = F.last(seen, ignorenulls=True).over(sweep("t", "kind", "frame_idx"))
+    right = F.last(seen, ignorenulls=True).over(sweep(F.desc("t"), F.desc("kind"), F.desc("frame_idx")))
     found = both.withColumn("l", left).withColumn("r", right).where(F.col("kind") == 0)
-    nearer = F.when(F.abs(F.col("l.t") - F.col("t")) <= F.abs(F.col("r.t") - F.col("t")), F.col("l.frame_idx")).otherwise(F.col("r.frame_idx"))
-    idx = F.when(F.col("l").isNull(), F.coalesce("r.frame_idx", F.lit(0).cast("long"))).when(F.col("r").isNull(), F.col("l.frame_idx")).otherwise(nearer)
-    return found.withColumn("idx", idx).select("rec_id", "key", *others, "idx")
+    nearer = F.when(F.abs(F.col("l.t") - F.col("t")) <= F.abs(F.col("r.t") - F.col("t")), F.col("l")).otherwise(F.col("r"))
+    one = F.when(F.col("l").isNull(), F.col("r")).when(F.col("r").isNull(), F.col("l")).otherwise(nearer)
+    found = found.withColumn("one", one).withColumns({"idx": F.coalesce("one.frame_idx", F.lit(0).cast("long")), "at": F.col("one.t")})
+    return found.select("rec_id", "key", *others, "idx", *(["at"] if with_time else []))
 
 
 def hour_boundaries(ranges: DataFrame) -> DataFrame:
@@ -66,12 +89,13 @@ def time_range(frames: DataFrame) -> DataFrame:
     return frames.groupBy("rec_id").agg(F.count("*").alias("n"), F.min_by("ut", "frame_idx").alias("start"), F.max_by("ut", "frame_idx").alias("stop"))
 
 
-def hour_segments(frames: DataFrame) -> DataFrame:
-    """``rec_id, seg, s, e``: neighbouring boundaries' nearest frames."""
-    keys = hour_boundaries(time_range(frames)).withColumnRenamed("boundary", "key")
-    found = nearest(frames, keys)
+def hour_segments(frames: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+    """``rec_id, seg, s, e, us, ue``: neighbouring boundaries' nearest frames and their times, between ``start``
+    and ``stop`` of ``ranges`` (by default of the recordings)."""
+    keys = hour_boundaries(time_range(frames) if ranges is None else ranges).withColumnRenamed("boundary", "key")
+    found = nearest(frames, keys, with_time=True)
     order = Window.partitionBy("rec_id").orderBy("seq")
-    pairs = found.select("rec_id", F.col("seq").alias("seg"), F.col("idx").alias("s"), F.lead("idx").over(order).alias("e"))
+    pairs = found.select("rec_id", F.col("seq").alias("seg"), F.col("idx").alias("s"), F.lead("idx").over(order).alias("e"), F.col("at").alias("us"), F.lead("at").over(order).alias("ue"))
     return pairs.where(F.col("e").isNotNull())
 
 
@@ -96,6 +120,24 @@ def stride(dt: Column, hz: Column) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.bround((1 / hz) / dt).cast("long"))
 
 
+def parameters(dts: DataFrame, speed: float | None = None, rate: float | None = None, size: int | None = None, hz: float | None = None) -> DataFrame:
+    """``rec_id, dt, speed, fps, bin_size, stride, problem`` of each recording from its frame period: exactly two of
+    speed, frame rate and bin size are given. With an output rate ``hz`` the stride follows from it, and the frame rate is
+    ``hz * speed``; without one it's 1. A bin larger than the stride is a problem."""
+    if sum(x is not None for x in (speed, rate, size)) != 2:
+        raise ValueError("give exactly two of speed, frame rate and bin size")
+    dt = F.col("dt")
+    v, f, n = (None if x is None else F.lit(float(x)) for x in (speed, rate, size))
+    bins = bin_size(dt, f, v) if size is None else F.lit(int(size)).cast("long")
+    v = f * dt * n if v is None else v
+    f = fps(dt, n, v) if f is None else f
+    if hz is not None:
+        f = F.lit(float(hz)) * v
+    step = F.lit(1).cast("long") if hz is None else stride(dt, F.lit(float(hz)))
+    found = dts.select("rec_id", "dt", v.alias("speed"), f.alias("fps"), bins.alias("bin_size"), step.alias("stride"))
+    return found.withColumn("problem", F.when(F.col("bin_size") > F.col("stride"), F.lit("a bin must not be larger than the stride")))
+
+
 def solve(dt: float, speed: float | None = None, rate: float | None = None, size: int | None = None) -> tuple[float, float, int]:
     """Speed, frames a second and bin size, exactly two of which are given."""
     if sum(x is not None for x in (speed, rate, size)) != 2:

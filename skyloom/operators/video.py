@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,20 +13,23 @@ from skyloom.operators.keogram import in_segments
 KEYS = ["rec_id", "seg", "bin"]
 
 
-def bins(frames: DataFrame, segments: DataFrame, bin_size: int, stride: int | None = None, closed: bool = True) -> DataFrame:
-    """Frames with ``seg, bin``: ``bin_size`` each, or the first ``bin_size`` of each ``stride``."""
+def bins(frames: DataFrame, segments: DataFrame, bin_size: int | None = None, stride: int | None = None, closed: bool = True) -> DataFrame:
+    """Frames with ``seg, bin``: ``bin_size`` each, or the first ``bin_size`` of each ``stride``. Where ``bin_size`` isn't
+    given, the segments have both as columns."""
     if stride is not None and bin_size > stride:
         raise ValueError("a bin must not be larger than the stride")
+    if bin_size is not None:
+        segments = segments.withColumns({"bin_size": F.lit(bin_size), "stride": F.lit(stride or bin_size)})
     held = in_segments(frames, segments, closed)
     at = F.col("frame_idx") - F.col("s")
-    if stride is not None:
-        held = held.where(F.pmod(at, F.lit(stride)) < bin_size)
-    return held.withColumn("bin", F.floor(at / (stride or bin_size)))
+    return held.where(F.pmod(at, F.col("stride")) < F.col("bin_size")).withColumn("bin", F.floor(at / F.col("stride")))
 
 
 def pixel_means(binned: DataFrame) -> DataFrame:
-    """``rec_id, seg, bin, pos, px_mean``: elementwise, summed before the shuffle."""
-    return binned.select(*KEYS, F.posexplode("px").alias("pos", "v")).groupBy(*KEYS, "pos").agg(F.avg("v").alias("px_mean"))
+    """``rec_id, seg, bin, pos, px_mean``: whole frames are summed elementwise, as vectors, before the shuffle; only a bin's mean is exploded."""
+    vector = array_to_vector(F.col("px").cast("array<double>"))
+    means = binned.select(*KEYS, vector.alias("v")).groupBy(*KEYS).agg(Summarizer.mean(F.col("v")).alias("mean"))
+    return means.select(*KEYS, F.posexplode(vector_to_array("mean")).alias("pos", "px_mean"))
 
 
 def times(binned: DataFrame) -> DataFrame:
@@ -37,3 +42,8 @@ def gray_frames(frames: DataFrame, norms: DataFrame, kind: str = "log") -> DataF
     """``rec_id, frame_idx, gray array<int>``; a gray frame's three colours are equal."""
     level = F.transform("px", lambda v: pixels.gray(pixels.normalise(v.cast("double"), F.col("vmin"), F.col("vmax"), kind)))
     return frames.join(norms.select("rec_id", "vmin", "vmax"), "rec_id").select("rec_id", "frame_idx", level.alias("gray"))
+
+
+def rgb_frames(grays: DataFrame) -> DataFrame:
+    """``rec_id, frame_idx, rgb array<int>``: three equal bytes a pixel, truncated from the colour map's 0 to 1, without alpha."""
+    return grays.select("rec_id", "frame_idx", pixels.rgb(F.col("gray")).alias("rgb"))

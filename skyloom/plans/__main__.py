@@ -1,4 +1,6 @@
-"""``python -m skyloom.plans MANIFEST.csv FOLDER STATUS``: hourly results of each line not yet done."""
+"""``python -m skyloom.plans MANIFEST.csv FOLDER OUT``: hourly results of each line not yet processed, and the lines' status.
+
+Recordings are ``FOLDER/HDF/<day>/<camera>/<stem>.parquet``, as ``sources.sinks.write_recording`` makes them."""
 
 from __future__ import annotations
 
@@ -6,24 +8,13 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from skyloom.operators import manifest, norm
-from skyloom.plans.pipelines import hourly
+from skyloom.plans import batch
 from skyloom.sources import camera
 
 
-def main(sheet: str, folder: str, status: str) -> None:
+def main(sheet: str, folder: str, out: str) -> None:
     spark = SparkSession.builder.appName("skyloom").getOrCreate()
-    lines = manifest.locate(manifest.pending(manifest.coerce(camera.manifest(spark, sheet))), camera.listing(spark, folder))
-
-    def job(line: dict) -> None:
-        frames = camera.frame_table(spark, line["path"])
-        start = None if line["start_sec"] is None else float((line["day"] - line["day"].fromtimestamp(0)).days * 86400 + line["start_sec"])
-        norms = norm.norm(frames, 1.0, start=start)
-        found = hourly(frames, output_hz=1.0, norms=norms)
-        found.times.write.mode("overwrite").parquet(f"{status}-results/{line['cam']}-{line['day']}/times")
-        found.keograms.write.mode("overwrite").parquet(f"{status}-results/{line['cam']}-{line['day']}/keograms")
-
-    manifest.run(lines.where("error = ''"), job, status).show(truncate=False)
+    batch.run(camera.manifest(spark, sheet), camera.recordings(spark, folder), out).show(truncate=False)
 
 
 if __name__ == "__main__":

@@ -1,71 +1,96 @@
-"""Whole jobs: videos between times, hourly videos with keograms, whole-file keograms, batches."""
+"""Whole jobs: raw files to recordings, videos between times, hourly videos with keograms, whole-file keograms.
+
+Every job is one plan over all recordings of its frames, with limits and parameters for each. What comes to the driver
+is one line with a problem, never frames.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.functions.timefmt import assert_utc
 from skyloom.operators import keogram, norm, timeaxis, video
+from skyloom.sources import camera, sinks
 
 
 @dataclass
 class Result:
+    """``norms`` and ``plan`` (speed, frame rate, bin size, stride) by recording; ``times`` and ``pixels`` of the binned frames; ``keograms``."""
+
     norms: DataFrame
+    plan: DataFrame | None = None
     times: DataFrame | None = None
     pixels: DataFrame | None = None
     keograms: DataFrame | None = None
 
 
-def _cut(frames: DataFrame, start: datetime | None, stop: datetime | None) -> DataFrame:
-    """``rec_id, start, stop`` by default from the first to the last frame."""
+def _bounds(frames: DataFrame, start: datetime | None, stop: datetime | None) -> DataFrame:
+    """``rec_id, start, stop``, null where not given."""
     assert_utc(start, "start")
     assert_utc(stop, "stop")
-    ranges = timeaxis.time_range(frames)
-    return ranges.withColumns({n: F.lit(m.timestamp()) for n, m in (("start", start), ("stop", stop)) if m is not None})
+    moment = lambda m: F.lit(None if m is None else m.timestamp()).cast("double")
+    return frames.select("rec_id").distinct().select("rec_id", moment(start).alias("start"), moment(stop).alias("stop"))
+
 
+def _segments(slim: DataFrame, bounds: DataFrame) -> DataFrame:
+    given = bounds.select("rec_id", F.col("start").alias("from"), F.col("stop").alias("to"))
+    ranges = timeaxis.time_range(slim).join(given, "rec_id", "left")
+    return timeaxis.hour_segments(slim, ranges.select("rec_id", F.coalesce("from", "start").alias("start"), F.coalesce("to", "stop").alias("stop")))
 
-def _segments(frames: DataFrame, ranges: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
 
-    slim = frames.select("rec_id", "frame_idx", "ut")
-    found = timeaxis.nearest(slim, timeaxis.hour_boundaries(ranges).withColumnRenamed("boundary", "key"))
-    order = Window.partitionBy("rec_id").orderBy("seq")
-    return found.select("rec_id", F.col("seq").alias("seg"), F.col("idx").alias("s"), F.lead("idx").over(order).alias("e")).where("e is not null")
+def _require(plan: DataFrame) -> None:
+    bad = plan.where(F.col("problem").isNotNull()).first()
+    if bad:
+        raise ValueError(f"{bad['rec_id']}: {bad['problem']}")
 
 
-def videos(frames: DataFrame, start: datetime | None = None, stop: datetime | None = None, bin_size: int = 5, norms: DataFrame | None = None) -> Result:
-    """Binned frames of each hour; a frame on a boundary is in both hours."""
-    ranges = _cut(frames, start, stop)
-    norms = norms or norm.norm(frames, 1.0, 0.1, 99.9, start=start and start.timestamp(), stop=stop and stop.timestamp())
-    binned = video.bins(frames, _segments(frames, ranges), bin_size)
-    return Result(norms, video.times(binned), video.pixel_means(binned))
+def videos(frames: DataFrame, start: datetime | None = None, stop: datetime | None = None, bin_size: int | None = None, speed: float | None = None, rate: float | None = None, norms: DataFrame | None = None) -> Result:
+    """Binned frames of each hour; a frame on a boundary is in both hours. Exactly two of bin size, speed and frame rate are given."""
+    bounds, slim = _bounds(frames, start, stop), frames.select("rec_id", "frame_idx", "ut")
+    plan = timeaxis.parameters(timeaxis.native_dt(slim), speed, rate, bin_size).drop("problem").withColumn("stride", F.col("bin_size"))
+    norms = norm.norm_between(frames, 1.0, bounds, 0.1, 99.9) if norms is None else norms
+    binned = video.bins(frames, _segments(slim, bounds).join(plan.select("rec_id", "bin_size", "stride"), "rec_id"))
+    return Result(norms, plan, video.times(binned), video.pixel_means(binned))
 
 
-def hourly(frames: DataFrame, start: datetime | None = None, stop: datetime | None = None, bin_size: int = 5, speed: float = 15.0, output_hz: float | None = None, bin_seconds: float = 1.0, lookahead: int = 500, norms: DataFrame | None = None) -> Result:
-    """Binned frames and keograms of each hour, a boundary frame in the later one only. One row of
-    parameters (the frame period) comes to the driver; frames never do."""
-    ranges = _cut(frames, start, stop)
-    slim = frames.select("rec_id", "frame_idx", "ut")
-    step = 1
-    if output_hz is not None:
-        dt = timeaxis.native_dt(slim).agg(F.min("dt")).first()[0]
-        step = max(1, round(1 / output_hz / dt))
-    timeaxis.check_stride(bin_size, step)
-    norms = norms or norm.norm(frames, 1.0, 0.1, 99.9, start=start and start.timestamp(), stop=stop and stop.timestamp())
-    segments = timeaxis.clock_hours(slim, _segments(frames, ranges), lookahead)
-    binned = video.bins(frames, segments.drop("hour"), bin_size, step, closed=False)
-    both = [keogram.by_segment(frames, segments, axis, bin_seconds).withColumn("axis", F.lit(axis)) for axis in ("ns", "ew")]
-    return Result(norms, video.times(binned), video.pixel_means(binned), both[0].unionByName(both[1]))
+def hourly(
+    frames: DataFrame, start: datetime | None = None, stop: datetime | None = None, bin_size: int | None = 5, speed: float | None = 15.0, rate: float | None = None, output_hz: float | None = None,
+    bin_seconds: float = 1.0, lookahead: int = 500, norms: DataFrame | None = None, strict: bool = True,
+) -> Result:
+    """Binned frames and keograms of each hour, a boundary frame in the later one only. Recordings whose bins
+    would be larger than their stride fail the job, or, unless ``strict``, are left out."""
+    bounds, slim = _bounds(frames, start, stop), frames.select("rec_id", "frame_idx", "ut")
+    plan = timeaxis.parameters(timeaxis.native_dt(slim), speed, rate, bin_size, output_hz)
+    if strict:
+        _require(plan)
+    norms = norm.norm_between(frames, 1.0, bounds, 0.1, 99.9) if norms is None else norms
+    sound = plan.where(F.col("problem").isNull()).select("rec_id", "bin_size", "stride")
+    segments = timeaxis.clock_hours(slim, _segments(slim, bounds), lookahead).join(sound, "rec_id")
+    binned = video.bins(frames, segments.drop("hour"), closed=False)
+    return Result(norms, plan, video.times(binned), video.pixel_means(binned), keogram.both_axes(frames, segments.drop("bin_size", "stride"), bin_seconds))
 
 
 def whole_keogram(frames: DataFrame, axis: str, bin_seconds: float | None = None) -> DataFrame:
-    return keogram.by_count(frames, axis, timeaxis.count_bins(timeaxis.time_range(frames), bin_seconds))
+    return keogram.by_count(frames, axis, timeaxis.count_bins(timeaxis.time_range(frames.select("rec_id", "frame_idx", "ut")), bin_seconds))
+
+
+def rough_keogram(frames: DataFrame, axis: str, bin_seconds: float, sample_interval: int) -> Result:
+    """The keogram of the first frames of each ``sample_interval``, and limits sampled each 60 s."""
+    per = timeaxis.count_bins(timeaxis.time_range(frames.select("rec_id", "frame_idx", "ut")), bin_seconds)
+    return Result(norm.norm(frames, 60.0), keograms=keogram.rough(frames, axis, sample_interval, per))
 
 
-def rough_keogram(frames: DataFrame, axis: str, bin_seconds: float, sample_interval: int) -> DataFrame:
-    per = timeaxis.count_bins(timeaxis.time_range(frames), bin_seconds).agg(F.max("frames_per_bin")).first()[0]
-    return keogram.rough(frames, axis, sample_interval, per)
+def raw_to_recording(spark: SparkSession, folder: str, out: str, user: dict | None = None, override: dict | None = None, suffix: str = ".DMCdata") -> DataFrame:
+    """Raw files below ``folder`` with their companions, as one recording table ``out``, by recording. Files without companions and
+    recordings that are there already fail it before anything is written. Returns what was written (``raw_ranges``)."""
+    files = camera.listing(spark, folder, "*")
+    camera.require_companions(files, suffix)
+    load = lambda end: f"{folder}/*{end}"
+    raw = spark.read.format("binaryFile").load(load(suffix)).select(camera.as_path(F.col("path")).alias("path"), "content")
+    params = camera.with_params(raw, camera.xml_params(camera.texts(spark, load(".xml"))), camera.nmea_start(camera.texts(spark, load(".nmea"))), user, override)
+    sinks.write_recording(camera.raw_frames(params), out)
+    return camera.raw_ranges(spark.read.parquet(out))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skyloom import schema
 from skyloom.functions import pixels, timefmt
-from skyloom.operators import keogram, manifest, norm, stats, timeaxis, video
+from skyloom.operators import fold, keogram, manifest, norm, stats, timeaxis, video
 from skyloom.plans import pipelines
 from skyloom.sources import camera, sinks
 from skyloom.streaming import keograms
@@ -26,10 +26,10 @@ TICKS = """ticks as (select event_type as rec_id, row_number() over (partition b
     cast(floor("value" * 100) as integer) as bright from events)"""
 RANGES = "ranges as (select rec_id, count(*) as n, min_by(ut, frame_idx) as start, max_by(ut, frame_idx) as stop from ticks group by rec_id)"
 DT = "dts as (select rec_id, median(d) as dt from (select rec_id, ut - lag(ut) over (partition by rec_id order by frame_idx) as d from ticks) where d is not null group by rec_id)"
-#: The nearest frame by counting, for ``sought`` (rec_id, key and others).
-NEAREST = """near as (select k.*, case when c = 0 then 0 when c = n then n - 1 when abs(l - k.t) <= abs(r - k.t) then c - 1 else c end as idx
-    from sought k join (select s.rec_id, s.t, count(*) filter (where f.ut < s.t) as c, count(*) as n, max(f.ut) filter (where f.ut < s.t) as l, min(f.ut) filter (where f.ut >= s.t) as r
-        from (select distinct rec_id, t from sought) s join source f on s.rec_id = f.rec_id group by s.rec_id, s.t) g on k.rec_id = g.rec_id and k.t = g.t)"""
+#: The nearest frame for ``sought`` (rec_id, t and others) among ``source``.
+NEAREST = """axis as (select rec_id, ut, min(frame_idx) as first_idx, max(frame_idx) as last_idx from source group by all),
+    near as (select k.*, case when l.ut is null then coalesce(r.first_idx, 0) when r.ut is null then l.last_idx when abs(l.ut - k.t) <= abs(r.ut - k.t) then l.last_idx else r.first_idx end as idx
+    from sought k asof left join axis l on k.rec_id = l.rec_id and k.t > l.ut asof left join axis r on k.rec_id = r.rec_id and k.t <= r.ut)"""
 BOUNDS = """bounds as (select rec_id, row_number() over (partition by rec_id order by part, b) - 1 as seq, b as t from (
     select rec_id, 0 as part, start as b from ranges where floor(start % 3600) <> 0
     union all select rec_id, 1, b from (select rec_id, stop, unnest([f + i * 3600 for i in range(0, cast(greatest(0, ceil((stop - f) / 3600)) as bigint) + 1)]) as b
@@ -143,22 +143,20 @@ def frame_to_gray(spark, sf_dir):
 # -- time axis ------------------------------------------------------------------
 
 
-@query(f"""with {TICKS}, source as (select * from ticks), sought as (select rec_id, frame_idx as asked, ut + (frame_idx % 7) * 60.5 - 100 as t from ticks where frame_idx % 10 = 0), {NEAREST}
-    select rec_id, round(t, 6) as key, asked, idx from near""")
-def nearest_frame(spark, sf_dir):
-    ticks = schema.ticks(spark, sf_dir)
-    keys = ticks.where("frame_idx % 10 = 0").select("rec_id", F.col("frame_idx").alias("asked"), (F.col("ut") + (F.col("frame_idx") % 7) * F.lit(60.5) - 100).alias("key"))
-    return rounded(timeaxis.nearest(ticks.select("rec_id", "frame_idx", "ut"), keys), "key")
+NEAREST_FRAME = f"""with {TICKS}, source as (select * from ticks), sought as (select rec_id, frame_idx as asked, ut + (frame_idx % 7) * 60.5 - 100 as t from ticks), {NEAREST}
+    select rec_id, round(t, 6) as key, asked, idx from near"""
 
 
-@query()
-def nearest_frame_all(spark, sf_dir):
-    """Every tick is a key; the SQL of ``nearest_frame`` counts pairs and takes one tick in ten."""
+@query(NEAREST_FRAME)
+def nearest_frame(spark, sf_dir):
     ticks = schema.ticks(spark, sf_dir)
     keys = ticks.select("rec_id", F.col("frame_idx").alias("asked"), (F.col("ut") + (F.col("frame_idx") % 7) * F.lit(60.5) - 100).alias("key"))
     return rounded(timeaxis.nearest(ticks.select("rec_id", "frame_idx", "ut"), keys), "key")
 
 
+query(NEAREST_FRAME, "nearest_frame_all")(nearest_frame)
+
+
 @query(f"""with {TICKS}, source as (select * from ticks), pairs as (select event_type as rec_id, user_id, min(epoch_us(ts)) / 1e6 + 0.7 as a, max(epoch_us(ts)) / 1e6 + 0.2 as b from events group by all),
     sought as (select rec_id, user_id, 'start' as which, floor(a) as t from pairs union all select rec_id, user_id, 'stop', floor(b) from pairs), {NEAREST}
     select rec_id, user_id, max(idx) filter (where which = 'start') as s, max(idx) filter (where which = 'stop') as e from near group by all""")
@@ -213,13 +211,13 @@ def hour_boundaries(spark, sf_dir):
 
 @query(f"with {TICK_SOURCE} select rec_id, seg, s, e from segments")
 def hour_segments(spark, sf_dir):
-    return timeaxis.hour_segments(schema.ticks(spark, sf_dir).select("rec_id", "frame_idx", "ut"))
+    return timeaxis.hour_segments(schema.ticks(spark, sf_dir).select("rec_id", "frame_idx", "ut")).select("rec_id", "seg", "s", "e")
 
 
 @query(f"with {TICK_SOURCE} select s.rec_id, seg, s, e, floor(ut / 3600) * 3600 as hour from segments s join ranges using (rec_id) join ticks t on t.rec_id = s.rec_id and t.frame_idx = least(s.s + 10, n - 1)")
 def segment_clock_hour(spark, sf_dir):
     ticks = schema.ticks(spark, sf_dir).select("rec_id", "frame_idx", "ut")
-    return timeaxis.clock_hours(ticks, timeaxis.hour_segments(ticks), 10)
+    return timeaxis.clock_hours(ticks, timeaxis.hour_segments(ticks), 10).select("rec_id", "seg", "s", "e", "hour")
 
 
 # -- videos ----------------------------------------------------------------------
@@ -261,7 +259,7 @@ def keogram_count(spark, sf_dir):
 @query(f"""with {FRAMES}, {SLICES}, r as (select cast(ceil(count(*) / 20) as bigint) - 1 as blocks from frames)
     select 'sky' as rec_id, frame_idx // 20 as bin, pos, round(sum(ew) / count(ew), 6) as mean from slices, r where frame_idx % 20 < 8 and frame_idx // 20 < blocks group by all""")
 def keogram_rough(spark, sf_dir):
-    return rounded(keogram.rough(schema.frames(spark, sf_dir), "ew", 20, 8), "mean")
+    return rounded(keogram.rough(schema.frames(spark, sf_dir), "ew", 20, spark.range(1).select(F.lit("sky").alias("rec_id"), F.lit(8).alias("frames_per_bin"))), "mean")
 
 
 # -- statistics -------------------------------------------------------------------
@@ -305,8 +303,7 @@ def time_strings(spark, sf_dir):
     'CamSer42_' || strftime(make_timestamp(cast(floor(ua) * 1000000 as bigint)), '%Y%m%d') || '_' || seg || '.png' as image, rec_id || '_CamSer42.png' as keogram from e""")
 def output_names(spark, sf_dir):
     ticks = schema.ticks(spark, sf_dir).select("rec_id", "frame_idx", "ut")
-    at = lambda end: ticks.select("rec_id", F.col("frame_idx").alias(end), F.col("ut").alias(f"u{end}"))
-    found = timeaxis.hour_segments(ticks).join(at("s"), ["rec_id", "s"]).join(at("e"), ["rec_id", "e"])
+    found = timeaxis.hour_segments(ticks)
     path = F.concat(F.lit("/data/HDF/x/"), F.col("rec_id"), F.lit("_CamSer42.h5"))
     return found.select("rec_id", "seg", sinks.video_name(timefmt.stem(path), F.col("us"), F.col("ue")).alias("video"), sinks.hourly_name(path, F.col("us"), F.col("seg"), ".png").alias("image"), F.regexp_extract(timefmt.with_suffix(path, ".png"), r"[^/]+$", 0).alias("keogram"))
 
@@ -335,23 +332,27 @@ LOCATED = f"""{SHEET}, {FILES}, located as (select c.line, c.processed, c.day, c
     case when error <> '' then error when n_files is null then 'no file' when n_files > 1 then 'several files' else '' end as error from coerced c left join folders f on c.day = f.day and c.cam = f.cam)"""
 
 
+#: A line's columns in results.
+LINES = ["line", "processed", "error", "cast(day as string) as day", "start_sec", "cam"]
+
+
 def _coerced(spark, sf_dir):
     return manifest.coerce(schema.manifest(spark, sf_dir))
 
 
 @query(f"with {SHEET} select line, processed, error, cast(day as varchar) as day, start_sec, cam, round(epoch(cast(day as timestamp)) + start_sec, 3) as start from coerced")
 def coerce_manifest(spark, sf_dir):
-    return _coerced(spark, sf_dir).withColumn("start", F.round(manifest.start_of(F.col("day"), F.col("start_sec")), 3)).withColumn("day", F.col("day").cast("string"))
+    return _coerced(spark, sf_dir).withColumn("start", F.round(manifest.start_of(F.col("day"), F.col("start_sec")), 3)).selectExpr(*LINES, "start")
 
 
 @query(f"with {SHEET} select line, processed, error, cast(day as varchar) as day, start_sec, cam from coerced where not processed")
 def pending_work(spark, sf_dir):
-    return manifest.pending(_coerced(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
+    return manifest.pending(_coerced(spark, sf_dir)).selectExpr(*LINES)
 
 
 @query(f"with {LOCATED} select line, processed, cast(day as varchar) as day, start_sec, cam, path, error from located")
 def manifest_join(spark, sf_dir):
-    return manifest.locate(_coerced(spark, sf_dir), schema.listing(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
+    return manifest.locate(_coerced(spark, sf_dir), schema.listing(spark, sf_dir)).selectExpr(*LINES, "path")
 
 
 @query(f"with {LOCATED} select error, count(*) as lines, count(distinct cam) as cameras, count(path) as found from located where not processed group by error")
@@ -381,7 +382,10 @@ def log_start_time(spark, sf_dir):
 def raw_frames_decode(spark, sf_dir):
     frames = schema.frames(spark, sf_dir)
     files = frames.select(F.concat(F.lit("/raw/"), F.lpad(F.col("frame_idx").cast("string"), 8, "0"), F.lit(".DMCdata")).alias("path"), F.concat(pixels.as_unsigned_16(F.col("px")), F.unhex(F.lit("00000000"))).alias("content"))
-    return camera.raw_frames(files, 8, 8, 4, start_utc=5.0).select("rec_id", F.col("frame_idx").cast("long"), "ut", "px")
+    camera_of = {"header_bytes": 4, "horiz_pixels": 8, "vert_pixels": 8, "kinetic_sec": 1.0, "start_utc": 6.0}
+    given = schema.CAMERA_DEFAULTS | camera_of
+    params = files.select("path", "content", *[F.lit(given[f.name]).cast(f.dataType).alias(f.name) for f in schema.CAMERA])
+    return camera.raw_frames(params).select("rec_id", "frame_idx", "ut", "px")
 
 
 @query(f"with {FRAMES}, {SLICES} select 'sky' as rec_id, floor(ut / 60) * 60 as start, pos, round(sum(ew) / count(ew), 6) as mean from slices group by all")
@@ -390,3 +394,107 @@ def stream_keogram(spark, sf_dir):
     place = f"{shared}/{uuid.uuid4().hex}"
     stream = keograms.frame_stream(spark, f"{sf_dir}/embeddings.parque[t]", schema.read(spark, sf_dir, "embeddings").schema, schema.as_frames)
     return rounded(keograms.run_to_end(keograms.means(stream, "ew"), f"{place}/out", f"{place}/state"), "mean")
+
+
+RAW = f"""with {FRAMES}, raw as (select 'x_CamSer' || printf('%06d', frame_idx // 10) as rec_id, frame_idx % 10 as frame_idx, frame_idx + 70000 as raw_idx, 1365663601 + (frame_idx + 70000 - 1) * cast(0.5 as double) as ut, px from frames)"""
+
+
+def _raw(spark, sf_dir):
+    files, xml, nmea = schema.raw_files(spark, sf_dir)
+    return camera.raw_frames(camera.with_params(files, camera.xml_params(xml), camera.nmea_start(nmea), {"kinetic_sec": 9.0, "rot_ccw": 90}, {"flip_lr": True}))
+
+
+@query(RAW + " select rec_id, frame_idx, raw_idx, ut, 16 as height, 4 as width, [px[1 + (3 - p % 4) * 16 + 15 - p // 4] for p in range(64)] as px from raw")
+def raw_to_frames(spark, sf_dir):
+    """Raw files with metadata and position texts: numbers from headers, camera binning, a quarter turn and a flip."""
+    return _raw(spark, sf_dir)
+
+
+@query(RAW + " select rec_id, min(raw_idx) as first_raw, max(raw_idx) as last_raw, count(*) as n from raw group by rec_id")
+def raw_index_range(spark, sf_dir):
+    return camera.raw_ranges(_raw(spark, sf_dir))
+
+
+@query(f"with {FRAMES}, {SLICES} select 'sky' as rec_id, frame_idx // 20 as bin, pos, round(sum(ns) / count(ns), 6) as mean from slices group by all")
+def stream_count_keogram(spark, sf_dir):
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    place = f"{shared}/{uuid.uuid4().hex}"
+    stream = keograms.frame_stream(spark, f"{sf_dir}/embeddings.parque[t]", schema.read(spark, sf_dir, "embeddings").schema, schema.as_frames)
+    return rounded(keograms.run_to_end(keograms.count_means(stream, "ns", 20), f"{place}/out", f"{place}/state"), "mean")
+
+
+# -- whole jobs ----------------------------------------------------------------------
+
+
+@query(f"with {FRAMES}, {STATS}, d as (select abs(px_mean - lag(px_mean) over (order by frame_idx)) as step from stats) select 'sky' as rec_id, count(*) as n, round(avg(step), 6) as motion from d")
+def fold_motion(spark, sf_dir):
+    """An aggregate that a user adds, folded by blocks of frames."""
+    return rounded(fold.apply(schema.frames(spark, sf_dir), fold.Motion(), ["px"], 64), "motion")
+
+
+@query(f"""with {FRAMES}, {HISTOGRAM}, ends as (select min(v) as lo, max(v) as hi from hist)
+    select 'sky' as rec_id, frame_idx, list_concat([], flatten([[b, b, b] for b in [cast(trunc(cast(g as double) / 255 * 255) as integer) for g in [least(255, greatest(0, cast(floor(256 * ((ln(v) - ln(lo)) / (ln(hi) - ln(lo)))) as integer))) for v in px]]])) as rgb from frames, ends""")
+def frame_to_rgb_log(spark, sf_dir):
+    frames = schema.frames(spark, sf_dir)
+    ends = norm.pixel_histogram(frames).groupBy("rec_id").agg(F.min("v").cast("double").alias("vmin"), F.max("v").cast("double").alias("vmax"))
+    return video.rgb_frames(video.gray_frames(frames, ends, "log"))
+
+
+#: Sampled frames between the nearest ones to two whole seconds.
+BETWEEN = f"""with {FRAMES}, ticks as (select 'sky' as rec_id, frame_idx, ut from frames), source as (select * from ticks), bounds as (select {{start}} as a, {{stop}} as b from ticks),
+    sought as (select 'sky' as rec_id, 'a' as which, floor(a) as t from bounds union all select 'sky', 'b', floor(b) from bounds), {NEAREST},
+    span as (select max(idx) filter (where which = 'a') as s, max(idx) filter (where which = 'b') as e from near), times as (select s, e, (select ut from ticks where frame_idx = e) - (select ut from ticks where frame_idx = s) as took from span),
+    counted as (select s, e, cast(trunc(took / 60) as bigint) as m from times),
+    sample as (select case when k = m - 1 and m > 1 then e else cast(floor(k * ((e - s) / greatest(m - 1, 1)) + s) as bigint) end as frame_idx from (select unnest(range(m)) as k, m, s, e from counted)),
+    hist as (select v, count(*) as n from (select unnest(px) as v from frames join sample using (frame_idx)) where v > 0 group by v), cdf as (select v, sum(n) over (order by v) as cum, sum(n) over () as total from hist)
+    select 'sky' as rec_id, greatest(cast(min(v) filter (where cum >= total * 1.0 / 100) as double), 1e-6) as vmin, cast(min(v) filter (where cum >= total * 99.0 / 100) as double) as vmax, 'log' as kind from cdf"""
+
+
+@query(BETWEEN.format(start="min_by(ut, frame_idx)", stop="max_by(ut, frame_idx)"))
+def norm_whole_seconds(spark, sf_dir):
+    return norm.norm_between(schema.frames(spark, sf_dir), 60.0)
+
+
+@query(BETWEEN.format(start="max(1704067200 + 400.9)", stop="max(1704067200 + 3000.2)"))
+def norm_between(spark, sf_dir):
+    bounds = spark.range(1).select(F.lit("sky").alias("rec_id"), F.lit(1704067600.9).alias("start"), F.lit(1704070200.2).alias("stop"))
+    return norm.norm_between(schema.frames(spark, sf_dir), 60.0, bounds)
+
+
+@query(BINS + " select 'sky' as rec_id, seg, bin, count(*) as n_frames, round(avg(ut), 6) as t_mean, cast(0.4 as double) as fps from binned group by seg, bin")
+def videos_job(spark, sf_dir):
+    found = pipelines.videos(schema.frames(spark, sf_dir), bin_size=5, speed=15.0)
+    return rounded(found.times.join(found.plan, "rec_id").select("rec_id", "seg", "bin", "n_frames", "t_mean", "fps"), "t_mean", "fps")
+
+
+def _hourly(spark, sf_dir):
+    return pipelines.hourly(schema.frames(spark, sf_dir), output_hz=0.01, bin_seconds=60.0, lookahead=10)
+
+
+@query("select 'sky' as rec_id, cast(7.5 as double) as dt, cast(15 as double) as speed, cast(0.15 as double) as fps, cast(5 as bigint) as bin_size, cast(13 as bigint) as stride, cast(null as varchar) as problem from (select count(*) from embeddings)")
+def hourly_plan(spark, sf_dir):
+    return rounded(_hourly(spark, sf_dir).plan, "dt", "speed", "fps")
+
+
+@query(STRIDED.replace("12", "13") + " select 'sky' as rec_id, seg, bin, count(*) as n_frames, round(avg(ut), 6) as t_mean from binned group by seg, bin")
+def hourly_times(spark, sf_dir):
+    return rounded(_hourly(spark, sf_dir).times.drop("label"), "t_mean")
+
+
+@query(STRIDED.replace("12", "13") + PIXELS)
+def hourly_pixels(spark, sf_dir):
+    return rounded(_hourly(spark, sf_dir).pixels, "px_mean")
+
+
+@query(f"""with {FRAMES}, {SLICES}, {FRAME_SOURCE}, hours as (select s.*, floor(t.ut / 3600) * 3600 as hour from segments s join ranges r using (rec_id) join ticks t on t.frame_idx = least(s.s + 10, r.n - 1)),
+    held as (select seg, cast(floor((ut - hour) / 60) as bigint) as bin, pos, ns, ew from slices f join hours h on f.frame_idx >= h.s and f.frame_idx < h.e where ut >= hour and ut < hour + 3600),
+    both_axes as (select seg, bin, 'ns' as axis, pos, ns as v from held union all select seg, bin, 'ew', pos, ew from held)
+    select 'sky' as rec_id, seg, bin, axis, pos, round(sum(v) / count(v), 6) as mean from both_axes group by all""")
+def hourly_keograms(spark, sf_dir):
+    return rounded(_hourly(spark, sf_dir).keograms, "mean")
+
+
+@query(f"""with {FRAMES}, {SLICES}, r as (select count(*) as n, max_by(ut, frame_idx) - min_by(ut, frame_idx) as span from frames), p as (select cast(ceil(n / 20) as bigint) - 1 as blocks, greatest(1, n // greatest(1, cast(trunc(span / 60) as bigint))) as per from r)
+    select 'sky' as rec_id, frame_idx // 20 as bin, pos, round(sum(ew) / count(ew), 6) as mean from slices, p where frame_idx % 20 < per and frame_idx // 20 < blocks group by all""")
+def rough_job(spark, sf_dir):
+    return rounded(pipelines.rough_keogram(schema.frames(spark, sf_dir), "ew", 60.0, 20).keograms, "mean")

@@ -11,6 +11,9 @@ CAMERA = StructType([
     StructField("header_bytes", IntegerType()), StructField("horiz_pixels", IntegerType()), StructField("vert_pixels", IntegerType()), StructField("binning", IntegerType()),
     StructField("kinetic_sec", DoubleType()), StructField("start_utc", DoubleType()), StructField("rot_ccw", IntegerType()), StructField("transpose", BooleanType()), StructField("flip_ud", BooleanType()), StructField("flip_lr", BooleanType()),
 ])
+CAMERA_DEFAULTS = {"header_bytes": 4, "binning": 1, "rot_ccw": 0, "transpose": False, "flip_ud": False, "flip_lr": False}
+#: Columns that ``operators.keogram.with_slices`` adds to frames.
+SLICES = StructType([StructField("ns", ArrayType(IntegerType())), StructField("ew", ArrayType(IntegerType())), StructField("px_sum", LongType()), StructField("px_max", IntegerType())])
 MANIFEST = StructType([StructField(c, StringType()) for c in ("date", "start_time", "cam_ser", "processed", "error")])
 
 
@@ -36,8 +39,13 @@ def epoch(ts) -> F.Column:
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An irregular time axis for each event type: ``rec_id, frame_idx, ut, bright``."""
     events = read(spark, sf_dir, "events").select(F.col("event_type").alias("rec_id"), "event_id", epoch("ts").alias("ut"), F.floor(F.col("value") * 100).cast("int").alias("bright"))
-    order = Window.partitionBy("rec_id").orderBy("ut", "event_id")
-    return events.withColumn("frame_idx", (F.row_number().over(order) - 1).cast("long")).drop("event_id")
+    # numbers within a day, and the frames of the days before: a day is a task, not a recording
+    events = events.withColumn("day", F.floor(F.col("ut") / 86400))
+    days = events.groupBy("rec_id", "day").agg(F.count("*").alias("n"))
+    before = days.select("rec_id", "day", (F.sum("n").over(Window.partitionBy("rec_id").orderBy("day")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("rec_id", "day").orderBy("ut", "event_id")) - 1
+    numbered = events.withColumn("inside", inside).join(before, ["rec_id", "day"])
+    return numbered.select("rec_id", "ut", "bright", (F.col("inside") + F.col("before")).cast("long").alias("frame_idx"))
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +66,23 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").where("event_id % 6 <> 0").select(F.concat(F.lit("/data/HDF/"), day, F.lit("/"), F.col("user_id").cast("string"), F.lit("/CamSer"), F.col("user_id").cast("string"), F.lit("_"), F.col("event_id").cast("string"), F.when(F.col("event_id") % 10 == 1, F.lit(".png")).otherwise(F.lit(".h5"))).alias("path"))
 
 
+def raw_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Raw camera files of ten frames each, derived from ``embeddings``, with their metadata and position texts:
+    4 x 16 frames of an 8 x 32 sensor binned by 2, with headers that count on from file to file."""
+    from skyloom.functions import pixels
+
+    one = frames(spark, sf_dir).select((F.col("frame_idx") + 70_000).alias("raw"), F.floor(F.col("frame_idx") / 10).alias("file"), "px")
+    word = lambda v: F.unhex(F.concat(F.lpad(F.hex(v % 256), 2, "0"), F.lpad(F.hex(F.floor(v / 256)), 2, "0")))
+    whole = F.concat(pixels.as_unsigned_16(F.col("px")), word(F.floor(F.col("raw") / 65536)), word(F.col("raw") % 65536))
+    name = F.concat(F.lit("/raw/x_CamSer"), F.lpad(F.col("file").cast("string"), 6, "0"))
+    grouped = one.select("file", F.struct("raw", whole.alias("bytes")).alias("frame")).groupBy("file").agg(F.array_sort(F.collect_list("frame")).alias("frames"))
+    joined = F.unhex(F.array_join(F.transform("frames", lambda f: F.hex(f.bytes)), ""))
+    files = grouped.select(F.concat(name, F.lit(".DMCdata")).alias("path"), joined.alias("content"))
+    xml = grouped.select(F.concat(name, F.lit(".xml")).alias("path"), F.lit("<p><horizpixels>32</horizpixels><vertpixels>8</vertpixels><binning>2</binning><kineticrate>0.5</kineticrate></p>").alias("value"))
+    nmea = grouped.select(F.concat(name, F.lit(".nmea")).alias("path"), F.lit("$GPGGA,1\n$GPRMC,070000,V,,,,,,,110413\n$GPRMC,070001,A,65.1,N,147.4,W,0,0,110413,,*1\n").alias("value"))
+    return files, xml, nmea
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Acquisition logs, one for each user, derived from ``events``."""
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")

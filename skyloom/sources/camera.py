@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from skyloom import schema
-from skyloom.functions import pixels, timefmt
+from skyloom.functions import timefmt
 
 COMPANIONS = (".xml", ".nmea")
 
@@ -15,10 +20,21 @@ def listing(spark: SparkSession, folder: str, suffix: str = ".h5", prune: list[s
     """``path`` of files below a folder, whatever the store; contents aren't read."""
     from skyloom.operators.manifest import prune as without
 
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(folder).select("path")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(folder).select(as_path(F.col("path")).alias("path"))
     return without(found, prune or [])
 
 
+def as_path(path: Column) -> Column:
+    """Local paths begin in one way, whichever reader names them."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def recordings(spark: SparkSession, folder: str) -> DataFrame:
+    """``path`` of the recording tables below ``.../HDF/<day>/<camera>/``: folders ``<stem>.parquet``, as ``sinks.write_recording`` makes them."""
+    table = F.regexp_extract("path", r"^(.*/HDF/\d{4}-\d\d-\d\d/[^/]+/[^/]+\.parquet)/", 1)
+    return listing(spark, folder, ".parquet").select(table.alias("path")).where("path <> ''").distinct()
+
+
 def single(paths: DataFrame) -> str:
     """The one path of a folder's listing."""
     found = [r[0] for r in paths.limit(2).collect()]
@@ -34,9 +50,20 @@ def volume(names: DataFrame, key: str) -> str:
     return single(names.where(F.lower("name").contains(key.lower())).select("name"))
 
 
-def frame_table(spark: SparkSession, path: str) -> DataFrame:
-    """A recording table; pixels are read only where they're used."""
-    return spark.read.schema(schema.FRAME).parquet(path)
+def frame_table(spark: SparkSession, *paths: str, by_path: bool = False) -> DataFrame:
+    """Recording tables; pixels are read only where they're used, and slices where they were stored. With ``by_path``
+    a table is one recording, named by its path, and files that can't be read are left out."""
+    stored = spark.read.parquet(paths[0]).columns
+    kinds = StructType([*schema.FRAME.fields, *[f for f in schema.SLICES.fields if f.name in stored]])
+    if not by_path:
+        return spark.read.schema(kinds).parquet(*paths)
+    reader = spark.read.schema(StructType([f for f in kinds if f.name != "rec_id"])).option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")
+    return reader.parquet(*paths).withColumn("rec_id", table_of(F.col("_metadata.file_path")))
+
+
+def table_of(path: Column) -> Column:
+    """The recording table that a file is in, as ``recordings`` names it."""
+    return F.regexp_extract(as_path(path), r"^(.*?\.parquet)/", 1)
 
 
 def missing_companions(files: DataFrame, suffix: str = ".DMCdata") -> DataFrame:
@@ -51,42 +78,82 @@ def require_companions(files: DataFrame, suffix: str = ".DMCdata") -> None:
         raise FileNotFoundError(f"{bad['path']} has no {bad['missing']} file")
 
 
-def xml_params(spark: SparkSession, path: str) -> DataFrame:
-    """``path, horiz_pixels, vert_pixels, binning, kinetic_rate`` of camera metadata."""
-    text = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+def texts(spark: SparkSession, path: str) -> DataFrame:
+    """``path, value`` of whole text files."""
+    return spark.read.option("wholetext", "true").text(path).select(as_path(F.col("_metadata.file_path")).alias("path"), "value")
+
+
+def xml_params(files: DataFrame) -> DataFrame:
+    """``path, horiz_pixels, vert_pixels, binning, kinetic_sec`` of camera metadata (``path, value``)."""
     number = lambda tag: F.regexp_extract("value", rf"<{tag}[^>]*>\s*([-+.\deE]+)\s*</{tag}>", 1).try_cast("double")
-    return text.select("path", *[number(tag).cast(kind).alias(name) for tag, name, kind in (("horizpixels", "horiz_pixels", "int"), ("vertpixels", "vert_pixels", "int"), ("binning", "binning", "int"), ("kineticrate", "kinetic_rate", "double"))])
+    return files.select("path", *[number(tag).cast(kind).alias(name) for tag, name, kind in (("horizpixels", "horiz_pixels", "int"), ("vertpixels", "vert_pixels", "int"), ("binning", "binning", "int"), ("kineticrate", "kinetic_sec", "double"))])
 
 
-def nmea_start(spark: SparkSession, path: str) -> DataFrame:
-    """``path, start_utc``: the time of the first valid GPRMC sentence, in Unix seconds."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+def nmea_start(files: DataFrame) -> DataFrame:
+    """``path, start_utc``: the time of the first valid GPRMC sentence of a text (``path, value``), in Unix seconds."""
+    lines = files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
     part = F.split("line", ",")
     sentences = lines.where(F.col("line").rlike(r"^\$GPRMC,\d{6}") & (F.get(part, F.lit(2)) == "A"))
     moment = F.try_to_timestamp(F.concat(F.get(part, F.lit(9)), F.substring(F.get(part, F.lit(1)), 1, 6), F.lit("+0000")), F.lit("ddMMyyHHmmssZ"))
     return sentences.groupBy("path").agg(F.min_by(F.unix_micros(moment) / F.lit(1e6), "pos").alias("start_utc"))
 
 
-def merged(user: dict, from_file: dict) -> dict:
-    """Parameters, those from the file over the user's."""
-    return {**user, **from_file}
+def with_params(files: DataFrame, xml: DataFrame, nmea: DataFrame, user: dict | None = None, override: dict | None = None) -> DataFrame:
+    """Raw files (``path, content``) with the columns of ``schema.CAMERA``: what the companions of the same stem say
+    (``xml_params``, ``nmea_start``) goes over ``user`` and ``schema.CAMERA_DEFAULTS``, and ``override`` over all.
+    Files without what has no default have nulls."""
+    stem = timefmt.with_suffix(F.col("path"), "")
+    said = files.withColumn("stem", stem).join(xml.withColumn("stem", stem).drop("path"), "stem", "left").join(nmea.withColumn("stem", stem).drop("path"), "stem", "left")
+    given, kinds = {**schema.CAMERA_DEFAULTS, **(user or {})}, {f.name: f.dataType for f in schema.CAMERA}
+    value = lambda c: F.coalesce(F.lit((override or {}).get(c)).cast(kinds[c]), *([F.col(c)] if c in said.columns else []), F.lit(given.get(c)).cast(kinds[c]))
+    return said.select("path", "content", *[value(c).alias(c) for c in kinds])
 
 
-def raw_frames(files: DataFrame, height: int, width: int, header_bytes: int = 4, start_utc: float = 0.0, kinetic_sec: float = 1.0, first_raw: int = 1) -> DataFrame:
-    """Frames of raw files (``path, content``): each frame's pixels (16 bits, little
-    end first), then its header bytes, which hold nothing that is used here. Frame
-    numbers count from ``first_raw`` without gaps; frame 1 is at ``start_utc``.
+def raw_frames(files: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
+    """``rec_id, frame_idx, raw_idx, ut, height, width, px`` of raw files (``path, content`` and the columns of
+    ``schema.CAMERA``): each frame's pixels (unsigned, 16 bits, little end first) binned as the camera did, then its header bytes. A header of four
+    bytes or more holds the frame's raw number (two 16-bit words, the high one first); the file's frames follow the first one's number without gaps,
+    from 1 where there is no header. Raw frame 1 is at ``start_utc``. Frames are transposed, then turned counter-clockwise
+    by ``rot_ccw`` degrees (whole quarters), flipped up-down, and flipped left-right, as far as asked for. A last frame that isn't whole is left out.
 
-    A file is a row, so that one file is decoded in one task; long recordings come as many files.
+    A file is a row and its frames leave the task in batches; long recordings come as many files.
     """
-    size = height * width * 2 + header_bytes
-    n = F.floor(F.octet_length("content") / size).cast("int")
-    cut = files.where(F.octet_length("content") >= size).select("path", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("content"), i * size + 1, F.lit(height * width * 2)))).alias("i", "raw"))
-    raw = F.col("i") + first_raw
-    return cut.select(
-        timefmt.stem(F.col("path")).alias("rec_id"), F.col("i").cast("long").alias("frame_idx"), (F.lit(float(start_utc)) + (raw - 1) * F.lit(float(kinetic_sec))).alias("ut"),
-        F.lit(height).alias("height"), F.lit(width).alias("width"), pixels.unsigned_16(F.col("raw"), F.lit(height * width)).alias("px"),
-    )
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                data = np.frombuffer(row["content"] or b"", np.uint8)
+                h, w, head = row["vert_pixels"] // row["binning"], row["horiz_pixels"] // row["binning"], row["header_bytes"]
+                size = 2 * h * w + head
+                n = len(data) // size
+                frames = data[: n * size].reshape(n, size)
+                first = 1
+                if head >= 4 and n:
+                    high, low = frames[0, 2 * h * w :][:4].view("<u2").tolist()
+                    first = high << 16 | low
+                step = max(1, batch_bytes // max(1, 4 * h * w))
+                for s in range(0, n, step):
+                    px = frames[s : s + step, : 2 * h * w].copy().view("<u2").reshape(-1, h, w).astype(np.int32)
+                    if row["transpose"]:
+                        px = px.transpose(0, 2, 1)
+                    px = np.rot90(px, row["rot_ccw"] // 90, axes=(1, 2))
+                    px = px[:, ::-1] if row["flip_ud"] else px
+                    px = px[:, :, ::-1] if row["flip_lr"] else px
+                    m, height, width = px.shape
+                    at = np.arange(s, s + m)
+                    columns = {"path": pa.array([row["path"]] * m), "frame_idx": pa.array(at), "raw_idx": pa.array(first + at), "ut": pa.array(row["start_utc"] + (first + at - 1) * row["kinetic_sec"])}
+                    columns |= {"height": pa.array([height] * m, pa.int32()), "width": pa.array([width] * m, pa.int32())}
+                    columns["px"] = pa.ListArray.from_arrays(np.arange(m + 1, dtype=np.int32) * (height * width), np.ascontiguousarray(px).reshape(-1))
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    kinds = "path string, frame_idx long, raw_idx long, ut double, height int, width int, px array<int>"
+    found = files.select("path", "content", *schema.CAMERA.names).mapInArrow(decode, kinds)
+    return found.select(timefmt.stem(F.col("path")).alias("rec_id"), *[c for c in found.columns if c != "path"])
+
+
+def raw_ranges(frames: DataFrame) -> DataFrame:
+    """``rec_id, first_raw, last_raw, n``: the raw numbers that recordings cover, without reading pixels."""
+    return frames.groupBy("rec_id").agg(F.min("raw_idx").alias("first_raw"), F.max("raw_idx").alias("last_raw"), F.count("*").alias("n"))
 
 
 def log_start(lines: DataFrame) -> DataFrame:

@@ -8,14 +8,14 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.functions import timefmt
+from skyloom.functions import pixels, timefmt
 from skyloom.operators.keogram import with_slices
 
 
 def write_recording(frames: DataFrame, path: str, slices: bool = True) -> None:
     """A new recording table, by recording and in the order of time, so that time
     ranges skip row groups. An existing one isn't overwritten."""
-    rows = with_slices(frames) if slices else frames
+    rows = with_slices(frames.withColumn("px", pixels.checked(F.col("px")))) if slices else frames
     rows.repartitionByRange("rec_id", "ut").sortWithinPartitions("rec_id", "ut").write.mode("errorifexists").partitionBy("rec_id").parquet(path)
 
 

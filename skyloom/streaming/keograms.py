@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from skyloom.operators.keogram import _axis
 
 
-def means(stream: DataFrame, axis: str, width: float = 60.0, late: str | None = None) -> DataFrame:
-    """``rec_id, start, pos, mean``; frames later than ``late`` are left out if it's given."""
-    rows = stream.withColumn("ts", F.timestamp_seconds("ut"))
+def means(stream: DataFrame, axis: str, width: float = 60.0, late: str | None = None, span: float = 3600.0) -> DataFrame:
+    """``rec_id, start, pos, mean``; frames later than ``late`` are left out if it's given, and frames beyond an hour's first ``span`` seconds."""
+    hour = F.floor(F.col("ut") / 3600) * F.lit(3600.0)
+    rows = stream.where((F.col("ut") >= hour) & (F.col("ut") < hour + span)).withColumn("ts", F.timestamp_seconds("ut"))
     if late:
         rows = rows.withWatermark("ts", late)
     window = F.window("ts", f"{width} seconds")
@@ -25,6 +26,12 @@ def means(stream: DataFrame, axis: str, width: float = 60.0, late: str | None =
     return found.groupBy("rec_id", "w", "pos").agg((F.sum("v") / F.count("v")).alias("mean")).select("rec_id", (F.unix_micros("w.start") / F.lit(1e6)).alias("start"), "pos", "mean")
 
 
+def count_means(stream: DataFrame, axis: str, per_bin: int) -> DataFrame:
+    """``rec_id, bin, pos, mean`` of each ``per_bin`` frames by their number, whatever the order of arrival; the last bin is a mean of what it has."""
+    rows = stream.select("rec_id", F.floor(F.col("frame_idx") / per_bin).alias("bin"), F.posexplode(_axis(stream, axis)).alias("pos", "v"))
+    return rows.groupBy("rec_id", "bin", "pos").agg((F.sum("v") / F.count("v")).alias("mean"))
+
+
 def run_to_end(stream: DataFrame, out: str, checkpoint: str, mode: str = "complete") -> DataFrame:
     """All of the input there is, as one table; ``complete`` rewrites it with each batch."""
 
