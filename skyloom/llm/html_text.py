@@ -1,22 +1,30 @@
 """Main text of web pages by removal of site templates.
 
-1. Each page is parsed once, in its task, into the text blocks of its content: the
-   ``article`` elements, else ``main``, else the body, without what their tag, role
-   or class says is menu, header, footer, sidebar, notice, advert, form, script,
-   style or reader comment. Each block carries the hashes of the element subtrees
-   around it. Blocks are written down, so that pages are parsed once.
+1. Each page is parsed once, in its task, into blocks of text. Every element that ends
+   blocks has a subtree hash (tag, texts, inner hashes), whatever it is. An element whose
+   class or id consists of words for page furniture (``NAMES``: ``ad``, ``site-footer``) also has a
+   shape hash (tag, names, role; not its texts), by which adverts and menus that differ
+   from page to page are one subtree.
 2. Spark counts, per host, on how many different pages each subtree recurs. Pages
-   whose article is the same count once, so that copies of an article don't turn it
+   whose content is the same count once, so that copies of an article don't turn it
    into a template.
 3. A subtree on at least ``SHARE`` of a host's pages, and on ``MIN_PAGES`` at least,
-   is template, and its blocks go.
+   is template; a shape is on ``MIN_PAGES`` pages. All their blocks go. A host of fewer
+   different pages can't show that a shape recurs: there, its name decides.
+
+What the HTML standard itself says is no content (navigation, header, footer, aside, form,
+script, style, hidden elements, landmark roles) goes on any host, and, of what is left, the text of
+``article`` elements, else of ``main``, else of the body is kept. No name drops anything by itself
+on a host with enough pages, and a name counts only if all its words are furniture
+(``post-with-sidebar``, ``article-header`` and ``share-results`` are none).
 
 A common host is counted with partial sums, and its pages are never gathered. A host
-has at most ``1 / SHARE`` times as many templates as an average page has elements.
+has at most ``1 / SHARE`` times as many text templates as an average page has elements.
 
 Null html is empty; pages without url share the empty host. Unclosed and stray tags
 are closed or skipped as browsers do; undecodable references stay as they are. White
-space is Unicode's. Repeated rows are each a page. Extra columns are ignored.
+space is Unicode's. Repeated rows are each a page. Pages are parsed whole, in time linear in their
+length, however long. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +33,13 @@ import hashlib
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import materialise, read
+from skyloom.llm.common import bound_batches, materialise, read
 from skyloom.llm.url_filter import host_of
 
 SHARE, MIN_PAGES = 0.5, 10
@@ -47,36 +56,54 @@ BLOCK = frozenset(
 #: Elements that are never content.
 DROPPED = frozenset("head nav header footer aside form script style textarea title noscript template iframe button select menu dialog svg canvas object embed audio video xmp noembed noframes datalist".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert dialog form".split())
-#: Words in a class or id that say that an element isn't content.
-DROPPED_NAMES = frozenset(
+#: Words for page furniture, in classes and ids.
+NAMES = frozenset(
     "ad ads advert advertisement adverts advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert menu menus nav navbar navigation breadcrumb breadcrumbs sidebar sidebars aside header masthead footer comment comments respond disqus share sharing social newsletter subscribe subscription popup modal overlay related recommended widget form login signup search pagination pager skip toolbar".split()
 )
-#: First words of names that say what a page has, not what an element is (``has-sidebar``).
-LAYOUT = frozenset("has with no without is".split())
+#: Words that may stand beside them in a name without making it another thing.
+BESIDE = frozenset("site page main global top bottom left right primary secondary box bar block list links link item items container wrapper wrap inner outer area section slot unit desktop mobile sticky fixed".split())
 #: What opening one of these closes, if it is open, before anything else is opened.
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dd": ("dd dt", ("dl",)), "dt": ("dd dt", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
-_NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_ATTRIBUTES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+
+@dataclass(frozen=True)
+class Rules:
+    """Tags and roles that are no content by the standard, and words that make a name furniture."""
+
+    tags: frozenset[str] = DROPPED
+    roles: frozenset[str] = DROPPED_ROLES
+    names: frozenset[str] = NAMES
+
 
+STANDARD = Rules()
 
-def _is_dropped(tag: str, attributes: str) -> bool:
-    if tag in DROPPED:
-        return True
+
+def _is_furniture(name: str, names: frozenset[str]) -> bool:
+    words = [w.lower() for w in _WORDS.findall(name)]
+    return not names.isdisjoint(words) and all(w in names or w in BESIDE for w in words)
+
+
+def _said(tag: str, attributes: str, rules: Rules) -> tuple[bool, int]:
+    """Whether the standard says that an element isn't content, and its shape hash (0: its names say nothing)."""
+    if tag in rules.tags:
+        return True, 0
     if not attributes or tag in ("html", "body"):
-        return False
-    for name, *values in _NAMES.findall(attributes):
-        value, name = "".join(values).lower(), name.lower()
+        return False, 0
+    names, role = [], ""
+    for name, *values in _ATTRIBUTES.findall(attributes):
+        value, name = "".join(values).lower() if name.lower() not in ("class", "id") else "".join(values), name.lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "role" and value in DROPPED_ROLES:
-            return True
-        if name in ("class", "id"):
-            for words in map(_WORDS.findall, value.split()):
-                if words and words[0] not in LAYOUT and not DROPPED_NAMES.isdisjoint(words):
-                    return True
-    return False
+            return True, 0
+        if name == "role":
+            role = value
+        elif name in ("class", "id"):
+            names += value.split()
+    furniture = {n.lower() for n in names if _is_furniture(n, rules.names)}
+    return role in rules.roles, _hash("shape", tag, role, *sorted(furniture)) if furniture else 0
 
 
 def _hash(*parts: str) -> int:
@@ -84,42 +111,50 @@ def _hash(*parts: str) -> int:
 
 
 class _Element:
-    __slots__ = ("tag", "dropped", "region", "inside", "hash")
+    __slots__ = ("tag", "block", "dropped", "region", "shape", "inside", "hash")
+
+    def __init__(self, tag: str, block: bool, dropped: bool, region: int, shape: int):
+        self.tag, self.block, self.dropped, self.region, self.shape, self.inside, self.hash = tag, block, dropped, region, shape, [], 0
 
-    def __init__(self, tag: str, dropped: bool, region: int):
-        self.tag, self.dropped, self.region, self.inside, self.hash = tag, dropped, region, [], 0
 
+@dataclass
+class Page:
+    """``blocks``: the content's texts, each with the hashes of the subtrees around it, inner first;
+    ``whole``: the hash of the content; ``subtrees`` and ``shapes`` of the whole page, content or not."""
 
-def parse(page: str | None) -> tuple[list[tuple[str, list[int]]], int]:
-    """The content's blocks, each with its text and the hashes of the subtrees around
-    it (inner first), and the hash of the content as a whole."""
+    blocks: list[tuple[str, list[int]]]
+    whole: int
+    subtrees: list[int]
+    shapes: list[int]
+
+
+def parse(page: str | None, rules: Rules = STANDARD) -> Page:
     page = page or ""
-    root = _Element("", False, 0)
-    stack, blocks, held, regions = [root], [], [], 0
+    root = _Element("", True, False, 0, 0)
+    stack, blocks, held = [root], [], []
+    subtrees, shapes = {}, {}  # in order, without repeats
 
     def flush() -> None:
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            top = stack[-1]
-            blocks.append((text, [e for e in reversed(stack) if e.tag in BLOCK], top.region))
-            for e in reversed(stack):  # inline elements have no hash of their own
-                if e.tag in BLOCK or e is root:
-                    e.inside.append(text)
-                    break
+            around = [e for e in stack if e.block]
+            around[-1].inside.append(text)
+            if not around[-1].dropped:
+                blocks.append((text, around[:0:-1], around[-1].region))
 
     def close() -> None:
-        if stack[-1].tag in BLOCK:
-            flush()
-            e = stack.pop()
-            e.hash = _hash(e.tag, *e.inside)
-            if e.inside:
-                for up in reversed(stack):
-                    if up.tag in BLOCK or up is root:
-                        up.inside.append(f"{e.hash:x}")
-                        break
-        else:
+        if not stack[-1].block:
             stack.pop()
+            return
+        flush()
+        e = stack.pop()
+        if e.inside:
+            e.hash = _hash(e.tag, *e.inside)
+            subtrees[e.hash] = None
+            if e.shape:
+                shapes[e.shape] = None
+            next(up for up in reversed(stack) if up.block).inside.append(f"{e.hash:x}")
 
     def close_to(tags, barriers=()) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -133,7 +168,9 @@ def parse(page: str | None) -> tuple[list[tuple[str, list[int]]], int]:
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
-        if not stack[-1].dropped and (m.start() if m else n) > at:
+        # what the standard leaves out of a line of text isn't in its block, nor a block
+        silent = stack[-1].dropped and not next(e for e in reversed(stack) if e.block).dropped
+        if not silent and (m.start() if m else n) > at:
             held.append(html.unescape(page[at : m.start() if m else n]))
         if not m:
             break
@@ -163,54 +200,62 @@ def parse(page: str | None) -> tuple[list[tuple[str, list[int]]], int]:
             over = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = over.end() if over else n
             continue
-        above = stack[-1]
-        region = above.region
-        if not above.dropped and tag in ("article", "main"):
+        above, (no_content, shape) = stack[-1], _said(tag, attributes, rules)
+        dropped, region = above.dropped or no_content, above.region
+        if not dropped and tag in ("article", "main"):
             region = max(region, 2 if tag == "article" else 1)
-            regions = max(regions, region)
-        stack.append(_Element(tag, above.dropped or _is_dropped(tag, attributes), region))
+        if shape and tag not in BLOCK:  # a named inline element may be template: it's a block of its own
+            flush()
+        stack.append(_Element(tag, tag in BLOCK or bool(shape), dropped, region, shape))
     while len(stack) > 1:
         close()
     flush()
-    own = [(text, [e.hash for e in around]) for text, around, region in blocks if region >= regions]
-    return own, _hash(*[text for text, _ in own])
+    regions = max((region for _, _, region in blocks), default=0)
+    own = [(text, [h for e in around for h in (e.hash, e.shape) if h]) for text, around, region in blocks if region == regions]
+    return Page(own, _hash(*[text for text, _ in own]), list(subtrees), list(shapes))
 
 
-def blocks_of(pages: DataFrame) -> DataFrame:
-    """``page_id, url, host, whole, blocks array<struct<text,around>>`` of every page."""
+def blocks_of(pages: DataFrame, rules: Rules = STANDARD) -> DataFrame:
+    """``page_id, url, host, whole, subtrees, shapes, blocks array<struct<text,around>>`` of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))
         for batch in batches:
-            whole, blocks = [], []
-            for page in batch.column(3).to_pylist():
-                own, h = parse(page)
-                whole.append(h)
-                blocks.append([{"text": t, "around": a} for t, a in own])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(whole, pa.int64()), pa.array(blocks, kind)], names=["page_id", "url", "host", "whole", "blocks"])
+            parsed = [parse(page, rules) for page in batch.column(3).to_pylist()]
+            columns = {"whole": pa.array([p.whole for p in parsed], pa.int64())}
+            columns |= {c: pa.array([getattr(p, c) for p in parsed], pa.list_(pa.int64())) for c in ("subtrees", "shapes")}
+            columns["blocks"] = pa.array([[{"text": t, "around": a} for t, a in p.blocks] for p in parsed], kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns.values()], names=["page_id", "url", "host", *columns])
 
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
-    return rows.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, host string, whole long, blocks array<struct<text:string,around:array<long>>>")
+    bound_batches(pages.sparkSession)
+    return rows.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, host string, whole long, subtrees array<long>, shapes array<long>, blocks array<struct<text:string,around:array<long>>>")
 
 
 def templates_of(blocks: DataFrame, share: float = SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``host, subtree``: subtrees on at least ``share`` of a host's different pages, and on ``min_pages`` at least."""
-    different = blocks.select("host", "whole", F.array_distinct(F.flatten(F.transform("blocks", lambda b: b.around))).alias("subtrees"))
-    different = different.groupBy("host", "whole").agg(F.first("subtrees").alias("subtrees"))
-    sizes = different.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    found = different.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("held")).where(F.col("held") >= min_pages)
-    return found.join(sizes, "host").where(F.col("held") >= share * F.col("pages")).select("host", "subtree")
-
-
-def extract(pages: DataFrame, share: float = SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
+    """``host, subtree``: subtrees on at least ``share`` of a host's different pages, and on ``min_pages``
+    at least; shapes on ``min_pages``, or on any page of a host that has fewer."""
+    # of pages with one content, always the same one counts
+    one = F.min(F.struct(F.xxhash64("subtrees", "shapes"), "subtrees", "shapes")).alias("one")
+    different = blocks.groupBy("host", "whole").agg(one).select("host", "one.subtrees", "one.shapes")
+    sizes = different.groupBy("host").agg(F.count("*").alias("pages"))
+    marked = lambda hashes, named: F.transform(hashes, lambda h: F.struct(h.alias("subtree"), F.lit(named).alias("named")))
+    every = different.select("host", F.inline(F.concat(marked("subtrees", False), marked("shapes", True))))
+    found = every.groupBy("host", "subtree", "named").agg(F.count("*").alias("held")).where(F.col("named") | (F.col("held") >= min_pages))
+    held, pages = F.col("held"), F.col("pages")
+    recurs = F.when(F.col("named"), (held >= min_pages) | (pages < min_pages)).otherwise(held >= share * pages)
+    return found.join(sizes, "host").where(recurs).select("host", "subtree")
+
+
+def extract(pages: DataFrame, share: float = SHARE, min_pages: int = MIN_PAGES, rules: Rules = STANDARD) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
-    blocks = materialise(blocks_of(pages))
+    blocks = materialise(blocks_of(pages, rules))
     templates = materialise(templates_of(blocks, share, min_pages))
-    by_host = templates.groupBy("host").agg(F.collect_list("subtree").alias("subtrees"))
+    by_host = templates.groupBy("host").agg(F.collect_list("subtree").alias("templates"))
     if templates.count() <= BROADCAST_TEMPLATES:
         by_host = F.broadcast(by_host)
-    rows = blocks.join(by_host, "host", "left")
-    kept = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b.around, F.col("subtrees")), F.lit(False)))
+    rows = blocks.select("page_id", "url", "host", "blocks").join(by_host, "host", "left")
+    kept = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b.around, F.col("templates")), F.lit(False)))
     text = F.array_join(F.transform(kept, lambda b: b.text), "\n")
     return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
