@@ -6,12 +6,16 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space as the line, word and block rules of these operators use it.
 BLANKS = " \t\n\x0b\x0c\r"
 #: Bytes of an Arrow batch, where the session doesn't say: batches of 10,000 rows hold too much of long texts.
 BATCH_BYTES = 4 << 20
 
+#: Keys more common than one in so many rows are cut into pieces.
+HOT_KEYS = 1000
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -46,5 +50,18 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], often: str, total: int, spread_by: list[str]) -> DataFrame:
+    """The inner join on ``keys``, which aren't null and of which ``right`` has each once, with ``often``: how many of
+    the ``total`` rows of ``left`` have it at most. A key that more than one in ``HOT_KEYS`` rows have is cut into pieces, over
+    which its rows are dealt by ``spread_by``; there are less than ``HOT_KEYS`` such keys, so that they can be broadcast."""
+    most = max(1, total // HOT_KEYS)
+    pieces = F.ceil(F.col(often) / most)
+    hot = right.where(F.col(often) > most).select(*keys, pieces.alias("pieces"))
+    dealt = F.when(F.col("pieces").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(*spread_by), F.col("pieces")))
+    left = left.join(F.broadcast(hot), keys, "left").withColumn("piece", dealt).drop("pieces")
+    right = right.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(pieces, F.lit(1).cast("long")) - 1)))
+    return left.join(right, [*keys, "piece"]).drop("piece")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

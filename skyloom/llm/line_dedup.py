@@ -5,40 +5,48 @@ in the tables a key is the pair of its two 64-bit hashes (128 bits: that two key
 10**12 meet has a chance below 10**-14). Only keys of ``MIN_CHARS`` code points or
 more are kept.
 
-* ``postings``: one row (key, document). The exact state: inserting documents adds
-  rows, deleting documents removes theirs, and counts follow.
-* ``counts``: documents per key and the largest of their ids, for keys of at least
-  ``MIN_DOCS`` documents, from two-level counting, so that a key that a third of all
-  documents hold is counted where it is read, not in one task.
-* ``filters``: cuckoo filters of those keys, one row per shard of bounded size. They
-  take deletions, so that a key can be withdrawn when documents go.
+* ``postings``: one row (key, document), the exact state.
+* ``counts``: the exact references: documents per key and the largest of their ids.
+* ``filters``: cuckoo filters of the keys that ``min_docs`` documents or more hold, one row per shard of
+  bounded size. They take deletions, so that a key can be withdrawn when documents go.
+
+The three are stored by shard of the key. An insertion or deletion of documents changes the counts by what it
+adds and takes away, inserts into and deletes from the stored filters the keys that thereby pass ``min_docs`` up
+or down, and writes the shards that its keys fall into anew, under a new version; the other shards' files
+stay and are shared by the index before and the index after, both of which can be read.
+A filter that outgrows its capacity is built anew from its shard's counts.
 
 Lines are tested against the filters first; the few that pass (all repeated keys and
-a false share of about 2**-13) are confirmed by a join with the exact counts. Filters
-go to the tasks as a broadcast where their summed size, which is checked, is below
+a false share of about 2**-13) are confirmed by a join with the exact counts, in which common keys are cut into pieces.
+Filters go to the tasks as a broadcast where their summed size, which is checked, is below
 ``BROADCAST_BYTES``; else keys and filters meet by shard.
 
 Null and empty texts have one empty line. Rows with one doc_id are one document for
-counting. A null doc_id is a document smaller than all others. Extra columns are ignored.
+counting, and repeated lines of a document count once. A null doc_id is a document smaller than all others;
+ids are whole numbers (or cast to them). Texts are split whole, however long. An empty table gives no
+rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import BLANKS, materialise, read
+from skyloom.llm.common import BLANKS, materialise, read, shared_dir, spread_join
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys that one filter holds, on average.
 SHARD_KEYS = 200_000
+#: Files that a shard is written to at most, so that a common key's shard isn't written by one task.
+SPLIT = 4
 BROADCAST_BYTES = 64 << 20
 _STRIP = BLANKS.encode()
 
@@ -68,43 +76,65 @@ class CuckooFilter:
         self.tags = np.zeros((self.buckets, SLOTS), np.uint16)
         self.stash: list[int] = []
 
+    @classmethod
+    def of(cls, keys: np.ndarray) -> CuckooFilter:
+        """A filter of many keys: what finds room in one of its buckets is put there at once."""
+        out = cls(len(keys))
+        tag, first, second = out._places(np.asarray(keys, np.int64))
+        left = np.arange(len(keys))
+        for places in (first, second):
+            left = left[np.argsort(places[left], kind="stable")]
+            at = places[left]
+            _, begin, size = np.unique(at, return_index=True, return_counts=True)
+            slot = np.arange(len(at)) - np.repeat(begin, size) + (out.tags[at] != 0).sum(1)
+            fits = slot < SLOTS
+            out.tags[at[fits], slot[fits]] = tag[left[fits]]
+            left = left[~fits]
+        for key in np.asarray(keys, np.int64)[left].tolist():
+            out.insert(key)
+        return out
+
+    def capacity(self) -> int:
+        return int(self.buckets * SLOTS * 0.95)
+
     def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keys = keys.astype(np.uint64)
         tag = ((keys >> np.uint64(48)).astype(np.int64) % 65535 + 1).astype(np.uint16)
         first = (keys & np.uint64(self.buckets - 1)).astype(np.int64)
-        return tag, first, self._other(first, tag)
+        return tag, first, self._other(first, tag.astype(np.int64))
 
     def _other(self, bucket, tag):
-        return (bucket ^ (tag.astype(np.int64) * 0x5BD1E995 >> 7)) & (self.buckets - 1)
+        return (bucket ^ (tag * 0x5BD1E995 >> 7)) & (self.buckets - 1)
+
+    def _place(self, key: int) -> tuple[int, int, int]:
+        key &= (1 << 64) - 1
+        tag, first = (key >> 48) % 65535 + 1, key & (self.buckets - 1)
+        return tag, first, self._other(first, tag)
 
     def insert(self, key: int) -> None:
-        tag, a, b = (x[0] for x in self._places(np.array([key], np.int64)))
-        for at in (a, b):
-            free = np.flatnonzero(self.tags[at] == 0)
-            if len(free):
-                self.tags[at, free[0]] = tag
-                return
-        at = b
+        tag, a, b = self._place(int(key))
+        at = a
         for kick in range(KICKS):
-            slot = kick % SLOTS
-            tag, self.tags[at, slot] = self.tags[at, slot], tag
-            at = int(self._other(np.int64(at), tag))
-            free = np.flatnonzero(self.tags[at] == 0)
-            if len(free):
-                self.tags[at, free[0]] = tag
-                return
-        self.stash.append((int(at) << 16) | int(tag))
+            for place in (a, b) if not kick else (at,):
+                row = self.tags[place].tolist()
+                if 0 in row:
+                    self.tags[place, row.index(0)] = tag
+                    return
+            at, slot = (b if not kick else at), kick % SLOTS
+            tag, self.tags[at, slot] = int(self.tags[at, slot]), tag
+            at = self._other(at, tag)
+        self.stash.append(at << 16 | tag)
 
     def delete(self, key: int) -> bool:
         """Withdraw a key that was inserted."""
-        tag, a, b = (x[0] for x in self._places(np.array([key], np.int64)))
+        tag, a, b = self._place(int(key))
         for at in (a, b):
-            held = np.flatnonzero(self.tags[at] == tag)
-            if len(held):
-                self.tags[at, held[0]] = 0
+            row = self.tags[at].tolist()
+            if tag in row:
+                self.tags[at, row.index(tag)] = 0
                 return True
-            if (int(at) << 16) | int(tag) in self.stash:
-                self.stash.remove((int(at) << 16) | int(tag))
+            if at << 16 | tag in self.stash:
+                self.stash.remove(at << 16 | tag)
                 return True
         return False
 
@@ -128,7 +158,7 @@ class CuckooFilter:
         return out
 
 
-# -- the exact tables ---------------------------------------------------------
+# -- the stored tables --------------------------------------------------------
 
 
 def postings_of(docs: DataFrame) -> DataFrame:
@@ -149,25 +179,38 @@ def postings_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "k1 long, k2 long, doc_id long")
 
 
-def counts_of(postings: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``k1, k2, n_docs, last_doc`` of keys that enough documents hold."""
-    each = postings.withColumn("doc", F.struct("doc_id"))  # a struct, so that a null id counts
-    counts = each.groupBy("k1", "k2").agg(F.countDistinct("doc").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-    return counts.where(F.col("n_docs") >= min_docs)
+def counts_of(postings: DataFrame) -> DataFrame:
+    """``k1, k2, n_docs, last_doc`` of postings that are there once each."""
+    return postings.groupBy("k1", "k2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
 
 
-def filters_of(counts: DataFrame, n_keys: int) -> tuple[DataFrame, int]:
-    """``shard, filter``, and the number of shards."""
-    shards = max(1, -(-n_keys // SHARD_KEYS))
+def filters_of(keys: DataFrame) -> DataFrame:
+    """``shard, n_keys, filter`` for ``shard, k2``."""
 
     def build(lot: pd.DataFrame) -> pd.DataFrame:
-        held = CuckooFilter(len(lot))
-        for key in lot["k2"]:
-            held.insert(key)
-        return pd.DataFrame({"shard": [int(lot["shard"].iloc[0])], "filter": [held.to_bytes()]})
+        return pd.DataFrame({"shard": [int(lot["shard"].iloc[0])], "n_keys": [len(lot)], "filter": [CuckooFilter.of(lot["k2"].to_numpy()).to_bytes()]})
+
+    return keys.groupBy("shard").applyInPandas(build, FILTERS)
+
+
+def changed_filters(filters: DataFrame, changes: DataFrame) -> DataFrame:
+    """``filters`` of the shards of ``changes`` (``shard, k2, up boolean``) with those keys inserted or deleted;
+    a null ``filter`` where it would be too full."""
+
+    def change(held: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+        if not len(keys):
+            return pd.DataFrame({"shard": np.array([], np.int64), "n_keys": np.array([], np.int64), "filter": np.array([], object)})
+        up, down = (keys["k2"][keys["up"] == x].tolist() for x in (True, False))
+        one = CuckooFilter.from_bytes(held["filter"].iloc[0]) if len(held) else CuckooFilter(len(up))
+        n = (int(held["n_keys"].iloc[0]) if len(held) else 0) + len(up) - len(down)
+        for key in down:
+            one.delete(key)
+        if n <= one.capacity():
+            for key in up:
+                one.insert(key)
+        return pd.DataFrame({"shard": [int(keys["shard"].iloc[0])], "n_keys": [n], "filter": [one.to_bytes() if n <= one.capacity() else None]})
 
-    keyed = counts.select("k2", F.pmod("k1", F.lit(shards)).alias("shard"))
-    return keyed.groupBy("shard").applyInPandas(build, "shard long, filter binary"), shards
+    return filters.select("shard", "n_keys", "filter").groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(change, FILTERS)
 
 
 def candidates(postings: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
@@ -199,34 +242,104 @@ def candidates(postings: DataFrame, filters: DataFrame, shards: int) -> DataFram
     return salted.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(meet, postings.schema)
 
 
+POSTINGS, COUNTS, FILTERS = "k1 long, k2 long, doc_id long, shard long", "k1 long, k2 long, n_docs long, last_doc long, shard long", "shard long, n_keys long, filter binary"
+
+
 class LineIndex:
-    """The state: ``postings``, written in the shared folder. ``insert`` and
-    ``delete`` return a new index; ``drops`` says what goes where."""
+    """The state: three tables below ``root``, by shard and version. ``versions`` (``shard, version``) says which
+    version of a shard is this index's. ``insert`` and ``delete`` return a new index; ``drops`` says what goes where."""
 
-    def __init__(self, postings: DataFrame, min_docs: int = MIN_DOCS):
-        self.postings, self.min_docs = postings, min_docs
+    def __init__(self, root: str, versions: DataFrame, shards: int, min_docs: int = MIN_DOCS):
+        self.root, self.versions, self.shards, self.min_docs = root, versions, shards, min_docs
 
     @classmethod
     def of(cls, docs: DataFrame, min_docs: int = MIN_DOCS) -> LineIndex:
-        return cls(materialise(postings_of(docs)), min_docs)
+        found = materialise(postings_of(docs))
+        shards = max(1, -(-found.count() // SHARD_KEYS))
+        spark, version = docs.sparkSession, f"v{uuid.uuid4().hex}"
+        versions = spark.range(shards).select(F.col("id").alias("shard"), F.lit(version).alias("version"))
+        out = cls(f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}", versions, shards, min_docs)
+        out._write("postings", out._sharded(found).distinct(), version)
+        out._write("counts", out._sharded(counts_of(out.postings())), version)
+        out._write("filters", filters_of(out.counts().where(F.col("n_docs") >= min_docs).select("shard", "k2")), version)
+        return out
+
+    def _sharded(self, keyed: DataFrame) -> DataFrame:
+        return keyed.withColumn("shard", F.pmod("k1", F.lit(self.shards)))
+
+    def _write(self, name: str, rows: DataFrame, version: str) -> None:
+        rows.withColumn("version", F.lit(version)).repartition("shard", F.pmod(F.xxhash64(*rows.columns), F.lit(SPLIT))).write.mode("append").partitionBy("shard", "version").parquet(f"{self.root}/{name}")
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        rows = self.versions.sparkSession.read.schema(f"{schema}, version string").parquet(f"{self.root}/{name}")
+        return rows.join(self.versions, ["shard", "version"]).drop("version")
+
+    def postings(self) -> DataFrame:
+        return self._read("postings", POSTINGS)
+
+    def counts(self) -> DataFrame:
+        return self._read("counts", COUNTS)
+
+    def filters(self) -> DataFrame:
+        return self._read("filters", FILTERS)
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        return LineIndex(materialise(self.postings.unionByName(postings_of(docs))), self.min_docs)
+        """With these documents; what a document of the same id holds already isn't counted again."""
+        found = self._sharded(postings_of(docs)).distinct().alias("n")
+        return self._changed(materialise(found.join(self.postings().alias("p"), _same("n", "p"), "left_anti")), 1)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
+        """Without the documents of these ids."""
         gone = doc_ids.select(F.col("doc_id").cast("long").alias("gone")).distinct()
-        return LineIndex(materialise(self.postings.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")), self.min_docs)
+        return self._changed(materialise(self.postings().join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_semi")), -1)
+
+    def _changed(self, delta: DataFrame, sign: int) -> LineIndex:
+        """The index with the postings of ``delta`` added (1) or taken away (-1); only their shards are read and written."""
+        version, key = f"v{uuid.uuid4().hex}", ["shard", "k1", "k2"]
+        touched = materialise(delta.select("shard").distinct())
+        versions = self.versions.join(touched.select("shard", F.lit(version).alias("newer")), "shard", "left").select("shard", F.coalesce("newer", "version").alias("version"))
+        out = LineIndex(self.root, materialise(versions), self.shards, self.min_docs)
+
+        old = self.postings().join(touched, "shard", "left_semi")
+        out._write("postings", old.unionByName(delta) if sign > 0 else old.alias("p").join(delta.alias("n"), _same("p", "n"), "left_anti"), version)
+
+        moved = delta.groupBy(*key).agg((sign * F.count("*")).alias("more"), F.max("doc_id").alias("top"))
+        before = self.counts().join(touched, "shard", "left_semi")
+        both = before.join(moved, key, "full").withColumns({"n_old": F.coalesce("n_docs", F.lit(0)), "n_docs": F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))})
+        if sign > 0:
+            both = both.withColumn("last_doc", F.greatest("last_doc", "top"))
+        else:  # the largest id left, of keys that lost theirs
+            lost = both.where(F.col("more").isNotNull() & F.col("last_doc").eqNullSafe(F.col("top"))).select(*key)
+            left = out.postings().join(lost, key, "left_semi").groupBy(*key).agg(F.max("doc_id").alias("next"), F.lit(True).alias("lost"))
+            both = both.join(left, key, "left").withColumn("last_doc", F.when(F.col("lost"), F.col("next")).otherwise(F.col("last_doc")))
+        both = materialise(both.select(*key, "n_old", "n_docs", "last_doc"))
+        out._write("counts", both.where("n_docs > 0").drop("n_old"), version)
+
+        many = lambda c: F.col(c) >= self.min_docs
+        changes = both.where(many("n_old") != many("n_docs")).select("shard", "k2", many("n_docs").alias("up"))
+        held = self.filters().join(touched, "shard", "left_semi")
+        changed = materialise(changed_filters(held, changes))
+        same = held.join(changed.select("shard"), "shard", "left_anti")
+        full = changed.where("filter is null").select("shard")
+        anew = filters_of(both.where(many("n_docs")).join(full, "shard", "left_semi").select("shard", "k2"))
+        out._write("filters", changed.where("filter is not null").unionByName(same.select(changed.columns)).unionByName(anew), version)
+        return out
 
     def drops(self) -> DataFrame:
         """``doc_id, keys array<struct<k1,k2>>``: the keys whose lines a document loses."""
-        counts = materialise(counts_of(self.postings, self.min_docs))
-        filters, shards = filters_of(counts, counts.count())
-        passed = candidates(self.postings, materialise(filters), shards)
-        # the filter's false positives end here; a common key's postings are split by the join's skew handling
-        lose = passed.join(counts, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
+        counts = materialise(self.counts().where(F.col("n_docs") >= self.min_docs).select("k1", "k2", "n_docs", "last_doc"))
+        postings = self.postings().select("k1", "k2", "doc_id")
+        passed = candidates(postings, self.filters().select("shard", "filter"), self.shards)
+        # the filter's false positives end here
+        total = counts.agg(F.sum("n_docs")).first()[0] or 0
+        lose = spread_join(passed, counts, ["k1", "k2"], "n_docs", total, ["doc_id"]).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
         return lose.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("keys"))
 
 
+def _same(one: str, other: str) -> Column:
+    return F.expr(f"{one}.shard = {other}.shard and {one}.k1 = {other}.k1 and {one}.k2 = {other}.k2 and {one}.doc_id <=> {other}.doc_id")
+
+
 def _split(text: str | None, keys) -> tuple[int, list[bytes]]:
     lines = (text or "").encode().split(b"\n")
     gone = {(k["k1"], k["k2"]) for k in keys or ()}
