@@ -3,20 +3,24 @@
 A host is written backwards, label by label (``m.example.org`` is
 ``org.example.m.``), and a rule's prefix then is an interval of keys. A url has
 one point for each parent domain of its host: that domain's key and the path. All
-intervals nest or are disjoint, so that a sweep over the sorted keys needs no
-comparison of pairs: opening an interval puts its rule on top of the stack, closing
-it brings back the rule below, which is known beforehand (the longest rule that is
-a prefix of this one). The top at a point is the longest rule of that domain that
-fits; the longest over a url's domains wins.
+intervals nest or are disjoint, so that one sweep over the sorted keys finds what fits,
+with a stack of the rules that are open: a rule's first key pushes it, its last one pops it, and the top at a
+point is the longest rule of that domain that fits. The longest over a url's domains wins.
 
-Points are dealt to the sweep's partitions by their hash and the rules' bounds go
-to every partition, so that no host, however common, is swept by one task; only
-distinct urls are swept. The bounds' copies are rules x partitions.
+Points and bounds are dealt together by ranges of keys, which are written down; equal
+keys are dealt by a hash, so that no host or path, however common, is swept by one task.
+A range begins with the stack that the ranges before it leave: the rules whose key is a prefix of the
+range's first key, found by an equi-join on those prefixes. A rule is copied only to ranges that begin inside of it.
+The stack is held by levels: the depth is the running sum of pushes and pops, and the top at depth d the last
+rule that was pushed to d.
+
+Only distinct hosts and paths are swept. Pages get their verdict by a join in which common ones are cut into pieces.
 
 Null urls and such without ``://`` have empty host and path and no rule fits them;
 where none fits the verdict is ``allow``. Repeated rules count once; of two rules
 with one host and path ``block`` wins. Of fitting rules of equal length the one with the longer
-host wins. Extra columns of the pages are ignored.
+host wins. Rules that are null or have no host fit nothing. Repeated rows are each judged; urls are taken whole,
+however long. An empty table gives no rows. Extra columns of the pages are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +28,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import read, shuffle_partitions
+from skyloom.llm.common import materialise, read, shuffle_partitions, spread_join
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DEFAULT = "allow"
-#: Sorts between the host and the path of a key; below every character of a host or path.
+#: Between the host and the path of a key.
 BETWEEN = "\x01"
-#: Sorts after every continuation of a prefix.
-AFTER = "\U0010ffff"
+#: The byte, which no UTF-8 has, that sorts after every continuation of a prefix.
+AFTER = "FF"
+#: Kinds of events, in the order in which they come at one key.
+POP, PUSH, POINT = 0, 1, 2
 
 
 def host_of(url: Column) -> Column:
@@ -47,52 +53,57 @@ def _backwards(labels: Column) -> Column:
     return F.concat(F.array_join(F.reverse(labels), "."), F.lit("."))
 
 
-def bounds(spark: SparkSession, rules) -> DataFrame:
-    """``key, kind, rule, verdict, host_n``: where a rule opens (kind 1) and where
-    it closes (kind 0), each with the rule on top of the stack from there on."""
+def _key(domain: Column, path: Column) -> Column:
+    return F.encode(F.concat(domain, F.lit(BETWEEN), path), "utf-8")
+
+
+def keyed_rules(spark: SparkSession, rules) -> DataFrame:
+    """``key binary, top struct<n,host_n,rule,verdict>`` of each rule."""
     given = rules if isinstance(rules, DataFrame) else spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(v).alias("verdict"), F.lit(r).alias("rule")) for v, r in rules])))
     cut = F.locate("/", F.col("rule"))
-    rules = given.where(F.col("rule").isNotNull()).select(
+    parts = given.where(F.col("rule").isNotNull()).select(
         "rule", "verdict", F.when(cut > 0, F.substring("rule", F.lit(1), cut - 1)).otherwise(F.col("rule")).alias("host"),
         F.when(cut > 0, F.substring("rule", cut, F.length("rule"))).otherwise(F.lit("")).alias("path"),
     )
-    rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"), F.min("rule").alias("rule"))
-    rules = rules.withColumn("key", F.concat(_backwards(F.split("host", r"\.")), F.lit(BETWEEN), "path"))
-    # a rule's enclosing rule has the same host and the longest shorter path
-    shorter = rules.select("key", "host", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.length("path") - 1, F.lit(0))), lambda n: F.substring(F.col("path"), F.lit(1), n))).alias("path"), F.length("path").alias("own")).where(F.length("path") < F.col("own"))
-    above = shorter.join(rules.select("host", "path", F.struct(F.length("path").alias("n"), "rule", "verdict").alias("up")), ["host", "path"]).groupBy("key").agg(F.max("up").alias("up"))
-    both = rules.join(above, "key", "left")
-    top = lambda r, v, p: F.struct(r.alias("rule"), v.alias("verdict"), F.length("host").alias("host_n"), p.alias("path_n"))
-    opens = both.select("key", F.lit(1).alias("kind"), top(F.col("rule"), F.col("verdict"), F.length("path")).alias("top"))
-    closes = both.select(F.concat("key", F.lit(AFTER)).alias("key"), F.lit(0).alias("kind"), top(F.col("up.rule"), F.col("up.verdict"), F.col("up.n")).alias("top"))
-    return opens.unionByName(closes)
-
-
-def verdicts(urls: DataFrame, rules=RULES) -> DataFrame:
-    """``url, host, path, rule, verdict`` of every distinct url."""
-    spark = urls.sparkSession
-    parts = shuffle_partitions(spark)
-    urls = urls.select("url").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    labels = F.split("host", r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: _backwards(F.slice(labels, i, F.size(labels))))
-    points = urls.select("url", "host", "path", F.explode(domains).alias("domain"))
-    points = points.select(
-        F.concat("domain", F.lit(BETWEEN), "path").alias("key"), F.lit(2).alias("kind"), F.pmod(F.xxhash64("url", "domain"), F.lit(parts)).alias("part"),
-        F.struct("url", "host", "path").alias("point"),
-    )
-    edges = bounds(spark, rules).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("part", F.col("part").cast("long"))
-    sweep = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    swept = points.unionByName(edges, allowMissingColumns=True).withColumn("now", F.last("top", ignorenulls=True).over(sweep)).where(F.col("kind") == 2)
-    fits = F.struct((F.col("now.host_n") + F.col("now.path_n")).alias("n"), F.col("now.host_n").alias("host_n"), F.col("now.rule").alias("rule"), F.col("now.verdict").alias("verdict"))
-    best = swept.groupBy("point").agg(F.max(F.when(F.col("now.rule").isNotNull(), fits)).alias("best"))
-    return best.select("point.url", "point.host", "point.path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(DEFAULT)).alias("verdict"))
+    one = parts.where("host <> ''").groupBy("host", "path").agg(F.max("verdict").alias("verdict"), F.min("rule").alias("rule"))
+    top = F.struct((F.length("host") + F.length("path")).alias("n"), F.length("host").alias("host_n"), "rule", "verdict")
+    return one.select(_key(_backwards(F.split("host", r"\.")), F.col("path")).alias("key"), top.alias("top"))
+
+
+def sweep(points: DataFrame, rules: DataFrame, parts: int) -> DataFrame:
+    """``points`` (``key binary`` and others) with ``top``: the longest of the keyed ``rules`` that is a prefix of the key; null if none is."""
+    others = [c for c in points.columns if c != "key"]
+    pushes = rules.select("key", F.lit(PUSH).alias("kind"), "top")
+    pops = rules.select(F.concat("key", F.unhex(F.lit(AFTER))).alias("key"), F.lit(POP).alias("kind"))
+    events = points.withColumns({"kind": F.lit(POINT), "tie": F.xxhash64(*others)}).unionByName(pushes.unionByName(pops, allowMissingColumns=True), allowMissingColumns=True)
+    dealt = materialise(events.repartitionByRange(parts, "key", "kind", "tie").withColumn("part", F.spark_partition_id()))
+    # a range's first stack; a push that begins the range pushes itself
+    starts = dealt.groupBy("part").agg(F.min(F.struct("key", "kind")).alias("first"))
+    up_to = F.octet_length("first.key") - F.when(F.col("first.kind") == POINT, 0).otherwise(1)
+    prefixes = starts.where(up_to > 0).select("part", F.explode(F.transform(F.sequence(F.lit(1), up_to), lambda n: F.substring(F.col("first.key"), F.lit(1), n))).alias("key"))
+    open_ = prefixes.join(pushes, "key").select("key", "kind", "top", "part")
+    order = ["key", "kind", "tie"]
+    depth = F.sum(F.when(F.col("kind") == PUSH, 1).when(F.col("kind") == POP, -1).otherwise(0)).over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    level = Window.partitionBy("part", "depth").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    swept = dealt.unionByName(open_, allowMissingColumns=True).withColumn("depth", depth).withColumn("now", F.last("top", ignorenulls=True).over(level))
+    return swept.where(F.col("kind") == POINT).select("key", *others, F.when(F.col("depth") > 0, F.col("now")).alias("top"))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """``page_id, host, path, rule, verdict`` of every page."""
-    rows = pages.select("page_id", "url")
-    found = verdicts(rows, rules).withColumnRenamed("url", "seen")
-    return rows.join(found, rows["url"].eqNullSafe(found["seen"]), "left").select("page_id", "host", "path", "rule", "verdict")
+    spark = pages.sparkSession
+    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    seen = materialise(rows.where("host <> ''").groupBy("host", "path").agg(F.count("*").alias("often")))
+    labels = F.split("host", r"\.")
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: _backwards(F.slice(labels, i, F.size(labels))))
+    points = seen.withColumn("domain", F.explode(domains)).select(_key(F.col("domain"), F.col("path")).alias("key"), "host", "path", "often")
+    swept = sweep(points, materialise(keyed_rules(spark, rules)), shuffle_partitions(spark))
+    best = materialise(swept.groupBy("host", "path").agg(F.max("often").alias("often"), F.max("top").alias("best")))
+    total = best.agg(F.sum("often")).first()[0] or 0
+    judged = spread_join(rows.where("host <> ''"), best, ["host", "path"], "often", total, ["page_id"])
+    found = judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(DEFAULT)).alias("verdict"))
+    none = rows.where("host = ''").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(DEFAULT).alias("verdict"))
+    return found.unionByName(none)
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
