@@ -7,18 +7,23 @@ perturbed ones, in the order of the estimated success: the sum of squared distan
 to the bucket borders crossed. Candidates of all tables are merged and ranked by
 their exact cosine in double precision.
 
-How it is spread out: table rows are dealt by bucket into parts, and each part meets
-the queries' probes for it. A part is cut by rows where it would be larger than
-``PART_ROWS`` on average, and queries come in blocks of ``QUERY_BLOCK``, so that no
-bucket or set of queries has to fit into one task. Equal vectors are equally near,
+How it is spread out: table rows are dealt by bucket into parts of ``PART_ROWS`` on average, and
+each part meets the probes for it, of which there are about as many however large the table is.
+Within a part only the buckets that a query visits are multiplied with it. A part that holds more
+than ``LARGE`` times the average (a common bucket) is cut by rows, and its probes go to every cut;
+where a part has more than ``QUERY_BLOCK`` probes, they come in blocks. No bucket or set of
+queries has to fit into one task. Equal vectors are equally near,
 so that at most ``k + 1`` of them, the ones with the smallest ids, can be among a
 query's ``k`` nearest and its own: the others needn't be hashed, and a vector that a third of
 all rows hold fills no bucket.
 
+A query that has found fewer than ``k`` rows in its buckets (small tables, rare lengths, outliers)
+goes on to visit all rows of its length, so that it gets all candidates if they are fewer.
+
 Every row is indexed; the directions come from a seed, not from data. Vectors that are null or
 zero or hold null or non-finite components take no part, nor do rows with a null id.
-Vectors meet only those of their own length. Rows with one id count as one candidate (its nearest vector). Extra
-columns are ignored.
+Vectors meet only those of their own length. Rows with one id count as one candidate (its nearest vector). An
+empty table gives no rows. Extra columns are ignored.
 
 Where vectors have no near neighbours (independent random directions), half of all
 rows have to be visited for a recall of 0.9; ``hashes`` and ``probes`` are set for that.
@@ -37,9 +42,10 @@ from skyloom.llm.common import materialise, read
 
 TABLES, HASHES, WIDTH, PROBES = 4, 5, 1.1, 350
 QUERY_EVERY, K = 50, 5
-#: Table rows that one task compares with a block of queries, on average.
-PART_ROWS = 40_000
-QUERY_BLOCK = 4096
+#: Table rows of a part, and probes that meet them at once, on average; parts ``LARGE`` times as large are cut.
+PART_ROWS, QUERY_BLOCK, LARGE = 20_000, 8192, 4
+#: Scores that a task holds at once.
+CELLS = 2_000_000
 #: Scores within this of the last place are computed anew, in one fixed order of summing.
 NEAR = 1e-9
 
@@ -96,9 +102,58 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in column])
 
 
+def best_of(query: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the pairs that can be among a query's ``k`` best."""
+    order = np.lexsort((-score, query))
+    names, first, size = np.unique(query[order], return_index=True, return_counts=True)
+    last = score[order[first + np.minimum(size, k) - 1]]
+    return order[score[order] >= np.repeat(last, size) - NEAR]
+
+
+def visited(rows: pd.DataFrame, probes: pd.DataFrame, k: int) -> pd.DataFrame:
+    """``query_id, vec_id, score``: each query's ``k`` best among the rows of its buckets."""
+    rows = rows.sort_values("bucket", kind="stable")
+    names, starts = np.unique(rows["bucket"].to_numpy(), return_index=True)
+    ends = np.append(starts[1:], len(rows))
+    raw, ids = _matrix(rows["embedding"]), rows["vec_id"].to_numpy()
+    raw_q, ids_q = _matrix(probes["embedding"]), probes["query_id"].to_numpy()
+    x, q = unit(raw), unit(raw_q)
+    wanted = np.concatenate([np.asarray(b) for b in probes["buckets"]])
+    asking = np.repeat(np.arange(len(probes)), [len(b) for b in probes["buckets"]])
+    at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+    there = names[at] == wanted
+    at, asking = at[there], asking[there]
+    order = np.argsort(at, kind="stable")
+    at, asking = at[order], asking[order]
+    pairs, held = [np.zeros((3, 0))], 0
+    for bucket, visitors in zip(np.unique(at), np.split(asking, np.flatnonzero(np.diff(at)) + 1)):
+        for s in range(starts[bucket], ends[bucket], CELLS // 256):
+            e = min(ends[bucket], s + CELLS // 256)
+            for v in range(0, len(visitors), max(1, CELLS // (e - s))):
+                mine = visitors[v : v + max(1, CELLS // (e - s))]
+                score = q[mine] @ x[s:e].T
+                score[ids_q[mine][:, None] == ids[None, s:e]] = -2
+                floor = np.partition(score, -k, axis=1)[:, -k] if e - s > k else np.full(len(mine), -1.5)
+                i, j = np.nonzero(score >= np.maximum(floor - NEAR, -1.5)[:, None])
+                pairs.append(np.stack([mine[i], j + s, score[i, j]]))
+                held += len(i)
+        if held > CELLS:
+            every = np.concatenate(pairs, axis=1)
+            pairs = [every[:, best_of(every[0], every[2], k)]]
+            held = 0
+    every = np.concatenate(pairs, axis=1)
+    every = every[:, best_of(every[0], every[2], k)] if every.shape[1] else every
+    asked, row = every[:2].astype(np.int64)
+    out = [np.zeros(0)]
+    for s in range(0, len(row), 100_000):
+        out.append(cosine(raw_q[asked[s : s + 100_000]], raw[row[s : s + 100_000]]))
+    return pd.DataFrame({"query_id": ids_q[asked], "vec_id": ids[row], "score": np.concatenate(out)})
+
+
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each of ``queries`` (``vec_id, embedding``)
     the ``k`` nearest found among ``vectors`` but the row with its own id."""
+
     def clean(df: DataFrame) -> DataFrame:
         double = F.transform("embedding", lambda v: v.cast("double")).alias("embedding")
         return df.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long"), double)
@@ -109,22 +164,27 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, tables: int =
     distinct = materialise(distinct)
     n = distinct.count()
     asked = materialise(clean(queries).distinct())
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    n_asked = asked.count()
     parts = max(1, -(-n // PART_ROWS))
+    # a query has at most so many probes of a table: parts get fewer of all, the more there are
+    blocks = max(1, round(n_asked * min(1, probes / parts) / QUERY_BLOCK))
+
+    def lengths(lot: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame, np.ndarray]]:
+        for dim, own in lot.groupby(lot["embedding"].map(len)):
+            yield dim, own, unit(_matrix(own["embedding"]))
 
-    def hashed(lots: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hashed(lots: Iterator[pd.DataFrame], whole: bool) -> Iterator[pd.DataFrame]:
         for lot in lots:
-            for dim, own in lot.groupby(lot["embedding"].map(len)):
-                x = unit(_matrix(own["embedding"]))
+            for dim, own, x in lengths(lot):
                 for t in range(tables):
                     a, b = directions(t, dim, hashes, width)
                     bucket = bucket_ids(np.floor((x @ a + b) / width))
-                    yield pd.DataFrame({"tbl": t, "dim": dim, "part": bucket % parts, "bucket": bucket, "vec_id": own["vec_id"].to_numpy(), "embedding": own["embedding"].to_numpy()})
+                    key = pd.DataFrame({"tbl": t, "dim": dim, "part": bucket % parts})
+                    yield key.assign(bucket=bucket, vec_id=own["vec_id"].to_numpy(), embedding=own["embedding"].to_numpy()) if whole else key
 
     def probed(lots: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lot in lots:
-            for dim, own in lot.groupby(lot["embedding"].map(len)):
-                x = unit(_matrix(own["embedding"]))
+            for dim, own, x in lengths(lot):
                 ids, vectors = own["vec_id"].to_numpy(), own["embedding"].to_numpy()
                 for t in range(tables):
                     a, b = directions(t, dim, hashes, width)
@@ -137,52 +197,49 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, tables: int =
                         yield pd.DataFrame(lines, columns=["tbl", "dim", "part", "query_id", "embedding", "buckets"])
 
     def meet(rows: pd.DataFrame, probes_: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], float)})
         if not len(rows) or not len(probes_):
-            return none
-        names, at = np.unique(rows["bucket"].to_numpy(), return_inverse=True)
-        raw, ids = _matrix(rows["embedding"]), rows["vec_id"].to_numpy()
-        x, out = unit(raw), []
-        step = max(1, 4_000_000 // len(ids))
-        for s in range(0, len(probes_), step):
-            lot = probes_.iloc[s : s + step]
-            asked_raw = _matrix(lot["embedding"])
-            score = unit(asked_raw) @ x.T
-            for i, (query, buckets) in enumerate(zip(lot["query_id"], lot["buckets"])):
-                visited = np.isin(names, np.asarray(buckets))[at] & (ids != query)
-                there = np.flatnonzero(visited)
-                if not len(there):
-                    continue
-                near = score[i, there]
-                if len(there) > k:
-                    last = np.partition(near, len(near) - k)[len(near) - k]
-                    there = there[near >= last - NEAR]
-                exact = cosine(asked_raw[i], raw[there])
-                best = np.lexsort((ids[there], -exact))[:k]
-                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[there][best], "score": exact[best]}))
-        return pd.concat(out) if out else none
-
-    table = distinct.mapInPandas(hashed, "tbl int, dim int, part long, bucket long, vec_id long, embedding array<double>")
-    table = table.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    probes_of = asked.mapInPandas(probed, "tbl int, dim int, part long, query_id long, embedding array<double>, buckets array<long>")
-    probes_of = probes_of.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    key = ["tbl", "dim", "part", "block"]
-    # a part may hold a bucket larger than itself: it is cut by rows, and the probes go to every cut
-    cuts = max(1, -(-n // (4 * PART_ROWS)))
-    table = table.withColumn("cut", F.pmod(F.xxhash64("vec_id"), F.lit(cuts)))
-    probes_of = probes_of.withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cuts - 1).cast("long"))))
-    key.append("cut")
-    met = table.groupBy(*key).cogroup(probes_of.groupBy(*key)).applyInPandas(meet, "query_id long, vec_id long, score double")
-    # k rows at most from each table and part
-    merged = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def cosine(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Cosines in double precision, each row summed in the same order."""
-    a, b = query / np.abs(query).max(), rows / np.abs(rows).max(axis=1, keepdims=True)
-    return (b * a).sum(axis=1) / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum(axis=1)))
+            return pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], float)})
+        return visited(rows, probes_, k)
+
+    key = ["tbl", "dim", "part", "block", "cut"]
+    numbers = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
+
+    def nearest(table: DataFrame, asking: DataFrame, blocks: int) -> DataFrame:
+        """Rows and probes with ``tbl, dim, part, cuts`` meet, and the results are merged."""
+        table = table.withColumn("cut", F.pmod(F.xxhash64("vec_id"), F.col("cuts"))).withColumn("block", numbers(F.lit(blocks)))
+        asking = asking.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("long")).withColumn("cut", numbers(F.col("cuts")))
+        met = table.groupBy(*key).cogroup(asking.groupBy(*key)).applyInPandas(meet, "query_id long, vec_id long, score double")
+        # k rows at most from each table and part, and those equal to the last
+        merged = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    place = "tbl int, dim int, part long"
+    table = distinct.mapInPandas(lambda lots: hashed(lots, True), f"{place}, bucket long, vec_id long, embedding array<double>")
+    # the few parts that are large: not more than rows / (LARGE * PART_ROWS) a table
+    sizes = distinct.mapInPandas(lambda lots: hashed(lots, False), place).groupBy("tbl", "dim", "part").count()
+    large = materialise(sizes.where(F.col("count") > LARGE * PART_ROWS).select("tbl", "dim", "part", F.ceil(F.col("count") / PART_ROWS).alias("cuts")))
+    with_cuts = lambda df: df.join(large, ["tbl", "dim", "part"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1).cast("long")))
+    asking = asked.mapInPandas(probed, f"{place}, query_id long, embedding array<double>, buckets array<long>")
+    found = materialise(nearest(with_cuts(table), with_cuts(asking), blocks))
+
+    enough = found.where(F.col("rank") == k).select("query_id")
+    short = materialise(asked.join(enough, asked["vec_id"] == enough["query_id"], "left_anti"))
+    n_short = short.count()
+    if not n_short:
+        return found
+    # all rows in parts, and these queries in blocks: one bucket holds every row of a length
+    one = lambda df: df.select(F.lit(-1).alias("tbl"), F.size("embedding").alias("dim"), "*")
+    rows = one(distinct).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts))).withColumns({"cuts": F.lit(1).cast("long"), "bucket": F.lit(0).cast("long")})
+    every = one(short).withColumnRenamed("vec_id", "query_id").withColumn("part", numbers(F.lit(parts))).withColumns({"cuts": F.lit(1).cast("long"), "buckets": F.array(F.lit(0).cast("long"))})
+    rest = nearest(rows, every, max(1, round(n_short / QUERY_BLOCK)))
+    return found.join(enough, "query_id", "left_semi").unionByName(rest)
+
+
+def cosine(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Cosines in double precision, pair by pair, each summed in the same order."""
+    a, b = (m / np.abs(m).max(axis=1, keepdims=True) for m in (queries, rows))
+    return (b * a).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
