@@ -15,9 +15,10 @@ counts per sub-bucket give each one's first rank, and only a sub-bucket is sorte
 Keys are hashes of row numbers, so copies, ties and hot values spread evenly.
 
 The matrix has ``SOURCE_GROUPS`` x shards cells at most, whatever the input's
-size; it is the only thing drawn on the driver. Everything else is DataFrame
-operations. Null texts count as empty. An empty table gives no rows. Extra
-columns ride along in ``shard_rows``; those of a result's name are replaced.
+size; it is the only thing drawn on the driver, by one law at every size. Everything else is DataFrame
+operations. Null texts count as empty; long texts and repeated rows are rows like any
+other. An empty table gives no rows. Extra columns ride along in ``shard_rows``; those
+of a result's name are replaced.
 """
 
 from __future__ import annotations
@@ -55,16 +56,26 @@ def communication_matrix(sizes: list[int], n_shards: int, seed: int) -> np.ndarr
 
 
 def _hypergeometric(random: np.random.Generator, good: int, bad: int, drawn: int) -> int:
-    """Good ones among ``drawn``. numpy draws exactly below 10**9; larger draws are split until they fit."""
-    if good + bad < 1_000_000_000:
-        return int(random.hypergeometric(good, bad, drawn)) if drawn else 0
-    if drawn <= 1:
-        return int(drawn and random.integers(good + bad) < good)
-    if drawn > (good + bad) // 2:  # what stays behind is drawn instead
-        return good - _hypergeometric(random, good, bad, good + bad - drawn)
-    p, n = good / (good + bad), good + bad  # beyond, the normal limit with exact mean and variance
-    sd = (drawn * p * (1 - p) * (n - drawn) / (n - 1)) ** 0.5
-    return int(min(max(round(random.normal(drawn * p, sd)), drawn - bad, 0), good, drawn))
+    """Good ones among ``drawn``, by inversion around the mode. Probabilities come from the ratios of
+    neighbours, exact to double precision whatever the counts' size; the window reaches to
+    where they are below 1e-20 of the mode's."""
+    low, high = max(0, drawn - bad), min(good, drawn)
+    if low == high:
+        return low
+    mode = min(max((drawn + 1) * (good + 1) // (good + bad + 2), low), high)
+    p = good / (good + bad)
+    reach = 16 + int(10 * (drawn * p * (1 - p)) ** 0.5)
+    while True:
+        up = np.arange(mode, min(high, mode + reach), dtype=float)
+        down = np.arange(mode, max(low, mode - reach), -1, dtype=float)
+        above = np.cumprod((good - up) / (up + 1) * ((drawn - up) / (bad - drawn + up + 1)))
+        below = np.cumprod(down / (good - down + 1) * ((bad - drawn + down) / (drawn - down + 1)))
+        if all(not len(side) or side[-1] < 1e-20 or len(side) == most for side, most in ((above, high - mode), (below, mode - low))):
+            break
+        reach *= 2
+    mass = np.cumsum(np.concatenate([below[::-1], [1.0], above]))
+    at = int(np.searchsorted(mass, random.random() * mass[-1], side="right"))
+    return mode - len(below) + min(at, len(mass) - 1)
 
 
 def _random_key(seed: int) -> Column:
@@ -117,7 +128,12 @@ def shard_rows(rows: DataFrame, n_shards: int = N_SHARDS, seed: int = 0) -> Data
     return out.select(*[F.col(safe[c]).alias(c) for c in given], F.col("shard"), F.col("slot").cast("long"))
 
 
-def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+def digest(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
+    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every document."""
     text = F.coalesce("text", F.lit(""))
-    rows = read(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"))
-    return shard_rows(rows).withColumn("grown_shard", F.lit(None).cast("int"))
+    rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"))
+    return shard_rows(rows, n_shards).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(read(spark, sf_dir, "documents"))
