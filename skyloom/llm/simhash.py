@@ -12,15 +12,16 @@ small radius ``near`` to search it by. A tree splits at the median distance from
 vantage point. By the triangle inequality two fingerprints within ``near`` differ by at
 most ``near`` in their distances from it, so that only those inside the boundary by
 less than ``near`` are copied outside, and all other pairs across are pruned. The
-upper levels come from a bounded sample and deal the fingerprints to shards in Spark;
-within a shard the tree goes on. What is left together is compared bit by bit over the
-whole fingerprint.
+upper levels come from a bounded sample and deal the fingerprints to shards in Spark. A shard of more than
+``SHARD_ROWS`` gets a tree of its own, grown in a task from a sample of the shard, and so on, so that shards stay
+small however many fingerprints there are; within a shard the tree goes on. What is left together is compared bit by
+bit over the whole fingerprint.
 
 A shard returns a spanning forest of its links, not the links: in a group of copies a
 star around one fingerprint links all within the radius at once, and only what is
 outside of the largest star is compared with the rest. Where there are many blocks, a
 group found by the first ones is not linked again by the others. Shards larger than
-``SHARD_ROWS`` (many fingerprints equal in a block) are cut into pieces, of which each
+``SHARD_ROWS`` that no vantage point parts (many fingerprints equal in a block) are cut into pieces, of which each
 two meet in a task of their own.
 
 Where a similarity is given, the exact Jaccard similarity of the texts' shingle sets
@@ -33,12 +34,15 @@ Texts with one set of shingles are one node there, named by the set's hash: equa
 fingerprints alone join nothing.
 
 Null texts count as empty; texts without words have the fingerprint zero and link like
-any other. Rows with one doc_id may have different texts; each is fingerprinted.
+any other. Rows with one doc_id may have different texts; each is fingerprinted, and repeated rows
+are in one group. Texts are taken whole, in memory of their length. An empty table gives no rows.
 A group whose doc_ids are all null has a null id. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -49,7 +53,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import bound_batches, materialise, read
+from skyloom.llm.common import bound_batches, materialise, read, spread_join
 from skyloom.llm.components import components
 from skyloom.llm.prefixes import PART_ITEMS, pairs_between, prefixes
 
@@ -59,7 +63,8 @@ SAMPLE = 8192
 LEAF_ROWS, SHARD_ROWS, PIECE_ROWS = 4000, 24_000, 8_000
 #: What is compared directly within a shard.
 DIRECT = 256
-MAX_DEPTH = 10
+#: Levels of one tree; deeper ones are trees of its leaves.
+MAX_DEPTH, LEVEL_BITS = 10, 12
 
 
 @dataclass(frozen=True)
@@ -330,23 +335,11 @@ def links(nodes: DataFrame, settings: Settings = CONTRACT, chosen: range | None
             if len(lot):
                 yield pd.DataFrame([(i, leaf, len(own)) for i, leaf, own in leaves_of(lot)], columns=["block", "leaf", "n"])
 
-    # a count for each leaf: the trees' size bounds them
-    sizes = nodes.select("fp").mapInPandas(count, "block int, leaf int, n long").groupBy("block", "leaf").agg(F.sum("n").alias("n"))
-    cuts = {(r[0], r[1]): -(-r[2] // PIECE_ROWS) for r in sizes.where(F.col("n") > SHARD_ROWS).collect()}
-
     def deal(lots: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lot in lots:
-            if not len(lot):
-                continue
-            for i, leaf, own in leaves_of(lot):
-                rows = pd.DataFrame({"block": i, "leaf": leaf, "p": 0, "q": 0, "nid": lot["nid"].to_numpy()[own], "grp": lot["grp"].to_numpy()[own], "fp": lot["fp"].to_numpy()[own]})
-                pieces = cuts.get((i, leaf))
-                if not pieces:
-                    yield rows
-                    continue
-                mine = (rows["nid"].to_numpy() * 0x9E3779B1 >> 8) % pieces
-                for j in range(pieces):
-                    yield rows.assign(p=np.minimum(mine, j), q=np.maximum(mine, j))
+            if len(lot):
+                for i, leaf, own in leaves_of(lot):
+                    yield pd.DataFrame({"block": i, "leaf": leaf} | {c: lot[c].to_numpy()[own] for c in ("nid", "grp", "fp")})
 
     def link(shard: pd.DataFrame) -> pd.DataFrame:
         found = shard_links(_unpack(shard["fp"]), int(shard["block"].iloc[0]), settings, shard["grp"].to_numpy())
@@ -354,8 +347,54 @@ def links(nodes: DataFrame, settings: Settings = CONTRACT, chosen: range | None
         pairs = np.array(found, np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
 
-    shards = nodes.select("nid", "grp", "fp").mapInPandas(deal, "block int, leaf int, p long, q long, nid long, grp long, fp binary")
-    return shards.groupBy("block", "leaf", "p", "q").applyInPandas(link, "a long, b long")
+    sizes = nodes.select("fp").mapInPandas(count, "block int, leaf long, n long").groupBy("block", "leaf").agg(F.sum("n").alias("n"))
+    shards = nodes.select("nid", "grp", "fp").mapInPandas(deal, SHARD)
+    return _cut(shards, sizes, settings).groupBy("block", "leaf", "p", "q").applyInPandas(link, "a long, b long")
+
+
+SHARD = "block int, leaf long, nid long, grp long, fp binary"
+
+
+def _cut(shards: DataFrame, sizes: DataFrame, settings: Settings) -> DataFrame:
+    """Shards with ``p, q``, the pieces of a shard that meet: those of more than ``SHARD_ROWS`` (``sizes``: ``block, leaf, n``) are
+    dealt by trees of their own until they're smaller, and cut into pieces where none parts them."""
+    key, out, salts = ["block", "leaf"], [], F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)
+    whole = lambda df: df.withColumns({"p": F.lit(0).cast("long"), "q": F.lit(0).cast("long")})
+    wanted = F.least(F.lit(MAX_DEPTH), F.greatest(F.ceil(F.log2(F.col("n") / LEAF_ROWS)), F.lit(1))).cast("int")
+    while True:
+        large = materialise(sizes.where(F.col("n") > SHARD_ROWS).withColumns({"pieces": F.ceil(F.col("n") / PIECE_ROWS), "depth": wanted}))
+        total = large.agg(F.sum("n")).first()[0]
+        if not total:
+            return functools.reduce(DataFrame.unionByName, [*out, whole(shards)])
+        shards = materialise(shards)
+        out.append(whole(shards.join(large, key, "left_anti")))
+        rows = spread_join(shards, large, key, "n", total, ["nid"]).withColumn("salt", F.pmod(F.xxhash64("nid"), F.col("pieces")))
+        sample = rows.where(F.pmod(F.xxhash64("nid"), F.greatest(F.floor(F.col("n") / SAMPLE), F.lit(1))) == 0)
+        grown = materialise(sample.groupBy(*key, "depth").applyInPandas(lambda name, lot: _grow_one(name, lot, settings), "block int, leaf long, tree binary"))
+        pairs = rows.join(grown, key, "left_anti").withColumn("other", F.explode(salts))
+        out.append(pairs.select(*shards.columns, F.least("salt", "other").alias("p"), F.greatest("salt", "other").alias("q")))
+        trees = grown.join(large, key).select(*key, "tree", F.explode(salts).alias("salt"))
+        parted = rows.select(*shards.columns, "salt").join(grown.select(*key), key, "left_semi")
+        shards = materialise(parted.groupBy(*key, "salt").cogroup(trees.groupBy(*key, "salt")).applyInPandas(lambda lot, tree: _deal_on(lot, tree, settings), SHARD))
+        sizes = shards.groupBy(*key).agg(F.count("*").alias("n"))
+
+
+def _grow_one(name: tuple, lot: pd.DataFrame, settings: Settings) -> pd.DataFrame:
+    """A tree for a shard, from a sample of it; none if no vantage point parts it, or if its leaves' names would be too long."""
+    block, leaf, depth = name
+    word, mask = settings.blocks[block]
+    tree, leaves = grow(_unpack(lot["fp"])[:, word] & np.uint64(mask), settings.near, depth, block)
+    parted = leaves > 1 and leaf < 1 << 63 - LEVEL_BITS - 1
+    return pd.DataFrame([(block, leaf, pickle.dumps(tree))] if parted else [], columns=["block", "leaf", "tree"])
+
+
+def _deal_on(lot: pd.DataFrame, tree: pd.DataFrame, settings: Settings) -> pd.DataFrame:
+    """The rows of a shard, dealt by its tree."""
+    word, mask = settings.blocks[int(lot["block"].iloc[0])]
+    values = _unpack(lot["fp"])[:, word] & np.uint64(mask)
+    rows = lot.drop(columns="salt")
+    dealt = route(values, pickle.loads(tree["tree"].iloc[0]), settings.near)
+    return pd.concat([rows.iloc[own].assign(leaf=(rows["leaf"].iloc[own] + 1) * (1 << LEVEL_BITS) + leaf) for leaf, own in dealt])
 
 
 def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
