@@ -3,6 +3,7 @@ texts, ties, repeated rows, empty tables and extra columns with clashing names."
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -138,9 +139,10 @@ def test_simhash_groups(spark, monkeypatch):
     assert simhash.groups(make(spark, [None, "a"], [None, None])).where("component_id is null").count() == 2
 
 
-@pytest.mark.parametrize("leaf, shard, piece", [(40, 10_000, 8000), (60, 50, 30)])
-def test_vantage_forest_loses_no_link(spark, monkeypatch, leaf, shard, piece):
-    for name, value in (("LEAF_ROWS", leaf), ("SHARD_ROWS", shard), ("PIECE_ROWS", piece), ("DIRECT", 16)):
+@pytest.mark.parametrize("leaf, shard, piece, depth", [(40, 10_000, 8000, 10), (60, 50, 30, 10), (20, 60, 30, 2)])
+def test_vantage_forest_loses_no_link(spark, monkeypatch, leaf, shard, piece, depth):
+    """Whole shards, shards in pieces, and trees of trees."""
+    for name, value in (("LEAF_ROWS", leaf), ("SHARD_ROWS", shard), ("PIECE_ROWS", piece), ("DIRECT", 16), ("MAX_DEPTH", depth)):
         monkeypatch.setattr(simhash, name, value)
     r = random.Random(leaf)
     prints = {}
@@ -334,7 +336,38 @@ def test_communication_matrix_is_hypergeometric():
         assert m.sum(1).tolist() == sizes and m.sum(0).tolist() == [20, 20, 20] and (m >= 0).all()
         first.append(m[1, 0])
     assert abs(np.mean(first) - 7 / 3) < 0.2 and abs(np.var(first) - 7 * (1 / 3) * (2 / 3) * 53 / 59) < 0.35
-    assert 0 <= shards._hypergeometric(np.random.default_rng(0), 10**10, 10**10, 10**9) <= 10**9
+
+
+@pytest.mark.parametrize("good, bad, drawn", [(5, 9, 7), (300, 4, 290), (4 * 10**8, 96 * 10**8, 10**7), (10**10, 3 * 10**10, 39 * 10**9), (10**12, 10**12, 3)])
+def test_hypergeometric_moments(good, bad, drawn):
+    """One law at every size, beyond 10**9 too: mean, variance and the middle of the distribution."""
+    random, n = np.random.default_rng(2), good + bad
+    x = np.array([shards._hypergeometric(random, good, bad, drawn) for _ in range(3000)])
+    assert x.min() >= max(0, drawn - bad) and x.max() <= min(good, drawn)
+    mean, var = drawn * good / n, drawn * (good / n) * (bad / n) * (n - drawn) / (n - 1)
+    assert abs(x.mean() - mean) < 4 * (var / len(x)) ** 0.5 and abs(x.var() / var - 1) < 0.15
+    if var > 1000:  # nearly normal
+        assert abs(np.mean(np.abs(x - mean) < var**0.5) - 0.6827) < 0.03
+    if n < 20:  # against every case
+        for k in range(max(0, drawn - bad), min(good, drawn) + 1):
+            assert abs(np.mean(x == k) - math.comb(good, k) * math.comb(bad, drawn - k) / math.comb(n, drawn)) < 0.03
+
+
+def test_matrix_margins_above_a_billion():
+    sizes = [10**9 + 7, 3, 5 * 10**9, 0, 10**10]
+    m = shards.communication_matrix(sizes, 24, 1)
+    assert m.sum(1).tolist() == sizes and (m >= 0).all() and m.sum(0).max() - m.sum(0).min() <= 1
+
+
+def test_op5_columns_are_plain_ones(spark, tmp_path):
+    texts = ODD + invented(60) + ["copy"] * 30
+    docs = make(spark, texts)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = shards.op5_shards(spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts) and len({(x["shard"], x.slot) for x in rows}) == len(rows)
+    for x in rows:
+        b = (texts[x.doc_id] or "").encode()
+        assert (x.size, x.text_crc32, x.law, x.grown_shard) == (len(b) + 8, zlib.crc32(b), "rows", None) and 0 <= x["shard"] < 24
 
 
 # -- op 6 ------------------------------------------------------------------------
@@ -395,6 +428,28 @@ def test_url_rules(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_rules_nest_deeply_over_many_ranges(spark, monkeypatch):
+    """Thousands of nested rules and many ranges of keys: ranges begin inside of open rules, and common paths are split."""
+    monkeypatch.setattr(url_filter, "shuffle_partitions", lambda spark: 37)
+    r = random.Random(7)
+    hosts = ["com", "a.com", "b.a.com", "x.b.a.com", "org", "a.org"]
+    rules = set()
+    while len(rules) < 2500:
+        rules.add(r.choice(hosts) + "/" + "".join(r.choice("ab/") for _ in range(r.randint(0, 12))))
+    rules |= {"a.com/" + "a" * n for n in range(60)} | {"/nohost", "b.org/\U0010ffff"}
+    rules = [(r.choice(["allow", "block"]), x) for x in sorted(rules)]
+    urls = ["http://" + r.choice(hosts + ["z.x.b.a.com", "nocom"]) + "/" + "".join(r.choice("ab/") for _ in range(r.randint(0, 15))) for _ in range(800)]
+    urls += ["http://b.a.com/" + "a" * 40] * 300 + [f"http://h{i}.com/" for i in range(300)] + ["http://a.com/" + "a" * 80, "http://b.org/\U0010ffff\U0010ffffx"]
+    given = {x: (len(x), len(x.split("/")[0]), x, v) for v, x in rules}
+    found = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    assert len(found) == len(urls)
+    for x in found:
+        labels = x.host.split(".")
+        fits = [given[k] for i in range(len(labels)) for n in range(len(x.path) + 1) if (k := ".".join(labels[i:]) + x.path[:n]) in given and "/" in k]
+        best = max(fits, default=(0, 0, None, "allow"))
+        assert (x.rule, x.verdict) == (best[2], best[3]), urls[x.page_id]
+
+
 # -- op 8 ------------------------------------------------------------------------
 
 
@@ -431,6 +486,56 @@ def test_line_dedup(spark, monkeypatch):
     assert {x.doc_id for x in after.collect()} == {i for i, (a, b) in plain_dedup(left).items() if len(a) > len(b)}
 
 
+def test_line_changes_touch_their_shards_only(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 10)
+    r = random.Random(9)
+    pool = [f"line number {k} of the whole pool" for k in range(150)]
+    texts = ["\n".join(r.sample(pool, 4)) for _ in range(80)]
+    first = line_dedup.LineIndex.of(make(spark, texts))
+    new = [(900, pool[0]), (901, pool[0] + "\n" + "a wholly new line of text"), (902, pool[0]), (7, texts[7])]
+    docs = make(spark, [t for _, t in new], [i for i, _ in new])
+    second = first.insert(docs)
+    third = second.delete(make(spark, ["", ""], [901, 3]))
+
+    def held(index):
+        return {x.shard: x.version for x in index.versions.collect()}
+
+    assert first.shards > 20 and len(held(first)) == first.shards
+    shard = lambda line: line_dedup.key_hashes(line.encode())[0] % first.shards
+    changed = lambda a, b: {s for s, v in held(a).items() if held(b)[s] != v}
+    assert changed(first, second) == {shard(pool[0]), shard("a wholly new line of text")}
+    assert changed(second, third) == {shard(x) for x in (pool[0] + "\na wholly new line of text\n" + texts[3]).split("\n")}
+
+    def plain(rows):
+        held = collections.defaultdict(set)
+        for i, t in rows.items():
+            for x in t.split("\n"):
+                held[line_dedup.key_hashes(x.encode())].add(i)
+        return {k: (len(v), max(v)) for k, v in held.items()}
+
+    rows = dict(enumerate(texts))
+    for index, now in ((first, rows), (second, rows | {i: t for i, t in new}), (third, {i: t for i, t in (rows | dict(new)).items() if i not in (901, 3)})):
+        want = plain(now)
+        assert {(x.k1, x.k2): (x.n_docs, x.last_doc) for x in index.counts().collect()} == want
+        filters = {x.shard: line_dedup.CuckooFilter.from_bytes(x["filter"]) for x in index.filters().collect()}
+        inside = {k for k in want if k[0] % index.shards in filters and filters[k[0] % index.shards].contains(np.array([k[1]]))[0]}
+        assert {k for k, (n, _) in want.items() if n >= 3} == inside
+        lost = {x.doc_id: {tuple(k) for k in x["keys"]} for x in index.drops().collect()}
+        for i, t in now.items():
+            keys = {line_dedup.key_hashes(x.encode()) for x in t.split("\n")}
+            assert lost.get(i, set()) == {k for k in keys if want[k][0] >= 3 and want[k][1] != i}
+
+
+def test_filters_that_outgrow_their_capacity_are_built_anew(spark):
+    few, many = ["a line that three documents hold"] * 3, ["\n".join(f"line number {k} of many" for k in range(300))] * 3
+    index = line_dedup.LineIndex.of(make(spark, few)).insert(make(spark, many, [10, 11, 12]))
+    (held,) = index.filters().collect()
+    assert held.n_keys == 301 and line_dedup.CuckooFilter.from_bytes(held["filter"]).capacity() >= 301
+    assert {x.doc_id: len(x["keys"]) for x in index.drops().collect()} == {0: 1, 1: 1, 10: 300, 11: 300}
+    empty = line_dedup.LineIndex.of(make(spark, []))
+    assert empty.drops().count() == 0 and {x.doc_id for x in empty.insert(make(spark, few)).drops().collect()} == {0, 1}
+
+
 def test_cuckoo_filter():
     keys = np.random.default_rng(0).integers(-(2**63), 2**63 - 1, 5000)
     f = line_dedup.CuckooFilter(3000)
@@ -439,6 +544,9 @@ def test_cuckoo_filter():
     assert f.contains(keys[:3000]).all() and f.contains(keys[3000:]).mean() < 0.01
     f = line_dedup.CuckooFilter.from_bytes(f.to_bytes())
     assert all(f.delete(k) for k in keys[:1500]) and f.contains(keys[1500:3000]).all() and f.contains(keys[:1500]).mean() < 0.01
+    bulk = line_dedup.CuckooFilter.of(keys[:3000])
+    assert bulk.contains(keys[:3000]).all() and bulk.contains(keys[3000:]).mean() < 0.01 and len(bulk.stash) < 10
+    assert all(bulk.delete(k) for k in keys[:3000]) and not bulk.tags.any()
     small = line_dedup.CuckooFilter(8)
     for k in keys[:200]:
         small.insert(k)
@@ -476,17 +584,80 @@ def test_neighbours(spark, monkeypatch, part):
     assert set(got) == set(range(0, 1200, 50)) and neighbours.neighbours(table.limit(0), table).count() == 0
 
 
+def recall(spark, folder):
+    """Of op9 through Spark, against brute force; every query has its five."""
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = collections.defaultdict(set)
+    for f in neighbours.op9_neighbours(spark, folder).collect():
+        got[f.query_id].add(f.vec_id)
+    asked = [i for i in range(len(ids)) if ids[i] % 50 == 0]
+    assert len(got) == len(asked) and all(len(v) == 5 for v in got.values())
+    hits = 0
+    for i in asked:
+        score = x @ x[i]
+        score[i] = -2
+        hits += len(got[int(ids[i])] & set(ids[np.lexsort((ids, -score))[:5]].tolist()))
+    return hits / (5 * len(asked))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_neighbours_recall(spark, sf):
+    assert recall(spark, f"/root/testdata/{sf}") >= 0.9
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 6, 9])
+def test_neighbours_of_small_tables_are_all_candidates(spark, n):
+    x = np.random.default_rng(n).standard_normal((n, 64))
+    table = spark.createDataFrame([(50 * i, x[i].tolist()) for i in range(n)], "vec_id long, embedding array<double>")
+    found = neighbours.neighbours(table, table).collect()
+    for i in range(n):
+        mine = sorted((f for f in found if f.query_id == 50 * i), key=lambda f: f["rank"])
+        cos = x @ x[i] / np.linalg.norm(x, axis=1) / np.linalg.norm(x[i])
+        want = sorted((j for j in range(n) if j != i), key=lambda j: -cos[j])[:5]
+        assert len(mine) == min(5, n - 1) and [f["rank"] for f in mine] == list(range(1, len(mine) + 1))
+        assert n > 6 or [f.vec_id for f in mine] == [50 * j for j in want]
+
+
+def test_neighbours_of_a_common_bucket(spark, monkeypatch):
+    """Nearly equal vectors in one bucket, cut by rows: with a probe each, only they are visited."""
+    monkeypatch.setattr(neighbours, "PART_ROWS", 30)
+    r = np.random.default_rng(1)
+    x = r.standard_normal(16) + 1e-4 * r.standard_normal((400, 16))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = neighbours.neighbours(table, table.where("vec_id % 50 = 0"), probes=30).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 400, 50):
+        score = u @ u[q]
+        score[q] = -2
+        assert {f.vec_id for f in found if f.query_id == q} == set(np.argsort(-score)[:5].tolist())
+
+
 # -- op 10 -----------------------------------------------------------------------
 
 
+def kept(page, *templates):
+    return [t for t, around in html_text.parse(page).blocks if not set(around) & set(templates)]
+
+
 def test_html_blocks():
     page = """<!DOCTYPE html><html><head><title>no</title><script>if (a < b) document.write("<p>no</p>")</script></head><body class="has-sidebar">
-    <nav><ul><li>no<li>no</ul></nav><!-- no > no --><div class="top-ad">no</div><article><header>no</header><h1>Caf&eacute; &amp;&nbsp;more</h1><p><b>One  two<br>three<p>four &lt;b&gt; <i>five</i>.
-    <aside>no</aside><ul><li>six<li>seven</ul><table><tr><td>a<td>b</table><form>no</form><section id="comments"><article>no</article></section><p hidden>no</p></article><footer>no &copy;</footer></body></html>"""
-    assert [t for t, _ in html_text.parse(page)[0]] == ["Café & more", "One two", "three", "four <b> five.", "six", "seven", "a", "b"]
-    assert [t for t, _ in html_text.parse("a &am <p>b</b></p> c < d &#x41;")[0]] == ["a &am", "b", "c < d A"]
-    assert html_text.parse(None)[0] == html_text.parse("")[0] == html_text.parse("<script>x")[0] == []
-    assert [t for t, _ in html_text.parse("<p>x" * 3000)[0]] == ["x"] * 3000
+    <nav><ul><li>no<li>no</ul></nav><!-- no > no --><div class="top-ad">no</div><article><header>no</header><h1>Caf&eacute; &amp;&nbsp;more</h1><p><b>One  two<br>three<p>four &lt;b&gt; <i>five</i><button>no</button>.
+    <aside>no</aside><ul><li>six<li>seven</ul><table><tr><td>a<td>b</table><form>no</form><section role="navigation"><article>no</article></section><p hidden>no</p></article><footer>no &copy;</footer></body></html>"""
+    assert kept(page) == ["Café & more", "One two", "three", "four <b> five.", "six", "seven", "a", "b"]
+    assert kept("a &am <p>b</b></p> c < d &#x41;") == ["a &am", "b", "c < d A"]
+    assert kept(None) == kept("") == kept("<script>x") == []
+    assert kept("<p>x" * 3000) == ["x"] * 3000
+    assert kept("<main>x</main><article></article>y") == ["x"] and kept("<p>a<svg><text>no</text></svg> b") == ["a b"]
+
+
+def test_html_names_of_content_are_no_furniture():
+    for name in ("post-with-sidebar", "article-header", "ad-hoc", "results share-results", "has-ads", "download", "advice"):
+        assert not html_text.parse(f'<div class="{name}">x</div>').shapes, name
+    for name in ("ad", "site-footer", "mainNav", "x cookie_notice", "sidebar1"):
+        found = html_text.parse(f'<p>y<span id="{name}">x</span>')
+        assert len(found.shapes) == 1 and kept(f'<p>y<span id="{name}">x</span>', *found.shapes) == ["y"]
 
 
 def test_html_templates(spark):
@@ -499,3 +670,42 @@ def test_html_templates(spark):
     assert text[5] == "Text 5" and text[0] == "Text 0\nShared by few" and text[110] == "The same article" and text[200] == text[201] == ""
     assert all(x.n_chars == len(x.text) for x in got)
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_html_templates_decide_without_names_and_tags(spark):
+    """Menus, footers and notices of a host go by their recurrence alone; counts are a plain count's."""
+    none = html_text.Rules(frozenset(), frozenset(), frozenset())
+    r, rows = random.Random(3), []
+    chrome = {h: [f"<ul><li>{h} menu</li><li>more</li></ul>", f"<footer><p>{h} imprint</p></footer>", f"<div>Notice of {h}</div>"] for h in ("a.org", "b.org", "c.org")}
+    for h, n in (("a.org", 40), ("b.org", 12), ("c.org", 5)):
+        for i in range(n):
+            top, foot, note = (c if r.random() < 0.8 or k < 2 else "" for k, c in enumerate(chrome[h]))
+            rows.append((len(rows), f"http://{h}/{i}", f"<body>{top}<div><h2>Title {i % 30}</h2><p>Text {i % 30} of {h}</p><p>Same line</p></div>{note}{foot}</body>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    held, whole = collections.Counter(), collections.defaultdict(set)
+    firsts = {}
+    for _, url, page in rows:
+        p, host = html_text.parse(page, none), url.split("/")[2]
+        firsts.setdefault((host, p.whole), set()).add((tuple(p.subtrees)))
+        whole[host].add(p.whole)
+    assert all(len(x) == 1 for x in firsts.values())
+    for (host, _), (subtrees,) in firsts.items():
+        held.update((host, x) for x in subtrees)
+    want = {(h, x) for (h, x), n in held.items() if n >= 10 and n >= 0.5 * len(whole[h])}
+    templates = html_text.templates_of(html_text.blocks_of(pages, none))
+    assert {(t.host, t.subtree) for t in templates.collect()} == want and want
+    for x in html_text.extract(pages, rules=none).collect():
+        n = int(x.url.split("/")[3]) % 30
+        host = x.url.split("/")[2]
+        if host == "c.org":
+            assert "menu" in x.text
+        else:
+            assert x.text == f"Title {n}\nText {n} of {host}"
+
+
+def test_html_adverts_that_differ_are_one_shape(spark):
+    page = lambda i, name: f'<div class="{name}">Buy {i * 7} now</div><p>Text {i}</p>'
+    rows = [(i, "http://a.org/", page(i, "ad")) for i in range(30)] + [(50 + i, "http://a.org/", page(50 + i, "notice")) for i in range(4)] + [(90 + i, "http://b.org/", page(90 + i, "ad")) for i in range(4)]
+    text = {x.page_id: x.text for x in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    # an advert on many pages goes; a name that few pages of a larger host have isn't shown to be template; a small host can't show it
+    assert all(text[i] == f"Text {i}" for i in [*range(30), *range(90, 94)]) and all(text[i] == f"Buy {i * 7} now\nText {i}" for i in range(50, 54))
