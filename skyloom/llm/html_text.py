@@ -1,21 +1,20 @@
 """Main text of web pages by removal of site templates.
 
 1. Each page is parsed once, in its task, into blocks of text. Every element that ends
-   blocks has a subtree hash (tag, texts, inner hashes), whatever it is. An element whose
-   class or id consists of words for page furniture (``NAMES``: ``ad``, ``site-footer``) also has a
-   shape hash (tag, names, role; not its texts), by which adverts and menus that differ
-   from page to page are one subtree.
+   blocks has a subtree hash (tag, texts, inner hashes), whatever it is. An element that may be page furniture also has a
+   shape hash (tag, names, role; not its texts), by which adverts and menus that differ from page to page are one subtree:
+   those of which the HTML standard says so (navigation, header, footer, aside, form, landmark roles), and those whose
+   class or id consists of words for it (``NAMES``: ``ad``, ``site-footer``).
 2. Spark counts, per host, on how many different pages each subtree recurs. Pages
    whose content is the same count once, so that copies of an article don't turn it
    into a template.
 3. A subtree on at least ``SHARE`` of a host's pages, and on ``MIN_PAGES`` at least,
    is template; a shape is on ``MIN_PAGES`` pages. All their blocks go. A host of fewer
-   different pages can't show that a shape recurs: there, its name decides.
+   different pages can't show that a shape recurs: there, it goes as it is.
+4. Of what is left, what the standard says is no content (also scripts, styles and hidden elements) goes as well, and the
+   text of ``article`` elements, else of ``main``, else of the body is kept.
 
-What the HTML standard itself says is no content (navigation, header, footer, aside, form,
-script, style, hidden elements, landmark roles) goes on any host, and, of what is left, the text of
-``article`` elements, else of ``main``, else of the body is kept. No name drops anything by itself
-on a host with enough pages, and a name counts only if all its words are furniture
+No name drops anything by itself on a host with enough pages, and a name counts only if all its words are furniture
 (``post-with-sidebar``, ``article-header`` and ``share-results`` are none).
 
 A common host is counted with partial sums, and its pages are never gathered. A host
@@ -88,22 +87,21 @@ def _is_furniture(name: str, names: frozenset[str]) -> bool:
 
 
 def _said(tag: str, attributes: str, rules: Rules) -> tuple[bool, int]:
-    """Whether the standard says that an element isn't content, and its shape hash (0: its names say nothing)."""
-    if tag in rules.tags:
-        return True, 0
-    if not attributes or tag in ("html", "body"):
+    """Whether the standard says that an element isn't content, and its shape hash (0: nothing says that it may be furniture)."""
+    names, role, no_content = [], "", tag in rules.tags
+    if tag in ("html", "body"):
         return False, 0
-    names, role = [], ""
     for name, *values in _ATTRIBUTES.findall(attributes):
         value, name = "".join(values).lower() if name.lower() not in ("class", "id") else "".join(values), name.lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True, 0
-        if name == "role":
+            no_content = True
+        elif name == "role":
             role = value
+            no_content = no_content or role in rules.roles
         elif name in ("class", "id"):
             names += value.split()
     furniture = {n.lower() for n in names if _is_furniture(n, rules.names)}
-    return role in rules.roles, _hash("shape", tag, role, *sorted(furniture)) if furniture else 0
+    return no_content, _hash("shape", tag, role, *sorted(furniture)) if furniture or no_content else 0
 
 
 def _hash(*parts: str) -> int:
@@ -119,10 +117,11 @@ class _Element:
 
 @dataclass
 class Page:
-    """``blocks``: the content's texts, each with the hashes of the subtrees around it, inner first;
-    ``whole``: the hash of the content; ``subtrees`` and ``shapes`` of the whole page, content or not."""
+    """``blocks``: all texts, each with the hashes of the subtrees around it, inner first, whether it's in an article (2), in
+    main (1) or in neither (0), and whether it may be content by the standard; ``whole``: the hash of the content that tags alone
+    leave; ``subtrees`` and ``shapes`` of the whole page."""
 
-    blocks: list[tuple[str, list[int]]]
+    blocks: list[tuple[str, list[int], int, bool]]
     whole: int
     subtrees: list[int]
     shapes: list[int]
@@ -140,8 +139,7 @@ def parse(page: str | None, rules: Rules = STANDARD) -> Page:
         if text:
             around = [e for e in stack if e.block]
             around[-1].inside.append(text)
-            if not around[-1].dropped:
-                blocks.append((text, around[:0:-1], around[-1].region))
+            blocks.append((text, around[:0:-1], around[-1].region, not around[-1].dropped))
 
     def close() -> None:
         if not stack[-1].block:
@@ -204,32 +202,34 @@ def parse(page: str | None, rules: Rules = STANDARD) -> Page:
         dropped, region = above.dropped or no_content, above.region
         if not dropped and tag in ("article", "main"):
             region = max(region, 2 if tag == "article" else 1)
-        if shape and tag not in BLOCK:  # a named inline element may be template: it's a block of its own
+        inline = tag not in BLOCK and (no_content or not shape)
+        if not inline:  # a named inline element may be template: it's a block of its own
             flush()
-        stack.append(_Element(tag, tag in BLOCK or bool(shape), dropped, region, shape))
+        stack.append(_Element(tag, not inline, dropped, region, shape))
     while len(stack) > 1:
         close()
     flush()
-    regions = max((region for _, _, region in blocks), default=0)
-    own = [(text, [h for e in around for h in (e.hash, e.shape) if h]) for text, around, region in blocks if region == regions]
-    return Page(own, _hash(*[text for text, _ in own]), list(subtrees), list(shapes))
+    found = [(text, [h for e in around for h in (e.hash, e.shape) if h], region, content) for text, around, region, content in blocks]
+    regions = max((region for _, _, region, content in found if content), default=0)
+    whole = _hash(*[text for text, _, region, content in found if content and region == regions])
+    return Page(found, whole, list(subtrees), list(shapes))
 
 
 def blocks_of(pages: DataFrame, rules: Rules = STANDARD) -> DataFrame:
-    """``page_id, url, host, whole, subtrees, shapes, blocks array<struct<text,around>>`` of every page."""
+    """``page_id, url, host, whole, subtrees, shapes, blocks array<struct<text,around,region,content>>`` of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))
+        kind = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64())), ("region", pa.int32()), ("content", pa.bool_())]))
         for batch in batches:
             parsed = [parse(page, rules) for page in batch.column(3).to_pylist()]
             columns = {"whole": pa.array([p.whole for p in parsed], pa.int64())}
             columns |= {c: pa.array([getattr(p, c) for p in parsed], pa.list_(pa.int64())) for c in ("subtrees", "shapes")}
-            columns["blocks"] = pa.array([[{"text": t, "around": a} for t, a in p.blocks] for p in parsed], kind)
+            columns["blocks"] = pa.array([[dict(zip(("text", "around", "region", "content"), b)) for b in p.blocks] for p in parsed], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns.values()], names=["page_id", "url", "host", *columns])
 
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
     bound_batches(pages.sparkSession)
-    return rows.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, host string, whole long, subtrees array<long>, shapes array<long>, blocks array<struct<text:string,around:array<long>>>")
+    return rows.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, host string, whole long, subtrees array<long>, shapes array<long>, blocks array<struct<text:string,around:array<long>,region:int,content:boolean>>")
 
 
 def templates_of(blocks: DataFrame, share: float = SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -255,9 +255,12 @@ def extract(pages: DataFrame, share: float = SHARE, min_pages: int = MIN_PAGES,
     if templates.count() <= BROADCAST_TEMPLATES:
         by_host = F.broadcast(by_host)
     rows = blocks.select("page_id", "url", "host", "blocks").join(by_host, "host", "left")
-    kept = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b.around, F.col("templates")), F.lit(False)))
-    text = F.array_join(F.transform(kept, lambda b: b.text), "\n")
-    return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    left = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b.around, F.col("templates")), F.lit(False)) & b.content)
+    rows = rows.select("page_id", "url", left.alias("left"))
+    region = F.array_max(F.transform("left", lambda b: b.region))
+    kept = rows.withColumn("region", region).select("page_id", "url", F.filter("left", lambda b: b.region == F.col("region")).alias("kept"))
+    text = F.array_join(F.transform("kept", lambda b: b.text), "\n")
+    return kept.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
