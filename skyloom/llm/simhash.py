@@ -400,8 +400,8 @@ def _deal_on(lot: pd.DataFrame, tree: pd.DataFrame, settings: Settings) -> pd.Da
 def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
     """The ``pairs`` (``a, b``) whose shingle sets have the similarity; nodes name a
     text by ``low`` (``doc_id, text_hash``). A set is made once for each node in a pair."""
-    pairs = materialise(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
+    given = materialise(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = materialise(given.select(F.explode(F.array("a", "b")).alias("nid")).groupBy("nid").agg(F.count("*").alias("links")))
     wanted = nodes.join(ends, "nid").select("nid", F.col("low.doc_id").alias("low_id"), F.col("low.text_hash").alias("low_hash"))
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("low_id")) & (F.xxhash64("text") == F.col("low_hash"))).select("nid", "text")
 
@@ -415,10 +415,16 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, settings: Setti
 
     # a text that stands in several rows with one doc_id has several equal sets
     sets = materialise(texts.mapInArrow(run, "nid long, own array<long>"))
-    first, second = sets.select(F.col("nid").alias("b"), F.col("own").alias("b_own")), sets.select(F.col("nid").alias("a"), F.col("own").alias("a_own"))
-    shared = F.size(F.array_intersect("a_own", "b_own"))
-    either = F.size("a_own") + F.size("b_own") - shared
-    return pairs.join(first, "b").join(second, "a").where(shared >= settings.similarity * either).select("a", "b").distinct()
+    # the end with more links comes second, so that its set isn't moved with each of them
+    counted = given.join(ends.select(F.col("nid").alias("a"), F.col("links").alias("a_links")), "a").join(ends.select(F.col("nid").alias("b"), F.col("links").alias("b_links")), "b")
+    turned = F.col("a_links") < F.col("b_links")
+    pairs = counted.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("hub"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("other"))
+    first = sets.select(F.col("nid").alias("other"), F.col("own").alias("own_b"))
+    second = sets.join(ends, "nid").select(F.col("nid").alias("hub"), F.col("own").alias("own_a"), "links")
+    shared = F.size(F.array_intersect("own_a", "own_b"))
+    either = F.size("own_a") + F.size("own_b") - shared
+    met = spread_join(pairs.join(first, "other"), second, ["hub"], "links", given.count(), ["other"])
+    return met.where(shared >= settings.similarity * either).select(F.col("hub").alias("a"), F.col("other").alias("b")).distinct()
 
 
 def heads(docs: DataFrame, settings: Settings) -> DataFrame:
@@ -437,11 +443,14 @@ def groups(docs: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
         key, nodes = "nid", materialise(prints.groupBy("nid").agg(*lows, F.min("fp").alias("fp")))
     edges = links(nodes, settings, range(settings.first or len(settings.blocks)))
     edges = materialise(edges if settings.similarity is None else similar(edges, nodes, docs, settings))
-    roots = components(edges)
-    if settings.similarity is not None:
-        grouped = nodes.join(roots, nodes["nid"] == roots["node"], "left").select("nid", F.coalesce("root", "nid").alias("grp"))
+    if settings.similarity is None:
+        roots = components(edges)
+    else:  # the links so far are mostly stars: two rounds group them, and what they leave apart is only checked once more
+        roots = materialise(components(edges, 2))
+        known = roots.groupBy("node").agg(F.min("root").alias("root"))
+        grouped = nodes.join(known, nodes["nid"] == known["node"], "left").select("nid", F.coalesce("root", "nid").alias("grp"))
         more = pairs_between(heads(docs, settings), materialise(grouped), settings.similarity)
-        roots = components(edges.unionByName(similar(more, nodes, docs, settings)))
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(similar(more, nodes, docs, settings)))
     nodes = nodes.select("nid", "fp", F.col("low_id").alias("low"))
     rooted = nodes.join(roots, nodes["nid"] == roots["node"], "left").select(key, "low", "root")
     lows = rooted.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("low").alias("component"))
