@@ -22,26 +22,48 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or
-    a temporary one where the session names none (single-machine tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where the session names none, a
+    temporary one serves a single machine (as in tests); a cluster has to name one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+#: Folders that this process has written and not removed.
+_written: list[str] = []
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder, which ``clean`` removes."""
+    _written.append(f"{shared_dir(spark)}/{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back.
 
     Cuts the lineage so that a lost executor costs a re-read, fixes values that
     depend on partitioning, and gives the next plan real sizes to choose joins by.
+    What is written stays until ``clean``.
     """
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Remove what was written to the shared folder, but for the files of ``keep``. Results that still read such files must be written before."""
+    held = set() if keep is None else {f.rsplit("/", 1)[0] for f in keep.inputFiles()}
+    for path in [p for p in _written if not any(h.endswith(p.split("://")[-1].removeprefix("file:")) for h in held)]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _written.remove(path)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Hold the session's Arrow batches to ``BATCH_BYTES``, on both sides of a worker, unless it sets a size itself.
     Results don't depend on it."""

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import BLANKS, materialise, read, shared_dir, spread_join
+from skyloom.llm.common import BLANKS, materialise, new_folder, read, spread_join
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys that one filter holds, on average.
@@ -258,7 +258,7 @@ class LineIndex:
         shards = max(1, -(-found.count() // SHARD_KEYS))
         spark, version = docs.sparkSession, f"v{uuid.uuid4().hex}"
         versions = spark.range(shards).select(F.col("id").alias("shard"), F.lit(version).alias("version"))
-        out = cls(f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}", versions, shards, min_docs)
+        out = cls(new_folder(spark), versions, shards, min_docs)
         out._write("postings", out._sharded(found).distinct(), version)
         out._write("counts", out._sharded(counts_of(out.postings())), version)
         out._write("filters", filters_of(out.counts().where(F.col("n_docs") >= min_docs).select("shard", "k2")), version)
