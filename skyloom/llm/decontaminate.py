@@ -11,7 +11,8 @@ into blocks of at most ``BLOCK_BYTES`` of text, each searched in a pass of its
 own, and the hits of a document are united. Documents are never shuffled with
 their texts. Null or word-free texts have no words and no hits; items without
 words give no windows; a null item_id counts as the empty one; items with equal ids are one item with several texts;
-rows of ``docs`` with equal ids are taken apart by a row number.
+rows of ``docs`` with equal ids are taken apart by a row number. Texts are searched whole, however long. Empty
+tables give no rows or no hits. Extra columns are ignored, and kept by ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from skyloom.llm.common import materialise, read
 
 WINDOW, BLOCK_WORDS = 13, 3
-#: Benchmark text searched for in one pass; bounds what the driver and a task hold.
-BLOCK_BYTES = 32 << 20
+#: Benchmark text searched for in one pass; bounds what the driver and a task hold (some 100 times as much, for short words).
+BLOCK_BYTES = 4 << 20
 #: A document is contaminated if at least one in so many of its words is hit.
 ONE_IN = 20
 

@@ -7,6 +7,7 @@ them and without ever looking back.
 
 Words: ``PATTERN`` over the lower-cased text. Null and empty texts have no words
 and count 0. Any byte is a piece of its own, so that every word can be counted.
+Texts are counted whole, however long, and repeated rows each. An empty table gives no rows.
 Extra columns are ignored.
 """
 
@@ -87,12 +88,22 @@ class LongestMatch:
         return n + self._rest[at]
 
 
+#: A worker's automata by vocabulary, so that its tasks build one once.
+_BUILT: dict[str, LongestMatch] = {}
+
+
+def automaton_of(path: str, pieces: list[bytes]) -> LongestMatch:
+    if path not in _BUILT:
+        _BUILT[path] = LongestMatch(pieces)
+    return _BUILT[path]
+
+
 def token_counts(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """``doc_id, n_words, n_tokens`` of every document."""
     pieces = load_pieces(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, words, memo = LongestMatch(pieces), regex.compile(pattern), {}
+        automaton, words, memo = automaton_of(path, pieces), regex.compile(pattern), {}
         for batch in batches:
             n_words, n_tokens = [], []
             for text in batch.column(1).to_pylist():
