@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -390,8 +388,7 @@ def raw_frames_decode(spark, sf_dir):
 
 @query(f"with {FRAMES}, {SLICES} select 'sky' as rec_id, floor(ut / 60) * 60 as start, pos, round(sum(ew) / count(ew), 6) as mean from slices group by all")
 def stream_keogram(spark, sf_dir):
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    place = f"{shared}/{uuid.uuid4().hex}"
+    place = sinks.shared_folder(spark)
     stream = keograms.frame_stream(spark, f"{sf_dir}/embeddings.parque[t]", schema.read(spark, sf_dir, "embeddings").schema, schema.as_frames)
     return rounded(keograms.run_to_end(keograms.means(stream, "ew"), f"{place}/out", f"{place}/state"), "mean")
 
@@ -417,8 +414,7 @@ def raw_index_range(spark, sf_dir):
 
 @query(f"with {FRAMES}, {SLICES} select 'sky' as rec_id, frame_idx // 20 as bin, pos, round(sum(ns) / count(ns), 6) as mean from slices group by all")
 def stream_count_keogram(spark, sf_dir):
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    place = f"{shared}/{uuid.uuid4().hex}"
+    place = sinks.shared_folder(spark)
     stream = keograms.frame_stream(spark, f"{sf_dir}/embeddings.parque[t]", schema.read(spark, sf_dir, "embeddings").schema, schema.as_frames)
     return rounded(keograms.run_to_end(keograms.count_means(stream, "ns", 20), f"{place}/out", f"{place}/state"), "mean")
 
