@@ -37,6 +37,11 @@ def rgb(levels: Column) -> Column:
     return F.flatten(F.transform(levels, lambda v: F.array(byte(v), byte(v), byte(v))))
 
 
+def as_bytes(values: Column) -> Column:
+    """Binary of values from 0 to 255."""
+    return F.unhex(F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+
+
 def as_unsigned_16(px: Column) -> Column:
     """Binary of little-endian 16-bit values."""
     two = lambda v: F.lpad(F.hex(v), 2, "0")

@@ -138,24 +138,6 @@ def parameters(dts: DataFrame, speed: float | None = None, rate: float | None =
     return found.withColumn("problem", F.when(F.col("bin_size") > F.col("stride"), F.lit("a bin must not be larger than the stride")))
 
 
-def solve(dt: float, speed: float | None = None, rate: float | None = None, size: int | None = None) -> tuple[float, float, int]:
-    """Speed, frames a second and bin size, exactly two of which are given."""
-    if sum(x is not None for x in (speed, rate, size)) != 2:
-        raise ValueError("give exactly two of speed, frame rate and bin size")
-    if speed is None:
-        speed = rate * dt * size
-    elif rate is None:
-        rate = speed / (dt * size)
-    else:
-        size = max(1, round(speed / (rate * dt)))
-    return speed, rate, size
-
-
-def check_stride(size: int, step: int) -> None:
-    if size > step:
-        raise ValueError("a bin must not be larger than the stride")
-
-
 def count_bins(ranges: DataFrame, width: float | None) -> DataFrame:
     """``rec_id, n_bins, frames_per_bin`` for recordings cut by counts; without a width each frame is a bin."""
     n = F.col("n")

@@ -25,11 +25,16 @@ def bins(frames: DataFrame, segments: DataFrame, bin_size: int | None = None, st
     return held.where(F.pmod(at, F.col("stride")) < F.col("bin_size")).withColumn("bin", F.floor(at / F.col("stride")))
 
 
-def pixel_means(binned: DataFrame) -> DataFrame:
-    """``rec_id, seg, bin, pos, px_mean``: whole frames are summed elementwise, as vectors, before the shuffle; only a bin's mean is exploded."""
+def mean_frames(binned: DataFrame) -> DataFrame:
+    """``rec_id, seg, bin, px array<double>``: the elementwise means of whole frames, summed as vectors before the shuffle."""
     vector = array_to_vector(F.col("px").cast("array<double>"))
     means = binned.select(*KEYS, vector.alias("v")).groupBy(*KEYS).agg(Summarizer.mean(F.col("v")).alias("mean"))
-    return means.select(*KEYS, F.posexplode(vector_to_array("mean")).alias("pos", "px_mean"))
+    return means.select(*KEYS, vector_to_array("mean").alias("px"))
+
+
+def pixel_means(binned: DataFrame) -> DataFrame:
+    """``rec_id, seg, bin, pos, px_mean``; only a bin's mean is exploded."""
+    return mean_frames(binned).select(*KEYS, F.posexplode("px").alias("pos", "px_mean"))
 
 
 def times(binned: DataFrame) -> DataFrame:
@@ -38,12 +43,17 @@ def times(binned: DataFrame) -> DataFrame:
     return found.withColumn("label", timefmt.label(F.col("t_mean")))
 
 
-def gray_frames(frames: DataFrame, norms: DataFrame, kind: str = "log") -> DataFrame:
-    """``rec_id, frame_idx, gray array<int>``; a gray frame's three colours are equal."""
+def gray_frames(frames: DataFrame, norms: DataFrame, kind: str = "log", keys: list[str] | None = None) -> DataFrame:
+    """``rec_id, frame_idx`` (or other ``keys``) and ``gray array<int>``; a gray frame's three colours are equal."""
     level = F.transform("px", lambda v: pixels.gray(pixels.normalise(v.cast("double"), F.col("vmin"), F.col("vmax"), kind)))
-    return frames.join(norms.select("rec_id", "vmin", "vmax"), "rec_id").select("rec_id", "frame_idx", level.alias("gray"))
+    return frames.join(norms.select("rec_id", "vmin", "vmax"), "rec_id").select(*(keys or ["rec_id", "frame_idx"]), level.alias("gray"))
 
 
 def rgb_frames(grays: DataFrame) -> DataFrame:
-    """``rec_id, frame_idx, rgb array<int>``: three equal bytes a pixel, truncated from the colour map's 0 to 1, without alpha."""
-    return grays.select("rec_id", "frame_idx", pixels.rgb(F.col("gray")).alias("rgb"))
+    """With ``rgb binary`` for ``gray``: three equal bytes a pixel, truncated from the colour map's 0 to 1, without alpha."""
+    return grays.withColumn("rgb", pixels.as_bytes(pixels.rgb(F.col("gray")))).drop("gray")
+
+
+def rgb_video(binned: DataFrame, norms: DataFrame, kind: str = "log") -> DataFrame:
+    """``rec_id, seg, bin, n_frames, t_mean, label, rgb``: what a video's frames show."""
+    return times(binned).join(rgb_frames(gray_frames(mean_frames(binned), norms, kind, KEYS)), KEYS)

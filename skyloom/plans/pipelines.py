@@ -19,13 +19,18 @@ from skyloom.sources import camera, sinks
 
 @dataclass
 class Result:
-    """``norms`` and ``plan`` (speed, frame rate, bin size, stride) by recording; ``times`` and ``pixels`` of the binned frames; ``keograms``."""
+    """``norms`` and ``plan`` (speed, frame rate, bin size, stride) by recording; ``times`` and ``pixels`` of the ``binned`` frames; ``keograms``."""
 
     norms: DataFrame
     plan: DataFrame | None = None
     times: DataFrame | None = None
     pixels: DataFrame | None = None
     keograms: DataFrame | None = None
+    binned: DataFrame | None = None
+
+    def video(self) -> DataFrame:
+        """The video's frames in colour, for ``sources.sinks.write_video``."""
+        return video.rgb_video(self.binned, self.norms)
 
 
 def _bounds(frames: DataFrame, start: datetime | None, stop: datetime | None) -> DataFrame:
@@ -54,7 +59,7 @@ def videos(frames: DataFrame, start: datetime | None = None, stop: datetime | No
     plan = timeaxis.parameters(timeaxis.native_dt(slim), speed, rate, bin_size).drop("problem").withColumn("stride", F.col("bin_size"))
     norms = norm.norm_between(frames, 1.0, bounds, 0.1, 99.9) if norms is None else norms
     binned = video.bins(frames, _segments(slim, bounds).join(plan.select("rec_id", "bin_size", "stride"), "rec_id"))
-    return Result(norms, plan, video.times(binned), video.pixel_means(binned))
+    return Result(norms, plan, video.times(binned), video.pixel_means(binned), binned=binned)
 
 
 def hourly(
@@ -71,7 +76,7 @@ def hourly(
     sound = plan.where(F.col("problem").isNull()).select("rec_id", "bin_size", "stride")
     segments = timeaxis.clock_hours(slim, _segments(slim, bounds), lookahead).join(sound, "rec_id")
     binned = video.bins(frames, segments.drop("hour"), closed=False)
-    return Result(norms, plan, video.times(binned), video.pixel_means(binned), keogram.both_axes(frames, segments.drop("bin_size", "stride"), bin_seconds))
+    return Result(norms, plan, video.times(binned), video.pixel_means(binned), keogram.both_axes(frames, segments.drop("bin_size", "stride"), bin_seconds), binned)
 
 
 def whole_keogram(frames: DataFrame, axis: str, bin_seconds: float | None = None) -> DataFrame:

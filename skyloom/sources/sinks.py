@@ -31,6 +31,11 @@ def write_recording(frames: DataFrame, path: str, slices: bool = True) -> None:
     rows.repartitionByRange("rec_id", "ut").sortWithinPartitions("rec_id", "ut").write.mode("errorifexists").partitionBy("rec_id").parquet(path)
 
 
+def write_video(frames: DataFrame, path: str) -> None:
+    """A new table of a video's frames (``operators.video.rgb_video``), by recording and segment, each in its order."""
+    frames.repartition("rec_id", "seg").sortWithinPartitions("rec_id", "seg", "bin").write.mode("errorifexists").partitionBy("rec_id", "seg").parquet(path)
+
+
 def video_name(stem, start, stop) -> F.Column:
     """``<stem>_<HH-MM-SS>_<HH-MM-SS>.mp4`` of a segment's times."""
     return F.concat(F.concat_ws("_", stem, timefmt.utc(start, "HH-mm-ss"), timefmt.utc(stop, "HH-mm-ss")), F.lit(".mp4"))

@@ -74,9 +74,7 @@ def test_blocks_and_partitions(spark, monkeypatch):
 
 def test_guards(spark, tmp_path):
     with pytest.raises(ValueError):
-        timeaxis.solve(0.1, speed=1.0)
-    with pytest.raises(ValueError):
-        timeaxis.check_stride(6, 5)
+        pipelines.hourly(schema.frames(spark, SF), output_hz=1.0)
     with pytest.raises(ValueError):
         timeaxis.hour_bins(None)
     with pytest.raises(ValueError):
@@ -129,15 +127,23 @@ def test_exact_median_of_differences(spark):
     assert got == pytest.approx(want, abs=1e-12)
 
 
-def test_hour_bins_and_solver():
+def test_hour_bins():
     assert timeaxis.hour_bins(None, 7.5) == 480 and timeaxis.hour_bins(7.0) == 515
-    assert timeaxis.solve(0.1, speed=15.0, size=5) == (15.0, 30.0, 5) and timeaxis.solve(0.1, rate=30.0, size=5)[0] == 15.0 and timeaxis.solve(0.1, speed=15.0, rate=30.0)[2] == 5
+
+
+def test_videos_are_written_by_segment(spark, tmp_path):
+    found = pipelines.videos(schema.frames(spark, SF), bin_size=5, speed=15.0)
+    sinks.write_video(found.video(), f"{tmp_path}/video")
+    rows = spark.read.parquet(f"{tmp_path}/video").collect()
+    assert len(rows) == found.times.count() and all(len(x.rgb) == 192 and x.rgb[0] == x.rgb[1] == x.rgb[2] for x in rows)
+    assert len(glob.glob(f"{tmp_path}/video/rec_id=sky/seg=*")) == len({x.seg for x in rows})
 
 
 def test_parameters_per_recording(spark):
     dts = spark.createDataFrame([("a", 0.1), ("b", 0.5), ("c", 3.0)], "rec_id string, dt double")
     got = {x.rec_id: x for x in timeaxis.parameters(dts, speed=15.0, size=5, hz=1.0).collect()}
     assert {n: (x.stride, x.fps, x.bin_size, x.problem is None) for n, x in got.items()} == {"a": (10, 15.0, 5, True), "b": (2, 15.0, 5, False), "c": (1, 15.0, 5, False)}
+    assert {x.rec_id: x.speed for x in timeaxis.parameters(dts, rate=30.0, size=5).collect()} == pytest.approx({"a": 15.0, "b": 75.0, "c": 450.0})
     got = {x.rec_id: x.bin_size for x in timeaxis.parameters(dts, speed=15.0, rate=10.0).collect()}
     assert got == {n: max(1, round(15 / (10 * dt))) for n, dt in (("a", 0.1), ("b", 0.5), ("c", 3.0))}
 
