@@ -5,8 +5,8 @@ The merges are recovered from a rank file once on the driver, put into the
 closure (its size is that of the vocabulary file, not of the data). Rows stream
 through ``mapInArrow``: no shuffle, no state between batches.
 
-Null texts count as empty; empty texts give no ids. Repeated rows are encoded
-each on its own. Extra columns are ignored by the digest and kept by ``encode``
+Null texts count as empty; empty texts give no ids. Texts are encoded whole, however long, and repeated rows
+each on its own. An empty table gives no rows. Extra columns are ignored by the digest and kept by ``encode``
 (a column of a result's name is replaced).
 """
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,14 +36,27 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-#: Folders that this process has written and not removed.
-_written: list[str] = []
+#: Where the folders that are being written are noted, if anywhere.
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The folders that are written meanwhile, for ``clean``."""
+    folders: list[str] = []
+    token = _noted.set(folders)
+    try:
+        yield folders
+    finally:
+        _noted.reset(token)
 
 
 def new_folder(spark: SparkSession) -> str:
-    """A new path in the shared folder, which ``clean`` removes."""
-    _written.append(f"{shared_dir(spark)}/{uuid.uuid4().hex}")
-    return _written[-1]
+    """A new path in the shared folder."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    if _noted.get() is not None:
+        _noted.get().append(path)
+    return path
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -48,20 +64,18 @@ def materialise(df: DataFrame) -> DataFrame:
 
     Cuts the lineage so that a lost executor costs a re-read, fixes values that
     depend on partitioning, and gives the next plan real sizes to choose joins by.
-    What is written stays until ``clean``.
+    What is written stays, but for what is noted in a ``scratch`` and given to ``clean``.
     """
     path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clean(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Remove what was written to the shared folder, but for the files of ``keep``. Results that still read such files must be written before."""
-    held = set() if keep is None else {f.rsplit("/", 1)[0] for f in keep.inputFiles()}
-    for path in [p for p in _written if not any(h.endswith(p.split("://")[-1].removeprefix("file:")) for h in held)]:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+def clean(spark: SparkSession, folders: list[str]) -> None:
+    """Remove folders. Results that still read them must be written before."""
+    for folder in folders:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        _written.remove(path)
 
 
 def bound_batches(spark: SparkSession) -> None:

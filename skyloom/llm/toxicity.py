@@ -23,7 +23,8 @@ scored, over their whole texts; scoring is a map with no shuffle.
 
 Null, empty and wordless texts have the score that a text with harmless words has at
 most. Labels that are null are left out; of contradicting labels of a doc_id the larger
-counts. With labels of one class only, or none, every score is 0. Extra columns are ignored.
+counts. With labels of one class only, or none, every score is 0. Repeated rows have one score, each for itself. An empty
+table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
