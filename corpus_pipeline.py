@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm import bpe, decontaminate, line_dedup, simhash, toxicity
-from skyloom.llm.common import clean, materialise, read
+from skyloom.llm.common import clean, materialise, read, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +58,14 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
+    before: list[str] = []
     for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
-        clean(spark, keep=docs)
+        with scratch() as between:
+            kept = stage(spark, docs, sf_dir)
+        with scratch() as result:
+            docs = materialise(kept)
+        clean(spark, between + before)
+        before = result
     return docs
 
 
