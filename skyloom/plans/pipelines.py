@@ -79,8 +79,10 @@ def hourly(
     return Result(norms, plan, video.times(binned), video.pixel_means(binned), keogram.both_axes(frames, segments.drop("bin_size", "stride"), bin_seconds), binned)
 
 
-def whole_keogram(frames: DataFrame, axis: str, bin_seconds: float | None = None) -> DataFrame:
-    return keogram.by_count(frames, axis, timeaxis.count_bins(timeaxis.time_range(frames.select("rec_id", "frame_idx", "ut")), bin_seconds))
+def whole_keogram(frames: DataFrame, axis: str, bin_seconds: float | None = None, norms: DataFrame | None = None) -> Result:
+    """The keogram of all frames in bins of about ``bin_seconds`` (by default of a frame), and limits sampled each second."""
+    per = timeaxis.count_bins(timeaxis.time_range(frames.select("rec_id", "frame_idx", "ut")), bin_seconds)
+    return Result(norm.norm(frames, 1.0) if norms is None else norms, keograms=keogram.by_count(frames, axis, per))
 
 
 def rough_keogram(frames: DataFrame, axis: str, bin_seconds: float, sample_interval: int) -> Result:

@@ -251,7 +251,7 @@ def video_labels(spark, sf_dir):
 @query(f"""with {FRAMES}, {SLICES}, r as (select count(*) as n, max_by(ut, frame_idx) - min_by(ut, frame_idx) as span from frames), p as (select greatest(1, n // greatest(1, cast(trunc(span / 100) as bigint))) as per from r)
     select 'sky' as rec_id, frame_idx // per as bin, pos, round(sum(ns) / count(ns), 6) as mean from slices, p group by all""")
 def keogram_count(spark, sf_dir):
-    return rounded(pipelines.whole_keogram(schema.frames(spark, sf_dir), "ns", 100.0), "mean")
+    return rounded(pipelines.whole_keogram(schema.frames(spark, sf_dir), "ns", 100.0).keograms, "mean")
 
 
 @query(f"""with {FRAMES}, {SLICES}, r as (select cast(ceil(count(*) / 20) as bigint) - 1 as blocks from frames)
