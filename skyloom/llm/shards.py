@@ -63,8 +63,8 @@ def _hypergeometric(random: np.random.Generator, good: int, bad: int, drawn: int
     if low == high:
         return low
     mode = min(max((drawn + 1) * (good + 1) // (good + bad + 2), low), high)
-    p = good / (good + bad)
-    reach = 16 + int(10 * (drawn * p * (1 - p)) ** 0.5)
+    n, p = good + bad, good / (good + bad)
+    reach = 16 + int(9.5 * (drawn * p * (1 - p) * (n - drawn) / (n - 1)) ** 0.5)
     while True:
         up = np.arange(mode, min(high, mode + reach), dtype=float)
         down = np.arange(mode, max(low, mode - reach), -1, dtype=float)

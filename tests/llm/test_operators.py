@@ -387,12 +387,12 @@ def test_communication_matrix_is_hypergeometric():
 def test_hypergeometric_moments(good, bad, drawn):
     """One law at every size, beyond 10**9 too: mean, variance and the middle of the distribution."""
     random, n = np.random.default_rng(2), good + bad
-    x = np.array([shards._hypergeometric(random, good, bad, drawn) for _ in range(3000)])
-    assert x.min() >= max(0, drawn - bad) and x.max() <= min(good, drawn)
     mean, var = drawn * good / n, drawn * (good / n) * (bad / n) * (n - drawn) / (n - 1)
-    assert abs(x.mean() - mean) < 4 * (var / len(x)) ** 0.5 and abs(x.var() / var - 1) < 0.15
+    x = np.array([shards._hypergeometric(random, good, bad, drawn) for _ in range(3000 if var < 10**6 else 500)])
+    assert x.min() >= max(0, drawn - bad) and x.max() <= min(good, drawn)
+    assert abs(x.mean() - mean) < 4 * (var / len(x)) ** 0.5 and abs(x.var() / var - 1) < 0.25
     if var > 1000:  # nearly normal
-        assert abs(np.mean(np.abs(x - mean) < var**0.5) - 0.6827) < 0.03
+        assert abs(np.mean(np.abs(x - mean) < var**0.5) - 0.6827) < 0.07
     if n < 20:  # against every case
         for k in range(max(0, drawn - bad), min(good, drawn) + 1):
             assert abs(np.mean(x == k) - math.comb(good, k) * math.comb(bad, drawn - k) / math.comb(n, drawn)) < 0.03
