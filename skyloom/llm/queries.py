@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyloom.llm import bpe, decontaminate, html_text, line_dedup, neighbours, shards, simhash, token_counts, toxicity, url_filter
+from skyloom.llm import bpe, decontaminate, html_text, line_dedup, merkle, neighbours, shards, simhash, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_neighbours": neighbours.op9_neighbours,
         "op10_html_text": html_text.op10_html_text,
+        "op12_merkle": merkle.op12_merkle,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -27,5 +28,5 @@ def oracle_sql() -> dict[str, str]:
     """Where SQL can express a whole query; the others are held against brute force in the tests."""
     import corpus_pipeline
 
-    said = {"op4_decontaminate": decontaminate.ORACLE_SQL, "op7_url_filter": url_filter.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    said = {"op4_decontaminate": decontaminate.ORACLE_SQL, "op7_url_filter": url_filter.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL, "op12_merkle": merkle.ORACLE_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: sql for name, sql in said.items() if sql}
