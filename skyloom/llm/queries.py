@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyloom.llm import bpe, decontaminate, html_text, line_dedup, merkle, neighbours, shards, simhash, token_counts, toxicity, url_filter
+from skyloom.llm import align, bpe, decontaminate, html_text, line_dedup, merkle, neighbours, shards, simhash, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op9_neighbours": neighbours.op9_neighbours,
         "op10_html_text": html_text.op10_html_text,
         "op12_merkle": merkle.op12_merkle,
+        "op13_align": align.op13_align,
         "pipeline": corpus_pipeline.run,
     }
 
