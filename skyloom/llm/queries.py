@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyloom.llm import align, bpe, decontaminate, html_text, line_dedup, merkle, neighbours, shards, simhash, token_counts, toxicity, url_filter
+from skyloom.llm import align, bpe, decontaminate, html_text, jaccard, line_dedup, merkle, neighbours, shards, simhash, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_neighbours": neighbours.op9_neighbours,
         "op10_html_text": html_text.op10_html_text,
+        "op11_jaccard": jaccard.op11_jaccard,
         "op12_merkle": merkle.op12_merkle,
         "op13_align": align.op13_align,
         "pipeline": corpus_pipeline.run,
