@@ -118,7 +118,7 @@ def _down(state: DataFrame, wanted: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def prove(found: Manifest, requests: DataFrame) -> DataFrame:
-    """``requests`` (``tree, pos`` and others) with ``leaf``, ``subroot`` and ``path array<struct<before,after>>``: the siblings on either
+    """``requests`` (``tree, pos`` and others, none of them named as what is used on the way: ``idx, child, children, digest``) with ``leaf``, ``subroot`` and ``path array<struct<before,after>>``: the siblings on either
     side, joined, from the leaf's run to the root's."""
     spark = requests.sparkSession
     if found.root is None:
