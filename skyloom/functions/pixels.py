@@ -1,9 +1,12 @@
-"""Scalar functions on pixel arrays (row-major ``px``), all inside the JVM."""
+"""Scalar functions on pixel arrays (row-major ``px``): inside the JVM, but for those that make binary, which pack a batch's arrays."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 
 def centre_column(px: Column, height: Column, width: Column) -> Column:
@@ -37,15 +40,16 @@ def rgb(levels: Column) -> Column:
     return F.flatten(F.transform(levels, lambda v: F.array(byte(v), byte(v), byte(v))))
 
 
-def as_bytes(values: Column) -> Column:
+@F.pandas_udf(BinaryType())
+def as_bytes(values: pd.Series) -> pd.Series:
     """Binary of values from 0 to 255."""
-    return F.unhex(F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    return values.map(lambda v: v.astype(np.uint8).tobytes(), na_action="ignore")
 
 
-def as_unsigned_16(px: Column) -> Column:
+@F.pandas_udf(BinaryType())
+def as_unsigned_16(px: pd.Series) -> pd.Series:
     """Binary of little-endian 16-bit values."""
-    two = lambda v: F.lpad(F.hex(v), 2, "0")
-    return F.unhex(F.array_join(F.transform(px, lambda v: F.concat(two(v % 256), two(F.floor(v / 256)))), ""))
+    return px.map(lambda v: v.astype("<u2").tobytes(), na_action="ignore")
 
 
 def checked(px: Column) -> Column:

@@ -24,6 +24,26 @@ def differences(frames: DataFrame, value: str = "ut", out: str = "diff") -> Data
     return rows.withColumn(out, F.col("v") - before).where(F.col(out).isNotNull()).select("rec_id", "frame_idx", out)
 
 
+def runs(frames: DataFrame, number: str = "raw_idx") -> DataFrame:
+    """``rec_id, run, first_raw, last_raw, n``: stretches of a recording whose frames' own numbers follow each other by one, in order.
+    A block's breaks are counted in its task, and those of the blocks before are carried on to it."""
+    block = F.floor(F.col("frame_idx") / BLOCK)
+    steps = differences(frames, number).select("rec_id", "frame_idx", (F.col("diff") != 1).cast("long").alias("breaks"))
+    rows = frames.select("rec_id", "frame_idx", F.col(number).alias("number"), block.alias("block")).join(steps, ["rec_id", "frame_idx"], "left").fillna(0, ["breaks"])
+    # one line for each block of a recording
+    blocks = rows.groupBy("rec_id", "block").agg(F.sum("breaks").alias("own"))
+    carried = blocks.select("rec_id", "block", (F.sum("own").over(Window.partitionBy("rec_id").orderBy("block")) - F.col("own")).alias("carried"))
+    inside = F.sum("breaks").over(Window.partitionBy("rec_id", "block").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0))
+    named = rows.withColumn("inside", inside).join(carried, ["rec_id", "block"]).withColumn("run", F.col("inside") + F.col("carried"))
+    return named.groupBy("rec_id", "run").agg(F.min("number").alias("first_raw"), F.max("number").alias("last_raw"), F.count("*").alias("n"))
+
+
+def dropped(found: DataFrame) -> DataFrame:
+    """``rec_id, after_raw, missing``: the frames that are missing between ``runs``."""
+    following = F.lead("first_raw").over(Window.partitionBy("rec_id").orderBy("run"))
+    return found.select("rec_id", F.col("last_raw").alias("after_raw"), (following - F.col("last_raw") - 1).alias("missing")).where("missing is not null")
+
+
 def native_dt(frames: DataFrame) -> DataFrame:
     """``rec_id, dt``: the exact median of the differences. Only those near the median, by a
     bounded sketch, are ranked; equal ones are one row."""

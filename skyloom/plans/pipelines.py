@@ -12,9 +12,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom.functions import timefmt
 from skyloom.functions.timefmt import assert_utc
 from skyloom.operators import keogram, norm, timeaxis, video
-from skyloom.sources import camera, sinks
+from skyloom.sources import camera, raw, sinks
 
 
 @dataclass
@@ -91,13 +92,13 @@ def rough_keogram(frames: DataFrame, axis: str, bin_seconds: float, sample_inter
     return Result(norm.norm(frames, 60.0), keograms=keogram.rough(frames, axis, sample_interval, per))
 
 
-def raw_to_recording(spark: SparkSession, folder: str, out: str, user: dict | None = None, override: dict | None = None, suffix: str = ".DMCdata") -> DataFrame:
-    """Raw files below ``folder`` with their companions, as one recording table ``out``, by recording. Files without companions and
-    recordings that are there already fail it before anything is written. Returns what was written (``raw_ranges``)."""
+def raw_to_recording(spark: SparkSession, folder: str, out: str, user: dict | None = None, override: dict | None = None, suffix: str = raw.SUFFIX, split_bytes: int | None = None) -> DataFrame:
+    """Raw files below ``folder``, however deep and large, with their companions, as one recording table ``out``, by recording. Files without
+    companions, two files of one name and recordings that are there already fail it before anything is written. Returns what was written (``raw_ranges``)."""
     files = camera.listing(spark, folder, "*")
     camera.require_companions(files, suffix)
-    load = lambda end: f"{folder}/*{end}"
-    raw = spark.read.format("binaryFile").load(load(suffix)).select(camera.as_path(F.col("path")).alias("path"), "content")
-    params = camera.with_params(raw, camera.xml_params(camera.texts(spark, load(".xml"))), camera.nmea_start(camera.texts(spark, load(".nmea"))), user, override)
-    sinks.write_recording(camera.raw_frames(params), out)
+    stems = files.where(F.col("path").endswith(suffix)).groupBy(timefmt.stem(F.col("path")).alias("rec_id")).agg(F.count("*").alias("n"))
+    if twice := stems.where("n > 1").first():
+        raise ValueError(f"{twice['n']} raw files are named {twice['rec_id']}")
+    sinks.write_recording(raw.frames(spark, folder, user=user, override=override, suffix=suffix, split_bytes=split_bytes).drop("path"), out)
     return camera.raw_ranges(spark.read.parquet(out))

@@ -11,7 +11,7 @@ from skyloom import schema
 from skyloom.functions import pixels, timefmt
 from skyloom.operators import fold, keogram, manifest, norm, stats, timeaxis, video
 from skyloom.plans import pipelines
-from skyloom.sources import camera, sinks
+from skyloom.sources import camera, raw, sinks
 from skyloom.streaming import keograms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,9 +152,6 @@ def nearest_frame(spark, sf_dir):
     return rounded(timeaxis.nearest(ticks.select("rec_id", "frame_idx", "ut"), keys), "key")
 
 
-query(NEAREST_FRAME, "nearest_frame_all")(nearest_frame)
-
-
 @query(f"""with {TICKS}, source as (select * from ticks), pairs as (select event_type as rec_id, user_id, min(epoch_us(ts)) / 1e6 + 0.7 as a, max(epoch_us(ts)) / 1e6 + 0.2 as b from events group by all),
     sought as (select rec_id, user_id, 'start' as which, floor(a) as t from pairs union all select rec_id, user_id, 'stop', floor(b) from pairs), {NEAREST}
     select rec_id, user_id, max(idx) filter (where which = 'start') as s, max(idx) filter (where which = 'stop') as e from near group by all""")
@@ -412,6 +409,40 @@ def raw_index_range(spark, sf_dir):
     return camera.raw_ranges(_raw(spark, sf_dir))
 
 
+STORED = f"""with {FRAMES}, raw as (select 'x_CamSer' || printf('%06d', frame_idx // 100) as rec_id, frame_idx % 100 as frame_idx, frame_idx + 70000 + 3 * (frame_idx // 50) as raw_idx, px from frames)"""
+STORED_ROWS = " select rec_id, frame_idx, raw_idx, 1365663601 + (raw_idx - 1) * cast(0.5 as double) as ut, 4 as height, 16 as width, px from raw"
+
+
+def _stored(spark, sf_dir, **options):
+    """Raw files of a hundred frames in folders, read by ranges of 4,096 bytes."""
+    place = sinks.shared_folder(spark)
+    files, xml, nmea = schema.raw_files(spark, sf_dir, 100, 3)
+    texts = xml.unionByName(nmea).select("path", F.encode("value", "utf-8").alias("content"))
+    raw.write_files(files.unionByName(texts), place).write.format("noop").mode("overwrite").save()
+    return raw.frames(spark, place, split_bytes=4096, **options).drop("path")
+
+
+@query(STORED + STORED_ROWS)
+def raw_by_ranges(spark, sf_dir):
+    return _stored(spark, sf_dir)
+
+
+@query(STORED + STORED_ROWS + " where raw_idx between 70120 and 70260")
+def raw_slice(spark, sf_dir):
+    """Frames between two raw numbers, found by their headers."""
+    return _stored(spark, sf_dir, first_raw=70120, last_raw=70260)
+
+
+@query(STORED + " select rec_id, run, min(raw_idx) as first_raw, max(raw_idx) as last_raw, count(*) as n from (select rec_id, raw_idx, dense_rank() over (partition by rec_id order by raw_idx - frame_idx) - 1 as run from raw) group by all")
+def raw_runs(spark, sf_dir):
+    return timeaxis.runs(_stored(spark, sf_dir, pixels=False))
+
+
+@query(STORED + ", steps as (select rec_id, raw_idx, lead(raw_idx) over (partition by rec_id order by raw_idx) - raw_idx - 1 as missing from raw) select rec_id, raw_idx as after_raw, missing from steps where missing > 0")
+def raw_dropped(spark, sf_dir):
+    return timeaxis.dropped(timeaxis.runs(_stored(spark, sf_dir, pixels=False)))
+
+
 @query(f"with {FRAMES}, {SLICES} select 'sky' as rec_id, frame_idx // 20 as bin, pos, round(sum(ns) / count(ns), 6) as mean from slices group by all")
 def stream_count_keogram(spark, sf_dir):
     place = sinks.shared_folder(spark)

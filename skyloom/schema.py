@@ -66,18 +66,17 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").where("event_id % 6 <> 0").select(F.concat(F.lit("/data/HDF/"), day, F.lit("/"), F.col("user_id").cast("string"), F.lit("/CamSer"), F.col("user_id").cast("string"), F.lit("_"), F.col("event_id").cast("string"), F.when(F.col("event_id") % 10 == 1, F.lit(".png")).otherwise(F.lit(".h5"))).alias("path"))
 
 
-def raw_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Raw camera files of ten frames each, derived from ``embeddings``, with their metadata and position texts:
-    4 x 16 frames of an 8 x 32 sensor binned by 2, with headers that count on from file to file."""
+def raw_files(spark: SparkSession, sf_dir: str, per: int = 10, gap: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Raw camera files of ``per`` frames each, derived from ``embeddings``, with their metadata and position texts: 4 x 16 frames of
+    an 8 x 32 sensor binned by 2, with headers that count on from file to file, and skip ``gap`` numbers after each 50 frames. Files are in three folders."""
     from skyloom.functions import pixels
 
-    one = frames(spark, sf_dir).select((F.col("frame_idx") + 70_000).alias("raw"), F.floor(F.col("frame_idx") / 10).alias("file"), "px")
-    word = lambda v: F.unhex(F.concat(F.lpad(F.hex(v % 256), 2, "0"), F.lpad(F.hex(F.floor(v / 256)), 2, "0")))
-    whole = F.concat(pixels.as_unsigned_16(F.col("px")), word(F.floor(F.col("raw") / 65536)), word(F.col("raw") % 65536))
-    name = F.concat(F.lit("/raw/x_CamSer"), F.lpad(F.col("file").cast("string"), 6, "0"))
-    grouped = one.select("file", F.struct("raw", whole.alias("bytes")).alias("frame")).groupBy("file").agg(F.array_sort(F.collect_list("frame")).alias("frames"))
-    joined = F.unhex(F.array_join(F.transform("frames", lambda f: F.hex(f.bytes)), ""))
-    files = grouped.select(F.concat(name, F.lit(".DMCdata")).alias("path"), joined.alias("content"))
+    idx = F.col("frame_idx")
+    one = frames(spark, sf_dir).select((idx + 70_000 + F.floor(idx / 50) * gap).alias("raw"), F.floor(idx / per).alias("file"), "px")
+    head = F.array(F.floor(F.col("raw") / 65536).cast("int"), (F.col("raw") % 65536).cast("int"))
+    name = F.concat(F.lit("/raw/"), (F.col("file") % 3).cast("string"), F.lit("/x_CamSer"), F.lpad(F.col("file").cast("string"), 6, "0"))
+    grouped = one.select("file", F.struct("raw", F.concat("px", head).alias("words")).alias("frame")).groupBy("file").agg(F.array_sort(F.collect_list("frame")).alias("frames"))
+    files = grouped.select(F.concat(name, F.lit(".DMCdata")).alias("path"), pixels.as_unsigned_16(F.flatten("frames.words")).alias("content"))
     xml = grouped.select(F.concat(name, F.lit(".xml")).alias("path"), F.lit("<p><horizpixels>32</horizpixels><vertpixels>8</vertpixels><binning>2</binning><kineticrate>0.5</kineticrate></p>").alias("value"))
     nmea = grouped.select(F.concat(name, F.lit(".nmea")).alias("path"), F.lit("$GPGGA,1\n$GPRMC,070000,V,,,,,,,110413\n$GPRMC,070001,A,65.1,N,147.4,W,0,0,110413,,*1\n").alias("value"))
     return files, xml, nmea

@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from skyloom import schema
 from skyloom.functions import timefmt
+from skyloom.sources import raw
 
 COMPANIONS = (".xml", ".nmea")
 
@@ -68,8 +69,8 @@ def table_of(path: Column) -> Column:
 
 def missing_companions(files: DataFrame, suffix: str = ".DMCdata") -> DataFrame:
     """``path, missing``: raw files without their metadata or position file."""
-    raw = files.where(F.col("path").endswith(suffix)).select("path", F.explode(F.array(*[F.lit(c) for c in COMPANIONS])).alias("missing"))
-    wanted = raw.withColumn("want", F.concat(F.expr(f"substring(path, 1, length(path) - {len(suffix)})"), "missing"))
+    lone = files.where(F.col("path").endswith(suffix)).select("path", F.explode(F.array(*[F.lit(c) for c in COMPANIONS])).alias("missing"))
+    wanted = lone.withColumn("want", F.concat(F.expr(f"substring(path, 1, length(path) - {len(suffix)})"), "missing"))
     return wanted.join(files.select(F.col("path").alias("want")), "want", "left_anti").select("path", "missing")
 
 
@@ -110,45 +111,29 @@ def with_params(files: DataFrame, xml: DataFrame, nmea: DataFrame, user: dict |
 
 
 def raw_frames(files: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
-    """``rec_id, frame_idx, raw_idx, ut, height, width, px`` of raw files (``path, content`` and the columns of
+    """``rec_id, frame_idx, raw_idx, ut, height, width, px`` of raw files in rows (``path, content`` and the columns of
     ``schema.CAMERA``): each frame's pixels (unsigned, 16 bits, little end first) binned as the camera did, then its header bytes. A header of four
-    bytes or more holds the frame's raw number (two 16-bit words, the high one first); the file's frames follow the first one's number without gaps,
-    from 1 where there is no header. Raw frame 1 is at ``start_utc``. Frames are transposed, then turned counter-clockwise
+    bytes or more holds the frame's raw number (two 16-bit words, the high one first), from which frames may be missing; without one, numbers
+    count from 1. Raw frame 1 is at ``start_utc``. Frames are transposed, then turned counter-clockwise
     by ``rot_ccw`` degrees (whole quarters), flipped up-down, and flipped left-right, as far as asked for. A last frame that isn't whole is left out.
+    Files without a parameter that has no default fail with their name.
 
-    A file is a row and its frames leave the task in batches; long recordings come as many files.
+    A file is a row here, for files that some other source has loaded; ``sources.raw.frames`` reads stored ones by ranges.
     """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
+                params = raw.with_defaults(row["path"], {}, {}, {c: row[c] for c in schema.CAMERA.names})
+                size = raw.frame_shape(params)[2]
                 data = np.frombuffer(row["content"] or b"", np.uint8)
-                h, w, head = row["vert_pixels"] // row["binning"], row["horiz_pixels"] // row["binning"], row["header_bytes"]
-                size = 2 * h * w + head
-                n = len(data) // size
-                frames = data[: n * size].reshape(n, size)
-                first = 1
-                if head >= 4 and n:
-                    high, low = frames[0, 2 * h * w :][:4].view("<u2").tolist()
-                    first = high << 16 | low
-                step = max(1, batch_bytes // max(1, 4 * h * w))
-                for s in range(0, n, step):
-                    px = frames[s : s + step, : 2 * h * w].copy().view("<u2").reshape(-1, h, w).astype(np.int32)
-                    if row["transpose"]:
-                        px = px.transpose(0, 2, 1)
-                    px = np.rot90(px, row["rot_ccw"] // 90, axes=(1, 2))
-                    px = px[:, ::-1] if row["flip_ud"] else px
-                    px = px[:, :, ::-1] if row["flip_lr"] else px
-                    m, height, width = px.shape
-                    at = np.arange(s, s + m)
-                    columns = {"path": pa.array([row["path"]] * m), "frame_idx": pa.array(at), "raw_idx": pa.array(first + at), "ut": pa.array(row["start_utc"] + (first + at - 1) * row["kinetic_sec"])}
-                    columns |= {"height": pa.array([height] * m, pa.int32()), "width": pa.array([width] * m, pa.int32())}
-                    columns["px"] = pa.ListArray.from_arrays(np.arange(m + 1, dtype=np.int32) * (height * width), np.ascontiguousarray(px).reshape(-1))
-                    yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-    kinds = "path string, frame_idx long, raw_idx long, ut double, height int, width int, px array<int>"
-    found = files.select("path", "content", *schema.CAMERA.names).mapInArrow(decode, kinds)
-    return found.select(timefmt.stem(F.col("path")).alias("rec_id"), *[c for c in found.columns if c != "path"])
+                frames = data[: len(data) // size * size].reshape(-1, size)
+                step = max(1, batch_bytes // size)
+                for s in range(0, len(frames), step):
+                    yield raw.batch_of("", row["path"], frames[s : s + step], s, params)
+
+    found = files.select("path", "content", *schema.CAMERA.names).mapInArrow(decode, raw.COLUMNS)
+    return found.select(timefmt.stem(F.col("path")).alias("rec_id"), *[c for c in found.columns if c not in ("path", "rec_id")])
 
 
 def raw_ranges(frames: DataFrame) -> DataFrame:
