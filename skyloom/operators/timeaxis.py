@@ -62,10 +62,8 @@ def native_dt(frames: DataFrame) -> DataFrame:
     return ranked.groupBy("rec_id").agg(((at("lower") + at("upper")) / 2).alias("dt"))
 
 
-def nearest(frames: DataFrame, keys: DataFrame, whole_seconds: bool = False, with_time: bool = False) -> DataFrame:
-    """``keys`` (``rec_id, key`` and others) with ``idx``: the frame nearest in time.
-    Of two equally near the left; of equal times the first at the key's own time, the
-    last on its left; keys outside take the end. Recordings without frames give 0. ``at`` is its time.
+def around(frames: DataFrame, keys: DataFrame, whole_seconds: bool = False) -> DataFrame:
+    """``keys`` (``rec_id, key`` and others) with ``t`` (what is looked up) and ``l, r struct<frame_idx,t>``: the last frame before it and the first at it or after; null where there is none.
 
     A key goes to the last block that begins before it, which has the first frame of the next block, too. In a block,
     one sorted sweep each way over frames and keys together; no pair is formed.
@@ -85,7 +83,15 @@ def nearest(frames: DataFrame, keys: DataFrame, whole_seconds: bool = False, wit
     sweep = lambda *order: Window.partitionBy("rec_id", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     left = F.last(seen, ignorenulls=True).over(sweep("t", "kind", "frame_idx"))
     right = F.last(seen, ignorenulls=True).over(sweep(F.desc("t"), F.desc("kind"), F.desc("frame_idx")))
-    found = both.withColumn("l", left).withColumn("r", right).where(F.col("kind") == 0)
+    return both.withColumn("l", left).withColumn("r", right).where(F.col("kind") == 0).select("rec_id", "key", "t", *others, "l", "r")
+
+
+def nearest(frames: DataFrame, keys: DataFrame, whole_seconds: bool = False, with_time: bool = False) -> DataFrame:
+    """``keys`` (``rec_id, key`` and others) with ``idx``: the frame nearest in time.
+    Of two equally near the left; of equal times the first at the key's own time, the
+    last on its left; keys outside take the end. Recordings without frames give 0. ``at`` is its time."""
+    others = [c for c in keys.columns if c not in ("rec_id", "key")]
+    found = around(frames, keys, whole_seconds)
     nearer = F.when(F.abs(F.col("l.t") - F.col("t")) <= F.abs(F.col("r.t") - F.col("t")), F.col("l")).otherwise(F.col("r"))
     one = F.when(F.col("l").isNull(), F.col("r")).when(F.col("r").isNull(), F.col("l")).otherwise(nearer)
     found = found.withColumn("one", one).withColumns({"idx": F.coalesce("one.frame_idx", F.lit(0).cast("long")), "at": F.col("one.t")})
@@ -113,7 +119,11 @@ def hour_segments(frames: DataFrame, ranges: DataFrame | None = None) -> DataFra
     """``rec_id, seg, s, e, us, ue``: neighbouring boundaries' nearest frames and their times, between ``start``
     and ``stop`` of ``ranges`` (by default of the recordings)."""
     keys = hour_boundaries(time_range(frames) if ranges is None else ranges).withColumnRenamed("boundary", "key")
-    found = nearest(frames, keys, with_time=True)
+    return segments_of(nearest(frames, keys, with_time=True))
+
+
+def segments_of(found: DataFrame) -> DataFrame:
+    """The same of boundaries (``rec_id, seq``) that were looked up (``idx, at``)."""
     order = Window.partitionBy("rec_id").orderBy("seq")
     pairs = found.select("rec_id", F.col("seq").alias("seg"), F.col("idx").alias("s"), F.lead("idx").over(order).alias("e"), F.col("at").alias("us"), F.lead("at").over(order).alias("ue"))
     return pairs.where(F.col("e").isNotNull())

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom import schema
+from skyloom import schema, shared
 from skyloom.functions import pixels, timefmt
-from skyloom.operators import fold, keogram, manifest, norm, stats, timeaxis, video
+from skyloom.operators import fold, keogram, manifest, norm, stats, timeaxis, video, zones
 from skyloom.plans import pipelines
 from skyloom.sources import camera, raw, sinks
 from skyloom.streaming import keograms
@@ -141,15 +141,30 @@ def frame_to_gray(spark, sf_dir):
 # -- time axis ------------------------------------------------------------------
 
 
-NEAREST_FRAME = f"""with {TICKS}, source as (select * from ticks), sought as (select rec_id, frame_idx as asked, ut + (frame_idx % 7) * 60.5 - 100 as t from ticks), {NEAREST}
-    select rec_id, round(t, 6) as key, asked, idx from near"""
+NEAREST_FRAME = f"""with {TICKS}, source as (select * from ticks), sought as (select rec_id, frame_idx as nr, ut + (frame_idx % 7) * 60.5 - 100 as t from ticks), {NEAREST}
+    select rec_id, round(t, 6) as key, nr, idx from near"""
 
 
 @query(NEAREST_FRAME)
 def nearest_frame(spark, sf_dir):
-    ticks = schema.ticks(spark, sf_dir)
-    keys = ticks.select("rec_id", F.col("frame_idx").alias("asked"), (F.col("ut") + (F.col("frame_idx") % 7) * F.lit(60.5) - 100).alias("key"))
-    return rounded(timeaxis.nearest(ticks.select("rec_id", "frame_idx", "ut"), keys), "key")
+    return rounded(timeaxis.nearest(schema.ticks(spark, sf_dir).select("rec_id", "frame_idx", "ut"), _keys(spark, sf_dir)), "key")
+
+
+def _keys(spark, sf_dir):
+    return schema.ticks(spark, sf_dir).select("rec_id", F.col("frame_idx").alias("nr"), (F.col("ut") + (F.col("frame_idx") % 7) * F.lit(60.5) - 100).alias("key"))
+
+
+def _zones(spark, sf_dir):
+    """Ticks as stored recordings, in row groups of about a hundred."""
+    place = shared.folder(spark)
+    sinks.write_recording(schema.ticks(spark, sf_dir), place, slices=False, group_bytes=1024)
+    return zones.stored(spark, place)
+
+
+@query(NEAREST_FRAME)
+def nearest_stored(spark, sf_dir):
+    """The same through the recordings' row groups."""
+    return rounded(zones.nearest(_zones(spark, sf_dir), _keys(spark, sf_dir)).found, "key")
 
 
 @query(f"""with {TICKS}, source as (select * from ticks), pairs as (select event_type as rec_id, user_id, min(epoch_us(ts)) / 1e6 + 0.7 as a, max(epoch_us(ts)) / 1e6 + 0.2 as b from events group by all),
@@ -209,6 +224,14 @@ def hour_segments(spark, sf_dir):
     return timeaxis.hour_segments(schema.ticks(spark, sf_dir).select("rec_id", "frame_idx", "ut")).select("rec_id", "seg", "s", "e")
 
 
+@query(f"with {TICK_SOURCE} select rec_id, seg, s, e from segments")
+def hour_segments_stored(spark, sf_dir):
+    """Segments whose boundaries are looked up in the row groups they fall into."""
+    held = shared.written(_zones(spark, sf_dir))
+    keys = timeaxis.hour_boundaries(zones.time_range(held)).withColumnRenamed("boundary", "key")
+    return timeaxis.segments_of(zones.nearest(held, keys, with_time=True).found).select("rec_id", "seg", "s", "e")
+
+
 @query(f"with {TICK_SOURCE} select s.rec_id, seg, s, e, floor(ut / 3600) * 3600 as hour from segments s join ranges using (rec_id) join ticks t on t.rec_id = s.rec_id and t.frame_idx = least(s.s + 10, n - 1)")
 def segment_clock_hour(spark, sf_dir):
     ticks = schema.ticks(spark, sf_dir).select("rec_id", "frame_idx", "ut")
@@ -385,7 +408,7 @@ def raw_frames_decode(spark, sf_dir):
 
 @query(f"with {FRAMES}, {SLICES} select 'sky' as rec_id, floor(ut / 60) * 60 as start, pos, round(sum(ew) / count(ew), 6) as mean from slices group by all")
 def stream_keogram(spark, sf_dir):
-    place = sinks.shared_folder(spark)
+    place = shared.folder(spark)
     stream = keograms.frame_stream(spark, f"{sf_dir}/embeddings.parque[t]", schema.read(spark, sf_dir, "embeddings").schema, schema.as_frames)
     return rounded(keograms.run_to_end(keograms.means(stream, "ew"), f"{place}/out", f"{place}/state"), "mean")
 
@@ -415,7 +438,7 @@ STORED_ROWS = " select rec_id, frame_idx, raw_idx, 1365663601 + (raw_idx - 1) *
 
 def _stored(spark, sf_dir, **options):
     """Raw files of a hundred frames in folders, read by ranges of 4,096 bytes."""
-    place = sinks.shared_folder(spark)
+    place = shared.folder(spark)
     files, xml, nmea = schema.raw_files(spark, sf_dir, 100, 3)
     texts = xml.unionByName(nmea).select("path", F.encode("value", "utf-8").alias("content"))
     raw.write_files(files.unionByName(texts), place).write.format("noop").mode("overwrite").save()
@@ -445,7 +468,7 @@ def raw_dropped(spark, sf_dir):
 
 @query(f"with {FRAMES}, {SLICES} select 'sky' as rec_id, frame_idx // 20 as bin, pos, round(sum(ns) / count(ns), 6) as mean from slices group by all")
 def stream_count_keogram(spark, sf_dir):
-    place = sinks.shared_folder(spark)
+    place = shared.folder(spark)
     stream = keograms.frame_stream(spark, f"{sf_dir}/embeddings.parque[t]", schema.read(spark, sf_dir, "embeddings").schema, schema.as_frames)
     return rounded(keograms.run_to_end(keograms.count_means(stream, "ns", 20), f"{place}/out", f"{place}/state"), "mean")
 

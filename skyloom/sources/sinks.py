@@ -3,32 +3,26 @@
 from __future__ import annotations
 
 import struct
-import tempfile
-import uuid
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions import pixels, timefmt
 from skyloom.operators.keogram import with_slices
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``, which a cluster has to name; a single machine may do without."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = tempfile.mkdtemp(prefix="spark-")
-    return f"{named}/{uuid.uuid4().hex}"
-
-
-def write_recording(frames: DataFrame, path: str, slices: bool = True) -> None:
+def write_recording(frames: DataFrame, path: str, slices: bool = True, group_bytes: int | None = None) -> None:
     """A new recording table, by recording and in the order of time, so that time
-    ranges skip row groups. An existing one isn't overwritten."""
+    ranges skip row groups (of ``group_bytes``, if given), and its zones (``operators.zones``). An existing one isn't overwritten."""
+    from skyloom.operators import zones
+
     rows = with_slices(frames.withColumn("px", pixels.checked(F.col("px")))) if slices else frames
-    rows.repartitionByRange("rec_id", "ut").sortWithinPartitions("rec_id", "ut").write.mode("errorifexists").partitionBy("rec_id").parquet(path)
+    order = ["rec_id", "ut", "frame_idx"]
+    writer = rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("errorifexists").partitionBy("rec_id")
+    (writer.option("parquet.block.size", group_bytes) if group_bytes else writer).parquet(path)
+    spark = frames.sparkSession
+    zones.build(spark, path).write.parquet(f"{path}/{zones.INDEX}")
 
 
 def write_video(frames: DataFrame, path: str) -> None:

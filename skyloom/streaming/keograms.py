@@ -2,7 +2,8 @@
 
 Means are kept as sums and counts in the state store, so that the order of arrival
 doesn't matter. With a watermark, closed bins are emitted once (``append``); a bounded
-input read to its end needs the last bins, too, and so takes ``complete``.
+input read to its end needs the last bins, too, and so takes ``complete``. Bins of so many frames each, whatever their
+numbers, are in ``ordered``. What batches write, they write once.
 """
 
 from __future__ import annotations
@@ -32,14 +33,27 @@ def count_means(stream: DataFrame, axis: str, per_bin: int) -> DataFrame:
     return rows.groupBy("rec_id", "bin", "pos").agg((F.sum("v") / F.count("v")).alias("mean"))
 
 
-def run_to_end(stream: DataFrame, out: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """All of the input there is, as one table; ``complete`` rewrites it with each batch."""
+def write_batch(out: str) -> Callable[[DataFrame, int], None]:
+    """A sink with a folder for each micro-batch: one that is run again, after a stop between its write and its commit, takes its own folder's place."""
 
     def write(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
 
-    stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(write).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+    return write
+
+
+def results(spark: SparkSession, out: str, schema, mode: str = "append") -> DataFrame:
+    """What ``write_batch`` wrote: all batches, or of a ``complete`` table the last one."""
+    rows = spark.read.schema(schema).option("basePath", out).parquet(f"{out}/batch=*").withColumn("batch", F.regexp_extract("_metadata.file_path", r"/batch=(\d+)/", 1).cast("long"))
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == (rows.agg(F.max("batch")).first()[0] or 0))
+    return rows.drop("batch")
+
+
+def run_to_end(stream: DataFrame, out: str, checkpoint: str, mode: str = "complete", sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+    """All of the input there is, as one table. After a failure, the same call goes on from the checkpoint."""
+    stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(sink or write_batch(out)).start().awaitTermination()
+    return results(stream.sparkSession, out, stream.schema, mode)
 
 
 def frame_stream(spark: SparkSession, glob: str, schema, shape: Callable[[DataFrame], DataFrame]) -> DataFrame:
