@@ -7,11 +7,12 @@ which begins at 100 / percent times the size, and a tile is a band and the one b
 1. A set's head is its smallest ``HEAD`` percent of hashes. Two sets that link have at least (percent - 100 + HEAD) percent of n in common in their heads, so that a set
    with fewer of its head's items in other sets links with none and is through; most texts are. Heads are dealt by item, in arrays, and counted; items that a sample
    of the sets has shown to be common are known to be shared and go to their sets at once, so that no item, however common, is gathered.
-2. What is left gets its whole set and a bitmap: two to four bits an item, each the parity of the items that hash to it. Sets
-   differ in at least as many items as their bitmaps differ in bits, which bounds from above what they have in common.
-3. Each set goes to the tiles of its first item by each of ``ORDERS`` orders, and is held there against the tile's hub, the set whose items are the
-   most common ones. A group of copies so takes as many comparisons as it has members, not pairs.
-4. Then every pair between the groups so far: of sets in one tile of an item that comes early enough in both for the rest to suffice.
+2. What is left gets its whole set and bitmaps: bits that are each the parity of the items that hash to it. Sets
+   differ in at least as many items as their bitmaps differ in bits, which bounds from above what they have in common. Tiles have bitmaps of 512 bits; two to four bits an item are compared after them.
+3. Of all of a set's items the first so many make its prefix, in the order of how many candidates have them: those of one set alone come first and take up places, what
+   many share comes last. Sets that link meet in a tile of an item that is early enough in both for what is left of them to suffice.
+4. In each tile, sets are first held against its hub, the one whose item comes earliest: a group of copies takes as many comparisons as it has members, not pairs.
+   Then all pairs of a tile that aren't in one group by then are.
 
 Pairs pass the bitmaps first; those left are decided by intersecting their sets. The end of more pairs is cut into pieces with its pairs.
 
@@ -22,6 +23,7 @@ rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,8 +39,10 @@ from skyloom.llm.simhash import set_name, shingles
 
 #: Items that one task counts or cuts, on average.
 PART_ITEMS = 1_000_000
-#: Percent of a set's items in its head; orders by which a set's first item is taken.
-HEAD, ORDERS = 35, 3
+#: Percent of a set's items in its head.
+HEAD = 25
+#: Words of the signature that goes to tiles: 512 bits.
+SIGNATURE = tuple(f"s{i}" for i in range(8))
 #: Sets in a sample, at about so many of which an item is common: it's known to be shared, and isn't gathered to be counted.
 SAMPLE_SETS, COMMON_SETS = 20_000, 10
 
@@ -77,10 +81,14 @@ def prefix_size(n, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
+def parities(own: np.ndarray, width: int) -> np.ndarray:
+    """Bits, each the parity of the items that fall on it."""
+    return np.packbits((np.bincount((own.view(np.uint64) % np.uint64(width)).astype(np.int64), minlength=width) & 1).astype(np.uint8))
+
+
 def bitmap(own: np.ndarray) -> bytes:
-    """Parities of the items that fall on each bit."""
-    width = 64 << max(0, (len(own) - 1) // 32).bit_length()
-    return np.packbits((np.bincount((own.view(np.uint64) % np.uint64(width)).astype(np.int64), minlength=width) & 1).astype(np.uint8)).tobytes()
+    """Two to four bits an item."""
+    return parities(own, 64 << max(0, (len(own) - 1) // 32).bit_length()).tobytes()
 
 
 def bits_apart(a: bytes, b: bytes) -> int:
@@ -134,20 +142,23 @@ def _runs(values: np.ndarray) -> np.ndarray:
 
 
 def common_items(sets: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Items of many of the ``total`` sets, sorted, and about how many: at most ``SAMPLE_SETS / COMMON_SETS`` times as many as a head has on average."""
+    """Items of many of the ``total`` sets, sorted, and about how many: at most ``SAMPLE_SETS / COMMON_SETS`` times as many as a set gives on average."""
     step = max(1, total // SAMPLE_SETS)
-    sample = sets.where((F.col("n") > 0) & (F.pmod(F.xxhash64("nid"), F.lit(step)) == 0)).groupBy("nid").agg(F.first("head").alias("head"))
-    found = sample.select(F.explode("head").alias("item")).groupBy("item").agg(F.count("*").alias("often")).where(F.col("often") >= COMMON_SETS).toPandas().sort_values("item")
+    sample = sets.where(F.pmod(F.xxhash64("nid"), F.lit(step)) == 0).groupBy("nid").agg(F.first("items").alias("items"))
+    found = sample.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("often")).where(F.col("often") >= COMMON_SETS).toPandas().sort_values("item")
     return found["item"].to_numpy(np.int64), found["often"].to_numpy(np.int64) * step
 
 
-def candidates(sets: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
-    """``nid, n, weight, keys, items``: sets that may link, with the items of their heads that other sets' heads hold, how common these are, and the first by each order."""
-    size = sets.agg(F.count("*").alias("n"), F.sum(F.size("head")).alias("items")).first()
+LISTS = "nid array<long>, n array<long>, item array<long>, often array<long>"
+
+
+def shared_items(sets: DataFrame) -> DataFrame:
+    """Lines of arrays ``nid, n, item, often`` by ``part``, a share of the sets: those of the sets' ``items`` (``nid, n, items``) that others have, too, and how many have them."""
+    size = sets.agg(F.count("*").alias("n"), F.sum(F.size("items")).alias("items")).first()
     parts = 1 + int(size["items"] or 0) // PART_ITEMS
     common, about = common_items(sets, size["n"])
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         """Names, sizes and items, each row of which has a place among the names, and where an item is among the common ones (else -1)."""
         for batch in batches:
             one = np.unique(batch.column(0).to_numpy(), return_index=True)[1]  # copies in a batch go once
@@ -159,7 +170,7 @@ def candidates(sets: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"part": pa.int64()} | {c: pa.list_(pa.int64()) for c in ("nid", "n", "size", "item")}
-        for nid, n, row, every, at in heads(batches):
+        for nid, n, row, every, at in items(batches):
             rare = at < 0
             row, every = row[rare], every[rare]
             lines = []
@@ -172,7 +183,7 @@ def candidates(sets: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
 
     def pass_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"part": pa.int64()} | {c: pa.list_(pa.int64()) for c in ("nid", "n", "item", "often")}
-        for nid, n, row, every, at in heads(batches):
+        for nid, n, row, every, at in items(batches):
             held = at >= 0
             row, every, often = row[held], every[held], about[at[held]]
             if len(every):
@@ -192,34 +203,52 @@ def candidates(sets: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
         held = often > 1
         return pd.DataFrame(list(_dealt(nid[held] % parts, {"nid": nid[held], "n": n[held], "item": item[held], "often": often[held]})), columns=["part", "nid", "n", "item", "often"])
 
+    dealt = sets.mapInArrow(deal, "part long, nid array<long>, n array<long>, size array<long>, item array<long>")
+    counted = dealt.groupBy("part").applyInPandas(count, f"part long, {LISTS}")
+    return counted.unionByName(sets.mapInArrow(pass_on, f"part long, {LISTS}")) if len(common) else counted
+
+
+def _by_set(lines: pd.DataFrame) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Each set's name, size, items, ascending, and how many sets have these."""
+    nid, n, item, often = (np.concatenate(lines[c].to_list()) for c in ("nid", "n", "item", "often"))
+    order = np.lexsort((item, nid))
+    nid, n, item, often = nid[order], n[order], item[order], often[order]
+    new = np.append(True, (item[1:] != item[:-1]) | (nid[1:] != nid[:-1]))
+    nid, n, item, often = nid[new], n[new], item[new], often[new]
+    starts = _runs(nid)
+    for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        yield int(nid[s]), int(n[s]), item[s:e], often[s:e]
+
+
+def candidates(sets: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
+    """``nid, n``: sets that may link by what their heads share."""
+
     def cut(lines: pd.DataFrame) -> pd.DataFrame:
-        nid, n, item, often = (np.concatenate(lines[c].to_list()) for c in ("nid", "n", "item", "often"))
-        order = np.lexsort((item, nid))
-        nid, n, item, often = nid[order], n[order], item[order], often[order]
-        new = np.append(True, (item[1:] != item[:-1]) | (nid[1:] != nid[:-1]))
-        nid, n, item, often = nid[new], n[new], item[new], often[new]
-        rows, starts = [], _runs(nid)
-        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            if e - s >= at_least(int(n[s]), settings.percent):
-                own = item[s:e].view(np.uint64)
-                keys = [int(own[np.argmin(own * np.uint64(odd))].view(np.int64)) for odd in range(1, 2 * ORDERS, 2)]
-                rows.append((nid[s], n[s], float(often[s:e].mean()), keys, item[s:e]))
-        return pd.DataFrame(rows, columns=["nid", "n", "weight", "keys", "items"])
-
-    named = sets.where("nid is not null").select("nid", "n", "head")
-    lists = "nid array<long>, n array<long>, item array<long>, often array<long>"
-    dealt = named.mapInArrow(deal, "part long, nid array<long>, n array<long>, size array<long>, item array<long>")
-    counted = dealt.groupBy("part").applyInPandas(count, f"part long, {lists}")
-    if len(common):
-        counted = counted.unionByName(named.mapInArrow(pass_on, f"part long, {lists}"))
-    return counted.groupBy("part").applyInPandas(cut, "nid long, n long, weight double, keys array<long>, items array<long>")
+        return pd.DataFrame([(nid, n) for nid, n, item, _ in _by_set(lines) if len(item) >= at_least(n, settings.percent)], columns=["nid", "n"])
+
+    heads = sets.where("nid is not null").select("nid", "n", F.col("head").alias("items"))
+    return shared_items(heads).groupBy("part").applyInPandas(cut, "nid long, n long")
+
+
+def prefixes(full: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
+    """``nid, n, item, place``: of each set's items, those of no other candidate first and then the rarest, the first so many."""
+
+    def cut(lines: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for nid, n, item, often in _by_set(lines):
+            left = prefix_size(n, settings.percent) - (n - len(item))
+            if left > 0:
+                first = np.argsort(often, kind="stable")[:left]
+                out.append(pd.DataFrame({"nid": nid, "n": n, "item": item[first], "place": n - len(item) + np.arange(len(first))}))
+        return pd.concat(out) if out else pd.DataFrame({"nid": [], "n": [], "item": [], "place": []}, dtype=np.int64)
+
+    return shared_items(full.select("nid", "n", F.col("own").alias("items"))).groupBy("part").applyInPandas(cut, "nid long, n long, item long, place long")
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, found: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
-    """``found`` candidates with ``own`` (the whole set) and ``bits``; of ``items`` only those in the set's prefix, with their ``places``. ``nodes`` name a set's document (``nid, low``)."""
+    """``found`` candidates with ``own`` (the whole set), ``bits`` and ``SIGNATURE``. ``nodes`` name a set's document (``nid, low``)."""
     wanted = found.join(nodes.select("nid", F.col("low").alias("low_id")), "nid")
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("low_id"))).drop("doc_id", "low_id")
-    kept = [c for c in found.columns if c != "items"]
+    texts, kept = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("low_id"))).drop("doc_id", "low_id"), found.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,14 +257,11 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, found: DataFrame, settings: Se
                 own = _set_of(batch.column(at["text"])[i].as_py(), settings.shingle)
                 # another text may have the same doc_id
                 if len(own) and set_name(own) == batch.column(at["nid"])[i].as_py():
-                    items = batch.column(at["items"])[i].values.to_numpy()
-                    items = items[items <= own[prefix_size(len(own), settings.percent) - 1]]
-                    out.append((i, own, bitmap(own), items, np.searchsorted(own, items)))
-            lists = [_lists([x[k] for x in out]) for k in (1, 3, 4)]
+                    out.append((i, own, bitmap(own), parities(own, 64 * len(SIGNATURE)).view(np.int64)))
             rows = batch.take(pa.array([x[0] for x in out], pa.int64()))
-            yield pa.RecordBatch.from_arrays([*[rows.column(at[c]) for c in kept], lists[0], pa.array([x[2] for x in out], pa.binary()), *lists[1:]], names=[*kept, "own", "bits", "items", "places"])
+            yield pa.RecordBatch.from_arrays([*[rows.column(at[c]) for c in kept], _lists([x[1] for x in out]), pa.array([x[2] for x in out], pa.binary()), *[pa.array([int(x[3][k]) for x in out], pa.int64()) for k in range(len(SIGNATURE))]], names=[*kept, "own", "bits", *SIGNATURE])
 
-    return texts.mapInArrow(run, "nid long, n long, weight double, keys array<long>, own array<long>, bits binary, items array<long>, places array<long>").dropDuplicates(["nid"])
+    return texts.mapInArrow(run, f"nid long, n long, own array<long>, bits binary, {', '.join(f'{c} long' for c in SIGNATURE)}").dropDuplicates(["nid"])
 
 
 def _band(n: Column, percent: int) -> Column:
@@ -243,35 +269,41 @@ def _band(n: Column, percent: int) -> Column:
     return F.floor(F.ln(n.cast("double")) / F.ln(F.lit(100 / percent)) * (1 - 1e-12)).cast("long")
 
 
-def _near(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _may_link(settings: Settings) -> Column:
+    """Whether two sets of a tile (``_a``, ``_b``) can share enough: by their sizes, by what is left of them from the item on, and by the bits they differ in."""
+    wanted = _needed(F.col("n_a"), F.col("n_b"), settings.percent)
+    rest = lambda side: F.col(f"n_{side}") - F.col(f"place_{side}")
+    apart = functools.reduce(Column.__add__, [F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SIGNATURE])
+    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * settings.percent
+    return sizes & (rest("a") >= wanted) & (rest("b") >= wanted) & (F.col("n_a") + F.col("n_b") - apart >= 2 * wanted)
 
 
-def hub_pairs(full: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
-    """``a, b``: each set and the hubs of its tiles."""
+def _tiles(rows: DataFrame, settings: Settings) -> DataFrame:
+    """Rows in their size's tile (``home``) and in the next one's."""
     band = _band(F.col("n"), settings.percent)
-    tiles = full.select("nid", "n", "weight", F.posexplode("keys").alias("turn", "key")).withColumn("band", F.explode(F.array(band, band + 1)))
-    name = ["turn", "key", "band"]
-    hubs = materialise(tiles.groupBy(*name).agg(F.max(F.struct("weight", "nid", "n")).alias("hub"), F.count("*").alias("often")).where("often > 1"))
+    return rows.withColumn("tile", F.explode(F.array(band, band + 1))).withColumn("home", F.col("tile") == band)
+
+
+def hub_pairs(rows: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
+    """``a, b``: each set and the hubs of its tiles, as far as they may link. ``rows`` are ``prefixes`` with signatures."""
+    held = ["nid", "n", "place", *SIGNATURE]
+    tiles = _tiles(rows, settings)
+    hubs = tiles.groupBy("item", "tile").agg(F.min(F.struct("place", "nid", "n", *SIGNATURE)).alias("hub"), F.count("*").alias("often")).where("often > 1")
+    hubs = materialise(hubs.select("item", "tile", "often", *[F.col(f"hub.{c}").alias(f"{c}_a") for c in held]))
     total = hubs.agg(F.sum("often")).first()[0] or 0
-    met = spread_join(tiles, hubs, name, "often", total, ["nid"]).where((F.col("nid") != F.col("hub.nid")) & _near(F.col("n"), F.col("hub.n"), settings.percent))
-    return met.select(F.least("nid", "hub.nid").alias("a"), F.greatest("nid", "hub.nid").alias("b")).distinct()
+    met = spread_join(tiles.select("item", "tile", *[F.col(c).alias(f"{c}_b") for c in held]), hubs, ["item", "tile"], "often", total, ["nid_b"])
+    met = met.where((F.col("nid_a") != F.col("nid_b")) & _may_link(settings))
+    return met.select(F.least("nid_a", "nid_b").alias("a"), F.greatest("nid_a", "nid_b").alias("b")).distinct()
 
 
-def pairs_between(full: DataFrame, groups: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
-    """``a, b``: sets of different ``groups`` (``nid, grp``) that are in one tile of an item early enough in both."""
-    p = settings.percent
-    rows = full.select("nid", "n", F.explode(F.arrays_zip("items", "places")).alias("at")).select("nid", "n", F.col("at.items").alias("item"), F.col("at.places").alias("place"))
-    rows = rows.join(groups.select("nid", "grp"), "nid")
+def pairs_between(rows: DataFrame, groups: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
+    """``a, b``: sets of different ``groups`` (``nid, grp``) that are in one tile of an item and may link."""
+    rows = materialise(rows.join(groups.select("nid", "grp"), "nid"))
     mixed = rows.groupBy("item").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("item")
-    band = _band(F.col("n"), p)
-    tiles = rows.join(mixed, "item").withColumn("tile", F.explode(F.array(band, band + 1))).withColumn("home", F.col("tile") == band)
-    tiles = materialise(tiles.select("item", "tile", "home", "nid", "n", "place", "grp"))
-    first, second = (tiles.select("item", "tile", *[F.col(c).alias(f"{c}_{side}") for c in ("home", "nid", "n", "place", "grp")]) for side in "ab")
-    wanted = _needed(F.col("n_a"), F.col("n_b"), p)
-    rest = lambda side: F.col(f"n_{side}") - F.col(f"place_{side}")
-    close = (F.col("nid_a") < F.col("nid_b")) & (F.col("grp_a") != F.col("grp_b")) & (F.col("home_a") | F.col("home_b")) & (rest("a") >= wanted) & (rest("b") >= wanted)
-    return first.join(second, ["item", "tile"]).where(close & _near(F.col("n_a"), F.col("n_b"), p)).select(F.col("nid_a").alias("a"), F.col("nid_b").alias("b")).distinct()
+    tiles = materialise(_tiles(rows.join(mixed, "item"), settings))
+    first, second = (tiles.select("item", "tile", *[F.col(c).alias(f"{c}_{side}") for c in ("home", "nid", "n", "place", "grp", *SIGNATURE)]) for side in "ab")
+    other = (F.col("nid_a") < F.col("nid_b")) & (F.col("grp_a") != F.col("grp_b")) & (F.col("home_a") | F.col("home_b"))
+    return first.join(second, ["item", "tile"]).where(other & _may_link(settings)).select(F.col("nid_a").alias("a"), F.col("nid_b").alias("b")).distinct()
 
 
 def _met(pairs: DataFrame, full: DataFrame, column: str) -> DataFrame:
@@ -311,10 +343,11 @@ def groups(docs: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
     nodes = materialise(sets.where("nid is not null").groupBy("nid").agg(F.min("doc_id").alias("low"), F.count("*").alias("often")))
     found = materialise(candidates(sets, settings))
     full = materialise(whole_sets(docs, nodes, found, settings))
-    links = linked(hub_pairs(full, settings), full, settings)
+    rows = materialise(prefixes(full, settings).join(full.select("nid", *SIGNATURE), "nid"))
+    links = linked(hub_pairs(rows, settings), full, settings)
     roots = components(links)
     grouped = materialise(full.select("nid").join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("nid", F.coalesce("root", "nid").alias("grp")))
-    more = linked(pairs_between(full, grouped, settings), full, settings)
+    more = linked(pairs_between(rows, grouped, settings), full, settings)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     rooted = nodes.join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
