@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyloom import shared
 from skyloom.functions import pixels
 
 
@@ -58,14 +59,14 @@ def _in_hour(frames: DataFrame, segments: DataFrame, width: float, span: float)
 
 
 def in_segments(frames: DataFrame, segments: DataFrame, closed: bool) -> DataFrame:
-    """Frames with their segments' columns; a boundary frame is in both neighbours if ``closed``.
-    Frames meet the few segments (``s, e`` and their times ``us, ue``) that touch their clock hour, by an equi-join on it."""
+    """Frames with their segments' columns; a boundary frame is in both neighbours if ``closed``. Frames meet the few segments
+    (``s, e`` and their times ``us, ue``) that touch their clock hour, where they are: the table of segments is broadcast up to a checked size."""
     own = [c for c in segments.columns if c != "rec_id"]
     hours = segments.withColumn("clock", F.explode(F.sequence(F.floor(F.col("us") / 3600), F.floor(F.col("ue") / 3600))))
     lists = hours.groupBy("rec_id", "clock").agg(F.collect_list(F.struct(*own)).alias("segments"))
     holds = lambda x: (x.s <= F.col("frame_idx")) & ((F.col("frame_idx") <= x.e) if closed else (F.col("frame_idx") < x.e))
     timed = frames.withColumn("clock", F.floor(F.col("ut") / 3600))
-    return timed.join(lists, ["rec_id", "clock"]).withColumn("segment", F.explode(F.filter("segments", holds))).drop("segments", "clock").select("*", "segment.*").drop("segment")
+    return shared.met(timed, lists, ["rec_id", "clock"], "frame_idx").withColumn("segment", F.explode(F.filter("segments", holds))).drop("segments", "clock").select("*", "segment.*").drop("segment")
 
 
 def gap_fill(means: DataFrame, n_bins: int, height: int) -> DataFrame:
@@ -78,7 +79,7 @@ def gap_fill(means: DataFrame, n_bins: int, height: int) -> DataFrame:
 
 def by_count(frames: DataFrame, axis: str, per_bin: DataFrame) -> DataFrame:
     """``rec_id, bin, pos, mean`` of each ``frames_per_bin`` frames; the last bin is a mean of what it has."""
-    binned = frames.join(per_bin.select("rec_id", "frames_per_bin"), "rec_id").withColumn("bin", F.floor(F.col("frame_idx") / F.col("frames_per_bin")))
+    binned = shared.met(frames, per_bin.select("rec_id", "frames_per_bin"), ["rec_id"], "frame_idx").withColumn("bin", F.floor(F.col("frame_idx") / F.col("frames_per_bin")))
     return _means(binned, ["rec_id", "bin"], axis)
 
 
@@ -89,7 +90,7 @@ def rough(frames: DataFrame, axis: str, sample_interval: int, per_bin: DataFrame
     n = frames.groupBy("rec_id").agg((F.ceil(F.count("*") / sample_interval) - 1).alias("blocks"))
     idx = F.col("frame_idx")
     limits = per_bin.select("rec_id", "frames_per_bin").join(n, "rec_id")
-    heads = frames.join(limits, "rec_id").where((F.pmod(idx, F.lit(sample_interval)) < F.col("frames_per_bin")) & (F.floor(idx / sample_interval) < F.col("blocks")))
+    heads = shared.met(frames, limits, ["rec_id"], "frame_idx").where((F.pmod(idx, F.lit(sample_interval)) < F.col("frames_per_bin")) & (F.floor(idx / sample_interval) < F.col("blocks")))
     return _means(heads.withColumn("bin", F.floor(idx / sample_interval)), ["rec_id", "bin"], axis)
 
 

@@ -7,9 +7,15 @@ recording's times are taken to ascend with its frames.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom import shared
+
 BLOCK = 1_000_000
 
 
@@ -45,21 +51,48 @@ def dropped(found: DataFrame) -> DataFrame:
 
 
 def native_dt(frames: DataFrame) -> DataFrame:
-    """``rec_id, dt``: the exact median of the differences. Only those near the median, by a
-    bounded sketch, are ranked; equal ones are one row."""
-    every = differences(frames)
-    each = every.groupBy("rec_id", "diff").agg(F.count("*").alias("n"))
-    sketch = every.groupBy("rec_id").agg(F.count("*").alias("total"), F.percentile_approx("diff", [0.499, 0.501], 10_000).alias("q"))
-    # the sketch's ends are held against the true ranks, and given up where they fail
-    ends = each.join(sketch, "rec_id").groupBy("rec_id", "total", "q").agg(F.coalesce(F.sum(F.when(F.col("diff") < F.col("q")[0], F.col("n"))), F.lit(0)).alias("below"), F.coalesce(F.sum(F.when(F.col("diff") <= F.col("q")[1], F.col("n"))), F.lit(0)).alias("upto"))
-    lower, upper = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
-    holds = (F.col("below") <= lower) & (upper < F.col("upto"))
-    ends = ends.select("rec_id", lower.alias("lower"), upper.alias("upper"), F.when(holds, F.col("q")[0]).alias("lo"), F.when(holds, F.col("q")[1]).alias("hi"), F.when(holds, F.col("below")).otherwise(0).alias("below"))
-    near = each.join(ends, "rec_id").where(F.col("lo").isNull() | F.col("diff").between(F.col("lo"), F.col("hi")))
-    upto = F.col("below") + F.sum("n").over(Window.partitionBy("rec_id").orderBy("diff").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = near.withColumn("upto", upto)
-    at = lambda rank: F.min(F.when(F.col("upto") > F.col(rank), F.col("diff")))
-    return ranked.groupBy("rec_id").agg(((at("lower") + at("upper")) / 2).alias("dt"))
+    """``rec_id, dt``: the exact median of the differences, the mean of the two in the middle if they're even in number."""
+    every = differences(frames).select("rec_id", "frame_idx", F.col("diff").alias("value"))
+    middle = every.groupBy("rec_id").agg(F.count("*").alias("n")).select("rec_id", F.explode(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))).alias("rank")).distinct()
+    return select_ranks(every, middle).groupBy("rec_id").agg(F.avg("value").alias("dt"))
+
+
+#: Digits of a double, the highest first, of 16 bits each.
+DIGITS = ("d0", "d1", "d2", "d3")
+
+
+def select_ranks(rows: DataFrame, ranks: DataFrame) -> DataFrame:
+    """``rec_id, rank, value``: the values (doubles) of ``rows`` (``rec_id, frame_idx, value``) that have a ``rank``, from 0, in ascending order. By radix selection: each of four
+    passes counts, of the values that begin with the digits found so far, the next digit, which has 65,536 values at most. No recording's values are sorted or gathered."""
+
+    def digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = batch.column(2).to_numpy().view(np.int64)
+            # in the order of doubles: negative ones turned over, others above them
+            ordered = np.where(bits < 0, ~bits, bits ^ np.int64(-(2**63))).view(np.uint64)
+            parts = [pa.array(((ordered >> np.uint64(48 - 16 * i)) & np.uint64(0xFFFF)).astype(np.int32)) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(len(batch)) % shared.SALTS, pa.int64()), *parts], names=["rec_id", "salt", *DIGITS])
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ordered = np.zeros(len(batch), np.uint64)
+            for c in DIGITS:
+                ordered = ordered << np.uint64(16) | batch.column(c).to_numpy().astype(np.uint64)
+            bits = ordered.view(np.int64)
+            out = np.where(bits < 0, bits ^ np.int64(-(2**63)), ~bits).view(np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column("rec_id"), batch.column("rank"), pa.array(out)], names=["rec_id", "rank", "value"])
+
+    whole = shared.written(rows.select("rec_id", "frame_idx", (F.col("value") + F.lit(0.0)).alias("value")).mapInArrow(digits, f"rec_id string, salt long, {', '.join(f'{c} int' for c in DIGITS)}"))
+    sought = ranks.select("rec_id", "rank", F.col("rank").alias("left"))
+    for i, digit in enumerate(DIGITS):
+        known = ["rec_id", *DIGITS[:i]]
+        # a rank's line goes to the pieces that a recording's values are dealt to
+        pieces = sought.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shared.SALTS - 1).cast("long"))))
+        counts = whole.join(pieces, [*known, "salt"]).groupBy(*known, "rank", "left", digit).agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("rec_id", "rank").orderBy(digit).rowsBetween(Window.unboundedPreceding, 0))
+        found = counts.withColumn("before", upto - F.col("n")).where((F.col("before") <= F.col("left")) & (F.col("left") < F.col("before") + F.col("n")))
+        sought = found.select(*known, digit, "rank", (F.col("left") - F.col("before")).alias("left"))
+    return sought.select("rec_id", "rank", *DIGITS).mapInArrow(values, "rec_id string, rank long, value double")
 
 
 def around(frames: DataFrame, keys: DataFrame, whole_seconds: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyloom import shared
 from skyloom.functions import pixels, timefmt
 from skyloom.operators.keogram import in_segments
 
@@ -46,7 +47,8 @@ def times(binned: DataFrame) -> DataFrame:
 def gray_frames(frames: DataFrame, norms: DataFrame, kind: str = "log", keys: list[str] | None = None) -> DataFrame:
     """``rec_id, frame_idx`` (or other ``keys``) and ``gray array<int>``; a gray frame's three colours are equal."""
     level = F.transform("px", lambda v: pixels.gray(pixels.normalise(v.cast("double"), F.col("vmin"), F.col("vmax"), kind)))
-    return frames.join(norms.select("rec_id", "vmin", "vmax"), "rec_id").select(*(keys or ["rec_id", "frame_idx"]), level.alias("gray"))
+    keys = keys or ["rec_id", "frame_idx"]
+    return shared.met(frames, norms.select("rec_id", "vmin", "vmax"), ["rec_id"], keys[-1]).select(*keys, level.alias("gray"))
 
 
 def rgb_frames(grays: DataFrame) -> DataFrame:

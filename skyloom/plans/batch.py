@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom import shared
 from skyloom.operators import manifest, norm
 from skyloom.plans.pipelines import hourly
 from skyloom.sources import camera
@@ -50,9 +51,18 @@ def run(sheet: DataFrame, listing: DataFrame, folder: str, suffix: str = ".parqu
     paths = [r[0] for r in good.select("path").distinct().toLocalIterator()]
     outcome = good.select(*LINE, F.lit("no frames").alias("problem")).limit(0)
     if paths:
+        files = shared.written(camera.footers(spark, *paths))
+        footers = files.groupBy(F.col("place").alias("path")).agg(F.sum("n").alias("in_footers"), F.min("problem").alias("unread"))
+        stored = camera.written_rows(spark, *paths).select(F.col("place").alias("path"), F.col("n").alias("stored"))
+        unread = stored.join(footers, "path", "left").withColumn("n", F.coalesce("stored", "in_footers"))
         frames = camera.frame_table(spark, *paths, by_path=True)
+        # a file may fail beyond its footer: what was read of pixels is held against what there is
+        seen = frames.groupBy(F.col("rec_id").alias("path")).agg(F.count("px").alias("seen"))
+        unread = unread.join(seen, "path", "left").select("path", F.coalesce("unread", F.when(F.coalesce("seen", F.lit(0)) < F.col("n"), F.format_string("only %d of %d frames can be read", F.coalesce("seen", F.lit(0)), "n"))).alias("unread"))
+        unread = shared.written(unread.where("unread is not null"))
+        frames = frames.join(F.broadcast(unread.select(F.col("path").alias("rec_id"))), "rec_id", "left_anti")
         bounds = good.select(F.to_json(F.struct(*LINE)).alias("line"), "path", "start")
-        per_line = frames.join(bounds.select("line", F.col("path").alias("rec_id")), "rec_id").withColumn("rec_id", F.col("line")).drop("line")
+        per_line = shared.met(frames, bounds.select("line", F.col("path").alias("rec_id")), ["rec_id"], "frame_idx").withColumn("rec_id", F.col("line")).drop("line")
         norms = norm.norm_between(per_line, 1.0, bounds.select(F.col("line").alias("rec_id"), "start", F.lit(None).cast("double").alias("stop")))
         norms.write.parquet(f"{place}/norms")
         found = hourly(frames, output_hz=output_hz, norms=norms, strict=False, **options)
@@ -62,8 +72,8 @@ def run(sheet: DataFrame, listing: DataFrame, folder: str, suffix: str = ".parqu
         for name in ("times", "pixels", "keograms"):
             getattr(found, name).join(lit, "rec_id", "left_semi").write.parquet(f"{place}/{name}")
         dark = bounds.join(norms.select(F.col("rec_id").alias("line"), F.lit(True).alias("bright")), "line", "left")
-        judged = dark.join(plan.select(F.col("rec_id").alias("path"), "dt", "problem"), "path", "left")
-        why = F.coalesce("problem", F.when(F.col("dt").isNull(), F.lit("no frames")).when(F.col("bright").isNull(), F.lit("no pixel above zero in the sampled frames")))
+        judged = dark.join(plan.select(F.col("rec_id").alias("path"), "dt", "problem"), "path", "left").join(unread, "path", "left")
+        why = F.coalesce("unread", "problem", F.when(F.col("dt").isNull(), F.lit("no frames")).when(F.col("bright").isNull(), F.lit("no pixel above zero in the sampled frames")))
         outcome = judged.select(F.from_json("line", "date string, start_time string, cam_ser string").alias("line"), why.alias("problem")).select("line.*", "problem").where("problem is not null")
     said = lines.alias("l").join(outcome.alias("o"), F.expr(" and ".join(f"l.{c} <=> o.{c}" for c in LINE)), "left")
     error = F.when(F.col("error") != "", F.col("error")).otherwise(F.coalesce("problem", F.lit("")))

@@ -12,6 +12,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom import shared
 from skyloom.functions import timefmt
 from skyloom.functions.timefmt import assert_utc
 from skyloom.operators import keogram, norm, timeaxis, video
@@ -59,7 +60,8 @@ def videos(frames: DataFrame, start: datetime | None = None, stop: datetime | No
     bounds, slim = _bounds(frames, start, stop), frames.select("rec_id", "frame_idx", "ut")
     plan = timeaxis.parameters(timeaxis.native_dt(slim), speed, rate, bin_size).drop("problem").withColumn("stride", F.col("bin_size"))
     norms = norm.norm_between(frames, 1.0, bounds, 0.1, 99.9) if norms is None else norms
-    binned = video.bins(frames, _segments(slim, bounds).join(plan.select("rec_id", "bin_size", "stride"), "rec_id"))
+    plan = shared.written(plan)
+    binned = video.bins(frames, shared.written(_segments(slim, bounds).join(plan.select("rec_id", "bin_size", "stride"), "rec_id")))
     return Result(norms, plan, video.times(binned), video.pixel_means(binned), binned=binned)
 
 
@@ -70,12 +72,13 @@ def hourly(
     """Binned frames and keograms of each hour, a boundary frame in the later one only. Recordings whose bins
     would be larger than their stride fail the job, or, unless ``strict``, are left out."""
     bounds, slim = _bounds(frames, start, stop), frames.select("rec_id", "frame_idx", "ut")
-    plan = timeaxis.parameters(timeaxis.native_dt(slim), speed, rate, bin_size, output_hz)
+    plan = shared.written(timeaxis.parameters(timeaxis.native_dt(slim), speed, rate, bin_size, output_hz))
     if strict:
         _require(plan)
     norms = norm.norm_between(frames, 1.0, bounds, 0.1, 99.9) if norms is None else norms
     sound = plan.where(F.col("problem").isNull()).select("rec_id", "bin_size", "stride")
-    segments = timeaxis.clock_hours(slim, _segments(slim, bounds), lookahead).join(sound, "rec_id")
+    # segments and plan are solved once; what follows reads the frames only
+    segments = shared.written(timeaxis.clock_hours(slim, _segments(slim, bounds), lookahead).join(sound, "rec_id"))
     binned = video.bins(frames, segments.drop("hour"), closed=False)
     return Result(norms, plan, video.times(binned), video.pixel_means(binned), keogram.both_axes(frames, segments.drop("bin_size", "stride"), bin_seconds), binned)
 

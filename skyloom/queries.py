@@ -138,6 +138,17 @@ def frame_to_gray(spark, sf_dir):
     return video.gray_frames(frames, ends, "linear")
 
 
+@query(f"""with {FRAMES}, {FRAME_SOURCE}, hist as (select seg, v, count(*) as n from (select seg, unnest(px) as v from frames f join segments on f.frame_idx between s and e) where v > 0 group by all),
+    cdf as (select seg, v, sum(n) over (partition by seg order by v) as cum, sum(n) over (partition by seg) as total from hist)
+    select 'sky' as rec_id, seg, greatest(cast(min(v) filter (where cum >= total * 1.0 / 100) as double), 1e-6) as vmin, cast(min(v) filter (where cum >= total * 99.0 / 100) as double) as vmax, 'log' as kind from cdf group by seg""")
+def norm_by_hour(spark, sf_dir):
+    """The limits of every hour, from one tree of histograms."""
+    frames = schema.frames(spark, sf_dir)
+    hours = timeaxis.hour_segments(frames.select("rec_id", "frame_idx", "ut"))
+    found = norm.range_histograms(norm.histogram_tree(frames, 16), frames, hours.select("rec_id", F.col("seg").alias("name"), "s", "e"))
+    return norm.limits(found, keys=("rec_id", "name")).withColumnRenamed("name", "seg")
+
+
 # -- time axis ------------------------------------------------------------------
 
 

@@ -35,3 +35,17 @@ def small(df: DataFrame, rows: int | None = None) -> tuple[DataFrame, bool]:
     kept = written(df)
     few = kept.count() <= (BROADCAST_ROWS if rows is None else rows)
     return (F.broadcast(kept) if few else kept), few
+
+
+#: Pieces that the rows of a common key are dealt to where the other side is no small table.
+SALTS = 64
+
+
+def met(rows: DataFrame, lines: DataFrame, keys: list[str], spread_by: str, rows_at_most: int | None = None) -> DataFrame:
+    """The inner join of wide ``rows`` with narrow ``lines``, of which a key has few: ``lines`` are broadcast if they're a small table, so that
+    no row is moved. Else they're copied to pieces, over which a key's rows are dealt by the whole number ``spread_by``."""
+    lines, few = small(lines, rows_at_most)
+    if few:
+        return rows.join(lines, keys)
+    salted = lines.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("salt", F.pmod(F.col(spread_by).cast("long"), F.lit(SALTS))).join(salted, [*keys, "salt"]).drop("salt")

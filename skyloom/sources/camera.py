@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from skyloom import schema
 from skyloom.functions import timefmt
+from skyloom.operators.keogram import with_slices
 from skyloom.sources import raw
 
 COMPANIONS = (".xml", ".nmea")
@@ -52,14 +58,72 @@ def volume(names: DataFrame, key: str) -> str:
 
 
 def frame_table(spark: SparkSession, *paths: str, by_path: bool = False) -> DataFrame:
-    """Recording tables; pixels are read only where they're used, and slices where they were stored. With ``by_path``
-    a table is one recording, named by its path, and files that can't be read are left out."""
-    stored = spark.read.parquet(paths[0]).columns
-    kinds = StructType([*schema.FRAME.fields, *[f for f in schema.SLICES.fields if f.name in stored]])
-    if not by_path:
+    """Recording tables; pixels are read only where they're used, and slices where they were stored: of tables without them they're computed, if others
+    have them. With ``by_path`` a table is one recording, named by its path, and files that can't be read are left out; ``footers`` says what a table should have."""
+    if len(paths) == 1 and not by_path:
+        stored = spark.read.parquet(paths[0]).columns
+        kinds = StructType([*schema.FRAME.fields, *[f for f in schema.SLICES.fields if f.name in stored]])
         return spark.read.schema(kinds).parquet(*paths)
-    reader = spark.read.schema(StructType([f for f in kinds if f.name != "rec_id"])).option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")
-    return reader.parquet(*paths).withColumn("rec_id", table_of(F.col("_metadata.file_path")))
+    known = {as_local(p): p for p in paths}
+    sliced = {known[r["place"]] for r in footers(spark, *paths).groupBy("place").agg(F.min("sliced").alias("all")).where(F.col("all")).toLocalIterator() if r["place"] in known}
+    parts = []
+    for own, slices in ((sliced, True), (set(paths) - sliced, False)):
+        if own:
+            fields = [*[f for f in schema.FRAME.fields if f.name != "rec_id" or not by_path], *(schema.SLICES.fields if slices else [])]
+            reader = spark.read.schema(StructType(fields))
+            if by_path:
+                rows = reader.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").parquet(*sorted(own)).withColumn("rec_id", table_of(F.col("_metadata.file_path")))
+            else:
+                rows = functools.reduce(DataFrame.unionByName, [reader.parquet(p) for p in sorted(own)])
+            parts.append(rows if slices or not sliced else with_slices(rows))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def as_local(path: str) -> str:
+    return re.sub("^(file:)?/+", "file:/", path).rstrip("/") if re.match("(file:)?/", path) else path.rstrip("/")
+
+
+def footers(spark: SparkSession, *paths: str) -> DataFrame:
+    """``place, file, n, sliced, problem`` of the tables' files, from their footers, a file a row: the table's path, its rows, whether it has slices, and why it can't be
+    read. Spark passes over files of no bytes: ``written_rows`` knows of theirs."""
+    places = [as_local(p) for p in paths]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for file in batch.column(0).to_pylist():
+                n, sliced, problem = None, None, None
+                try:
+                    store, at = raw.opened(file)
+                    with store.open_input_file(at) as data:
+                        meta = pq.ParquetFile(data)
+                        n, sliced = meta.metadata.num_rows, set(schema.SLICES.names) <= set(meta.schema_arrow.names)
+                except Exception as e:  # noqa: BLE001  what is wrong with a file is its problem, not the job's
+                    problem = f"{file.rsplit('/', 1)[-1]} can't be read: {type(e).__name__}"
+                rows.append((next((p for p in places if file.startswith(f"{p}/")), None), file, n, sliced, problem))
+            kinds = {"place": pa.string(), "file": pa.string(), "n": pa.int64(), "sliced": pa.bool_(), "problem": pa.string()}
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds.values())], names=list(kinds))
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(list(paths)).select(as_path(F.col("path")).alias("file"))
+    return files.mapInArrow(read, "place string, file string, n long, sliced boolean, problem string")
+
+
+def written_rows(spark: SparkSession, *paths: str) -> DataFrame:
+    """``place, n`` of the tables: the rows that were written, as their zones (``operators.zones``) say; null where there are none."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for place in batch.column(0).to_pylist():
+                store, at = raw.opened(f"{place}/_zones")
+                try:
+                    held = [x.path for x in store.get_file_info(pafs.FileSelector(at)) if x.path.endswith(".parquet")]
+                    found.append(sum(pc.sum(pq.read_table(x, columns=["n"], filesystem=store)["n"]).as_py() or 0 for x in held))
+                except OSError:
+                    found.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["place", "n"])
+
+    return spark.createDataFrame([(as_local(p),) for p in paths], "place string").repartition(min(len(paths), 200)).mapInArrow(read, "place string, n long")
 
 
 def table_of(path: Column) -> Column:

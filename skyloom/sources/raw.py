@@ -35,9 +35,12 @@ XML_TAGS = {"horiz_pixels": "horizpixels", "vert_pixels": "vertpixels", "binning
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
-    """A path's store, and the path in it."""
-    uri = re.sub("^file:/+", "file:///", path)
-    return pafs.FileSystem.from_uri(uri) if ":/" in uri else (pafs.LocalFileSystem(), uri)
+    """A path's store, and the path in it, whatever characters it has."""
+    m = re.match(r"([A-Za-z][A-Za-z0-9+.-]+):/*([^/]*)(.*)", path, re.S)
+    if not m or m[1] == "file":
+        return pafs.LocalFileSystem(), re.sub("^file:/*", "/", path)
+    store, base = pafs.FileSystem.from_uri(f"{m[1]}://{m[2]}/")
+    return store, f"{base.rstrip('/')}/{m[3].lstrip('/')}"
 
 
 def companion_params(xml: str, nmea: str) -> dict:
