@@ -56,8 +56,8 @@ def run(sheet: DataFrame, listing: DataFrame, folder: str, suffix: str = ".parqu
         stored = camera.written_rows(spark, *paths).select(F.col("place").alias("path"), F.col("n").alias("stored"))
         unread = stored.join(footers, "path", "left").withColumn("n", F.coalesce("stored", "in_footers"))
         frames = camera.frame_table(spark, *paths, by_path=True)
-        # a file may fail beyond its footer: what was read of pixels is held against what there is
-        seen = frames.groupBy(F.col("rec_id").alias("path")).agg(F.count("px").alias("seen"))
+        # a file may fail beyond its footer, in any column: what was read is held against what there is
+        seen = frames.groupBy(F.col("rec_id").alias("path")).agg(F.least(*[F.count(c) for c in frames.columns]).alias("seen"))
         unread = unread.join(seen, "path", "left").select("path", F.coalesce("unread", F.when(F.coalesce("seen", F.lit(0)) < F.col("n"), F.format_string("only %d of %d frames can be read", F.coalesce("seen", F.lit(0)), "n"))).alias("unread"))
         unread = shared.written(unread.where("unread is not null"))
         frames = frames.join(F.broadcast(unread.select(F.col("path").alias("rec_id"))), "rec_id", "left_anti")

@@ -118,7 +118,7 @@ def written_rows(spark: SparkSession, *paths: str) -> DataFrame:
                 store, at = raw.opened(f"{place}/_zones")
                 try:
                     held = [x.path for x in store.get_file_info(pafs.FileSelector(at)) if x.path.endswith(".parquet")]
-                    found.append(sum(pc.sum(pq.read_table(x, columns=["n"], filesystem=store)["n"]).as_py() or 0 for x in held))
+                    found.append(sum(pc.sum(pq.ParquetFile(store.open_input_file(x)).read(columns=["n"])["n"]).as_py() or 0 for x in held))
                 except OSError:
                     found.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["place", "n"])
