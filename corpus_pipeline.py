@@ -11,7 +11,6 @@ whole texts, however long. Each stage says what it does with null, empty and rep
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from skyloom.llm import bpe, decontaminate, line_dedup, simhash, toxicity
 from skyloom.llm.common import clean, materialise, read, scratch
@@ -21,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted on the labelled ones, doesn't reject. Null, empty and wordless texts stay, unless
     labels of both classes can't part them from toxic ones; without labels all stay. Repeated rows share their fate."""
     model = toxicity.train(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=True).where(F.col("score") < 0.5).select(*docs.columns)
+    return toxicity.keep_clean(docs, model)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

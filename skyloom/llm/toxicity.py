@@ -286,11 +286,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit([t for t, _ in rows], [label for _, label in rows])
 
 
-def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
-    """``doc_id, score`` of every document, or, with ``keep``, all columns and ``score double``."""
-    columns = [c for c in docs.columns if c != "score"] if keep else ["doc_id", "text"]
+def score(docs: DataFrame, model: Model, keep: bool = False, named: str = "score") -> DataFrame:
+    """``doc_id, score`` of every document, or, with ``keep``, all columns and ``score double``, which may have another name; it takes the place of a column of that name."""
+    columns = [c for c in docs.columns if c != named] if keep else ["doc_id", "text"]
     source = docs.select(*[f"`{c}`" for c in columns])
-    names = [*columns, "score"] if keep else ["doc_id", "score"]
+    names = [*columns, named] if keep else ["doc_id", named]
     bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -315,7 +315,15 @@ def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
 
     from pyspark.sql.types import DoubleType, StructType
 
-    return source.mapInArrow(run, StructType([f for f in source.schema.fields if f.name in names]).add("score", DoubleType()))
+    return source.mapInArrow(run, StructType([f for f in source.schema.fields if f.name in names]).add(named, DoubleType()))
+
+
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that aren't predicted toxic, with all of their columns, whatever these are named."""
+    named, taken = "score", {c.lower() for c in docs.columns}
+    while named in taken:
+        named = f"_{named}"
+    return score(docs, model, True, named).where(F.col(named) < 0.5).select(*[f"`{c}`" for c in docs.columns])
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:

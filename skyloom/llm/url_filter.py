@@ -2,7 +2,7 @@
 
 A host is written backwards, label by label (``m.example.org`` is
 ``org.example.m.``), and a rule's prefix then is an interval of keys. A url has
-one point for each parent domain of its host: that domain's key and the path. All
+one point for each parent domain of its host, down to as many labels as a rule's host has: that domain's key and the path. All
 intervals nest or are disjoint, so that one sweep over the sorted keys finds what fits,
 with a stack of the rules that are open: a rule's first key pushes it, its last one pops it, and the top at a
 point is the longest rule of that domain that fits. The longest over a url's domains wins.
@@ -58,7 +58,7 @@ def _key(domain: Column, path: Column) -> Column:
 
 
 def keyed_rules(spark: SparkSession, rules) -> DataFrame:
-    """``key binary, top struct<n,host_n,rule,verdict>`` of each rule."""
+    """``key binary, labels, top struct<n,host_n,rule,verdict>`` of each rule; ``labels`` are those of its host."""
     given = rules if isinstance(rules, DataFrame) else spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(v).alias("verdict"), F.lit(r).alias("rule")) for v, r in rules])))
     cut = F.locate("/", F.col("rule"))
     parts = given.where(F.col("rule").isNotNull()).select(
@@ -67,7 +67,7 @@ def keyed_rules(spark: SparkSession, rules) -> DataFrame:
     )
     one = parts.where("host <> ''").groupBy("host", "path").agg(F.max("verdict").alias("verdict"), F.min("rule").alias("rule"))
     top = F.struct((F.length("host") + F.length("path")).alias("n"), F.length("host").alias("host_n"), "rule", "verdict")
-    return one.select(_key(_backwards(F.split("host", r"\.")), F.col("path")).alias("key"), top.alias("top"))
+    return one.select(_key(_backwards(F.split("host", r"\.")), F.col("path")).alias("key"), F.size(F.split("host", r"\.")).alias("labels"), top.alias("top"))
 
 
 def sweep(points: DataFrame, rules: DataFrame, parts: int) -> DataFrame:
@@ -80,7 +80,9 @@ def sweep(points: DataFrame, rules: DataFrame, parts: int) -> DataFrame:
     # a range's first stack; a push that begins the range pushes itself
     starts = dealt.groupBy("part").agg(F.min(F.struct("key", "kind")).alias("first"))
     up_to = F.octet_length("first.key") - F.when(F.col("first.kind") == POINT, 0).otherwise(1)
-    prefixes = starts.where(up_to > 0).select("part", F.explode(F.transform(F.sequence(F.lit(1), up_to), lambda n: F.substring(F.col("first.key"), F.lit(1), n))).alias("key"))
+    # only prefixes as long as some rule's key: there are no more such lengths than the longest rule has bytes
+    lengths = F.array(*[F.lit(r[0]) for r in rules.select(F.octet_length("key")).distinct().collect()]).cast("array<int>")
+    prefixes = starts.select("part", "first", F.explode(F.filter(lengths, lambda n: n <= up_to)).alias("n")).select("part", F.substring(F.col("first.key"), F.lit(1), F.col("n")).alias("key"))
     open_ = prefixes.join(pushes, "key").select("key", "kind", "top", "part")
     order = ["key", "kind", "tie"]
     depth = F.sum(F.when(F.col("kind") == PUSH, 1).when(F.col("kind") == POP, -1).otherwise(0)).over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
@@ -94,10 +96,13 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     spark = pages.sparkSession
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     seen = materialise(rows.where("host <> ''").groupBy("host", "path").agg(F.count("*").alias("often")))
-    labels = F.split("host", r"\.")
+    rules = materialise(keyed_rules(spark, rules))
+    # of a host's domains, those with more labels than any rule's host have no rule
+    deepest = rules.agg(F.max("labels")).first()[0] or 1
+    labels = F.split(F.substring_index("host", ".", -deepest), r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: _backwards(F.slice(labels, i, F.size(labels))))
     points = seen.withColumn("domain", F.explode(domains)).select(_key(F.col("domain"), F.col("path")).alias("key"), "host", "path", "often")
-    swept = sweep(points, materialise(keyed_rules(spark, rules)), shuffle_partitions(spark))
+    swept = sweep(points, rules, shuffle_partitions(spark))
     best = materialise(swept.groupBy("host", "path").agg(F.max("often").alias("often"), F.max("top").alias("best")))
     total = best.agg(F.sum("often")).first()[0] or 0
     judged = spread_join(rows.where("host <> ''"), best, ["host", "path"], "often", total, ["page_id"])

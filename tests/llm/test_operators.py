@@ -473,6 +473,14 @@ def test_url_rules(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_urls_of_any_length_and_many_labels(spark):
+    long = "x" * 1_000_000
+    urls = [f"http://a.org/{long}", f"http://{'l.' * 10_000}example.org/es/{long}", f"http://{long}.com/de/", f"http://{long}", f"http://example.org/en/1{long}?{long}", f"{long}://com/fr/x"] * 3
+    got = {x.page_id: (len(x.host), len(x.path), x.rule, x.verdict) for x in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    want = [(5, 1_000_001, "org/", "allow"), (20_011, 1_000_004, "example.org/es/", "block"), (1_000_004, 4, "com/de/", "block"), (1_000_000, 0, None, "allow"), (11, 1_000_005, "example.org/en/1", "block"), (3, 5, "com/fr/", "allow")]
+    assert got == {i: want[i % 6] for i in range(18)}
+
+
 def test_url_rules_nest_deeply_over_many_ranges(spark, monkeypatch):
     """Thousands of nested rules and many ranges of keys: ranges begin inside of open rules, and common paths are split."""
     monkeypatch.setattr(url_filter, "shuffle_partitions", lambda spark: 13)

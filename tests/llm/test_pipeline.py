@@ -48,3 +48,18 @@ def test_stages(spark, tmp_path):
 def test_empty_tables(spark, tmp_path):
     write(spark, tmp_path, [], [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_of_any_name_are_carried(spark, tmp_path):
+    texts = [t + f" own{i} tail{i}" for i, t in enumerate(invented(60, 3))]
+    for i in range(0, 60, 4):
+        texts[i] += " zomglu you vrexnik"
+    write(spark, tmp_path, texts, [(i, 1, int(i % 4 == 0)) for i in range(60)], [(1, None)])
+    names = ["score", "_score", "n hit", "fp", "grp", "nid", "key", "n_tokens", "kept", "line"]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("doc_id", "text", *[f"doc_id * {k} as `{c}`" for k, c in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        before = docs
+        docs = common.materialise(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == before.columns
+        assert all(x[c] == x.doc_id * k for x in docs.collect() for k, c in enumerate(names)), name
+    assert 40 <= docs.count() < 50
