@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -691,8 +692,12 @@ def test_neighbours_of_a_common_bucket(spark, monkeypatch):
 
 
 def kept(page, *templates):
-    left = [(t, region) for t, around, region, content in html_text.parse(page).blocks if content and not set(around) & set(templates)]
-    return [t for t, region in left if region == max(r for _, r in left)]
+    p = html_text.parse(page)
+    return html_text.left(p.parents, p.hashes, p.shapes, p.blocks, set(templates))
+
+
+def shapes(page):
+    return [x for x in html_text.parse(page).shapes if x]
 
 
 def test_html_blocks():
@@ -708,10 +713,11 @@ def test_html_blocks():
 
 def test_html_names_of_content_are_no_furniture():
     for name in ("post-with-sidebar", "article-header", "ad-hoc", "results share-results", "has-ads", "download", "advice"):
-        assert not html_text.parse(f'<div class="{name}">x</div>').shapes, name
+        assert not shapes(f'<div class="{name}">x</div>'), name
     for name in ("ad", "site-footer", "mainNav", "x cookie_notice", "sidebar1"):
-        found = html_text.parse(f'<p>y<span id="{name}">x</span>')
-        assert len(found.shapes) == 1 and kept(f'<p>y<span id="{name}">x</span>', *found.shapes) == ["y"]
+        page = f'<p>y<div id="{name}">x</div>'
+        assert len(shapes(page)) == 1 and kept(page, *shapes(page)) == ["y"] and kept(page) == ["y", "x"]
+        assert not shapes(f'<p>y <span id="{name}">x</span>') and kept(f'<p>y <span id="{name}">x</span> z') == ["y x z"]
 
 
 def test_html_templates(spark):
@@ -740,7 +746,7 @@ def test_html_templates_decide_without_names_and_tags(spark):
     firsts = {}
     for _, url, page in rows:
         p, host = html_text.parse(page, none), url.split("/")[2]
-        firsts.setdefault((host, p.whole), set()).add((tuple(p.subtrees)))
+        firsts.setdefault((host, p.whole), set()).add(tuple(sorted({x for x in p.hashes if x})))
         whole[host].add(p.whole)
     assert all(len(x) == 1 for x in firsts.values())
     for (host, _), (subtrees,) in firsts.items():
@@ -761,5 +767,37 @@ def test_html_adverts_that_differ_are_one_shape(spark):
     page = lambda i, name: f'<div class="{name}">Buy {i * 7} now</div><p>Text {i}</p>'
     rows = [(i, "http://a.org/", page(i, "ad")) for i in range(30)] + [(50 + i, "http://a.org/", page(50 + i, "notice")) for i in range(4)] + [(90 + i, "http://b.org/", page(90 + i, "ad")) for i in range(4)]
     text = {x.page_id: x.text for x in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    # an advert on many pages goes; a name that few pages of a larger host have isn't shown to be template; a small host can't show it
-    assert all(text[i] == f"Text {i}" for i in [*range(30), *range(90, 94)]) and all(text[i] == f"Buy {i * 7} now\nText {i}" for i in range(50, 54))
+    # an advert on many pages goes; a name that few pages have isn't shown to be template, on a large host or on small ones
+    assert all(text[i] == f"Text {i}" for i in range(30)) and all(text[i] == f"Buy {i * 7} now\nText {i}" for i in [*range(50, 54), *range(90, 94)])
+    # small hosts are counted together
+    rows += [(100 + i, f"http://c{i}.org/", page(100 + i, "ad")) for i in range(9)]
+    text = {x.page_id: x.text for x in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(text[i] == f"Text {i}" for i in [*range(30), *range(90, 94), *range(100, 109)])
+
+
+def test_html_templates_change_the_texts_of_large_hosts(spark):
+    """Without the template step, boxes in articles and on pages without regions stay; shapes need a share of the host, too."""
+    rows = [(i, "http://a.org/", f'<article><p>Text {i}</p><div class="ad">Buy {i}</div><p>More {i}</p><div>Follow us</div></article>') for i in range(40)]
+    rows += [(100 + i, "http://b.org/", f'<p>Text {i}</p><div class="notice">Note {i}</div>' if i < 12 else f"<p>Text {i}</p>") for i in range(1300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    none = spark.createDataFrame([], "host string, subtree long")
+    with_, without = ({x.page_id: x.text for x in html_text.extract(pages, templates=t).collect()} for t in (None, none))
+    assert all(with_[i] == f"Text {i}\nMore {i}" and without[i] == f"Text {i}\nBuy {i}\nMore {i}\nFollow us" for i in range(40))
+    assert all(with_[100 + i] == without[100 + i] == (f"Text {i}\nNote {i}" if i < 12 else f"Text {i}") for i in range(1300))
+
+
+def test_html_forms_and_headers_that_hold_the_text():
+    assert kept("<body><form><h1>Title</h1><p>Some text of the page</p><button>Send</button></form><p>x</p></body>") == ["Title", "Some text of the page", "x"]
+    assert kept("<body><form><article><p>Text</p></article><footer>no</footer></form><p>Longer text outside of it</p></body>") == ["Text"]
+    assert kept("<p>Some text of the page</p><form><p>Your name</p></form>") == ["Some text of the page"]
+    assert kept("<article><header><h1>Head <b>line</b></h1><p>By no one</p></header><p>Text</p></article>") == ["Head line", "Text"]
+    assert kept("<header><h1>Site</h1></header><p>Text</p>") == ["Text"] and kept("<header><main><p>Text</p></main></header>") == ["Text"]
+
+
+def test_html_of_any_depth_and_length():
+    n = 200_000
+    for page in ("<div>" * n + "x", "<b>" * n + "x" + "</p>" * n, "<p><button>" + "<div>" * n + "x", "<ul><li>" * (n // 2) + "x", "</i>" * n + "x", "<div class=ad>" * n + "x" + "</div>" * n, "<form>" * n + "<p>x"):
+        began = time.process_time()
+        found = html_text.parse(page)
+        assert len(found.parents) <= n + 2 and [t for t, *_ in found.blocks] == ["x"] and time.process_time() - began < 30
+        html_text.left(found.parents, found.hashes, found.shapes, found.blocks, set())
