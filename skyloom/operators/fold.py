@@ -1,19 +1,20 @@
 """Aggregates over a recording's frames in their order, which users can add.
 
-An aggregate is an object like ``Fold``. It folds each block of ``BLOCK`` frames in a task of its own; the blocks' states
-are then merged in their order, so that a long recording isn't one task. A state is anything that pickles, and small.
+An aggregate is an object like ``Fold``. Frames are folded where they are, batch by batch: each stretch of a batch whose frames follow each other becomes a state,
+and only states are moved, to be merged in their order. A state is anything that pickles, and small. A recording that is stored in its order gives a state for each batch; one
+that isn't gives more. States are merged by blocks of ``BLOCK`` frames first, so that a long recording isn't one task.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-BLOCK = 2_000
+BLOCK = 100_000
 
 
 class Fold(Protocol):
@@ -37,20 +38,35 @@ def apply(frames: DataFrame, fold: Fold, columns: list[str] | None = None, block
     """``rec_id`` and the fold's columns, a row for each recording. Only ``columns`` (all by default) are read beside the frames' numbers."""
     kept = ["rec_id", "frame_idx", *[c for c in columns or frames.columns if c not in ("rec_id", "frame_idx")]]
 
-    def part(lot: pd.DataFrame) -> pd.DataFrame:
+    def part(lots: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for lot in lots:
+            out, state, last = [], None, None
+            for frame in lot.sort_values(["rec_id", "frame_idx"]).itertuples(index=False):
+                at = (frame.rec_id, frame.frame_idx)
+                if last is None or at != (last[0], last[1] + 1) or frame.frame_idx % block == 0:
+                    if last is not None:
+                        out[-1] += (pickle.dumps(state),)
+                    out.append((frame.rec_id, int(frame.frame_idx // block), int(frame.frame_idx)))
+                    state = fold.start()
+                state, last = fold.update(state, frame), at
+            if last is not None:
+                out[-1] += (pickle.dumps(state),)
+            yield pd.DataFrame(out, columns=["rec_id", "block", "first", "state"])
+
+    def merged(lot: pd.DataFrame, order: str):
         state = fold.start()
-        for frame in lot.sort_values("frame_idx").drop(columns="block").itertuples(index=False):
-            state = fold.update(state, frame)
-        return pd.DataFrame({"rec_id": [lot["rec_id"].iloc[0]], "block": [int(lot["block"].iloc[0])], "state": [pickle.dumps(state)]})
+        for data in lot.sort_values(order)["state"]:
+            state = fold.merge(state, pickle.loads(data))
+        return state
+
+    def whole_block(lot: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"rec_id": [lot["rec_id"].iloc[0]], "block": [int(lot["block"].iloc[0])], "state": [pickle.dumps(merged(lot, "first"))]})
 
     def whole(lot: pd.DataFrame) -> pd.DataFrame:
-        state = fold.start()
-        for data in lot.sort_values("block")["state"]:
-            state = fold.merge(state, pickle.loads(data))
-        return pd.DataFrame([{"rec_id": lot["rec_id"].iloc[0], **fold.finish(state)}])
+        return pd.DataFrame([{"rec_id": lot["rec_id"].iloc[0], **fold.finish(merged(lot, "block"))}])
 
-    blocks = frames.select(*kept).withColumn("block", F.floor(F.col("frame_idx") / block))
-    states = blocks.groupBy("rec_id", "block").applyInPandas(part, "rec_id string, block long, state binary")
+    parts = frames.select(*kept).mapInPandas(part, "rec_id string, block long, first long, state binary")
+    states = parts.groupBy("rec_id", "block").applyInPandas(whole_block, "rec_id string, block long, state binary")
     return states.groupBy("rec_id").applyInPandas(whole, f"rec_id string, {fold.schema}")
 
 

@@ -77,18 +77,18 @@ def nearest(zones: DataFrame, keys: DataFrame, whole_seconds: bool = False, with
     # a line for each row group of a recording, with the end of the one before
     lines = zones.withColumns({"zone": (F.row_number().over(order) - 1).cast("long"), "before": F.lag(F.struct(F.col("last_idx").alias("frame_idx"), F.col("last_t").alias("t"))).over(order)})
     lines = shared.written(lines)
-    sought = keys.withColumn("t", F.floor("key").cast("double") if whole_seconds else F.col("key")).withColumn("asked", F.monotonically_increasing_id())
+    sought = keys.withColumn("t", F.floor("key").cast("double") if whole_seconds else F.col("key")).withColumn("_asked", F.monotonically_increasing_id())
     sought = shared.written(sought)
     ends = lines.select("rec_id", F.col("zone").alias("frame_idx"), F.col("last_t").alias("ut"))
-    met = timeaxis.around(ends, sought.select("rec_id", F.col("t").alias("key"), "asked"))
-    met = met.select("asked", F.col("r.frame_idx").alias("zone"), F.col("l.frame_idx").alias("left_zone"))
-    placed = shared.written(sought.join(met, "asked").withColumn("zone", F.coalesce("zone", "left_zone")).drop("left_zone"))
+    met = timeaxis.around(ends, sought.select("rec_id", F.col("t").alias("key"), "_asked"))
+    met = met.select("_asked", F.col("r.frame_idx").alias("zone"), F.col("l.frame_idx").alias("left_zone"))
+    placed = shared.written(sought.join(met, "_asked").withColumn("zone", F.coalesce("zone", "left_zone")).drop("left_zone"))
     zoned = placed.join(lines, ["rec_id", "zone"], "left")
     inside = (F.col("first_t") < F.col("t")) & (F.col("t") <= F.col("last_t"))
-    here = shared.written(zoned.where(inside).select("asked", "t", "path", "grp", "n"))
+    here = shared.written(zoned.where(inside).select("_asked", "t", "path", "grp", "n"))
     often = here.groupBy("path", "grp").agg(F.count("*").alias("keys"), F.first("n").alias("n"))
     opened_zones = shared.written(often.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("keys") - 1) / KEYS)))))
-    pieces = here.join(often.select("path", "grp", (F.floor((F.col("keys") - 1) / KEYS) + 1).alias("pieces")), ["path", "grp"]).withColumn("piece", F.pmod(F.xxhash64("asked"), F.col("pieces")))
+    pieces = here.join(often.select("path", "grp", (F.floor((F.col("keys") - 1) / KEYS) + 1).alias("pieces")), ["path", "grp"]).withColumn("piece", F.pmod(F.xxhash64("_asked"), F.col("pieces")))
 
     def read(name: tuple, lot: pd.DataFrame) -> pd.DataFrame:
         store, at = opened(name[0])
@@ -97,13 +97,13 @@ def nearest(zones: DataFrame, keys: DataFrame, whole_seconds: bool = False, with
         idx, ut, t = group["frame_idx"].to_numpy(), group["ut"].to_numpy(), lot["t"].to_numpy()
         right = np.searchsorted(ut, t, side="left")  # within the zone: one frame is before t, and one at it or after
         one = np.where(np.abs(ut[right - 1] - t) <= np.abs(ut[right] - t), right - 1, right)
-        return pd.DataFrame({"asked": lot["asked"], "idx": idx[one], "at": ut[one]})
+        return pd.DataFrame({"_asked": lot["_asked"], "idx": idx[one], "at": ut[one]})
 
-    read_out = pieces.groupBy("path", "grp", "piece").applyInPandas(read, "asked long, idx long, at double")
+    read_out = pieces.groupBy("path", "grp", "piece").applyInPandas(read, "_asked long, idx long, at double")
     left, right = F.col("before"), F.struct(F.col("first_idx").alias("frame_idx"), F.col("first_t").alias("t"))
     last = F.struct(F.col("last_idx").alias("frame_idx"), F.col("last_t").alias("t"))
     nearer = F.when(F.abs(F.col("before.t") - F.col("t")) <= F.abs(F.col("first_t") - F.col("t")), left).otherwise(right)
     one = F.when(F.col("last_t") < F.col("t"), last).when(F.col("before").isNull(), right).otherwise(nearer)
-    between = zoned.where(F.coalesce(~inside, F.lit(True))).withColumn("one", one).select("asked", F.coalesce("one.frame_idx", F.lit(0).cast("long")).alias("idx"), F.col("one.t").alias("at"))
-    found = sought.join(read_out.unionByName(between), "asked")
+    between = zoned.where(F.coalesce(~inside, F.lit(True))).withColumn("one", one).select("_asked", F.coalesce("one.frame_idx", F.lit(0).cast("long")).alias("idx"), F.col("one.t").alias("at"))
+    found = sought.join(read_out.unionByName(between), "_asked")
     return Lookup(found.select("rec_id", "key", *others, "idx", *(["at"] if with_time else [])), opened_zones)

@@ -12,7 +12,7 @@ from skyloom.functions import pixels, timefmt
 from skyloom.operators import fold, keogram, manifest, norm, stats, timeaxis, video, zones
 from skyloom.plans import pipelines
 from skyloom.sources import camera, raw, sinks
-from skyloom.streaming import keograms
+from skyloom.streaming import keograms, ordered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -152,8 +152,8 @@ def norm_by_hour(spark, sf_dir):
 # -- time axis ------------------------------------------------------------------
 
 
-NEAREST_FRAME = f"""with {TICKS}, source as (select * from ticks), sought as (select rec_id, frame_idx as nr, ut + (frame_idx % 7) * 60.5 - 100 as t from ticks), {NEAREST}
-    select rec_id, round(t, 6) as key, nr, idx from near"""
+NEAREST_FRAME = f"""with {TICKS}, source as (select * from ticks), sought as (select rec_id, frame_idx as asked, ut + (frame_idx % 7) * 60.5 - 100 as t from ticks), {NEAREST}
+    select rec_id, round(t, 6) as key, asked, idx from near"""
 
 
 @query(NEAREST_FRAME)
@@ -162,7 +162,7 @@ def nearest_frame(spark, sf_dir):
 
 
 def _keys(spark, sf_dir):
-    return schema.ticks(spark, sf_dir).select("rec_id", F.col("frame_idx").alias("nr"), (F.col("ut") + (F.col("frame_idx") % 7) * F.lit(60.5) - 100).alias("key"))
+    return schema.ticks(spark, sf_dir).select("rec_id", F.col("frame_idx").alias("asked"), (F.col("ut") + (F.col("frame_idx") % 7) * F.lit(60.5) - 100).alias("key"))
 
 
 def _zones(spark, sf_dir):
@@ -484,6 +484,14 @@ def stream_count_keogram(spark, sf_dir):
     return rounded(keograms.run_to_end(keograms.count_means(stream, "ns", 20), f"{place}/out", f"{place}/state"), "mean")
 
 
+@query(f"with {FRAMES}, {SLICES} select 'sky' as rec_id, frame_idx // 20 as bin, pos, round(sum(ns) / count(ns), 6) as mean from slices group by all")
+def stream_arrival_bins(spark, sf_dir):
+    """The same bins by how many frames came before, whatever their numbers and order of arrival."""
+    stream = keograms.frame_stream(spark, f"{sf_dir}/embeddings.parque[t]", schema.read(spark, sf_dir, "embeddings").schema, schema.as_frames)
+    ended = schema.frames(spark, sf_dir).select("rec_id").distinct()
+    return rounded(ordered.run(stream, shared.folder(spark), "ns", 20, "1 hour", ended), "mean")
+
+
 # -- whole jobs ----------------------------------------------------------------------
 
 

@@ -61,7 +61,7 @@ def test_every_tick_is_looked_up(spark, monkeypatch, block):
             key = t + (asked % 7) * 60.5 - 100
             at = bisect.bisect_left(ut, key)
             want[rec, asked] = 0 if at == 0 else len(ut) - 1 if at == len(ut) else at - 1 if abs(ut[at - 1] - key) <= abs(ut[at] - key) else at
-    got = queries.QUERIES["nearest_frame_all"](spark, SF).collect()
+    got = queries.QUERIES["nearest_frame"](spark, SF).collect()
     assert len(got) == len(want) and {(r.rec_id, r.asked): r.idx for r in got} == want
 
 

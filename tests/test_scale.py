@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom import schema, shared
-from skyloom.operators import keogram, norm, timeaxis, video, zones
+from skyloom.operators import fold, keogram, norm, timeaxis, video, zones
 from skyloom.plans import batch, pipelines
 from skyloom.sources import camera, sinks
 
@@ -30,6 +30,11 @@ def no_auto_broadcast(spark):
     spark.conf.unset(key)
 
 
+def test_folds_move_states_only(spark, no_auto_broadcast):
+    found = fold.apply(schema.frames(spark, SF), fold.Motion(), ["px"])
+    assert moved(found) == {"rec_id", "block", "first", "state"}
+
+
 def test_pixels_stay_where_they_are(spark, tmp_path, no_auto_broadcast):
     sinks.write_recording(schema.frames(spark, SF), str(tmp_path / "r.parquet"), slices=False)
     frames = spark.read.parquet(str(tmp_path / "r.parquet"))
