@@ -161,6 +161,12 @@ def nearest_frame(spark, sf_dir):
     return rounded(timeaxis.nearest(schema.ticks(spark, sf_dir).select("rec_id", "frame_idx", "ut"), _keys(spark, sf_dir)), "key")
 
 
+@query(NEAREST_FRAME.replace("asked, idx from near", "asked, idx, round(ut, 6) as at from near join ticks using (rec_id) where ticks.frame_idx = idx"))
+def nearest_frame_all(spark, sf_dir):
+    """The same with the time of what was found."""
+    return rounded(timeaxis.nearest(schema.ticks(spark, sf_dir).select("rec_id", "frame_idx", "ut"), _keys(spark, sf_dir), with_time=True), "key", "at")
+
+
 def _keys(spark, sf_dir):
     return schema.ticks(spark, sf_dir).select("rec_id", F.col("frame_idx").alias("asked"), (F.col("ut") + (F.col("frame_idx") % 7) * F.lit(60.5) - 100).alias("key"))
 
@@ -551,7 +557,11 @@ def _hourly(spark, sf_dir):
     return pipelines.hourly(schema.frames(spark, sf_dir), output_hz=0.01, bin_seconds=60.0, lookahead=10)
 
 
-@query("select 'sky' as rec_id, cast(7.5 as double) as dt, cast(15 as double) as speed, cast(0.15 as double) as fps, cast(5 as bigint) as bin_size, cast(13 as bigint) as stride, cast(null as varchar) as problem from (select count(*) from embeddings)")
+STRIDE = "greatest(1, cast(round_even((1 / 0.01) / dt, 0) as bigint))"
+
+
+@query(f"""with {FRAMES}, d as (select median(x) as dt from (select ut - lag(ut) over (order by frame_idx) as x from frames) where x is not null)
+    select 'sky' as rec_id, dt, cast(15 as double) as speed, round(cast(0.01 * 15 as double), 6) as fps, cast(5 as bigint) as bin_size, {STRIDE} as stride, case when 5 > {STRIDE} then 'a bin must not be larger than the stride' end as problem from d""")
 def hourly_plan(spark, sf_dir):
     return rounded(_hourly(spark, sf_dir).plan, "dt", "speed", "fps")
 
