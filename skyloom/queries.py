@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skyloom import schema, shared
 from skyloom.functions import pixels, timefmt
-from skyloom.operators import fold, keogram, manifest, norm, stats, timeaxis, video, zones
+from skyloom.operators import container, fold, keogram, manifest, norm, stats, timeaxis, video, zones
 from skyloom.plans import pipelines
 from skyloom.sources import camera, raw, sinks
 from skyloom.streaming import keograms, ordered
@@ -526,6 +526,18 @@ def video_rgb(spark, sf_dir):
     shown = video.rgb_video(_binned(spark, sf_dir), ends, "linear").withColumn("red", F.regexp_replace(F.hex("rgb"), "(..)....", "$1"))
     return shown.select("rec_id", "seg", "bin", "n_frames", "red")
 
+@query(BINS + """, ends as (select min(v) as lo, max(v) as hi from (select unnest(px) as v from frames)),
+    means as (select seg, bin, list(m order by pos) as px from (select seg, bin, pos, avg(v) as m from (select seg, bin, unnest(px) as v, unnest(range(64)) as pos from binned) group by all) group by all),
+    shown as (select seg, bin, list_aggregate([printf('%02X', cast(trunc(cast(g as double) / 255 * 255) as integer)) for g in [least(255, greatest(0, cast(floor(256 * (v - lo) / (hi - lo)) as integer))) for v in px]], 'string_agg', '') as red from means, ends)
+    select 'sky' as rec_id, seg, bin, any_value(red) as red from binned join shown using (seg, bin) group by all""")
+def video_container(spark, sf_dir):
+    """The same frames, coded in chunks of seven and decoded."""
+    frames = schema.frames(spark, sf_dir)
+    ends = norm.pixel_histogram(frames).groupBy("rec_id").agg(F.min("v").cast("double").alias("vmin"), F.max("v").cast("double").alias("vmax"))
+    shown = container.unpack(container.pack(video.rgb_video(_binned(spark, sf_dir), ends, "linear"), 7))
+    return shown.select("rec_id", "seg", "bin", F.regexp_replace(F.hex("rgb"), "(..)....", "$1").alias("red"))
+
+
 #: Sampled frames between the nearest ones to two whole seconds.
 BETWEEN = f"""with {FRAMES}, ticks as (select 'sky' as rec_id, frame_idx, ut from frames), source as (select * from ticks), bounds as (select {{start}} as a, {{stop}} as b from ticks),
     sought as (select 'sky' as rec_id, 'a' as which, floor(a) as t from bounds union all select 'sky', 'b', floor(b) from bounds), {NEAREST},

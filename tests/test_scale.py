@@ -158,3 +158,24 @@ def test_a_broken_recording_is_an_error_of_its_line(spark, tmp_path):
     keograms = spark.read.parquet(*glob.glob(f"{tmp_path}/out/runs/*/keograms"))
     bins = {x.rec_id[-9]: x["count"] for x in keograms.groupBy("rec_id").count().collect()}
     assert bins["2"] == bins["3"] == bins["6"] > 0 and len(bins) == 3
+
+
+def test_any_frame_of_a_container_from_one_chunk(spark):
+    from skyloom.operators import container
+
+    r = np.random.default_rng(2)
+    for n, width in ((1, 5), (9, 70_000), (4, 1)):
+        frames = (r.integers(0, 256, (n, width)) * (r.random((n, width)) < 0.01)).astype(np.uint8)
+        assert (container.decode(container.encode(frames), n) == frames).all()
+    rows = [(rec, seg, b, bytes(r.integers(0, 256, 12).astype(np.uint8))) for rec in "ab" for seg in (0, 1) for b in range(seg, 50, 1 + seg)]
+    video_frames = spark.createDataFrame(rows, "rec_id string, seg int, bin long, rgb binary").repartition(5)
+    packed = container.pack(video_frames, 8).cache()
+    plain = lambda df: sorted((x.rec_id, x.seg, x.bin, bytes(x.rgb)) for x in df.collect())
+    assert plain(container.unpack(packed)) == sorted(rows)
+    # the seek table: chunks follow each other
+    for (rec, seg), lot in {k: sorted((x.chunk, x.at, x.bytes) for x in packed.collect() if (x.rec_id, x.seg) == k) for k in {x[:2] for x in rows}}.items():
+        assert [at for _, at, _ in lot] == [0, *np.cumsum([n for *_, n in lot])[:-1].tolist()], (rec, seg)
+    # with all chunks but one broken, that one's frames can be read
+    broken = packed.withColumn("data", F.when((F.col("rec_id") == "b") & (F.col("seg") == 1) & (F.col("chunk") == 2), F.col("data")).otherwise(F.lit(b"x")))
+    wanted = spark.createDataFrame([("b", 1, 17), ("b", 1, 23), ("b", 1, 18)], "rec_id string, seg int, bin long")
+    assert plain(container.unpack(broken, wanted)) == [x for x in sorted(rows) if x[:3] in {("b", 1, 17), ("b", 1, 23)}]
