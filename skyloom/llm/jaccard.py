@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.common import bound_batches, materialise, read, spread_join
 from skyloom.llm.components import components
-from skyloom.llm.simhash import set_name, shingles
+from skyloom.llm.shingle_sets import set_name, shingles
 
 #: Items that one task counts or cuts, on average.
 PART_ITEMS = 1_000_000
@@ -49,10 +49,11 @@ SAMPLE_SETS, COMMON_SETS = 20_000, 10
 
 @dataclass(frozen=True)
 class Settings:
-    """Words of a shingle; percent of the united set that has to be shared."""
+    """Words of a shingle; percent of the united set that has to be shared; percent of a set's items in its head."""
 
     shingle: int = 4
     percent: int = 85
+    head: int = HEAD
 
 
 CONTRACT = Settings()
@@ -67,13 +68,13 @@ def _needed(n: Column, m: Column, percent: int) -> Column:
     return F.ceil((n + m) * percent / (100 + percent) - F.lit(1e-9))
 
 
-def head_size(n):
-    return -(-HEAD * n // 100)
+def head_size(n, head: int = HEAD):
+    return -(-head * n // 100)
 
 
-def at_least(n, percent: int):
+def at_least(n, percent: int, head: int = HEAD):
     """Items of its head that a set of n shares with the head of any set it links with."""
-    return np.maximum(1, (percent - 100 + HEAD) * n // 100)
+    return np.maximum(1, (percent - 100 + head) * n // 100)
 
 
 def prefix_size(n, percent: int):
@@ -115,6 +116,11 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.cumsum([0, *map(len, values)]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *values]))
 
 
+def heads_of(sets: list[np.ndarray], settings: Settings = CONTRACT) -> pa.ListArray:
+    """The smallest items of each sorted set."""
+    return _lists([x[: head_size(len(x), settings.head)] for x in sets])
+
+
 def sets_of(docs: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
     """``doc_id, nid, n, head`` of every row: its set's name, size and smallest items; nid is null for a text without words."""
 
@@ -122,7 +128,7 @@ def sets_of(docs: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
         for batch in batches:
             own = [_set_of(t, settings.shingle) for t in batch.column(1).to_pylist()]
             names = pa.array([set_name(x) if len(x) else None for x in own], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), names, pa.array(list(map(len, own)), pa.int64()), _lists([x[: head_size(len(x))] for x in own])], names=["doc_id", "nid", "n", "head"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), names, pa.array(list(map(len, own)), pa.int64()), heads_of(own, settings)], names=["doc_id", "nid", "n", "head"])
 
     bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, nid long, n long, head array<long>")
@@ -153,37 +159,39 @@ LISTS = "nid array<long>, n array<long>, item array<long>, often array<long>"
 
 
 def shared_items(sets: DataFrame) -> DataFrame:
-    """Lines of arrays ``nid, n, item, often`` by ``part``, a share of the sets: those of the sets' ``items`` (``nid, n, items``) that others have, too, and how many have them."""
+    """Lines of arrays ``nid, n, item, often`` by ``part``, a share of the sets: those of the sets' ``items`` (``nid, n, items``) that others have, too, and how many have them.
+    Where sets have ``grp``, an item that only sets of one group have is left out as well, unless it's common."""
     size = sets.agg(F.count("*").alias("n"), F.sum(F.size("items")).alias("items")).first()
     parts = 1 + int(size["items"] or 0) // PART_ITEMS
     common, about = common_items(sets, size["n"])
+    named = ["nid", "n", *(["grp"] if "grp" in sets.columns else [])]
+    sets = sets.select("items", *named)
 
-    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        """Names, sizes and items, each row of which has a place among the names, and where an item is among the common ones (else -1)."""
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+        """What is ``named`` of the sets, and their items: the row of each, and where it is among the common ones (else -1)."""
         for batch in batches:
-            one = np.unique(batch.column(0).to_numpy(), return_index=True)[1]  # copies in a batch go once
-            nid, n = (batch.column(c).to_numpy()[one] for c in (0, 1))
-            own = [batch.column(2)[int(i)].values.to_numpy() for i in one]
+            one = np.unique(batch.column(1).to_numpy(), return_index=True)[1]  # copies in a batch go once
+            own = [batch.column(0)[int(i)].values.to_numpy() for i in one]
             every = np.concatenate([np.zeros(0, np.int64), *own])
             at = np.minimum(np.searchsorted(common, every), max(0, len(common) - 1))
-            yield nid, n, np.repeat(np.arange(len(own)), list(map(len, own))), every, np.where(common[at] == every, at, -1) if len(common) else np.full(len(every), -1)
+            yield [c.to_numpy()[one] for c in batch.columns[1:]], np.repeat(np.arange(len(own)), list(map(len, own))), every, np.where(common[at] == every, at, -1) if len(common) else np.full(len(every), -1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"part": pa.int64()} | {c: pa.list_(pa.int64()) for c in ("nid", "n", "size", "item")}
-        for nid, n, row, every, at in items(batches):
+        kinds = {"part": pa.int64()} | {c: pa.list_(pa.int64()) for c in (*named, "size", "item")}
+        for who, row, every, at in items(batches):
             rare = at < 0
             row, every = row[rare], every[rare]
             lines = []
             for line in _dealt((every.view(np.uint64) % np.uint64(parts)).astype(np.int64), {"row": row, "item": every}) if len(every) else ():
                 starts = _runs(line["row"])
                 first = line["row"][starts[:-1]]
-                lines.append((line["part"], nid[first], n[first], np.diff(starts), line["item"]))
+                lines.append((line["part"], *[x[first] for x in who], np.diff(starts), line["item"]))
             if lines:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*lines), kinds.values())], names=list(kinds))
 
     def pass_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"part": pa.int64()} | {c: pa.list_(pa.int64()) for c in ("nid", "n", "item", "often")}
-        for nid, n, row, every, at in items(batches):
+        for (nid, n, *_), row, every, at in items(batches):
             held = at >= 0
             row, every, often = row[held], every[held], about[at[held]]
             if len(every):
@@ -192,18 +200,20 @@ def shared_items(sets: DataFrame) -> DataFrame:
 
     def count(lines: pd.DataFrame) -> pd.DataFrame:
         size = np.concatenate(lines["size"].to_list())
-        nid, n = (np.repeat(np.concatenate(lines[c].to_list()), size) for c in ("nid", "n"))
+        nid, n, grp = (np.repeat(np.concatenate(lines[c].to_list()), size) for c in (*named, "nid")[:3])
         item = np.concatenate(lines["item"].to_list())
         order = np.lexsort((nid, item))
-        nid, n, item = nid[order], n[order], item[order]
+        nid, n, grp, item = nid[order], n[order], grp[order], item[order]
         new = np.append(True, (item[1:] != item[:-1]) | (nid[1:] != nid[:-1]))
-        nid, n, item = nid[new], n[new], item[new]
-        often = np.diff(_runs(item)) if len(item) else np.zeros(0, np.int64)
-        often = np.repeat(often, often)
-        held = often > 1
+        nid, n, grp, item = nid[new], n[new], grp[new], item[new]
+        starts = _runs(item) if len(item) else np.zeros(1, np.int64)
+        often = np.repeat(np.diff(starts), np.diff(starts))
+        # an item is shared if its run holds a group other than its first one
+        other = np.append(0, np.cumsum(grp != np.repeat(grp[starts[:-1]], np.diff(starts))))
+        held = np.repeat(other[starts[1:]] > other[starts[:-1]], np.diff(starts))
         return pd.DataFrame(list(_dealt(nid[held] % parts, {"nid": nid[held], "n": n[held], "item": item[held], "often": often[held]})), columns=["part", "nid", "n", "item", "often"])
 
-    dealt = sets.mapInArrow(deal, "part long, nid array<long>, n array<long>, size array<long>, item array<long>")
+    dealt = sets.mapInArrow(deal, "part long, " + ", ".join(f"{c} array<long>" for c in (*named, "size", "item")))
     counted = dealt.groupBy("part").applyInPandas(count, f"part long, {LISTS}")
     return counted.unionByName(sets.mapInArrow(pass_on, f"part long, {LISTS}")) if len(common) else counted
 
@@ -221,12 +231,12 @@ def _by_set(lines: pd.DataFrame) -> Iterator[tuple[int, int, np.ndarray, np.ndar
 
 
 def candidates(sets: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
-    """``nid, n``: sets that may link by what their heads share."""
+    """``nid, n``: sets that may link, beyond their group where they have ``grp``, by what their heads share."""
 
     def cut(lines: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(nid, n) for nid, n, item, _ in _by_set(lines) if len(item) >= at_least(n, settings.percent)], columns=["nid", "n"])
+        return pd.DataFrame([(nid, n) for nid, n, item, _ in _by_set(lines) if len(item) >= at_least(n, settings.percent, settings.head)], columns=["nid", "n"])
 
-    heads = sets.where("nid is not null").select("nid", "n", F.col("head").alias("items"))
+    heads = sets.where("nid is not null").withColumnRenamed("head", "items").drop("doc_id")
     return shared_items(heads).groupBy("part").applyInPandas(cut, "nid long, n long")
 
 
@@ -242,7 +252,7 @@ def prefixes(full: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
                 out.append(pd.DataFrame({"nid": nid, "n": n, "item": item[first], "place": n - len(item) + np.arange(len(first))}))
         return pd.concat(out) if out else pd.DataFrame({"nid": [], "n": [], "item": [], "place": []}, dtype=np.int64)
 
-    return shared_items(full.select("nid", "n", F.col("own").alias("items"))).groupBy("part").applyInPandas(cut, "nid long, n long, item long, place long")
+    return shared_items(full.withColumnRenamed("own", "items").drop("bits", *SIGNATURE)).groupBy("part").applyInPandas(cut, "nid long, n long, item long, place long")
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, found: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
@@ -337,6 +347,16 @@ def linked(pairs: DataFrame, full: DataFrame, settings: Settings = CONTRACT) ->
     return materialise(passing("own", lambda x, y, both: shared(x.values.to_numpy(), y.values.to_numpy())).select(F.col("hub").alias("a"), F.col("other").alias("b")))
 
 
+def links_between(sets: DataFrame, docs: DataFrame, nodes: DataFrame, grouped: DataFrame, settings: Settings) -> DataFrame:
+    """``a, b``: all links between sets of different groups (``grouped``: ``nid, grp``), for a caller that has found most links. ``sets`` (``nid, n,
+    head``) may come more than once; ``nodes`` name each one's document (``nid, low``)."""
+    sets = materialise(sets.dropDuplicates(["nid"]).join(grouped, "nid"))
+    found = materialise(candidates(sets, settings))
+    full = materialise(whole_sets(docs, nodes, found, settings))
+    rows = prefixes(full.join(grouped, "nid"), settings).join(full.select("nid", *SIGNATURE), "nid")
+    return linked(pairs_between(rows, grouped, settings), full, settings)
+
+
 def groups(docs: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     sets = materialise(sets_of(docs, settings))

@@ -27,8 +27,9 @@ two meet in a task of their own.
 Where a similarity is given, the exact Jaccard similarity of the texts' shingle sets
 decides, and bits only save work: links within ``radius`` are checked first, which joins
 most of what is alike. A shard's forest spends a join on each link, whether it passes or not, so
-this finds some links only. The others come from ``prefixes``: every pair between the groups so far that
-can be similar by the rarest shingles of both is checked, whatever the texts' length.
+this finds some links only. The others come from the tiles of ``jaccard``: every pair between the groups so far that
+can be similar, by what the sets' smallest hashes share with other groups, by their rarest shingles and by bitmaps, is checked. What is kept of a
+set there grows with its size, not with its square.
 
 Texts with one set of shingles are one node there, named by the set's hash: equal
 fingerprints alone join nothing.
@@ -49,13 +50,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom.llm import jaccard
 from skyloom.llm.common import bound_batches, materialise, read, spread_join
 from skyloom.llm.components import components
-from skyloom.llm.prefixes import PART_ITEMS, pairs_between, prefixes
+from skyloom.llm.shingle_sets import set_name, shingles
 
 #: Fingerprints that the trees' upper levels are built from.
 SAMPLE = 8192
@@ -82,6 +83,11 @@ class Settings:
     similarity: float | None = None
     blocks: tuple[tuple[int, int], ...] = field(default=((0, (1 << 22) - 1), (0, ((1 << 21) - 1) << 22), (0, ((1 << 21) - 1) << 43)))
 
+    @property
+    def tiles(self) -> jaccard.Settings:
+        """Of the exact search; heads of 40 percent leave short texts that share little with others out of it."""
+        return jaccard.Settings(self.shingle, round(100 * self.similarity), 40)
+
 
 #: 64 bits, 4-word shingles, 4 differing bits: one of three blocks has at most one of them.
 CONTRACT = Settings()
@@ -91,20 +97,6 @@ CONTRACT = Settings()
 SIMILAR = Settings(shingle=5, words=8, radius=77, near=1, first=4, similarity=0.8, blocks=tuple((w, 0xFFFF << s) for w in range(8) for s in (0, 32)))
 
 
-def shingles(text: str | None, shingle: int) -> np.ndarray:
-    """The hash of each shingle, repeats included; none for a text without words."""
-    parts = (text or "").encode().lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(parts)
-    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(parts) - shingle + 1)
-    last = ends[min(shingle, len(parts)) - 1 :][:n]
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), last.tolist())), np.uint64, n)
-
-
 def fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> bytes:
     """Big-endian bits of the fingerprint; further words take the shingle hashes mixed anew."""
     return majority(shingles(text, shingle), words)
@@ -124,27 +116,24 @@ def majority(hashes: np.ndarray, words: int) -> bytes:
     return out
 
 
-def set_name(own: np.ndarray) -> int:
-    """The hash of a set of shingles (sorted, without repeats), as a signed long."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes(), 42)).astype(np.int64))
-
-
 def fingerprints(docs: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
-    """``doc_id, text_hash long, fp binary, nid long`` of every row; ``nid`` names the text's set
-    of shingles where a similarity is given."""
+    """``doc_id, text_hash long, fp binary`` of every row; where a similarity is given, ``nid long, n long, head array<long>`` as well:
+    the name and size of the text's set of shingles and its smallest hashes."""
+    doc_id, sets = docs.schema["doc_id"].dataType.simpleString(), settings.similarity is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingles(t, settings.shingle) for t in batch.column(1).to_pylist()]
-            if settings.similarity is not None:  # a measure of sets, which the bits then estimate
-                own = [np.unique(x) for x in own]
-            fp = pa.array([majority(x, settings.words) for x in own], pa.binary())
-            nid = pa.array([None if settings.similarity is None else set_name(x) for x in own], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fp, nid], names=["doc_id", "text_hash", "fp", "nid"])
+            if sets:  # a measure of sets, which the bits then estimate
+                own = [np.unique(x.view(np.int64)) for x in own]
+            columns = {"doc_id": batch.column(0), "text_hash": batch.column(2), "fp": pa.array([majority(x.view(np.uint64), settings.words) for x in own], pa.binary())}
+            if sets:
+                columns |= {"nid": pa.array(list(map(set_name, own)), pa.int64()), "n": pa.array(list(map(len, own)), pa.int64()), "head": jaccard.heads_of(own, settings.tiles)}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, fp binary, nid long")
+    return rows.mapInArrow(run, f"doc_id {doc_id}, text_hash long, fp binary" + ", nid long, n long, head array<long>" * sets)
 
 
 def _unpack(column) -> np.ndarray:
@@ -427,12 +416,6 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, settings: Setti
     return met.where(shared >= settings.similarity * either).select(F.col("hub").alias("a"), F.col("other").alias("b")).distinct()
 
 
-def heads(docs: DataFrame, settings: Settings) -> DataFrame:
-    """The prefixes of all texts' shingle sets, for the exact search."""
-    spaces = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))))).first()[0] or 0
-    return materialise(prefixes(docs, lambda t: np.unique(shingles(t, settings.shingle)), set_name, settings.similarity, 1 + spaces // PART_ITEMS))
-
-
 def groups(docs: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
     """``doc_id, fp, component_id``: every row's fingerprint and the smallest doc_id of its group."""
     prints = materialise(fingerprints(docs, settings))
@@ -449,8 +432,9 @@ def groups(docs: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
         roots = materialise(components(edges, 2))
         known = roots.groupBy("node").agg(F.min("root").alias("root"))
         grouped = nodes.join(known, nodes["nid"] == known["node"], "left").select("nid", F.coalesce("root", "nid").alias("grp"))
-        more = pairs_between(heads(docs, settings), materialise(grouped), settings.similarity)
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(similar(more, nodes, docs, settings)))
+        sets = prints.where("n > 0").select("nid", "n", "head")
+        more = jaccard.links_between(sets, docs, nodes.select("nid", F.col("low.doc_id").alias("low")), materialise(grouped), settings.tiles)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     nodes = nodes.select("nid", "fp", F.col("low_id").alias("low"))
     rooted = nodes.join(roots, nodes["nid"] == roots["node"], "left").select(key, "low", "root")
     lows = rooted.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("low").alias("component"))

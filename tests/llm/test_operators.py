@@ -4,6 +4,7 @@ texts, ties, repeated rows, empty tables and extra columns with clashing names."
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -17,7 +18,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from skyloom.llm import bpe, decontaminate, html_text, line_dedup, neighbours, prefixes, shards, simhash, token_counts, toxicity, url_filter
+from skyloom.llm import bpe, common, decontaminate, html_text, jaccard, line_dedup, neighbours, shards, simhash, token_counts, toxicity, url_filter
 from skyloom.llm.components import components
 
 CLASH = ["row", "shard", "slot", "rank", "key", "keys", "ids", "score", "fp", "kept", "grp", "bucket", "n_words", "component_id", "lost_id"]
@@ -298,19 +299,45 @@ def test_template_texts_lose_no_link(spark):
     assert {x.doc_id: x.component_id for x in simhash.groups(make(spark, texts), simhash.SIMILAR).collect()} == dict(enumerate(up))
 
 
-@pytest.mark.parametrize("parts", [1, 5])
-def test_prefixes_leave_no_pair_out(spark, parts):
+@pytest.mark.parametrize("items", [200, 10**6])
+def test_links_between_groups_leave_no_pair_out(spark, monkeypatch, items):
+    """Of all pairs that are similar, those of different groups, whatever the groups are."""
+    monkeypatch.setattr(jaccard, "PART_ITEMS", items)
     r, texts = random.Random(6), [None, "", "a"]
     for i in range(60):
         words = {f"w{r.randrange(60 if i % 2 else 4000)}" for _ in range(r.choice([1, 4, 5, 10, 15, 40]))}
         texts += [" ".join(words), " ".join(list(words)[r.choice([0, 1, 2]) :] + ["new"] * r.choice([0, 1]))]
-    sets = {simhash.set_name(np.unique(simhash.shingles(t, 1))): set((t or "").split()) for t in texts}
-    names = sorted(sets)
+    tiles = jaccard.Settings(1, 80, 40)
     docs = make(spark, texts)
-    heads = prefixes.prefixes(docs, lambda t: np.unique(simhash.shingles(t, 1)), simhash.set_name, 0.8, parts)
-    nodes = spark.createDataFrame([(n, n) for n in names], "nid long, grp long")
-    got = {(names.index(x.a), names.index(x.b)) for x in prefixes.pairs_between(heads, nodes, 0.8).collect()}
-    assert len(plain_similar([sets[n] for n in names])) > 20 and plain_similar([sets[n] for n in names]) <= got
+    sets = jaccard.sets_of(docs, tiles).where("n > 0")
+    low = {}
+    for x in sets.orderBy("doc_id").collect():
+        low.setdefault(x.nid, x.doc_id)
+    names = sorted(low)
+    nodes = spark.createDataFrame(list(low.items()), "nid long, low long")
+    want = plain_similar([set(texts[low[n]].split()) for n in names])
+    assert len(want) > 20
+    for grp in (range(len(names)), [i // 7 for i in range(len(names))], [0] * len(names)):
+        grouped = spark.createDataFrame([(n, names[g]) for n, g in zip(names, grp)], "nid long, grp long")
+        got = {(names.index(x.a), names.index(x.b)) for x in jaccard.links_between(sets, docs, nodes, grouped, tiles).collect()}
+        assert got == {(i, j) for i, j in want if grp[i] != grp[j]}
+
+
+def test_similar_texts_of_200_000_words(spark):
+    """What is kept of long similar texts grows with their size, not with its square: some 20 bytes a word in all."""
+    r, n, texts = random.Random(2), 200_000, []
+    base = [f"w{r.randrange(10**6)}" for _ in range(n)]
+    for k in range(10):
+        copy = list(base)
+        for at in r.sample(range(n), n // (100 if k < 5 else 12)):
+            copy[at] = f"n{k}"
+        texts.append(" ".join(copy))
+    docs = common.materialise(make(spark, texts))
+    with common.scratch() as folders:
+        got = [x.component_id for x in simhash.groups(docs, simhash.SIMILAR).orderBy("doc_id").collect()]
+    assert got == [0] * 5 + [5, 6, 7, 8, 9]
+    size = sum(os.path.getsize(f"{at}/{f}") for folder in folders for at, _, files in os.walk(folder.removeprefix("file:")) for f in files)
+    assert size < 30 * n * len(texts)
 
 
 def test_components_of_chains_and_stars(spark):
