@@ -75,7 +75,7 @@ def describe(ranks: dict[bytes, int]) -> str:
 
 
 def _codec(description: str, pattern: str):
-    """Tokenizer, bytes and decimal string of each id, splitter and memo; kept per worker."""
+    """Tokenizer, bytes and decimal string of each id, splitter and the ids that memos share; kept per worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     key = hashlib.sha256(f"{pattern}\n{description}".encode()).hexdigest()
     if key not in _CACHE:
@@ -87,7 +87,7 @@ def _codec(description: str, pattern: str):
         for shown, i in vocab.items():
             table[i] = bytes(byte_of[c] for c in shown)
         _CACHE.clear()
-        _CACHE[key] = Tokenizer.from_str(description), table, [str(i) for i in range(len(table))], regex.compile(pattern).findall, {}
+        _CACHE[key] = Tokenizer.from_str(description), table, [str(i) for i in range(len(table))], regex.compile(pattern).findall, list(range(len(table)))
     return _CACHE[key]
 
 
@@ -123,16 +123,16 @@ def char_offsets(text: str, ids, table: list[bytes]) -> list[int]:
     return begins[at].tolist()
 
 
-#: Distinct pieces whose ids a worker keeps; beyond it the memo starts anew.
+#: Distinct pieces whose ids a task keeps; beyond it the memo starts anew. Workers serve other stages later, so that it goes with the task.
 MEMO_PIECES = 400_000
 #: Longer pieces are encoded each time, so that the memo's memory stays bounded too.
 MEMO_CHARS = 40
 
 
-def _encoded(codec, texts: list[str]) -> Iterator[list[int]]:
+def _encoded(codec, texts: list[str], memo: dict[str, tuple]) -> Iterator[list[int]]:
     """The ids of each text. The pieces that the pattern cuts are encoded apart
     from each other, so that each distinct piece of a batch goes to the library once."""
-    tokenizer, split, memo = codec[0], codec[3], codec[4]
+    tokenizer, split, shared = codec[0], *codec[3:]
     for text in texts:
         pieces = split(text)
         new = [p for p in set(pieces) if p not in memo]
@@ -141,7 +141,7 @@ def _encoded(codec, texts: list[str]) -> Iterator[list[int]]:
                 memo.clear()
                 new = list(set(pieces))
             for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                memo[p] = tuple(e.ids)
+                memo[p] = tuple([shared[i] for i in e.ids])  # not an object for each id
         yield list(chain.from_iterable([memo[p] for p in pieces]))
         for p in new:
             if len(p) > MEMO_CHARS:
@@ -155,11 +155,11 @@ def encode(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.
     source = docs.select(*[f"`{c}`" for c in kept])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(description, pattern)
+        codec, memo = _codec(description, pattern), {}
         table = codec[1]
         for batch in batches:
             texts = [t or "" for t in batch.column(kept.index(text)).to_pylist()]
-            ids = list(_encoded(codec, texts))
+            ids = list(_encoded(codec, texts, memo))
             more = [pa.array(ids, pa.list_(pa.int32()))]
             if offsets:
                 more.append(pa.array([char_offsets(t, i, table) for t, i in zip(texts, ids)], pa.list_(pa.int32())))
@@ -194,12 +194,12 @@ def digest(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.
     description = describe(load_ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(description, pattern)
+        codec, memo = _codec(description, pattern), {}
         table, numerals = codec[1:3]
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             n, a, b = [], [], []
-            for ids in _encoded(codec, [t or "" for t in batch.column(1).to_pylist()]):
+            for ids in _encoded(codec, [t or "" for t in batch.column(1).to_pylist()], memo):
                 n.append(len(ids))
                 a.append(sha(" ".join([numerals[i] for i in ids]).encode()))
                 b.append(sha(decode_bytes(ids, table)))

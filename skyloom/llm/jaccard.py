@@ -37,8 +37,8 @@ from skyloom.llm.common import bound_batches, materialise, read, spread_join
 from skyloom.llm.components import components
 from skyloom.llm.shingle_sets import set_name, shingles
 
-#: Items that one task counts or cuts, on average.
-PART_ITEMS = 1_000_000
+#: Items that a task counts or cuts at once, on average.
+PART_ITEMS = 500_000
 #: Percent of a set's items in its head.
 HEAD = 25
 #: Words of the signature that goes to tiles: 512 bits.
@@ -158,6 +158,34 @@ def common_items(sets: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
 LISTS = "nid array<long>, n array<long>, item array<long>, often array<long>"
 
 
+def count_part(lines: pd.DataFrame, parts: int) -> pd.DataFrame:
+    """Of a part of the items, in lines of arrays ``nid, n, size, item`` (and ``grp``): those of several sets (groups), by shares of the sets. An item
+    goes with its set's row, not with what is known of the set, and what is through is let go, so that a part takes few bytes an item."""
+    nid, n, size = (np.concatenate(lines[c].to_list()) for c in ("nid", "n", "size"))
+    grp = np.concatenate(lines["grp"].to_list()) if "grp" in lines else nid
+    item = np.concatenate(lines["item"].to_list())
+    row = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    # a set that comes again has the same items
+    once = np.zeros(len(nid), bool)
+    once[np.unique(nid, return_index=True)[1]] = True
+    if not once.all():
+        kept = once[row]
+        item, row = item[kept], row[kept]
+    order = np.argsort(item)
+    item = item[order]
+    row = row[order]
+    del order
+    starts = _runs(item) if len(item) else np.zeros(1, np.int64)
+    often = np.diff(starts)
+    # an item is shared if its run holds a group other than its first one
+    other = grp[row]
+    other = other != np.repeat(other[starts[:-1]], often)
+    found = np.logical_or.reduceat(other, starts[:-1]) if len(item) else np.zeros(0, bool)
+    held = np.repeat(found, often)
+    item, row, often = item[held], row[held], np.repeat(often[found], often[found])
+    return pd.DataFrame(list(_dealt(nid[row] % parts, {"nid": nid[row], "n": n[row], "item": item, "often": often})), columns=["part", "nid", "n", "item", "often"])
+
+
 def shared_items(sets: DataFrame) -> DataFrame:
     """Lines of arrays ``nid, n, item, often`` by ``part``, a share of the sets: those of the sets' ``items`` (``nid, n, items``) that others have, too, and how many have them.
     Where sets have ``grp``, an item that only sets of one group have is left out as well, unless it's common."""
@@ -199,19 +227,7 @@ def shared_items(sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in lines], k) for c, k in kinds.items()], names=list(kinds))
 
     def count(lines: pd.DataFrame) -> pd.DataFrame:
-        size = np.concatenate(lines["size"].to_list())
-        nid, n, grp = (np.repeat(np.concatenate(lines[c].to_list()), size) for c in (*named, "nid")[:3])
-        item = np.concatenate(lines["item"].to_list())
-        order = np.lexsort((nid, item))
-        nid, n, grp, item = nid[order], n[order], grp[order], item[order]
-        new = np.append(True, (item[1:] != item[:-1]) | (nid[1:] != nid[:-1]))
-        nid, n, grp, item = nid[new], n[new], grp[new], item[new]
-        starts = _runs(item) if len(item) else np.zeros(1, np.int64)
-        often = np.repeat(np.diff(starts), np.diff(starts))
-        # an item is shared if its run holds a group other than its first one
-        other = np.append(0, np.cumsum(grp != np.repeat(grp[starts[:-1]], np.diff(starts))))
-        held = np.repeat(other[starts[1:]] > other[starts[:-1]], np.diff(starts))
-        return pd.DataFrame(list(_dealt(nid[held] % parts, {"nid": nid[held], "n": n[held], "item": item[held], "often": often[held]})), columns=["part", "nid", "n", "item", "often"])
+        return count_part(lines, parts)
 
     dealt = sets.mapInArrow(deal, "part long, " + ", ".join(f"{c} array<long>" for c in (*named, "size", "item")))
     counted = dealt.groupBy("part").applyInPandas(count, f"part long, {LISTS}")
@@ -220,11 +236,15 @@ def shared_items(sets: DataFrame) -> DataFrame:
 
 def _by_set(lines: pd.DataFrame) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Each set's name, size, items, ascending, and how many sets have these."""
-    nid, n, item, often = (np.concatenate(lines[c].to_list()) for c in ("nid", "n", "item", "often"))
+    nid, item = (np.concatenate(lines[c].to_list()) for c in ("nid", "item"))
     order = np.lexsort((item, nid))
-    nid, n, item, often = nid[order], n[order], item[order], often[order]
+    nid = nid[order]
+    item = item[order]
     new = np.append(True, (item[1:] != item[:-1]) | (nid[1:] != nid[:-1]))
-    nid, n, item, often = nid[new], n[new], item[new], often[new]
+    if not new.all():
+        nid, item, order = nid[new], item[new], order[new]
+    n, often = (np.concatenate(lines[c].to_list())[order] for c in ("n", "often"))
+    del order
     starts = _runs(nid)
     for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
         yield int(nid[s]), int(n[s]), item[s:e], often[s:e]
@@ -244,13 +264,14 @@ def prefixes(full: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
     """``nid, n, item, place``: of each set's items, those of no other candidate first and then the rarest, the first so many."""
 
     def cut(lines: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [[np.zeros(0, np.int64)] for _ in range(4)]
         for nid, n, item, often in _by_set(lines):
             left = prefix_size(n, settings.percent) - (n - len(item))
             if left > 0:
                 first = np.argsort(often, kind="stable")[:left]
-                out.append(pd.DataFrame({"nid": nid, "n": n, "item": item[first], "place": n - len(item) + np.arange(len(first))}))
-        return pd.concat(out) if out else pd.DataFrame({"nid": [], "n": [], "item": [], "place": []}, dtype=np.int64)
+                for column, own in zip(out, (np.full(len(first), nid), np.full(len(first), n), item[first], n - len(item) + np.arange(len(first)))):
+                    column.append(own)
+        return pd.DataFrame(dict(zip(("nid", "n", "item", "place"), map(np.concatenate, out))))
 
     return shared_items(full.withColumnRenamed("own", "items").drop("bits", *SIGNATURE)).groupBy("part").applyInPandas(cut, "nid long, n long, item long, place long")
 
