@@ -19,14 +19,14 @@ bit over the whole fingerprint.
 
 A shard returns a spanning forest of its links, not the links: in a group of copies a
 star around one fingerprint links all within the radius at once, and only what is
-outside of the largest star is compared with the rest. Where there are many blocks, a
-group found by the first ones is not linked again by the others. Shards larger than
+outside of the largest star is compared with the rest. Shards larger than
 ``SHARD_ROWS`` that no vantage point parts (many fingerprints equal in a block) are cut into pieces, of which each
 two meet in a task of their own.
 
 Where a similarity is given, the exact Jaccard similarity of the texts' shingle sets
 decides, and bits only save work: links within ``radius`` are checked first, which joins
-most of what is alike. A shard's forest spends a join on each link, whether it passes or not, so
+most of what is alike. Blocks are wide there and searched for equal bits, so that trees copy nothing and
+few fingerprints that aren't alike meet, however many there are. A shard's forest spends a join on each link, whether it passes or not, so
 this finds some links only. The others come from the tiles of ``jaccard``: every pair between the groups so far that
 can be similar, by what the sets' smallest hashes share with other groups, by their rarest shingles and by bitmaps, is checked. What is kept of a
 set there grows with its size, not with its square.
@@ -43,6 +43,7 @@ A group whose doc_ids are all null has a null id. Extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -72,14 +73,13 @@ MAX_DEPTH, LEVEL_BITS = 10, 12
 class Settings:
     """``shingle`` words, ``words`` x 64 bits, links at ``radius`` bits or fewer;
     blocks are (word, mask), searched with the radius ``near``. With a ``similarity``, links
-    are checked by it: those of the ``first`` blocks, and then all that can pass between the
+    are checked by it: those of the blocks, and then all that can pass between the
     groups found."""
 
     shingle: int = 4
     words: int = 1
     radius: int = 4
     near: int = 1
-    first: int = 0
     similarity: float | None = None
     blocks: tuple[tuple[int, int], ...] = field(default=((0, (1 << 22) - 1), (0, ((1 << 21) - 1) << 22), (0, ((1 << 21) - 1) << 43)))
 
@@ -93,8 +93,9 @@ class Settings:
 CONTRACT = Settings()
 #: Five words and a Jaccard similarity of 0.8 or more, exactly. In the bits, sets as
 #: large as each other with that similarity have cosine 2 * 0.8 / 1.8 and differ in
-#: acos(...) / pi = 0.1515 of 512; 16-bit blocks find the closest ones first.
-SIMILAR = Settings(shingle=5, words=8, radius=77, near=1, first=4, similarity=0.8, blocks=tuple((w, 0xFFFF << s) for w in range(8) for s in (0, 32)))
+#: acos(...) / pi = 0.1515 of 512. Blocks of 20 bits, searched for equal ones, find the closest ones first: no fingerprint is copied over a
+#: boundary, and one has few unlike it in a block, however many there are (one in a million).
+SIMILAR = Settings(shingle=5, words=8, radius=77, near=0, similarity=0.8, blocks=tuple((w, 0xFFFFF << s) for w in range(8) for s in (0, 32)))
 
 
 def fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> bytes:
@@ -297,13 +298,12 @@ def shard_links(x: np.ndarray, block: int, settings: Settings, groups: np.ndarra
 # -- in Spark -----------------------------------------------------------------
 
 
-def links(nodes: DataFrame, settings: Settings = CONTRACT, chosen: range | None = None) -> DataFrame:
+def links(nodes: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
     """``a, b``: links between nodes (``nid long, fp binary``, all nid different) that span every
-    group, as far as they're near in one of the ``chosen`` blocks (all by default). Where nodes
+    group, as far as they're near in one of the blocks. Where nodes
     have ``grp long``, links within one such group are left out."""
     if "grp" not in nodes.columns:
         nodes = nodes.withColumn("grp", F.col("nid"))
-    chosen = range(len(settings.blocks)) if chosen is None else chosen
     n = nodes.count()
     depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1, n) / LEAF_ROWS)))))
     sample = [bytes(r[0]) for r in nodes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()] if depth else []
@@ -314,8 +314,7 @@ def links(nodes: DataFrame, settings: Settings = CONTRACT, chosen: range | None
 
     def leaves_of(lot: pd.DataFrame) -> Iterator[tuple[int, int, np.ndarray]]:
         x = _unpack(lot["fp"])
-        for i in chosen:
-            word, mask = settings.blocks[i]
+        for i, (word, mask) in enumerate(settings.blocks):
             for leaf, own in route(x[:, word] & np.uint64(mask), trees[i], settings.near):
                 yield i, leaf, own
 
@@ -327,8 +326,10 @@ def links(nodes: DataFrame, settings: Settings = CONTRACT, chosen: range | None
     def deal(lots: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lot in lots:
             if len(lot):
-                for i, leaf, own in leaves_of(lot):
-                    yield pd.DataFrame({"block": i, "leaf": leaf} | {c: lot[c].to_numpy()[own] for c in ("nid", "grp", "fp")})
+                for i, dealt in itertools.groupby(leaves_of(lot), lambda x: x[0]):
+                    _, leaves, owns = zip(*dealt)
+                    own = np.concatenate(owns)
+                    yield pd.DataFrame({"block": i, "leaf": np.repeat(leaves, list(map(len, owns)))} | {c: lot[c].to_numpy()[own] for c in ("nid", "grp", "fp")})
 
     def link(shard: pd.DataFrame) -> pd.DataFrame:
         found = shard_links(_unpack(shard["fp"]), int(shard["block"].iloc[0]), settings, shard["grp"].to_numpy())
@@ -424,7 +425,7 @@ def groups(docs: DataFrame, settings: Settings = CONTRACT) -> DataFrame:
         key, nodes = "fp", materialise(prints.groupBy("fp").agg(*lows).withColumn("nid", F.monotonically_increasing_id()))
     else:
         key, nodes = "nid", materialise(prints.groupBy("nid").agg(*lows, F.min("fp").alias("fp")))
-    edges = links(nodes, settings, range(settings.first or len(settings.blocks)))
+    edges = links(nodes, settings)
     edges = materialise(edges if settings.similarity is None else similar(edges, nodes, docs, settings))
     if settings.similarity is None:
         roots = components(edges)

@@ -196,6 +196,30 @@ def test_vantage_forest_loses_no_link(spark, monkeypatch, leaf, shard, piece, de
     assert dict(enumerate(united(len(names), edges))) == plain_groups(dict(enumerate(names)), 4)
 
 
+def test_first_links_meet_few_fingerprints_that_differ(monkeypatch):
+    """Their work grows with the fingerprints, not with the square: each stands in one leaf of a block's tree, with few of equal bits."""
+    r, n, met, few = np.random.default_rng(2), 20_000, np.zeros(2, np.int64), simhash._few
+    x = r.integers(0, 2**64, (n, 8), dtype=np.uint64)
+    copies = x[:500] ^ np.packbits((r.random((500, 8, 64)) < 0.1).astype(np.uint8), axis=2).view(np.uint64)[..., 0]
+
+    def counted(x, block, groups, own, settings):
+        near = np.bitwise_count(block[own][:, None] ^ block[own][None, :]) <= settings.near
+        met[:] += len(own), np.triu(near, 1).sum()
+        return few(x, block, groups, own, settings)
+
+    monkeypatch.setattr(simhash, "_few", counted)
+    found = set()
+    for i, (word, mask) in enumerate(simhash.SIMILAR.blocks):
+        values = x[:, word] & np.uint64(mask)
+        tree, leaves = simhash.grow(values[:8192], simhash.SIMILAR.near, 5, i)
+        assert leaves > 16 and sum(len(own) for _, own in simhash.route(values, tree, simhash.SIMILAR.near)) == n
+        met[:] = 0
+        assert simhash.shard_links(x, i, simhash.SIMILAR) == []
+        assert met[0] == n and met[1] < n / 20
+        found |= {min(a, b) for a, b in simhash.shard_links(np.vstack([x, copies]), i, simhash.SIMILAR)}
+    assert found <= set(range(500)) and len(found) > 350
+
+
 def test_similar_texts_join_and_others_stay(spark):
     r, base = random.Random(3), invented(30, 5)
     base = [" ".join([t] * 1 + [f"w{i}{j}" for j in range(150)]) for i, t in enumerate(base)]
