@@ -29,6 +29,7 @@ table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -270,20 +271,27 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """The bounded training sample, in a fixed order."""
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``text, label``: the bounded training sample, toxic texts first, in a fixed order in one partition."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     out = []
     for label in (1, 0):  # ids first: texts are fetched for the chosen ones only
         chosen = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_TEXTS)
         rows = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text").join(chosen.select("doc_id"), "doc_id")
-        out += [(r[0], r[1], label) for r in rows.distinct().orderBy("doc_id", "text").limit(SAMPLE_TEXTS).collect()]
-    return [(text, label) for _, text, label in out]
+        out.append(rows.distinct().orderBy("doc_id", "text").limit(SAMPLE_TEXTS).select("text", F.lit(label).alias("label")))
+    return out[0].unionByName(out[1]).coalesce(1)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = sample(docs, labels)
-    return fit([t for t, _ in rows], [label for _, label in rows])
+    """The fit takes some hundred MB, which a task has and the driver needn't have; the model alone comes back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(t, label) for batch in batches for t, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        rows.sort(key=lambda x: -x[1])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([t for t, _ in rows], [label for _, label in rows]))], pa.binary())], names=["model"])
+
+    found = sample(docs, labels).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0][0]) if found else Model()
 
 
 def score(docs: DataFrame, model: Model, keep: bool = False, named: str = "score") -> DataFrame:
